@@ -3,6 +3,7 @@
 from cellspan.llm.chat import OP7_SQL, op7_chat
 from cellspan.llm.decontaminate import OP3_SQL, op3_decontaminate
 from cellspan.llm.huffman import op6_huffman
+from cellspan.llm.near_dedup import op9_near_dedup
 from cellspan.llm.packing import op5_packing
 from cellspan.llm.quality_classifier import op1_quality
 from cellspan.llm.quality_rules import op4_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_huffman": op6_huffman,
     "op7_chat": op7_chat,
+    "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
 }
 SQL = {"op3_decontaminate": OP3_SQL, "op7_chat": OP7_SQL}
