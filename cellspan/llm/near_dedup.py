@@ -7,9 +7,10 @@ Two texts agree in a coordinate with the probability of their weighted Jaccard s
 joined; equal word sequences meet before that, so copies count once.
 
 Within a bucket each text is compared with the bucket's leader only, exactly, on its whole shingles. Links then form
-classes. Where a bucket still holds several classes, its members of different classes are compared too, but for those that
-sizes or the triangle inequality of the Jaccard distance rule out. No bucket is collected anywhere, and links are only left
-out where both texts are in one class already.
+classes. Where a bucket still holds several classes, its members outside the largest one are compared with other members of
+that, and at last members of different classes with one another where prefix filtering over their shingles (exact for
+this similarity) leaves a pair possible. No bucket is collected anywhere, and links are only left out where both texts are
+in one class already.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.llm.common import WORD_TABLE, cut, mix64, small_batches, spans_to_rows, stage, table, texts
 
 SHINGLE = 5
 LEAST = 0.8
+ROUNDS = 2
 BANDS, ROWS = 42, 7  # a pair at 0.8 is missed with probability (1 - 0.8**7)**42, below 1e-4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
@@ -190,13 +192,57 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a != b").distinct()  # each node below one that its neighbours have in common
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = stage(small.where("a != b").distinct(), "edges")
-        mark = now.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
+        seen = Observation()
+        now = stage(small.where("a != b").distinct().observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")), "edges")
+        mark = seen.get
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
 
 
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes, with their class so far."""
+    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def _possible(apart: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of rows (node, root, set) of different roots that can reach the similarity, by prefix filtering.
+
+    Elements are put in one order, rare ones first. Two sets that are similar enough share one of the first
+    n - ceil(least * n) + 1 elements of each, and from their first common one on enough elements are left in both.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for node, root, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                values = np.frombuffer(raw, np.int64)
+                n = len(values)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * n, pa.binary()), pa.array([root] * n, pa.binary()), pa.array(np.full(n, n)), pa.array(values)], ["node", "root", "n", "e"])
+
+    elements = stage(apart.select("node", "root", "set").mapInArrow(run, "node binary, root binary, n long, e long"), "elements")
+    counts = elements.groupBy("e").agg(F.count("*").alias("df"))
+    listed = elements.join(counts, "e").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("l"))  # one text's elements
+    first = F.slice("l", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    head = stage(listed.select("node", "root", "n", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("node", "root", "n", (F.col("n") - F.col("i")).alias("left"), F.col("x.e").alias("e")), "heads")
+    x, y = (head.select("e", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "left"))) for s in "xy")
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-9)
+    near = (F.col("root_x") < F.col("root_y")) & (F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y")) & (F.least("left_x", "left_y") >= need)
+    return x.join(y, "e").where(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after links (a, b): components of the graph of classes only."""
+    own = lambda c: F.coalesce(f"r{c}", c)
+    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+    between = links.join(ra, "a", "left").join(rb, "b", "left").select(own("a").alias("a"), own("b").alias("b")).where("a != b").distinct()
+    new = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(new, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = new.select(F.col("root").alias("node"), F.col("to").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return stage(old.unionByName(fresh), "roots")
+
+
 def classes(docs: DataFrame, least: float = LEAST, signatures: DataFrame | None = None) -> DataFrame:
     """node, class_id (least doc_id of the class), class_node (the node of that document) for every word sequence in docs.
 
@@ -215,20 +261,24 @@ def classes(docs: DataFrame, least: float = LEAST, signatures: DataFrame | None
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")  # two shingle sets a row
     try:
         first = stage(_compared(pairs, sets), "compared")
-        found = components(first.where(F.col("sim") >= least))
-        # members with their class so far and their distance from the leader
-        far = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("d"))
-        placed = buckets.where("node != leader").join(far, ["leader", "node"]).join(found, "node", "left").select("key", "node", "size", "d", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-        open_ = placed.join(mixed, "key", "left_semi")
-        x = open_.select("key", *(F.col(c).alias(f"{c}_x") for c in ("node", "size", "d", "root")))
-        y = open_.select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "size", "d", "root")))
-        near = (F.col("root_x") < F.col("root_y")) & (F.abs(F.col("d_x") - F.col("d_y")) <= 1 - least) & (F.least("size_x", "size_y") >= least * F.greatest("size_x", "size_y"))
-        rest = stage(x.join(y, "key").where(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "pairs")
-        second = stage(_compared(rest, sets).where(F.col("sim") >= least), "compared")
+        roots = stage(components(first.where(F.col("sim") >= least)), "roots")
+        # members of mixed buckets against another member of the bucket's largest class
+        for t in range(ROUNDS):
+            left = stage(_open(buckets.select("key", "node"), roots), "open")
+            sizes = left.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("key", "node", F.lit(t))).alias("leader"))
+            tops = sizes.groupBy("key").agg(F.max_by(F.struct("root", "leader"), F.struct("n", "root")).alias("top"))
+            next_ = left.join(tops, "key").where(F.col("root") != F.col("top.root")).select(F.col("top.leader").alias("a"), F.col("node").alias("b")).distinct()
+            links = stage(_compared(next_, sets).where(F.col("sim") >= least), "compared")
+            if not links.take(1):
+                break
+            roots = _merged(roots, links)
+        # what is still apart, exactly
+        apart = _open(buckets.select("key", "node"), roots).select("node", "root").distinct()
+        links = stage(_compared(stage(_possible(apart.join(sets.dropDuplicates(["node"]), "node"), least), "pairs"), sets).where(F.col("sim") >= least), "compared")
+        if links.take(1):
+            roots = _merged(roots, links)
     finally:
         small_batches(spark)
-    roots = components(first.where(F.col("sim") >= least).unionByName(second)) if second.take(1) else found
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.coalesce(F.min_by("node", "doc_id"), F.min("node")).alias("class_node"))
     return stage(rooted.join(least_of, "root").select("node", "class_id", "class_node"), "classes")
