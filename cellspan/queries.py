@@ -1,8 +1,414 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, each with SQL that gives the same rows. Doubles are rounded on both sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cellspan.operators import asof, features, forecasts, indicators, quality, study
+from cellspan.plans import economics
+from cellspan.sources.samples import E_SQL, L_SQL, event_cycles, lineitem_samples, normalise_samples
+from cellspan.streaming import windows
 
 QUERIES: dict = {}
 SQL: dict = {}
+DIGITS = 7
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def r(x: str, name: str | None = None, digits: int = DIGITS) -> str:
+    return f"round({x}, {digits}) AS {name or x}"
+
+
+HAMPEL_SQL = f"""{E_SQL},
+m AS (SELECT *, quantile_cont(cap, 0.5) OVER (PARTITION BY cell ORDER BY k ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS med FROM ev),
+res AS (SELECT *, abs(cap - med) AS resid FROM m),
+fl AS (SELECT *, quantile_cont(abs(cap), 0.5) OVER (PARTITION BY cell) AS mid, quantile_cont(resid, 0.5) OVER (PARTITION BY cell ORDER BY k ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS mad FROM res),
+hp AS (SELECT *, greatest(1.4826::DOUBLE * mad, 0.004::DOUBLE * mid) AS scale, coalesce(resid > 3.0::DOUBLE * greatest(1.4826::DOUBLE * mad, 0.004::DOUBLE * mid), false) AS outlier FROM fl)"""
+
+BOL_SQL = f"""{HAMPEL_SQL},
+f1 AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY k) AS rn, row_number() OVER (PARTITION BY cell, cap IS NULL ORDER BY k) AS fin FROM hp),
+f2 AS (SELECT *, rn <= 20 AS early, rn <= 20 AND coalesce(cap BETWEEN 0.8 AND 2.3, false) AND NOT outlier AS okk FROM f1),
+f3 AS (SELECT *, sum(okk::INT) OVER (PARTITION BY cell ORDER BY k) AS j FROM f2),
+f4 AS (SELECT cell, sum(okk::INT) AS n_ok, quantile_cont(cap, 0.5) FILTER (okk AND j <= 5) AS first, quantile_cont(cap, 0.5) FILTER (okk AND j > 5 AND j <= 15) AS later,
+  quantile_cont(cap, 0.5) FILTER (okk AND j > 5 AND j <= 20) AS late, quantile_cont(cap, 0.5) FILTER (fin <= 5 AND cap IS NOT NULL) AS anyv, avg((NOT coalesce(cap BETWEEN 0.8 AND 2.3, false))::INT) FILTER (early) AS bad FROM f3 GROUP BY cell),
+f5 AS (SELECT *, coalesce(n_ok >= 10 AND abs(first / later - 1) > 0.08, false) AS mis FROM f4),
+bol AS (SELECT cell, CASE WHEN n_ok = 0 THEN anyv WHEN mis THEN late ELSE first END AS bol, (n_ok = 0 OR mis OR bad > 0.2) AS crash FROM f5)"""
+
+EOL_SQL = f"""{HAMPEL_SQL},
+g AS (SELECT *, cap IS NOT NULL AND NOT outlier AS good FROM hp),
+g2 AS (SELECT *, sum((cap < 1.4)::INT) OVER (PARTITION BY cell, good ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM g),
+eol AS (SELECT cell, CASE WHEN sum(good::INT) >= 3 THEN min(k) FILTER (good AND run = 3) END AS eol_k,
+  CASE WHEN sum(good::INT) < 3 THEN 'insufficient data' WHEN min(k) FILTER (good AND run = 3) IS NOT NULL THEN 'reached' ELSE 'EOL not reachable in data' END AS eol_status FROM g2 GROUP BY cell)"""
+
+
+@query("hampel_outliers", f"WITH {HAMPEL_SQL} SELECT cell, k, {r('cap')}, {r('med')}, {r('scale')}, outlier FROM hp")
+def hampel_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quality.hampel(event_cycles(spark, d)).select("cell", "k", "cap", "med", "scale", "outlier"))
+
+
+@query("robust_bol", f"WITH {BOL_SQL} SELECT cell, {r('bol')}, crash FROM bol")
+def robust_bol(spark, d):
+    return rounded(quality.robust_bol(quality.hampel(event_cycles(spark, d))))
+
+
+@query("detect_eol", f"WITH {EOL_SQL} SELECT cell, eol_k, eol_status FROM eol")
+def detect_eol(spark, d):
+    return quality.detect_eol(quality.hampel(event_cycles(spark, d)))
+
+
+SUMMARY_SQL = """SELECT cell, grp, CAST(count(*) AS INTEGER) AS n_cycles, arg_max(cap, k) FILTER (NOT outlier AND cap IS NOT NULL) AS last_cap, sum(outlier::INT) AS n_outliers,
+  quantile_cont(ambient, 0.5) AS ambient, quantile_cont(I_mean, 0.5) AS I_mean, CAST(count(DISTINCT round_even(I_mean / 0.5, 0) * 0.5) AS INTEGER) AS I_levels FROM hp GROUP BY cell, grp"""
+
+
+@query("cell_summary", f"WITH {HAMPEL_SQL} SELECT cell, grp, n_cycles, {r('last_cap')}, CAST(n_outliers AS BIGINT) AS n_outliers, ambient, I_mean, I_levels FROM ({SUMMARY_SQL})")
+def cell_summary(spark, d):
+    return rounded(quality.cell_summary(quality.hampel(event_cycles(spark, d))))
+
+
+@query(
+    "end_of_life",
+    f"WITH {BOL_SQL}, {EOL_SQL.split(HAMPEL_SQL + ',')[1]} SELECT s.cell, grp, n_cycles, {r('last_cap')}, {r('bol')}, crash, eol_k, eol_status, {r('last_cap / bol', 'soh_last')} FROM ({SUMMARY_SQL}) s JOIN bol USING (cell) JOIN eol USING (cell)",
+)
+def end_of_life(spark, d):
+    """The flagship: per cell its begin, state and end of life, outliers excluded. One shuffle by cell serves every step."""
+    cells = quality.hampel(event_cycles(spark, d).repartition("cell"))
+    out = quality.cell_summary(cells).join(quality.robust_bol(cells), "cell").join(quality.detect_eol(cells), "cell")
+    return rounded(out.select("cell", "grp", "n_cycles", "last_cap", "bol", "crash", "eol_k", "eol_status", (F.col("last_cap") / F.col("bol")).alias("soh_last")))
+
+
+flagship = end_of_life
+
+
+@query(
+    "normalise_samples",
+    f"WITH {L_SQL} SELECT printf('B%04d', CAST(substr(Cell_ID, 2) AS BIGINT)) AS Cell_ID, CAST(round_even(Cycle_Index + 0.5::DOUBLE, 0) AS BIGINT) AS Cycle_Index, Cycle_Type, count(*) AS n, {r('sum(Voltage_V)', 'v')}, CAST(count(*) FILTER (Time_s % 70 <> 0) AS BIGINT) AS n_time FROM smp GROUP BY ALL",
+)
+def normalised(spark, d):
+    raw = lineitem_samples(spark, d).select(
+        F.concat(F.lit(" b"), F.regexp_replace(F.substring("Cell_ID", 2, 10), "^0+(?=.)", ""), F.lit(" ")).alias("Cell_ID"), (F.col("Cycle_Index") + 0.5).alias("Cycle_Index"), F.concat(F.lit(" "), F.initcap("Cycle_Type")).alias("Cycle_Type"),
+        F.when(F.col("Time_s") % 70 == 0, "bad").otherwise(F.col("Time_s").cast("string")).alias("Time_s"), "Voltage_V", "Current_A", "Temp_C", F.when(F.col("Capacity_Ah") > 1, float("nan")).otherwise(F.col("Capacity_Ah")).alias("Capacity_Ah"),
+    )
+    return rounded(normalise_samples(raw).groupBy("Cell_ID", "Cycle_Index", "Cycle_Type").agg(F.count("*").alias("n"), F.sum("Voltage_V").alias("v"), F.count("Time_s").alias("n_time")))
+
+
+DIS_SQL = f"""{L_SQL},
+ds AS (SELECT *, abs(Current_A) AS a, abs(Current_A) > 0.1 AS lo, row_number() OVER (PARTITION BY Cell_ID, Cycle_Index ORDER BY Time_s) AS i FROM smp WHERE Cycle_Type = 'discharge'),
+dp AS (SELECT *, min(i) FILTER (lo) OVER (PARTITION BY Cell_ID, Cycle_Index) AS p, max(i) FILTER (lo) OVER (PARTITION BY Cell_ID, Cycle_Index) AS q FROM ds),
+dl AS (SELECT Cell_ID, Cycle_Index, i, (abs(Voltage_V * Current_A) + lag(abs(Voltage_V * Current_A)) OVER w) / 2 * (Time_s - lag(Time_s) OVER w) / 3600 AS wh FROM ds WHERE lo WINDOW w AS (PARTITION BY Cell_ID, Cycle_Index ORDER BY Time_s)),
+dis AS (SELECT d.Cell_ID, d.Cycle_Index, max(Capacity_Ah) AS capacity, avg(a) FILTER (lo) AS I_mean, sqrt(avg(Current_A * Current_A) FILTER (d.i BETWEEN p AND q)) AS I_rms,
+  1 - sum(lo::INT) / (max(q) - min(p) + 1) > 0.25 AS pulsed, arg_min(Temp_C, Time_s) AS T_start, avg(Temp_C) AS T_mean, max(Temp_C) AS T_max, max(Temp_C) - arg_min(Temp_C, Time_s) AS T_rise,
+  avg(Voltage_V) FILTER (lo) AS V_mean, min(Voltage_V) FILTER (lo) AS V_min, max(Time_s) FILTER (lo) - min(Time_s) FILTER (lo) AS duration_s, sum(wh) AS energy_Wh,
+  max(Voltage_V) FILTER (d.i < p) AS v0, max(Voltage_V) FILTER (d.i = p) AS v1, max(a) FILTER (d.i = p) AS a1
+  FROM dp d LEFT JOIN dl ON d.Cell_ID = dl.Cell_ID AND d.Cycle_Index = dl.Cycle_Index AND d.i = dl.i GROUP BY d.Cell_ID, d.Cycle_Index HAVING sum(lo::INT) >= 3)"""
+DIS_COLS = ["capacity", "I_mean", "I_rms", "T_start", "T_mean", "T_max", "T_rise", "V_mean", "V_min", "duration_s", "energy_Wh"]
+
+
+@query("cycle_discharge_features", f"WITH {DIS_SQL} SELECT Cell_ID, Cycle_Index, pulsed, {', '.join(r(c) for c in DIS_COLS)}, CASE WHEN a1 > 0.5 AND (v0 - v1) / a1 > 0 AND (v0 - v1) / a1 < 1 THEN round((v0 - v1) / a1, 7) END AS R0 FROM dis")
+def discharge(spark, d):
+    return rounded(features.discharge_features(lineitem_samples(spark, d)).drop("ambient_obs"))
+
+
+CHA_SQL = f"""{L_SQL},
+cha AS (SELECT Cell_ID, Cycle_Index, min(Time_s) FILTER (Voltage_V >= 4.195) - min(Time_s) AS cc_time_s, max(Time_s) - min(Time_s) FILTER (Voltage_V >= 4.195) AS cv_time_s FROM smp WHERE Cycle_Type = 'charge' GROUP BY Cell_ID, Cycle_Index HAVING count(*) >= 3)"""
+
+
+@query("cycle_charge_features", f"WITH {CHA_SQL} SELECT * FROM cha")
+def charge(spark, d):
+    return features.charge_features(lineitem_samples(spark, d))
+
+
+@query(
+    "asof_backward_forward",
+    f"""WITH {DIS_SQL}, {CHA_SQL.split(L_SQL + ',')[1]}, dd AS (SELECT Cell_ID, Cycle_Index FROM dis),
+b AS (SELECT dd.*, c.cc_time_s AS b1, c.cv_time_s AS b2 FROM dd ASOF LEFT JOIN cha c ON dd.Cell_ID = c.Cell_ID AND dd.Cycle_Index >= c.Cycle_Index),
+f AS (SELECT dd.*, c.cc_time_s AS f1, c.cv_time_s AS f2 FROM dd ASOF LEFT JOIN cha c ON dd.Cell_ID = c.Cell_ID AND dd.Cycle_Index <= c.Cycle_Index)
+SELECT Cell_ID, Cycle_Index, coalesce(b1, f1) AS cc_time_s, coalesce(b2, f2) AS cv_time_s FROM b JOIN f USING (Cell_ID, Cycle_Index)""",
+)
+def asof_query(spark, d):
+    s = lineitem_samples(spark, d)
+    left = features.discharge_features(s).select("Cell_ID", "Cycle_Index")
+    return asof.asof_fill(left, features.charge_features(s), ["cc_time_s", "cv_time_s"])
+
+
+@query(
+    "impedance_asof",
+    f"""WITH {E_SQL}, im AS (SELECT cell, k, cap AS re, I_mean AS rct FROM ev WHERE event_type = 'error'),
+b AS (SELECT e.cell, e.k, i.re AS b1 FROM ev e ASOF LEFT JOIN im i ON e.cell = i.cell AND e.k >= i.k), f AS (SELECT e.cell, e.k, i.re AS f1 FROM ev e ASOF LEFT JOIN im i ON e.cell = i.cell AND e.k <= i.k)
+SELECT cell, k, round(coalesce(b1, f1), 7) AS Re_ohm FROM b JOIN f USING (cell, k)""",
+)
+def impedance_asof(spark, d):
+    e = event_cycles(spark, d)
+    sparse = e.where("event_type = 'error'").select("cell", "k", F.col("cap").alias("Re_ohm"))
+    return rounded(asof.asof_fill(e.select("cell", "k"), sparse, ["Re_ohm"], by="cell", on="k"))
+
+
+@query("ambient_nearest", f"WITH {E_SQL} SELECT cell, k, CASE WHEN abs(4.0 - 20 * cap) <= abs(24.0 - 20 * cap) THEN CASE WHEN abs(4.0 - 20 * cap) <= abs(43.0 - 20 * cap) THEN 4.0::DOUBLE ELSE 43.0::DOUBLE END ELSE CASE WHEN abs(24.0 - 20 * cap) <= abs(43.0 - 20 * cap) THEN 24.0::DOUBLE ELSE 43.0::DOUBLE END END AS listed FROM ev")
+def ambient_nearest(spark, d):
+    return event_cycles(spark, d).select("cell", "k", quality.nearest(F.array(F.lit(4.0), F.lit(24.0), F.lit(43.0)), 20 * F.col("cap")).alias("listed"))
+
+
+@query("level_mode", f"WITH {E_SQL}, c AS (SELECT cell, round_even(I_mean / 0.5, 0) * 0.5 AS level, count(*) AS n FROM ev GROUP BY ALL) SELECT cell, first(level ORDER BY n DESC, level) AS mode, count(*) AS levels FROM c GROUP BY cell")
+def level_mode(spark, d):
+    return quality.level_mode(event_cycles(spark, d), quality.level(F.col("I_mean"), 0.5))
+
+
+MONO_SQL = f"""{E_SQL}, lg AS (UNPIVOT (SELECT cell, k, cap, I_mean, ambient FROM ev) ON cap, I_mean, ambient INTO NAME hi VALUE x),
+sm AS (SELECT *, quantile_cont(x, 0.5) OVER (PARTITION BY cell, hi ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM lg WHERE x IS NOT NULL),
+sd AS (SELECT *, sign(s - lag(s) OVER (PARTITION BY cell, hi ORDER BY k)) AS d FROM sm),
+mono AS (SELECT cell, hi, CASE WHEN count(*) >= 3 THEN abs(sum(d)) / (count(*) - 1) END AS mono FROM sd GROUP BY cell, hi)"""
+
+
+@query("monotonicity", f"WITH {MONO_SQL} SELECT cell, hi, {r('mono')} FROM mono")
+def monotonicity(spark, d):
+    return rounded(indicators.monotonicity(indicators.unpivot(event_cycles(spark, d), ["cap", "I_mean", "ambient"], ["cell", "k"]), ["cell", "hi"]).drop("n"))
+
+
+RANK = "rank() OVER (PARTITION BY cell, hi ORDER BY {0}) + (count(*) OVER (PARTITION BY cell, hi, {0}) - 1) / 2.0::DOUBLE"
+SPEAR_SQL = f"rk AS (SELECT *, {RANK.format('x')} AS rx, {RANK.format('k')} AS rkk FROM lg WHERE x IS NOT NULL), sp AS (SELECT cell, hi, CASE WHEN isnan(corr(rkk, rx)) THEN NULL ELSE corr(rkk, rx) END AS rho FROM rk GROUP BY cell, hi)"
+
+
+@query("spearman", f"WITH {MONO_SQL}, {SPEAR_SQL} SELECT cell, hi, {r('rho')} FROM sp WHERE hi <> 'ambient'")
+def spearman(spark, d):
+    return rounded(indicators.spearman(indicators.unpivot(event_cycles(spark, d), ["cap", "I_mean"], ["cell", "k"]), ["cell", "hi"]))
+
+
+@query(
+    "hi_scores",
+    f"""WITH {MONO_SQL}, {SPEAR_SQL}, e AS (SELECT cell, hi, arg_min(x, k) AS a, arg_max(x, k) AS z FROM lg GROUP BY cell, hi), pg AS (SELECT hi, exp(-stddev_pop(z) / (avg(abs(z - a)) + 1e-12)) AS prog FROM e GROUP BY hi),
+a AS (SELECT hi, avg(mono) AS mono FROM mono GROUP BY hi), b AS (SELECT hi, avg(abs(rho)) AS trend FROM sp GROUP BY hi)
+SELECT hi, {r('mono')}, {r('trend')}, {r('prog')}, {r('(mono + trend + prog) / 3', 'score')} FROM a JOIN b USING (hi) JOIN pg USING (hi) WHERE hi <> 'ambient'""",
+)
+def hi_scores(spark, d):
+    return rounded(indicators.scores(event_cycles(spark, d), ["cap", "I_mean"]))
+
+
+@query(
+    "first_baseline",
+    f"WITH {E_SQL}, b AS (SELECT cell, avg(cap) FILTER (k <= 3) AS b1, avg(I_mean) FILTER (k <= 3) AS b2 FROM ev GROUP BY cell) SELECT cell, k, round(cap - b1, 7) AS cap_rel, round(I_mean - b2, 7) AS I_mean_rel FROM ev JOIN b USING (cell)",
+)
+def first_baseline(spark, d):
+    return rounded(indicators.first_baseline(event_cycles(spark, d), ["cap", "I_mean"]).select("cell", "k", "cap_rel", "I_mean_rel"))
+
+
+@query("theil_sen_fade", f"WITH {E_SQL}, s AS (SELECT a.cell, quantile_cont((b.cap - a.cap) / (b.k - a.k), 0.5) AS m FROM ev a JOIN ev b ON a.cell = b.cell AND b.k > a.k GROUP BY a.cell), n AS (SELECT cell, count(*) AS n FROM ev GROUP BY cell) SELECT n.cell, CASE WHEN n >= 10 THEN round(-100 * m, 6) END AS fade_rate FROM n LEFT JOIN s USING (cell)")
+def theil_sen_fade(spark, d):
+    return rounded(indicators.fade_rates(event_cycles(spark, d)), 6)
+
+
+@query(
+    "loco_ridge",
+    f"""WITH {E_SQL}, o AS (SELECT cell, count(*)::DOUBLE AS n, sum(k::DOUBLE) AS sx, sum(cap) AS sy, sum(k::DOUBLE * k) AS sxx, sum(k * cap) AS sxy FROM ev GROUP BY cell),
+t AS (SELECT o.cell, sum(p.n) AS n, sum(p.sx) AS sx, sum(p.sy) AS sy, sum(p.sxx) AS sxx, sum(p.sxy) AS sxy FROM o JOIN o p ON o.cell <> p.cell GROUP BY o.cell),
+z AS (SELECT *, sx / n AS mu, sqrt(sxx / n - (sx / n) * (sx / n)) + 1e-12 AS sd FROM t),
+w AS (SELECT *, ((sxy - mu * sy) / sd) / ((sxx - 2 * mu * sx + n * mu * mu) / (sd * sd) + 1e-3) AS b, sy / (n + 1e-3) AS a FROM z)
+SELECT e.cell, round(sqrt(avg((cap - (a + b * (k - mu) / sd)) * (cap - (a + b * (k - mu) / sd)))), 6) AS rmse FROM ev e JOIN w USING (cell) GROUP BY e.cell""",
+)
+def loco_ridge(spark, d):
+    e = event_cycles(spark, d).withColumn("kd", F.col("k").cast("double"))
+    return rounded(indicators.loco_ridge(e, "kd", "cap"), 6)
+
+
+@query("correlation_flags", f"WITH {E_SQL}, c AS (SELECT corr(cap, I_mean) AS x, corr(cap, ambient) AS y, corr(I_mean, ambient) AS z FROM ev) SELECT a, b, round(v, 7) AS r, abs(v) > 0.7 AS flagged FROM (SELECT 'cap' AS a, 'I_mean' AS b, x AS v FROM c UNION ALL SELECT 'cap', 'ambient', y FROM c UNION ALL SELECT 'I_mean', 'ambient', z FROM c)")
+def correlation_flags(spark, d):
+    return rounded(indicators.correlation_flags(event_cycles(spark, d), ["cap", "I_mean", "ambient"]))
+
+
+FC_SQL = f"""{E_SQL},
+fc AS (SELECT cell, grp, model, k AS k0, pred, cap AS now, h, k + h AS k_target, pred - wd AS lo, pred + wd AS hi FROM (
+  SELECT *, 'persistence' AS model, cap AS pred, 0.3::DOUBLE AS wd FROM ev UNION ALL SELECT *, 'trailing mean' AS model, avg(cap) OVER (PARTITION BY cell ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS pred, 0.25::DOUBLE AS wd FROM ev), (VALUES (1), (10), (25), (50)) v(h)),
+rs AS (SELECT fc.*, e.cap AS actual FROM fc LEFT JOIN ev e ON e.cell = fc.cell AND e.k = fc.k_target),
+acc AS (SELECT cell, grp, model, h, CAST(count(*) AS INTEGER) AS n, sqrt(avg((actual - pred) * (actual - pred))) AS rmse, avg(abs(actual - pred)) AS mae,
+  CASE WHEN count(*) >= 3 AND var_pop(actual) * count(*) > 0 THEN 1 - sum((actual - pred) * (actual - pred)) / (var_pop(actual) * count(*)) END AS r2, avg((actual >= lo AND actual <= hi)::INT) AS coverage,
+  CASE WHEN avg((actual - now) * (actual - now)) > 0 THEN 1 - avg((actual - pred) * (actual - pred)) / avg((actual - now) * (actual - now)) END AS fade_skill FROM rs WHERE actual IS NOT NULL GROUP BY cell, grp, model, h),
+mt AS (SELECT *, CASE WHEN n < 5 THEN 'insufficient' ELSE 'ok' END AS status FROM acc)"""
+
+
+def forecast_log(spark, d):
+    e = event_cycles(spark, d)
+    return forecasts.resolve(forecasts.persistence(e).unionByName(forecasts.trailing_mean(e)), e)
+
+
+def metrics_table(spark, d):
+    return forecasts.accuracy(forecast_log(spark, d)).withColumn("status", F.when(F.col("n") < 5, "insufficient").otherwise("ok"))
+
+
+@query("forecast_resolve", f"WITH {FC_SQL} SELECT cell, model, k0, h, k_target, {r('pred')}, {r('actual')} FROM rs")
+def forecast_resolve(spark, d):
+    return rounded(forecast_log(spark, d).select("cell", "model", "k0", "h", "k_target", "pred", "actual"))
+
+
+@query("forecast_accuracy", f"WITH {FC_SQL} SELECT cell, grp, model, h, n, {r('rmse')}, {r('mae')}, {r('r2', digits=5)}, {r('coverage')}, {r('fade_skill', digits=5)} FROM acc")
+def forecast_accuracy(spark, d):
+    out = forecasts.accuracy(forecast_log(spark, d))
+    return rounded(out.withColumn("r2", F.round("r2", 5)).withColumn("fade_skill", F.round("fade_skill", 5)))
+
+
+@query(
+    "conformal_radius",
+    f"""WITH {FC_SQL}, pr AS (SELECT a.cell, a.model, a.h, a.k0, list(abs(b.actual - b.pred) ORDER BY b.k0) FILTER (b.k0 IS NOT NULL) AS l FROM rs a LEFT JOIN rs b ON a.cell = b.cell AND a.model = b.model AND a.h = b.h AND b.k_target <= a.k0 AND b.actual IS NOT NULL WHERE a.h = 10 GROUP BY ALL),
+s AS (SELECT *, list_sort(CASE WHEN len(l) > 200 THEN list_slice(l, len(l) - 199, len(l)) ELSE l END) AS s FROM pr), t AS (SELECT *, len(s) AS n, least(ceil((len(s) + 1) * (1 - 0.1::DOUBLE)) / len(s), 1.0) * (len(s) - 1) AS pos FROM s)
+SELECT cell, model, h, k0, CAST(coalesce(n, 0) AS INTEGER) AS n_seen, CASE WHEN n >= 8 THEN round(s[CAST(floor(pos) AS INTEGER) + 1] + (pos - floor(pos)) * (s[least(CAST(floor(pos) AS INTEGER) + 2, n)] - s[CAST(floor(pos) AS INTEGER) + 1]), 6) END AS radius FROM t""",
+)
+def conformal_radius(spark, d):
+    out = forecasts.conformal(forecast_log(spark, d).where("h = 10"))
+    return rounded(out.select("cell", "model", "h", "k0", "n_seen", "radius"), 6)
+
+
+@query(
+    "ensemble_weights",
+    f"""WITH RECURSIVE {FC_SQL}, o AS (SELECT cell, model, k0, power(actual - pred, 2) AS e2, row_number() OVER (PARTITION BY cell, model ORDER BY k0) AS i FROM rs WHERE h = 1 AND actual IS NOT NULL),
+ew AS (SELECT cell, model, k0, i, e2 AS err FROM o WHERE i = 1 UNION ALL SELECT o.cell, o.model, o.k0, o.i, ew.err * 0.85::DOUBLE + o.e2 * (1 - 0.85::DOUBLE) FROM ew JOIN o ON o.cell = ew.cell AND o.model = ew.model AND o.i = ew.i + 1),
+md AS (SELECT *, quantile_cont(CASE WHEN i >= 5 THEN err END, 0.5) OVER (PARTITION BY cell, k0) AS med FROM ew), rw AS (SELECT *, CASE WHEN med IS NULL THEN 1.0 WHEN i < 5 THEN 1 / (med + 1e-6) WHEN err > 9 * med THEN 0 ELSE 1 / (err + 1e-6) END AS raw FROM md)
+SELECT cell, model, k0, {r('raw / sum(raw) OVER (PARTITION BY cell, k0)', 'weight', 5)} FROM rw""",
+)
+def ensemble_weights(spark, d):
+    w = forecasts.ensemble_weights(forecasts.ewma_error(forecast_log(spark, d)))
+    return rounded(w.select("cell", "model", "k0", "weight"), 5)
+
+
+@query(
+    "rul_crossing",
+    f"""WITH {E_SQL}, p AS (SELECT cell, h, 1.9::DOUBLE - 0.001::DOUBLE * h * (1 + cap) AS y FROM ev, (SELECT unnest(generate_series(5, 600, 5)) AS h) WHERE k % 20 = 0 AND k = 20),
+q AS (SELECT *, lag(y) OVER w AS y0, lag(h) OVER w AS h0 FROM p WINDOW w AS (PARTITION BY cell ORDER BY h)), c AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY h) AS i FROM q WHERE y < 1.4)
+SELECT x.cell, round(CASE WHEN c.h0 IS NULL THEN c.h ELSE c.h0 + (c.y0 - 1.4::DOUBLE) / (c.y0 - c.y + 1e-12) * (c.h - c.h0) END, 6) AS crossing FROM (SELECT DISTINCT cell FROM p) x LEFT JOIN c ON c.cell = x.cell AND c.i = 1""",
+)
+def rul_crossing(spark, d):
+    from cellspan.config import RUL_GRID
+
+    p = event_cycles(spark, d).where("k = 20").select("cell", "cap", F.explode(F.array(*map(F.lit, RUL_GRID))).alias("h"))
+    return rounded(forecasts.crossings(p.withColumn("y", 1.9 - 0.001 * F.col("h") * (1 + F.col("cap"))), 1.4, ["cell"]), 6)
+
+
+CC_SQL = """cc AS (SELECT cell FROM mt WHERE h = 10 AND status = 'ok' GROUP BY cell HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM mt WHERE h = 10))"""
+
+
+@query("common_cells", f"WITH {FC_SQL}, {CC_SQL} SELECT cell FROM cc")
+def common_cells(spark, d):
+    return study.common_cells(metrics_table(spark, d), 10)
+
+
+def board_sql(scope: str) -> str:
+    return f"""lb AS (SELECT *, rank() OVER (PARTITION BY {scope}cell ORDER BY rmse) + (count(*) OVER (PARTITION BY {scope}cell, rmse) - 1) / 2.0::DOUBLE AS rk FROM cm),
+fails AS (SELECT model, count(DISTINCT cell) AS f FROM mt WHERE status <> 'ok' GROUP BY model),
+bd AS (SELECT {scope}lb.model, quantile_cont(rmse, 0.5) AS rmse_median, avg(rmse) AS rmse_mean, avg(coverage) AS coverage, count(DISTINCT cell) AS n_cells, avg(rk) AS mean_rank FROM lb GROUP BY {scope}lb.model)
+SELECT {scope}bd.model, {r('rmse_median')}, {r('rmse_mean')}, {r('coverage')}, n_cells, {r('mean_rank')}, coalesce(f, 0) AS not_ok FROM bd LEFT JOIN fails ON fails.model = bd.model"""
+
+
+BOARD_COLS = ["model", "rmse_median", "rmse_mean", "coverage", "n_cells", "mean_rank", "not_ok"]
+
+
+@query("leaderboard", f"WITH {FC_SQL}, {CC_SQL}, cm AS (SELECT * FROM mt WHERE h = 10 AND status = 'ok' AND cell IN (SELECT cell FROM cc)), {board_sql('')}")
+def leaderboard(spark, d):
+    return rounded(study.leaderboard(metrics_table(spark, d), 10).select(*BOARD_COLS))
+
+
+@query(
+    "study_rollup",
+    f"WITH {FC_SQL}, sc AS (SELECT 'All' AS scope, * FROM mt UNION ALL SELECT grp AS scope, * FROM mt), c2 AS (SELECT scope, cell FROM sc WHERE h = 10 AND status = 'ok' GROUP BY scope, cell HAVING count(DISTINCT model) = 2), cm AS (SELECT * FROM sc WHERE h = 10 AND status = 'ok' AND (scope, cell) IN (SELECT (scope, cell) FROM c2)), {board_sql('scope, ')}",
+)
+def study_rollup(spark, d):
+    return rounded(study.study_tables(metrics_table(spark, d), 10).select("scope", *BOARD_COLS))
+
+
+@query(
+    "coverage_table",
+    f"""WITH {FC_SQL}, g AS (SELECT grp, model, h, sum(coverage * n) AS k, sum(n)::DOUBLE AS n, avg(coverage) AS mean_of_cells FROM mt WHERE status = 'ok' GROUP BY ALL),
+w AS (SELECT *, k / n AS p, 1 + 3.8416::DOUBLE / n AS dd FROM g), l AS (SELECT *, (p + 3.8416 / (2 * n)) / dd - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n)) / dd AS lo, (p + 3.8416 / (2 * n)) / dd + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n)) / dd AS hi FROM w)
+SELECT grp, model, h, CAST(n AS BIGINT) AS n, {r('p', 'coverage')}, {r('lo', digits=6)}, {r('hi', digits=6)}, {r('mean_of_cells')}, CASE WHEN hi < 0.9 THEN 'below target' WHEN lo > 0.9 THEN 'above target' ELSE 'on target' END AS note FROM l""",
+)
+def coverage_table(spark, d):
+    out = study.coverage_table(metrics_table(spark, d))
+    return rounded(out.withColumn("lo", F.round("lo", 6)).withColumn("hi", F.round("hi", 6)).select("grp", "model", "h", "n", "coverage", "lo", "hi", "mean_of_cells", "note"))
+
+
+@query("pivot_models", f"WITH {FC_SQL} SELECT cell, round(avg(rmse) FILTER (model = 'persistence'), 7) AS persistence, round(avg(rmse) FILTER (model = 'trailing mean'), 7) AS trailing_mean FROM mt WHERE h = 10 AND status = 'ok' GROUP BY cell")
+def pivot_models(spark, d):
+    return rounded(study.pivot_models(metrics_table(spark, d), 10, ["persistence", "trailing mean"]).withColumnRenamed("trailing mean", "trailing_mean"))
+
+
+@query(
+    "holm_correction",
+    f"WITH {E_SQL}, t AS (SELECT cell AS model_a, grp AS model_b, avg(cap) / 40 AS p FROM ev GROUP BY ALL), o AS (SELECT *, row_number() OVER w AS i, count(*) OVER () AS m FROM t WINDOW w AS (ORDER BY p, model_a, model_b)) SELECT model_a, model_b, {r('p')}, {r('max(least(1.0::DOUBLE, (m - i + 1) * p)) OVER (ORDER BY i)', 'p_holm')} FROM o",
+)
+def holm_correction(spark, d):
+    tests = event_cycles(spark, d).groupBy(F.col("cell").alias("model_a"), F.col("grp").alias("model_b")).agg((F.avg("cap") / 40).alias("p"))
+    return rounded(study.holm(tests))
+
+
+@query("pairwise_models")
+def pairwise_models(spark, d):
+    return rounded(study.pairwise(metrics_table(spark, d), 10))
+
+
+@query(
+    "fade_windows",
+    f"""WITH {E_SQL}, w AS (SELECT cell, k AS k0, quantile_cont(cap, 0.5) OVER (PARTITION BY cell ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s_now, quantile_cont(cap, 0.5) OVER (PARTITION BY cell ORDER BY k RANGE BETWEEN 24 FOLLOWING AND 26 FOLLOWING) AS s_then,
+regr_slope(cap, k::DOUBLE) OVER (PARTITION BY cell ORDER BY k RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) AS slope20, avg(I_mean) OVER (PARTITION BY cell ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS I10 FROM ev)
+SELECT cell, k0, {r('s_now')}, {r('100 * slope20', 'slope20', 5)}, {r('I10')}, {r('100 * (s_now - s_then) / 25', 'target')} FROM w WHERE k0 >= 20 AND k0 % 10 = 0 AND s_then IS NOT NULL""",
+)
+def fade_windows(spark, d):
+    e = event_cycles(spark, d)
+    w = Window.partitionBy("cell").orderBy("k")
+    k = F.col("k").cast("double")
+    mid = lambda frame: F.percentile("cap", F.lit(0.5)).over(frame)
+    out = e.select("cell", F.col("k").alias("k0"), mid(w.rowsBetween(-2, 0)).alias("s_now"), mid(w.rangeBetween(24, 26)).alias("s_then"), (100 * F.regr_slope("cap", k).over(w.rangeBetween(-19, 0))).alias("slope20"), F.avg("I_mean").over(w.rowsBetween(-9, 0)).alias("I10"))
+    out = out.where("k0 >= 20 AND k0 % 10 = 0 AND s_then IS NOT NULL")
+    return rounded(out.select("cell", "k0", "s_now", F.round("slope20", 5).alias("slope20"), "I10", (100 * (F.col("s_now") - F.col("s_then")) / 25).alias("target")))
+
+
+@query(
+    "top_cells",
+    f"WITH {E_SQL}, g AS (SELECT cell, grp, max(cap) - min(cap) AS span FROM ev GROUP BY cell, grp) SELECT cell, grp, {r('span')} FROM g ORDER BY span DESC, cell LIMIT 10",
+)
+def top_cells(spark, d):
+    g = event_cycles(spark, d).groupBy("cell", "grp").agg((F.max("cap") - F.min("cap")).alias("span"))
+    return rounded(g.orderBy(F.desc("span"), "cell").limit(10))
+
+
+@query("set_operations", f"WITH {E_SQL}, a AS (SELECT DISTINCT cell FROM ev WHERE event_type = 'error'), b AS (SELECT DISTINCT cell FROM ev WHERE event_type = 'purchase' AND I_mean > 3 AND k > 60) SELECT 'both' AS part, cell FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', cell FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+def set_operations(spark, d):
+    e = event_cycles(spark, d)
+    a, b = e.where("event_type = 'error'").select("cell").distinct(), e.where("event_type = 'purchase' AND I_mean > 3 AND k > 60").select("cell").distinct()
+    both, first = a.intersect(b), a.join(b, "cell", "left_anti")
+    return both.select(F.lit("both").alias("part"), "cell").unionByName(first.select(F.lit("first only").alias("part"), "cell"))
+
+
+@query("thinned", f"WITH {E_SQL} SELECT cell, k, CASE WHEN (k - 1) % 5 = 0 THEN round(cap, 7) END AS cap FROM ev")
+def thinned(spark, d):
+    return rounded(event_cycles(spark, d).select("cell", "k", F.when((F.col("k") - 1) % 5 == 0, F.col("cap")).alias("cap")))
+
+
+@query("daily_flows", economics.FLOWS_SQL)
+def daily_flows(spark, d):
+    return rounded(economics.daily_flows(economics.soh_grid(spark), F.col("soh"), F.col("current")), 8)
+
+
+@query("windows_tumbling", windows.TUMBLING_SQL)
+def tumbling(spark, d):
+    return rounded(windows.tumbling(windows.events(spark, d)))
+
+
+@query("windows_sliding", windows.SLIDING_SQL)
+def sliding(spark, d):
+    return rounded(windows.sliding(windows.events(spark, d)))
+
+
+@query("windows_session", windows.SESSION_SQL)
+def sessions(spark, d):
+    return rounded(windows.sessions(windows.events(spark, d)))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
