@@ -34,7 +34,7 @@ def cell_id(c: Column | str) -> Column:
     c = F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     bare = F.regexp_replace(F.upper(F.trim(c)), "^B", "").try_cast("double")
     whole = F.when(~F.isnan(bare) & (F.abs(bare) < 1e15), bare.cast("bigint"))
-    return F.coalesce(F.when(whole < 0, F.format_string("B-%03d", F.abs(whole))).otherwise(F.format_string("B%04d", whole)), F.trim(c))
+    return F.when(whole < 0, F.format_string("B-%03d", F.abs(whole))).when(whole >= 0, F.format_string("B%04d", whole)).otherwise(F.trim(c))
 
 
 def in_range(c: Column, low: float, high: float) -> Column:

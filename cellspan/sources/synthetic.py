@@ -1,0 +1,98 @@
+"""A fleet of simulated cells with known truth; a cell is simulated in its own task from its own seed."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellspan.functions.halfcell import Electrodes, capacity, voltage
+from cellspan.streaming.observers import arrhenius
+
+#: kind: ambient (C), current (A), cut-off (V), cycles, group (fixed values)
+KINDS = {
+    "reference": (24.0, 2.0, 2.7, 150, "Reference"),
+    "knee": (24.0, 2.0, 2.5, 150, "Reference"),
+    "hot": (43.0, 4.0, 2.2, 120, "Hot"),
+    "cold": (4.0, 2.0, 2.5, 120, "Cold"),
+    "high": (24.0, 4.0, 2.2, 130, "High current"),
+    "mixed": (24.0, 2.0, 2.5, 150, "Mixed conditions"),
+    "pulsed": (24.0, 4.0, 2.5, 120, "Pulsed load"),
+    "crash": (4.0, 2.0, 2.7, 110, "Corrupted logging"),
+}
+CRASH = (2.6, 0.4, 2.45, 0.2, 2.5, 3.1)
+SAMPLES = "Cell_ID string, Cycle_Index double, Cycle_Type string, Time_s double, Voltage_V double, Current_A double, Temp_C double, Capacity_Ah double, Ambient_C double"
+TRUTH = "Cell_ID string, k int, cap_true double, soh_true double, LLI double, LAM_NE double, LAM_PE double, R double, kind string"
+
+
+def conditions(kind: str, k: int) -> tuple[float, float]:
+    """Ambient and current of cycle k."""
+    ambient, current = KINDS[kind][:2]
+    if kind == "mixed":
+        return (24.0, 44.0)[(k - 1) // 36 % 2], (2.0, 4.0, 1.0)[(k - 1) // 8 % 3]
+    return ambient, current
+
+
+def simulate(cell: str, kind: str, seed: int, cycles: int | None = None) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+    """Samples, impedance and truth of one cell."""
+    rng = np.random.default_rng(seed)
+    _, _, cutoff, n, _ = KINDS[kind]
+    fresh = Electrodes()
+    sei = plating = lam = 0.0
+    rows, imp, truth, index, base = [], [], [], 0, None
+    rates = rng.normal(1, 0.1, 3)
+    for k in range(1, (cycles or n) + 1):
+        ambient, current = conditions(kind, k)
+        sei += 0.006 * rates[0] * arrhenius(ambient) / (2 * np.sqrt(k))
+        boost = min(1 + max(0.0, lam - 0.03) / 0.01, 6.0) if kind == "knee" else 1.0
+        plating += 1.2e-4 * rates[1] * (current / 2) * np.exp((15 - ambient) / 14) * boost
+        lam += 3e-4 * rates[2] * (current / 2) ** 1.5 * (2.0 if kind == "knee" else 1.0)
+        e = Electrodes(fresh.qp * (1 - lam), fresh.qn * (1 - 0.5 * lam), fresh.li * (1 - sei - plating), fresh.r * (1 + 2 * sei))
+        r = e.r * np.exp(1500 * (1 / (ambient + 273.15) - 1 / 297.15))
+        here = Electrodes(e.qp, e.qn, e.li, r)
+        cap, ref = capacity(here, current, cutoff), capacity(e, 2.0, KINDS[kind][2])
+        base = base or ref
+        truth.append((cell, k, cap, ref / base, sei + plating, 0.5 * lam, lam, r, kind))
+        t = np.linspace(0, 7200, 12)
+        rows += [(cell, float(index), "charge", float(a), float(v), 1.5, ambient + 1.0, np.nan, ambient) for a, v in zip(t, np.minimum(4.2, 3.5 + 0.9 * t / 5400), strict=True)]
+        index += 1
+        q = np.linspace(0, cap, 40)
+        v = voltage(q, current, here) + rng.normal(0, 0.002, 40)
+        t = 10 + q / current * 3600
+        recorded = CRASH[k - 1] if kind == "crash" and k <= len(CRASH) else cap * (0.85 if rng.random() < 0.02 else 1.0) + rng.normal(0, 0.002)
+        rows.append((cell, float(index), "discharge", 0.0, float(v[0] + current * r), 0.0, ambient, recorded, ambient))
+        if kind == "pulsed":  # every second sample rests
+            for j, (a, b) in enumerate(zip(t * 2, v, strict=True)):
+                rows.append((cell, float(index), "discharge", float(a), float(b), -current * (j % 2 == 0), ambient + 3.0 * a / (2 * t[-1]), recorded, ambient))
+        else:
+            rows += [(cell, float(index), "discharge", float(a), float(b), -current, ambient + 3.0 * a / t[-1], recorded, ambient) for a, b in zip(t, v, strict=True)]
+        index += 1
+        if k % 10 == 1:
+            imp.append((cell, index, r * 0.6, r * 0.8))
+            rows.append((cell, float(index), "impedance", 0.0, np.nan, np.nan, ambient, np.nan, ambient))
+            index += 1
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SAMPLES.split(", ")]), pd.DataFrame(imp, columns=["Cell_ID", "Cycle_Index", "Re_ohm", "Rct_ohm"]), pd.DataFrame(truth, columns=[c.split()[0] for c in TRUTH.split(", ")])
+
+
+def registry(spark: SparkSession, kinds=tuple(KINDS), replicas: int = 1, more: DataFrame | None = None) -> DataFrame:
+    """Dimension table of the fleet: cell, kind, group, listed ambients, declared pulsing; `more` registers other cells."""
+    rows = [(f"S{i + 1:03d}", kind, KINDS[kind][4], [24.0, 44.0] if kind == "mixed" else [KINDS[kind][0]], kind == "pulsed") for i, kind in enumerate(kinds * replicas)]
+    own = spark.createDataFrame(rows, "Cell_ID string, kind string, grp string, ambients array<double>, declared_pulsed boolean")
+    return own if more is None else own.unionByName(more)
+
+
+def fleet(spark: SparkSession, kinds=tuple(KINDS), seed: int = 3, replicas: int = 1, cycles: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """samples, impedance, truth."""
+    cells = registry(spark, kinds, replicas).select("Cell_ID", "kind", (F.lit(seed) * 1000 + F.substring("Cell_ID", 2, 3).cast("int") - 1).alias("seed"))
+    cells = cells.repartition(len(kinds) * replicas, "Cell_ID")
+
+    def part(which: int, schema: str) -> DataFrame:
+        def run(frames):
+            for pdf in frames:
+                for r in pdf.itertuples():
+                    yield simulate(r.Cell_ID, r.kind, int(r.seed), cycles)[which]
+
+        return cells.mapInPandas(run, schema)
+
+    return part(0, SAMPLES), part(1, "Cell_ID string, Cycle_Index int, Re_ohm double, Rct_ohm double"), part(2, TRUTH)

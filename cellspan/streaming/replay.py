@@ -1,0 +1,87 @@
+"""Replay of cell series through the observers: one grouped map per cell, and the same as a stateful stream."""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cellspan.config import BAND_ALPHA, HORIZONS, SEED
+from cellspan.streaming.observers import MODELS, Stepper
+
+RECORDS = ("k", "soh", "cap", "bol", "current", "temperature", "eol")
+OUTPUT = "cell string, kind string, k int, model string, h int, k_target int, value double, sd double, lo double, hi double, actual double, now double, calibrated boolean, valid boolean, note string, extras map<string,double>"
+NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+
+
+def _stepper(models, seed: int, pulsed: bool, eol: float, **more) -> Stepper:
+    made = {}
+    for m in models:
+        kind = MODELS[m]
+        made[m] = kind(seed=seed) if m in ("power law", "mechanisms") else kind(pulsed=pulsed) if m == "twin" else kind()
+    return Stepper(made, eol=eol, **more)
+
+
+def _rows(cell: str, stepper: Stepper, pdf: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for r in pdf.sort_values("k").to_dict("records"):
+        out += stepper.step({c: (int(r[c]) if c == "k" else float(r[c])) for c in RECORDS if c in r})
+    frame = pd.DataFrame(out, columns=[n for n in NAMES if n != "cell"])
+    frame["extras"] = [x if isinstance(x, dict) else {} for x in frame["extras"]]
+    for c in ("note", "calibrated", "valid"):
+        frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+    for c in ("h", "k_target"):
+        frame[c] = frame[c].astype("Int32")
+    frame.insert(0, "cell", cell)
+    return frame[NAMES]
+
+
+def replay(series: DataFrame, models=("trend", "bayes"), horizons=HORIZONS, alpha: float = BAND_ALPHA, measure_every: int = 1, rul_every: int = 5, seed: int = SEED) -> DataFrame:
+    """Long output (kind: estimate, weight, forecast, rul, failure) of every cell of series (cell and RECORDS columns).
+
+    A group is one cell's life, a few thousand cycles; cells are independent and run in parallel.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pulsed = bool(pdf["pulsed"].any()) if "pulsed" in pdf else False
+        return _rows(key[0], _stepper(models, seed, pulsed, float(pdf["eol"].iloc[0]), horizons=horizons, alpha=alpha, measure_every=measure_every, rul_every=rul_every), pdf)
+
+    return series.groupBy("cell").applyInPandas(run, OUTPUT)
+
+
+def live(stream: DataFrame, models=("trend", "bayes"), horizons=HORIZONS, alpha: float = BAND_ALPHA, seed: int = SEED) -> DataFrame:
+    """The same on a stream: each cell's stepper is its state. Records that come late (k not above the last) are dropped."""
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames)).sort_values("k")
+        if state.exists:
+            last, raw = state.get
+            stepper = pickle.loads(raw)
+        else:
+            last, stepper = -1, _stepper(models, seed, False, float(pdf["eol"].iloc[0]), horizons=horizons, alpha=alpha)
+        pdf = pdf[pdf["k"] > last]
+        if len(pdf):
+            yield _rows(key[0], stepper, pdf)
+            last = int(pdf["k"].max())
+        state.update((last, pickle.dumps(stepper)))
+
+    return stream.groupBy("cell").applyInPandasWithState(run, OUTPUT, "last int, stepper binary", "append", "NoTimeout")
+
+
+def forecasts_of(output: DataFrame, series: DataFrame) -> DataFrame:
+    """Forecast rows resolved against the series."""
+    f = output.where("kind = 'forecast'").select("cell", "model", F.col("k").alias("k0"), "h", "k_target", F.col("value").alias("pred"), "lo", "hi", "now", "calibrated")
+    truth = series.select("cell", F.col("k").alias("k_target"), F.col("soh").alias("actual"))
+    return f.join(truth, ["cell", "k_target"], "left")
+
+
+def records(df: DataFrame, bol: DataFrame, eol_ah: float) -> DataFrame:
+    """Records of a cleaned series (cell, k, cap, I_mean, ambient, outlier) for the observers."""
+    d = df.join(bol, "cell")
+    good = F.when(~F.col("outlier"), F.col("cap"))
+    return d.select("cell", "grp", "k", (good / F.col("bol")).alias("soh"), good.alias("cap"), "bol", F.col("I_mean").alias("current"), F.col("ambient").alias("temperature"), (eol_ah / F.col("bol")).alias("eol"))
+
+
