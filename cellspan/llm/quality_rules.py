@@ -25,6 +25,7 @@ LEAST_WORDS = 50
 D = len(SHAPE)
 HALF = 0.5
 STEPS = 4
+SALTS = 32
 LEAST_ROWS = 20 * D  # smaller groups are estimated with the other small groups of their language, then of all languages
 #: A rejected document is that many standard deviations away, once the distance is scaled like that of normal data.
 FAR = 12.0
@@ -120,8 +121,15 @@ def _bin(d2):
     return F.ceil(F.log2(F.greatest(d2, F.lit(2.0**-30))) / DISTANCE_BIN)
 
 
+def _salted(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the row of `small` for their keys. small has a row for each group and start; it is repeated for each salt,
+    so that a group with a large share of the rows is dealt to SALTS tasks and not to one."""
+    salts = small.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salts, [*keys, "salt"]).drop("salt")
+
+
 def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
-    return rows.join(params, ["g1", "g2"]).withColumn("d2", _distance())
+    return _salted(rows, params, ["g1", "g2"]).withColumn("d2", _distance())
 
 
 def _step(rows: DataFrame, params: DataFrame, share: float = HALF) -> DataFrame:
@@ -129,7 +137,7 @@ def _step(rows: DataFrame, params: DataFrame, share: float = HALF) -> DataFrame:
     keys = ["g1", "g2", "start"]
     near = _with_distance(rows, params).select(*keys, "x", _bin(F.col("d2")).alias("bin"))
     within = binned_quantiles(near, keys, "bin", {"edge": share})
-    return stage(_parameters(_moments(near.join(within, keys).where("bin <= edge"), keys)), "mcd")
+    return stage(_parameters(_moments(_salted(near, within, keys).where("bin <= edge"), keys)), "mcd")
 
 
 def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
