@@ -26,11 +26,12 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded, without negative zeros."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def r(x: str, name: str | None = None, digits: int = DIGITS) -> str:
-    return f"round({x}, {digits}) AS {name or x}"
+    return f"round({x}, {digits}) + 0.0::DOUBLE AS {name or x}"
 
 
 HAMPEL_SQL = f"""{E_SQL},
@@ -198,13 +199,13 @@ def hi_scores(spark, d):
 
 @query(
     "first_baseline",
-    f"WITH {E_SQL}, b AS (SELECT cell, avg(cap) FILTER (k <= 3) AS b1, avg(I_mean) FILTER (k <= 3) AS b2 FROM ev GROUP BY cell) SELECT cell, k, round(cap - b1, 7) AS cap_rel, round(I_mean - b2, 7) AS I_mean_rel FROM ev JOIN b USING (cell)",
+    f"WITH {E_SQL}, b AS (SELECT cell, avg(cap) FILTER (k <= 3) AS b1, avg(I_mean) FILTER (k <= 3) AS b2 FROM ev GROUP BY cell) SELECT cell, k, round(cap - b1, 7) + 0.0::DOUBLE AS cap_rel, round(I_mean - b2, 7) + 0.0::DOUBLE AS I_mean_rel FROM ev JOIN b USING (cell)",
 )
 def first_baseline(spark, d):
     return rounded(indicators.first_baseline(event_cycles(spark, d), ["cap", "I_mean"]).select("cell", "k", "cap_rel", "I_mean_rel"))
 
 
-@query("theil_sen_fade", f"WITH {E_SQL}, s AS (SELECT a.cell, quantile_cont((b.cap - a.cap) / (b.k - a.k), 0.5) AS m FROM ev a JOIN ev b ON a.cell = b.cell AND b.k > a.k GROUP BY a.cell), n AS (SELECT cell, count(*) AS n FROM ev GROUP BY cell) SELECT n.cell, CASE WHEN n >= 10 THEN round(-100 * m, 6) END AS fade_rate FROM n LEFT JOIN s USING (cell)")
+@query("theil_sen_fade", f"WITH {E_SQL}, s AS (SELECT a.cell, quantile_cont((b.cap - a.cap) / (b.k - a.k), 0.5) AS m FROM ev a JOIN ev b ON a.cell = b.cell AND b.k > a.k GROUP BY a.cell), n AS (SELECT cell, count(*) AS n FROM ev GROUP BY cell) SELECT n.cell, CASE WHEN n >= 10 THEN round(-100 * m, 6) + 0.0::DOUBLE END AS fade_rate FROM n LEFT JOIN s USING (cell)")
 def theil_sen_fade(spark, d):
     return rounded(indicators.fade_rates(event_cycles(spark, d)), 6)
 
