@@ -10,6 +10,7 @@ threshold come from exact counts in narrow bins. Documents only meet their group
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -27,9 +28,9 @@ HALF = 0.5
 STEPS = 4
 SALTS = 32
 LEAST_ROWS = 20 * D  # smaller groups are estimated with the other small groups of their language, then of all languages
-#: A rejected document is that many standard deviations away, once the distance is scaled like that of normal data.
-FAR = 12.0
-#: Least standard deviation of a transformed statistic: one digit, mark or repeated line in a short text is no outlier.
+#: False-rejection rate: the share of normal data beyond the cut, which is the chi-squared quantile of the scaled distance.
+RATE = 1e-6
+#: Least standard deviation of a transformed statistic: groups with none, as of symbols, would have no covariance.
 FLOOR = 0.03
 VALUE_BIN = 1 / 512
 DISTANCE_BIN = 1 / 32  # of log2
@@ -47,6 +48,15 @@ def chi_squared_quantile(p_z: float, df: int) -> float:
     return df * (1 - v + p_z * math.sqrt(v)) ** 3
 
 
+def cut_distance(rate: float = RATE) -> float:
+    """The distance that this share of normal data exceeds."""
+    return math.sqrt(chi_squared_quantile(NormalDist().inv_cdf(1 - rate), D))
+
+
+#: The cut at RATE.
+FAR = cut_distance()
+
+
 def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Counts and transformed statistics of each row; with `carry` the row itself goes along as the struct `row`."""
 
@@ -161,11 +171,12 @@ def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def _rescale(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """params with scale; never below 1, which would divide the floor out of the covariance again."""
     middle = binned_quantiles(_with_distance(rows, params).select("g1", "g2", _bin(F.col("d2")).alias("bin")), ["g1", "g2"], "bin", {"edge": 0.5})
     return params.join(middle, ["g1", "g2"]).withColumn("scale", F.greatest(F.pow(2.0, F.col("edge") * DISTANCE_BIN) / chi_squared_quantile(0.0, D), F.lit(1.0))).drop("edge")
 
 
-def verdicts(stats: DataFrame, params: DataFrame, far: float = FAR) -> DataFrame:
+def verdicts(stats: DataFrame, params: DataFrame, rate: float = RATE) -> DataFrame:
     """stats with distance (null where no group applies) and kept."""
     p = params.select(F.col("g1").alias("l"), F.col("g2").alias("s"), "mean", "inverse", "scale")
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
@@ -176,24 +187,24 @@ def verdicts(stats: DataFrame, params: DataFrame, far: float = FAR) -> DataFrame
         out = out.join(own, (l == own["l_"]) & (s == own["s_"]), "left").drop("l_", "s_")
     out = out.withColumn("p", F.coalesce("p0", "p1", "p2")).select("*", "p.*").drop("p", "p0", "p1", "p2")
     out = out.withColumn("distance", F.sqrt(_distance() / F.col("scale"))).drop("mean", "inverse", "scale")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= far))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut_distance(rate)))
 
 
-def judge(docs: DataFrame, far: float = FAR) -> DataFrame:
+def judge(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, counts, base_failed, kept, distance of each row of docs (columns doc_id, text, lang, source are read).
 
     Null and empty texts have no words and fail the base rules. Null languages and sources are one group each; groups too
     small for an estimate are pooled, and where even all of them together are too few, the base rules alone decide.
     """
     stats = stage(statistics(docs), "statistics")
-    return verdicts(stats, estimates(stats), far).drop("lang", "source", "x")
+    return verdicts(stats, estimates(stats), rate).drop("lang", "source", "x")
 
 
-def keep_good(docs: DataFrame, far: float = FAR) -> DataFrame:
+def keep_good(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     small_batches(docs.sparkSession)
     params = estimates(stage(statistics(docs), "statistics"))
-    return verdicts(statistics(docs, carry=True), params, far).where("kept").select("row.*")
+    return verdicts(statistics(docs, carry=True), params, rate).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,9 +47,17 @@ def share(k: float, n: float) -> float:
     return math.asin(math.sqrt(min(1.0, k / n))) if n > 0 else 0.0
 
 
-#: A passage said twice and a few equal lines are normal in any text.
-FREE_REPEATS = 40
-FREE_LINES = 3
+#: Repeated words come in passages: so many words are about one independent draw.
+PASSAGE_WORDS = 10
+#: Two-sided 95 % normal quantile.
+Z = 1.96
+
+
+def share_beyond_chance(k: float, n: float, draws: float) -> float:
+    """Lower 95 % bound of a share seen in so many independent draws; it nears share(k, n) as the text grows."""
+    return max(0.0, share(k, n) - Z / (2 * math.sqrt(draws))) if draws > 0 else 0.0
+
+
 #: Names of shape(): none depends on the length of a text as such.
 SHAPE = ("word_length", "symbols", "upper", "digits", "marks", "repeats", "dup_lines", "same_as_before")
 
@@ -66,7 +74,7 @@ def shape(text: bytes, counts: tuple[int, int, int, int, int] | None = None) ->
         share(_n(text, UPPER), chars),
         share(_n(text, DIGITS), chars),
         share(_n(text, ENDS), chars),
-        share(max(0, repeats - FREE_REPEATS), n_words),
-        share(max(0, dup_lines - FREE_LINES), lines),
+        share_beyond_chance(repeats, n_words, n_words / PASSAGE_WORDS),
+        share_beyond_chance(dup_lines, lines, lines),
         share(same, n_words),
     ]

@@ -190,6 +190,34 @@ def test_quality_rules(docs, texts, edge, empty, spark):
     assert quality_rules.keep_good(edge).columns == edge.columns
 
 
+def test_junk_with_some_symbols_is_rejected(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(3000)]
+
+    def prose():
+        return "\n".join(" ".join(rng.choice(vocabulary, 10)).capitalize() + "." for _ in range(12))
+
+    clean = [(i, prose(), "en", "a") for i in range(600)]
+    junk = []
+    for i in range(30):  # 8-12 % of the characters other than white space
+        t = prose()
+        n = len("".join(t.split()))
+        share = (0.08, 0.1, 0.12)[i % 3]
+        marks = round(n * share / (1 - share))
+        w = t.split(" ")
+        for m in range(marks):
+            w[m % len(w)] += "#*$%&|<>"[m % 8]
+        junk.append((1000 + i, " ".join(w), "en", "a"))
+    # fixed allowances would forgive both: 40 repeated words of 84, 3 equal lines of 4 of their kind
+    passage = " ".join(rng.choice(vocabulary, 20))
+    repeating = [(2000, f"{passage} {' '.join(rng.choice(vocabulary, 44))}. {passage}", "en", "a"), (2001, "\n".join(["a b"] * 4 + [" ".join(rng.choice(vocabulary, 60))]), "en", "a")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(clean + junk + repeating, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [i for i, r in got.items() if i >= 1000 and r["kept"]] == []
+    assert sum(r["kept"] for i, r in got.items() if i < 1000) >= 0.99 * len(clean)
+    assert quality_rules.cut_distance(0.025) ** 2 == pytest.approx(17.53, rel=0.01)
+
+
 def test_mcd_resists_outliers(spark):
     rng = np.random.default_rng(5)
     d = quality_rules.D
