@@ -1,15 +1,15 @@
 """Language-model scores by logistic context mixing over bits.
 
 A text is its tokens: lower-cased words in order and one end. A word is coded byte by byte and closed by a space, a byte
-bit by bit. Several predictors, each with a hashed table of bit counts for its own context (the last one to three bytes of
+bit by bit. Several predictors, each with a hashed table of bit counts for its own context (the last one to four bytes of
 the word, the word so far, and that with the kind of the token before), give a probability; a mixer adds their logits with
 weights chosen by a gate, and a final table refines the result by what bits followed such predictions.
 
 No context reaches further back than the kind of the token before, so a token's probability is a function of (word, kind):
 the corpus is first reduced to counts of those pairs, all learning and scoring is done once for each pair with its count as
 weight, and documents add up the stored values. Tables are sums over all training tokens (bounded by the sum of SLOTS);
-mixer weights are learned online in every task over its pairs and averaged by the bits each gate has seen; the refining
-table sums up what followed those predictions. A pair's own last occurrence is left out of the counts while mixing is
+mixer weights are learned online in every task over its pairs and averaged by the bits each gate has seen, in ROUNDS rounds;
+the refining table sums up what followed the predictions of the final weights. A pair's own last occurrence is left out of the counts while mixing is
 learned. At scoring all is frozen, so scores don't depend on the order of documents.
 """
 
@@ -27,10 +27,11 @@ from cellspan.llm.common import cut, is_fold, mix64, small_batches, spans_to_row
 
 FOLDS, HELD_OUT = 7, 2
 #: Slots of each context's table.
-SLOTS = tuple(1 << b for b in (16, 20, 21, 21, 21))
+SLOTS = tuple(1 << b for b in (16, 20, 21, 21, 21, 21))
 BASES = tuple(sum(SLOTS[:i]) for i in range(len(SLOTS)))
 CONTEXTS = len(SLOTS)
 BLOCK = 1 << 13
+ROUNDS = 2
 DELTA = 0.4
 PLACES, SEEN = 6, CONTEXTS + 1
 GATES = PLACES * SEEN
@@ -102,7 +103,7 @@ class Bits:
         kind = kinds.astype(np.uint64)[pair] + np.uint64(256)  # stands before the word
         value = data.astype(np.uint64)
         hashes, h = [], np.zeros(len(data), np.uint64)
-        for k in range(1, 4):
+        for k in range(1, 5):
             before = np.zeros(len(data), np.uint64)
             before[k:] = value[:-k] + np.uint64(1)
             h = h * _M + np.where(place >= k, before, np.uint64(0))
@@ -215,17 +216,12 @@ def _refine_place(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
-def learn_mixing(pairs: DataFrame, tables, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and the refining table, from one pass over all pairs.
-
-    Each task predicts its pairs batch by batch and corrects its weights after each; the averages of tasks count by the bits
-    each gate has seen. The table (256 x STEPS: the chance of a 1 by node and prediction) is made of those predictions.
-    """
-    cells = 256 * STEPS
+def learn_weights(pairs: DataFrame, tables, weights: np.ndarray) -> np.ndarray:
+    """One round over all pairs: each task predicts its pairs batch by batch and corrects its weights after each, from
+    `weights`; the averages of tasks count by the bits each gate has seen."""
 
     def run(batches):
         own, seen, steep = weights.copy(), np.zeros(GATES), np.ones((GATES, CONTEXTS + 1))
-        refine = np.zeros((2, cells))
         for batch in _chunks(batches, 1_000):
             bits = Bits(batch.column(0).to_pylist(), batch.column(1).to_numpy())
             x, gate = _inputs(bits, tables.value, True)
@@ -238,20 +234,34 @@ def learn_mixing(pairs: DataFrame, tables, weights: np.ndarray) -> tuple[np.ndar
                 steep[:, i] += np.bincount(gate, weights=curve * np.abs(x[i]), minlength=GATES)
             own += step / steep
             seen += np.bincount(gate, weights=n, minlength=GATES)
-            low, up = _refine_place(p)
-            for s, share in ((low, n * (1 - up)), (low + 1, n * up)):
-                refine[0] += np.bincount(bits.node * STEPS + s, weights=share * bits.bit, minlength=cells)
-                refine[1] += np.bincount(bits.node * STEPS + s, weights=share, minlength=cells)
-        out = np.concatenate([(own * seen[:, None]).ravel(), seen, refine.ravel()])
+        out = np.concatenate([(own * seen[:, None]).ravel(), seen])
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "sums"])
 
-    width = GATES * (CONTEXTS + 2) + 2 * cells
+    width = GATES * (CONTEXTS + 2)
     rows = _summed(pairs.where("n > 0").select("word", "kind", "n").mapInArrow(run, "block int, sums binary"), width).collect()
     total = np.frombuffer(rows[0]["sums"]) if rows else np.zeros(width)
-    own, seen, refine = np.split(total, [GATES * (CONTEXTS + 1), GATES * (CONTEXTS + 2)])
-    learned = np.where(seen[:, None] > 0, own.reshape(GATES, -1) / np.maximum(seen, 1e-9)[:, None], weights)
-    ones, all_ = refine.reshape(2, 256, STEPS)
-    return learned, (ones + 4 * _squash(np.linspace(-8, 8, STEPS))[None, :]) / (all_ + 4)
+    own, seen = np.split(total, [GATES * (CONTEXTS + 1)])
+    return np.where(seen[:, None] > 0, own.reshape(GATES, -1) / np.maximum(seen, 1e-9)[:, None], weights)
+
+
+def refine_table(pairs: DataFrame, tables, weights: np.ndarray) -> np.ndarray:
+    """256 x STEPS: the chance of a 1 by node and prediction of the final weights, from one pass over all pairs."""
+    cells = 256 * STEPS
+
+    def run(batches):
+        refine = np.zeros((2, cells))
+        for batch in _chunks(batches):
+            bits = Bits(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            n = batch.column(2).to_numpy()[bits.pair].astype(float)
+            low, up = _refine_place(mixed(*_inputs(bits, tables.value, True), weights))
+            for s, share in ((low, n * (1 - up)), (low + 1, n * up)):
+                refine[0] += np.bincount(bits.node * STEPS + s, weights=share * bits.bit, minlength=cells)
+                refine[1] += np.bincount(bits.node * STEPS + s, weights=share, minlength=cells)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([refine.tobytes()], pa.binary())], ["block", "sums"])
+
+    rows = _summed(pairs.where("n > 0").select("word", "kind", "n").mapInArrow(run, "block int, sums binary"), 2 * cells).collect()
+    ones, all_ = (np.frombuffer(rows[0]["sums"]) if rows else np.zeros(2 * cells)).reshape(2, 256, STEPS)
+    return (ones + 4 * _squash(np.linspace(-8, 8, STEPS))[None, :]) / (all_ + 4)
 
 
 def log_probabilities(words: list[bytes], kinds: np.ndarray, tables: np.ndarray, weights: np.ndarray, refine: np.ndarray) -> np.ndarray:
@@ -268,7 +278,10 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
     """word, kind, n, log_p for every pair of the corpus."""
     sc = pairs.sparkSession.sparkContext
     tables = sc.broadcast(bit_tables(pairs))  # 2 * sum(SLOTS) numbers, whatever the corpus
-    weights, refine = learn_mixing(pairs, tables, np.full((GATES, CONTEXTS + 1), 0.35))
+    weights = np.full((GATES, CONTEXTS + 1), 0.3)
+    for _ in range(ROUNDS):
+        weights = learn_weights(pairs, tables, weights)
+    refine = refine_table(pairs, tables, weights)
 
     def run(batches):
         for batch in _chunks(batches):

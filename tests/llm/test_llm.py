@@ -297,6 +297,34 @@ def test_mixing(spark, docs, texts, edge, empty):
     assert mixing.score(empty).count() == 0
 
 
+def test_mixing_has_a_fourth_order_context_and_refines_the_final_weights(spark):
+    def same(a, b):  # contexts that give the last letter's first bit one slot
+        bits = mixing.Bits([a, b], np.zeros(2, np.int8))
+        at = [8 * (len(a) - 1), 8 * (len(a) + 1) + 8 * (len(b) - 1)]
+        return [i for i, s in enumerate(bits.slots) if s[at[0]] == s[at[1]]]
+
+    assert same(b"qqxabcd", b"rrrxabcd") == [0, 1, 2, 3] and same(b"qqxabcd", b"qqyabcd") == [0, 1, 2]
+    pairs = spark.createDataFrame([(w.encode(), k, n) for w, k, n in (("ab", 0, 3), ("abc", 1, 2), ("xyz", 1, 5), ("\n", 1, 4))], "word binary, kind tinyint, n long").coalesce(1)
+    tables = spark.sparkContext.broadcast(mixing.bit_tables(pairs))
+    calls, learn, refine = [], mixing.learn_weights, mixing.refine_table
+    try:
+        mixing.learn_weights = lambda *a: calls.append(learn(*a)) or calls[-1]
+        mixing.refine_table = lambda p, t, w: calls.append(w) or refine(p, t, w)
+        assert mixing.scored_pairs(pairs).count() == 4
+    finally:
+        mixing.learn_weights, mixing.refine_table = learn, refine
+    assert len(calls) == 3 and calls[2] is calls[1] and not np.array_equal(calls[0], calls[1])
+    got, rows = refine(pairs, tables, calls[1]), pairs.collect()
+    bits = mixing.Bits([bytes(r["word"]) for r in rows], np.array([r["kind"] for r in rows], np.int8))
+    p = mixing.mixed(*mixing._inputs(bits, tables.value, True), calls[1])
+    ones, all_ = np.zeros((256, mixing.STEPS)), np.zeros((256, mixing.STEPS))
+    for node, bit, pair, low, up in zip(bits.node, bits.bit, bits.pair, *mixing._refine_place(p), strict=True):
+        for s, share in ((low, 1 - up), (low + 1, up)):
+            ones[node, s] += rows[pair]["n"] * share * bit
+            all_[node, s] += rows[pair]["n"] * share
+    assert np.allclose(got, (ones + 4 / (1 + np.exp(-np.linspace(-8, 8, mixing.STEPS)))) / (all_ + 4))
+
+
 def test_model_is_a_distribution():
     tables = np.random.default_rng(0).poisson(2, (sum(mixing.SLOTS), 2)).astype(np.float32)
     weights, refine = np.full((mixing.GATES, mixing.CONTEXTS + 1), 0.3), np.full((256, mixing.STEPS), 0.4)
