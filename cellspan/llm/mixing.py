@@ -162,7 +162,7 @@ def bit_tables(pairs: DataFrame) -> np.ndarray:
     """Counts of zeros and ones in each slot over all training tokens."""
 
     def run(batches):
-        total = np.zeros(2 * sum(SLOTS), np.float32)
+        total = np.zeros(2 * sum(SLOTS))
         for batch in _chunks(batches):
             bits = Bits(batch.column(0).to_pylist(), batch.column(1).to_numpy())
             n = batch.column(2).to_numpy()[bits.pair].astype(float)
@@ -172,7 +172,8 @@ def bit_tables(pairs: DataFrame) -> np.ndarray:
         cells = total.reshape(-1, 2 * BLOCK)
         used = np.flatnonzero(cells.any(axis=1))
         for b in used.tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([cells[b].tobytes()], pa.binary())], ["block", "sums"])
+            sums = cells[b].astype(np.float32) if cells[b].max() < 1 << 24 else cells[b]  # counts up to there are exact in both
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["block", "sums"])
 
     out = np.zeros((sum(SLOTS) // BLOCK, 2 * BLOCK), np.float32)
     blocks = pairs.where("n > 0").select("word", "kind", "n").mapInArrow(run, "block int, sums binary")

@@ -325,6 +325,17 @@ def test_mixing_has_a_fourth_order_context_and_refines_the_final_weights(spark):
     assert np.allclose(got, (ones + 4 / (1 + np.exp(-np.linspace(-8, 8, mixing.STEPS)))) / (all_ + 4))
 
 
+def test_slots_count_beyond_float32(spark):
+    pairs = [(b"a", k, n) for k, n in ((0, 1 << 24), (1, 1), (2, 1), (3, 1), (4, 1))]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # each pair adds up after the one before
+    try:
+        tables = mixing.bit_tables(spark.createDataFrame(pairs, "word binary, kind tinyint, n long").coalesce(1))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert tables[: mixing.SLOTS[0]].max() == (1 << 24) + 4  # the letter's first bit in the first-order context
+
+
 def test_model_is_a_distribution():
     tables = np.random.default_rng(0).poisson(2, (sum(mixing.SLOTS), 2)).astype(np.float32)
     weights, refine = np.full((mixing.GATES, mixing.CONTEXTS + 1), 0.3), np.full((256, mixing.STEPS), 0.4)
