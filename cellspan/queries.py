@@ -269,6 +269,13 @@ def conformal_radius(spark, d):
     return rounded(out.select("cell", "model", "h", "k0", "n_seen", "radius"), 6)
 
 
+@query("conformal_radii", SQL["conformal_radius"].replace(" WHERE a.h = 10 ", " "))
+def conformal_radii(spark, d):
+    """Radii of all horizons of the log; conformal_radius has one of them."""
+    out = forecasts.conformal(forecast_log(spark, d))
+    return rounded(out.select("cell", "model", "h", "k0", "n_seen", "radius"), 6)
+
+
 @query(
     "ensemble_weights",
     f"""WITH RECURSIVE {FC_SQL}, o AS (SELECT cell, model, k0, power(actual - pred, 2) AS e2, row_number() OVER (PARTITION BY cell, model ORDER BY k0) AS i FROM rs WHERE h = 1 AND actual IS NOT NULL),
@@ -294,6 +301,20 @@ def rul_crossing(spark, d):
     return rounded(forecasts.crossings(p.withColumn("y", 1.9 - 0.001 * F.col("h") * (1 + F.col("cap"))), 1.4, ["cell"]), 6)
 
 
+@query(
+    "rul_crossings",
+    f"""WITH {E_SQL}, p AS (SELECT cell, k, h, 1.9::DOUBLE - 0.001::DOUBLE * h * (1 + cap) AS y FROM ev, (SELECT unnest(generate_series(5, 600, 5)) AS h)),
+q AS (SELECT *, lag(y) OVER w AS y0, lag(h) OVER w AS h0 FROM p WINDOW w AS (PARTITION BY cell, k ORDER BY h)), c AS (SELECT *, row_number() OVER (PARTITION BY cell, k ORDER BY h) AS i FROM q WHERE y < 1.4)
+SELECT x.cell, x.k, round(CASE WHEN c.h0 IS NULL THEN c.h ELSE c.h0 + (c.y0 - 1.4::DOUBLE) / (c.y0 - c.y + 1e-12) * (c.h - c.h0) END, 6) AS crossing FROM (SELECT DISTINCT cell, k FROM p) x LEFT JOIN c ON c.cell = x.cell AND c.k = x.k AND c.i = 1""",
+)
+def rul_crossings(spark, d):
+    """Crossings from every origin; rul_crossing has the one at k = 20."""
+    from cellspan.config import RUL_GRID
+
+    p = event_cycles(spark, d).select("cell", "k", "cap", F.explode(F.array(*map(F.lit, RUL_GRID))).alias("h"))
+    return rounded(forecasts.crossings(p.withColumn("y", 1.9 - 0.001 * F.col("h") * (1 + F.col("cap"))), 1.4, ["cell", "k"]), 6)
+
+
 CC_SQL = """cc AS (SELECT cell FROM mt WHERE h = 10 AND status = 'ok' GROUP BY cell HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM mt WHERE h = 10))"""
 
 
@@ -472,7 +493,7 @@ def delta_qv(spark, d):
 
 @query("halfcell_fit")
 def halfcell_fit(spark, d):
-    return rounded(curves.halfcell_fits(curves.curves(lineitem_samples(spark, d)), every=6), 3)
+    return rounded(curves.halfcell_fits(curves.curves(lineitem_samples(spark, d))), 3)
 
 
 @query("group_folds", f"WITH {E_SQL}, s AS (SELECT cell, count(*) AS n FROM ev GROUP BY cell) SELECT count(*) AS cells, CAST(5 AS BIGINT) AS folds FROM s")

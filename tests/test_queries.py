@@ -7,7 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+from cellspan.operators import curves
 from cellspan.queries import QUERIES, SQL, flagship
+from cellspan.sources.samples import event_cycles, lineitem_samples
 
 DIR = "/root/testdata/sf0.001"
 
@@ -39,3 +41,12 @@ def test_runs(spark, name):
 
 def test_flagship(spark):
     assert flagship(spark, DIR).count() == 15
+
+
+def test_every_curve_origin_and_horizon(spark):
+    fits = QUERIES["halfcell_fit"](spark, DIR).select("Cell_ID", "k").collect()
+    assert sorted(map(tuple, fits)) == sorted(map(tuple, curves.curves(lineitem_samples(spark, DIR)).select("Cell_ID", "Cycle_Index").collect()))
+    events = sorted(map(tuple, event_cycles(spark, DIR).select("cell", "k").collect()))
+    assert sorted(map(tuple, QUERIES["rul_crossings"](spark, DIR).select("cell", "k").collect())) == events
+    radii = QUERIES["conformal_radii"](spark, DIR).select("h", "cell", "k0").distinct().collect()
+    assert sorted(map(tuple, radii)) == sorted((h, *e) for h in (1, 10, 25, 50) for e in events)
