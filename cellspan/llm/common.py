@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ WORD_TABLE = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
     for b in range(256)
 )
-#: Rows of text that cross to Python at once; a batch is cut further by bytes (see cut).
+#: Rows and bytes that cross to Python at once; a batch is cut further by the bytes of its texts (see cut).
 ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 8 << 20
 BYTES_PER_CUT = 4 << 20
 
 
@@ -31,12 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Whole texts are large rows: bound the Arrow batches that cross to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and everything runs in one
+    process, as in tests, a folder of our own; on a cluster a local folder would not be shared, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="cellspan-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -60,11 +66,11 @@ def is_fold(doc_ids: Iterable[int | None], n: int, r: int) -> list[bool]:
     return [x is not None and crc32(str(x).encode()) % n == r for x in doc_ids]
 
 
-def cut(batches: Iterable[pa.RecordBatch], column: int = 1, size: int = BYTES_PER_CUT) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most `size` bytes in `column`, or one row where that alone is longer."""
+def cut(batches: Iterable[pa.RecordBatch], column: int = 1, size: int = BYTES_PER_CUT, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most `size` bytes in `column` (or its `field`), or one row where that alone is longer."""
     for batch in batches:
-        lens = batch.column(column).cast(pa.large_binary() if pa.types.is_large_binary(batch.column(column).type) else pa.binary())
-        total = np.cumsum([0 if x is None else len(x) for x in lens.to_pylist()]) if batch.num_rows else np.array([])
+        values = batch.column(column) if field is None else pc.struct_field(batch.column(column), field)
+        total = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = total[at - 1] if at else 0
@@ -73,9 +79,11 @@ def cut(batches: Iterable[pa.RecordBatch], column: int = 1, size: int = BYTES_PE
             at = end
 
 
-def texts(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
-    """UTF-8 bytes of a text column; null is the empty text."""
-    return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
+def texts(batch: pa.RecordBatch, column: int = 1, field: str | None = None) -> list[bytes]:
+    """UTF-8 bytes of a text column, or of a field of a column of structs; null is the empty text."""
+    values = batch.column(column)
+    values = values if field is None else pc.struct_field(values, field)
+    return [b"" if x is None else x for x in values.cast(pa.binary()).to_pylist()]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -124,7 +124,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows of labels teach unless their doc_id is in the held-out fold, null, or their quality isn't 0 or 1; a doc_id with
     several labels teaches with each. With fewer than two rows of a class every document gets the share of class 1
-    (0.5 without labels). Null texts are empty texts. A null doc_id is not held out and teaches nothing.
+    (0.5 without labels). Null texts are empty texts, long ones are read whole; repeated rows teach and are scored as often
+    as they occur; an empty table gives no rows; other columns are not read, whatever their names. A null doc_id is not held
+    out and teaches nothing.
     """
     x = stage(with_features(docs), "features")
     y = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))

@@ -2,9 +2,10 @@
 
 Minimum-covariance-determinant estimates by group: from two starts (medians with interquartile scales, and plain moments)
 concentration steps take the half of the rows with the least Mahalanobis distance and estimate mean and covariance anew;
-the start with the smaller determinant wins, is rescaled to the median distance and reweighted once. A step is two
-aggregations with partial sums by (group, start), so a group may hold any share of the rows; medians and the half's
-threshold come from exact counts in narrow bins. Documents only meet their group's parameters by a join.
+until the determinants stand still; the start with the smaller determinant wins, is rescaled to the median distance and
+reweighted once. A step is two aggregations with partial sums by (group, start), so a group may hold any share of the rows;
+medians and the half's threshold come from exact counts in narrow bins, so rows that tie with the threshold's bin are all in
+the half. Documents only meet their group's parameters by a salted join.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from cellspan.llm.common import cut, small_batches, stage, table, texts
 from cellspan.llm.statistics import SHAPE, base_counts, shape
@@ -25,9 +26,12 @@ from cellspan.llm.statistics import SHAPE, base_counts, shape
 LEAST_WORDS = 50
 D = len(SHAPE)
 HALF = 0.5
-STEPS = 4
+STEPS = 12  # at most
+STILL = 0.02  # change of log determinants
 SALTS = 32
-LEAST_ROWS = 20 * D  # smaller groups are estimated with the other small groups of their language, then of all languages
+#: Rows that an estimate needs (parameter of estimates): smaller groups are pooled with the other small groups of their
+#: language, then of all languages; where even those are fewer, there is no estimate.
+LEAST_ROWS = 20 * D
 #: False-rejection rate: the share of normal data beyond the cut, which is the chi-squared quantile of the scaled distance.
 RATE = 1e-6
 #: Least standard deviation of a transformed statistic: groups with none, as of symbols, would have no covariance.
@@ -59,20 +63,25 @@ FAR = cut_distance()
 
 def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Counts and transformed statistics of each row; with `carry` the row itself goes along as the struct `row`."""
+    at, field = (0, "text") if carry else (1, None)
 
     def run(batches):
-        for batch in cut(batches):
-            rows = [(c := base_counts(t), base_rule(c[0], c[4]), shape(t, c)) for t in texts(batch)]
+        for batch in cut(batches, at, field=field):
+            rows = [(c := base_counts(t), base_rule(c[0], c[4]), shape(t, c)) for t in texts(batch, at, field)]
             counts = np.array([r[0] for r in rows], np.int64).reshape(-1, 5)
-            columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array(counts[:, i]) for i in range(5)), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(columns, [*schema.names[: len(columns)]])
+            found = [*(pa.array(counts[:, i]) for i in range(5)), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.columns if carry else (batch.column(0), *batch.columns[2:])), *found], names)
 
-    inputs = [F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"))]
-    schema = StructType.fromDDL(STATS)
-    if carry:
-        inputs.append(F.struct("*").alias("row"))
-        schema = schema.add("row", docs.schema)
-    return docs.select(*inputs).mapInArrow(run, schema)
+    measured = StructType.fromDDL(STATS)
+    if not carry:
+        names = measured.names
+        inputs = [F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"))]
+        return docs.select(*inputs).mapInArrow(run, measured)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    names = ["row", *measured.names[3:]]
+    schema = StructType([StructField("row", docs.schema), *measured.fields[3:]])
+    rows = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
+    return rows.withColumns({c: F.col(f"row.{c}").cast(t) for c, t in (("lang", "string"), ("source", "string"))})
 
 
 def binned_quantiles(rows: DataFrame, keys: list[str], bin_col: str, shares: dict[str, float]) -> DataFrame:
@@ -83,15 +92,20 @@ def binned_quantiles(rows: DataFrame, keys: list[str], bin_col: str, shares: dic
     return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col(bin_col))).alias(name) for name, q in shares.items()))
 
 
-def _groups(stats: DataFrame) -> DataFrame:
-    """Rows that pass the base rules with their group's key (g1, g2): language and source, or what small ones fall back to."""
+def _keys(stats: DataFrame, least: int) -> DataFrame:
+    """l, s (language and source, '' for null), and the key (g1, g2) of the group that they are estimated in."""
     good = stats.where(~F.col("base_failed"))
-    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    sizes = good.groupBy(lang.alias("l"), source.alias("s")).agg(F.count("*").alias("n"))
-    small = F.col("n") < LEAST_ROWS
-    rest = F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("l"))
-    keys = sizes.select("l", "s", F.when(~small, F.col("l")).when(rest >= LEAST_ROWS, F.col("l")).otherwise("*").alias("g1"), F.when(~small, F.col("s")).otherwise("*").alias("g2"))
-    return good.join(keys, (lang == keys["l"]) & (source == keys["s"])).select("g1", "g2", "x")
+    sizes = good.groupBy(F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n"))
+    small = F.col("n") < least
+    rest = sizes.groupBy("l").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("rest"))
+    g1 = F.when(~small | (F.col("rest") >= least), F.col("l")).otherwise("*")
+    keys = sizes.join(rest, "l").select("l", "s", "n", g1.alias("g1"), F.when(~small, F.col("s")).otherwise("*").alias("g2"))
+    enough = keys.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
+    return keys.join(enough, ["g1", "g2"]).select("l", "s", "g1", "g2")
+
+
+def _placed(stats: DataFrame) -> DataFrame:
+    return stats.withColumn("l", F.coalesce("lang", F.lit(""))).withColumn("s", F.coalesce("source", F.lit("")))
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,11 +145,11 @@ def _bin(d2):
     return F.ceil(F.log2(F.greatest(d2, F.lit(2.0**-30))) / DISTANCE_BIN)
 
 
-def _salted(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the row of `small` for their keys. small has a row for each group and start; it is repeated for each salt,
+def _salted(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with the row of `small` for their keys. small has a row for each group (and start); it is repeated for each salt,
     so that a group with a large share of the rows is dealt to SALTS tasks and not to one."""
     salts = small.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salts, [*keys, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salts, [*keys, "salt"], how).drop("salt")
 
 
 def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -150,9 +164,11 @@ def _step(rows: DataFrame, params: DataFrame, share: float = HALF) -> DataFrame:
     return stage(_parameters(_moments(_salted(near, within, keys).where("bin <= edge"), keys)), "mcd")
 
 
-def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
-    """g1, g2, mean, inverse, log_det, and scale: what a distance is divided by to be like that of normal data."""
-    rows = stage(_groups(stats), "groups")
+def estimates(stats: DataFrame, steps: int = STEPS, least: int = LEAST_ROWS) -> DataFrame:
+    """l, s (language, source), mean, inverse, log_det, and scale: what a distance is divided by to be like that of normal
+    data. Languages and sources whose group has no estimate have no row."""
+    keys = stage(_keys(stats, least), "keys")
+    rows = stage(_salted(_placed(stats.where(~F.col("base_failed"))), keys, ["l", "s"]).select("g1", "g2", "x"), "groups")
     bins = rows.select("g1", "g2", F.posexplode(F.transform("x", lambda v: F.rint(v / VALUE_BIN))).alias("i", "bin"))
     each = binned_quantiles(bins, ["g1", "g2", "i"], "bin", {"q0": 0.25, "q1": 0.5, "q2": 0.75})
     spread = F.greatest((F.col("q2") - F.col("q0")) * VALUE_BIN / 1.349, F.lit(FLOOR))
@@ -161,13 +177,17 @@ def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
     second = _parameters(_moments(rows.withColumn("start", F.lit(1)), ["g1", "g2", "start"]))
     params = stage(first.unionByName(second), "mcd")
     for _ in range(steps):
-        params = _step(rows, params)
-    best = stage(params.withColumn("r", F.row_number().over(Window.partitionBy("g1", "g2").orderBy("log_det", "start"))).where("r = 1").drop("r"), "mcd")
+        before, params = params, _step(rows, params)
+        old = before.select("g1", "g2", "start", F.col("log_det").alias("old"))
+        moved = params.join(old, ["g1", "g2", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
+        if moved is None or moved <= STILL:
+            break
+    best = stage(params.groupBy("g1", "g2").agg(F.min_by(F.struct("start", "mean", "inverse", "log_det"), F.struct("log_det", "start")).alias("p")).select("g1", "g2", "p.*"), "mcd")
     # scaled by the median distance, then reweighted: moments of the rows within the 97.5 % ellipse
     scaled = _rescale(rows, best)
     inside = _with_distance(rows, scaled).where(F.col("d2") <= F.col("scale") * chi_squared_quantile(1.96, D))
     final = stage(_parameters(_moments(inside, ["g1", "g2", "start"])), "mcd")
-    return stage(_rescale(rows, final), "mcd")
+    return stage(_rescale(rows, final).join(keys, ["g1", "g2"]).select("l", "s", "mean", "inverse", "log_det", "scale"), "mcd")
 
 
 def _rescale(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -177,16 +197,9 @@ def _rescale(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def verdicts(stats: DataFrame, params: DataFrame, rate: float = RATE) -> DataFrame:
-    """stats with distance (null where no group applies) and kept."""
-    p = params.select(F.col("g1").alias("l"), F.col("g2").alias("s"), "mean", "inverse", "scale")
-    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    out = stats
-    # a document's own group, then the small groups of its language, then those of all languages
-    for k, (l, s) in enumerate(((lang, source), (lang, F.lit("*")), (F.lit("*"), F.lit("*")))):
-        own = p.select(F.col("l").alias("l_"), F.col("s").alias("s_"), F.struct("mean", "inverse", "scale").alias(f"p{k}"))
-        out = out.join(own, (l == own["l_"]) & (s == own["s_"]), "left").drop("l_", "s_")
-    out = out.withColumn("p", F.coalesce("p0", "p1", "p2")).select("*", "p.*").drop("p", "p0", "p1", "p2")
-    out = out.withColumn("distance", F.sqrt(_distance() / F.col("scale"))).drop("mean", "inverse", "scale")
+    """stats with distance (null where there is no estimate, so that the base rules alone decide) and kept."""
+    out = _salted(_placed(stats), params.select("l", "s", "mean", "inverse", "scale"), ["l", "s"], "left")
+    out = out.withColumn("distance", F.sqrt(_distance() / F.col("scale"))).drop("mean", "inverse", "scale", "l", "s")
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut_distance(rate)))
 
 
@@ -194,17 +207,22 @@ def judge(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, counts, base_failed, kept, distance of each row of docs (columns doc_id, text, lang, source are read).
 
     Null and empty texts have no words and fail the base rules. Null languages and sources are one group each; groups too
-    small for an estimate are pooled, and where even all of them together are too few, the base rules alone decide.
+    small for an estimate are pooled (see LEAST_ROWS), and where even all of them together are too few, the base rules alone
+    decide. Repeated rows count and are judged as often as they occur; long texts are read whole; an empty table gives no
+    rows; other columns are not read, whatever their names.
     """
     stats = stage(statistics(docs), "statistics")
     return verdicts(stats, estimates(stats), rate).drop("lang", "source", "x")
 
 
 def keep_good(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns, whatever their names; each case is that of judge.
+
+    Statistics are computed once and written with their rows; estimates read the statistics alone.
+    """
     small_batches(docs.sparkSession)
-    params = estimates(stage(statistics(docs), "statistics"))
-    return verdicts(statistics(docs, carry=True), params, rate).where("kept").select("row.*")
+    stats = stage(statistics(docs, carry=True), "statistics")
+    return verdicts(stats, estimates(stats.drop("row")), rate).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
