@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from cellspan.llm.common import WORD_TABLE, cut, mix64, small_batches, spans_to_rows, stage, table, texts
 
@@ -29,6 +30,9 @@ SHINGLE = 5
 LEAST = 0.8
 ROUNDS = 2
 BANDS, ROWS = 42, 7  # a pair at 0.8 is missed with probability (1 - 0.8**7)**42, below 1e-4
+SALTS = 32  # of a text that many others are compared with
+ELEMENT_SALTS = 8  # of a shingle that many texts have
+MOST_TEXTS = (1 << 14) - 1  # at once in shingles(), which packs their number into 14 bits
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 
@@ -39,6 +43,9 @@ def _u64(x) -> np.ndarray:
 
 def shingles(docs: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, count), sorted; a text with fewer words than `size` is one shingle, one without words none."""
+    if len(docs) > MOST_TEXTS:
+        parts = [(at, *shingles(docs[at : at + MOST_TEXTS], size)) for at in range(0, len(docs), MOST_TEXTS)]
+        return np.concatenate([d + at for at, d, _, _ in parts]), np.concatenate([s for _, _, s, _ in parts]), np.concatenate([n for _, _, _, n in parts])
     plain = [t.translate(WORD_TABLE) for t in docs]
     data = np.frombuffer(b" ".join([b"", *plain, b""]), np.uint8)
     word = data != 32
@@ -165,20 +172,33 @@ def _elements(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact similarity; a repeated doc_id gives a node several equal sets, so the last counts."""
+    """pairs (a, b) with their exact similarity.
+
+    The pairs of a text `a` are dealt into SALTS groups; each is streamed with the set of `a` once at its head, so it is
+    neither repeated for every pair nor compared in one task. A repeated doc_id gives a node several equal sets: one counts.
+    """
 
     def run(batches):
+        head, own, last = None, None, None
         for batch in cut(batches, 3):
-            sims = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                sims.append(both / (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, sim double").dropDuplicates(["a", "b"])
+            a, b, sims = [], [], []
+            for x, salt, y, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                values = np.frombuffer(raw, np.uint64)
+                if y is None:
+                    head, own, last = (x, salt), values, None
+                elif head == (x, salt) and y != last:
+                    both = len(np.intersect1d(own, values, assume_unique=True))
+                    a.append(x)
+                    b.append(y)
+                    sims.append(both / (len(own) + len(values) - both))
+                    last = y
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sims, pa.float64())], ["a", "b", "sim"])
+
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    heads = salted.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "set")
+    tails = salted.join(sets.select(F.col("node").alias("b"), "set"), "b").select("a", "salt", "b", "set")
+    dealt = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a binary, b binary, sim double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,7 +231,8 @@ def _possible(apart: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of rows (node, root, set) of different roots that can reach the similarity, by prefix filtering.
 
     Elements are put in one order, rare ones first. Two sets that are similar enough share one of the first
-    n - ceil(least * n) + 1 elements of each, and from their first common one on enough elements are left in both.
+    n - ceil(least * n) + 1 elements of each, and from their first common one on enough elements are left in both. Their
+    sizes differ by that factor at most, so they lie in the same or neighbouring classes of size.
     """
 
     def run(batches):
@@ -222,14 +243,16 @@ def _possible(apart: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([node] * n, pa.binary()), pa.array([root] * n, pa.binary()), pa.array(np.full(n, n)), pa.array(values)], ["node", "root", "n", "e"])
 
     elements = stage(apart.select("node", "root", "set").mapInArrow(run, "node binary, root binary, n long, e long"), "elements")
-    counts = elements.groupBy("e").agg(F.count("*").alias("df"))
-    listed = elements.join(counts, "e").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("l"))  # one text's elements
+    counts = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1").withColumn("salt", F.explode(F.array(*map(F.lit, range(ELEMENT_SALTS)))))
+    salted = elements.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(ELEMENT_SALTS)).cast("int"))
+    listed = salted.join(counts, ["e", "salt"], "left").withColumn("df", F.coalesce("df", F.lit(1))).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("l"))  # one text's elements
     first = F.slice("l", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
     head = stage(listed.select("node", "root", "n", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("node", "root", "n", (F.col("n") - F.col("i")).alias("left"), F.col("x.e").alias("e")), "heads")
-    x, y = (head.select("e", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "left"))) for s in "xy")
+    x, y = (head.select("e", F.floor(F.log("n") / -math.log(least)).alias("size"), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "left"))) for s in "xy")
+    x = x.withColumn("size", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)))
     need = F.ceil((F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-9)
     near = (F.col("root_x") < F.col("root_y")) & (F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y")) & (F.least("left_x", "left_y") >= need)
-    return x.join(y, "e").where(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    return x.join(y, ["e", "size"]).where(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -285,27 +308,36 @@ def classes(docs: DataFrame, least: float = LEAST, signatures: DataFrame | None
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id, kept (the class is named after this document) for each row of docs."""
+    """doc_id, class_id, kept (the class is named after this document) for each row of docs.
+
+    Null and empty texts and others without words are one class, shorter texts than a shingle are near to equal ones only,
+    repeated rows are in one class, of equal doc_ids every row is marked as kept; long texts are compared whole; an empty
+    table gives no rows. Only doc_id and text are read, so other columns can have any name.
+    """
+    small_batches(docs.sparkSession)
     rows = stage(signed(docs), "signed")
     return rows.select("doc_id", "node").join(classes(docs, least, rows), "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of each class, with all its columns: that of the least doc_id (of repeated rows, any)."""
+    """One row of each class, with all its columns, whatever their names: that of the least doc_id (of repeated rows, any).
+
+    Each case is that of near_duplicates; a null doc_id is kept only where its class has no other.
+    """
     small_batches(docs.sparkSession)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     rows = stage(signed(docs), "signed")
     kept = classes(docs, least, rows).where(F.col("node") == F.col("class_node")).select(F.col("node").alias("n"), F.col("class_id").alias("c"))
-    schema = docs.select(F.struct("*").alias("row")).schema.add("node", "binary").add("id", "long")
+    rowed = docs.select(F.struct("*").alias("row"))
 
     def run(batches):
-        for batch in cut(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts(batch)], pa.binary()), batch.column(2)], ["row", "node", "id"])
+        for batch in cut(batches, 0, field="text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts(batch, 0, "text")], pa.binary())], ["row", "node"])
 
-    whole = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id")).mapInArrow(run, schema)
-    same = (whole["node"] == kept["n"]) & whole["id"].eqNullSafe(kept["c"])
+    whole = rowed.mapInArrow(run, StructType([*rowed.schema.fields, StructField("node", BinaryType())]))
+    same = (whole["node"] == kept["n"]) & F.col("row.doc_id").cast("long").eqNullSafe(kept["c"])
     return whole.join(kept, same, "left_semi").dropDuplicates(["node"]).select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
