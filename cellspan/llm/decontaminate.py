@@ -3,24 +3,26 @@
 Patterns are windows of `window` consecutive item words (an item of fewer words is one window). For the windows of one
 length, a shift table indexed by a block of two words tells how far the search may jump; where it says 0, the bucket of
 the suffix block's hash holds the windows to compare directly. Many lanes of a batch's word stream advance together, so
-the search runs in numpy. Documents are never shuffled. Items reach the workers in blocks of a bounded number of window
-words (`block_words`), one pass over the documents for each block, however large the benchmark is.
+the search runs in numpy. Items reach the workers in blocks of a bounded number of window words (`block_words`), one
+broadcast and one pass over the documents for each block, however large the benchmark is; a block is dropped before the
+next is read. Documents are never shuffled for one block; with several, only the hits are added up by document.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import WORD_TABLE, cut, small_batches, table, texts
+from cellspan.llm.common import WORD_TABLE, cut, small_batches, stage, table, texts
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 4_000_000
 HASH_BITS = 18
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -94,7 +96,7 @@ class Patterns:
             m = min(window, len(ids))
             for i in range(len(ids) - m + 1):
                 by_length[m][tuple(ids[i : i + m])].add(item)
-        self.searches = [(WuManber(np.array(list(w), np.int64)), list(w.values())) for w in by_length.values()]
+        self.searches = [(WuManber(np.array(list(w), np.int32)), list(w.values())) for w in by_length.values()]
 
     def hits(self, docs: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]]]:
         """For each document, a mask of its hit words and the items found."""
@@ -135,48 +137,96 @@ def _rule(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
+RAW = "h long, n_words long, mask binary, items array<string>"
+
+
+def _result(ids, n_words, n_hit, items) -> pa.RecordBatch:
+    shas = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+    bad = [_rule(h, n) for h, n in zip(n_hit, n_words, strict=True)]
+    return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array(bad, pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
+def _hits_by_block(docs: DataFrame, blocks, window: int) -> DataFrame:
+    """h (hash of doc_id and text), n_words, mask, items of the documents with hits, over all blocks."""
+    out, sc = None, docs.sparkSession.sparkContext
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
+    for block in blocks:
+        shared = sc.broadcast(block)
+
+        def run(batches, shared=shared):
+            patterns = Patterns(shared.value, window)
+            for batch in cut(batches):
+                words = [words_of(t) for t in texts(batch)]
+                found = patterns.hits(words)
+                on = [i for i, (mask, _) in enumerate(found) if mask.any()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(on, pa.int64())), pa.array([len(words[i]) for i in on], pa.int64()), pa.array([np.packbits(found[i][0]).tobytes() for i in on], pa.binary()), pa.array([sorted(found[i][1]) for i in on], pa.list_(pa.string()))], ["h", "n_words", "mask", "items"])
+
+        own = stage(rows.mapInArrow(run, RAW), "hits")
+        shared.destroy()
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _added_up(raw: DataFrame) -> DataFrame:
+    """h, n_hit, items: the masks of a document (one a block, and one a repeated row) put together, streamed in sorted order."""
+
+    def run(batches):
+        key, mask, items = None, None, set()
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([int(np.unpackbits(mask).sum())]), pa.array([sorted(items)], pa.list_(pa.string()))], ["h", "n_hit", "items"])
+
+        for batch in batches:
+            for h, own, more in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                bits = np.frombuffer(own, np.uint8)
+                if key is not None and h != key:
+                    yield row()
+                if h != key:
+                    key, mask, items = h, bits, set()
+                mask, items = mask | bits, items | set(more)
+        if key is not None:
+            yield row()
+
+    return raw.distinct().repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, n_hit long, items array<string>")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs; other columns are not read.
 
     Null and empty texts have no words and are never contaminated; items without words are ignored, equal items count
-    once for each item_id, a null item_id is the empty string; an empty benchmark hits nothing.
+    once for each item_id, a null item_id is the empty string; an empty benchmark hits nothing, an empty table gives no rows;
+    repeated rows are judged as often as they occur; long texts are searched whole.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("mask"), F.expr("cast(array() as array<string>)").alias("items"))
-    for block in item_blocks(benchmark, window, block_words) or ():
-        shared = spark.sparkContext.broadcast(block)
+    blocks = item_blocks(benchmark, window, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
 
-        def run(batches, shared=shared):
+        def run(batches):
             patterns = Patterns(shared.value, window)
             for batch in cut(batches):
-                found = patterns.hits([words_of(t) for t in texts(batch)])
-                masks, items = [], []
-                for (mask, new), old, had in zip(found, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    bits = np.packbits(mask)
-                    masks.append((bits if old is None else bits | np.frombuffer(old, np.uint8)).tobytes())
-                    items.append(sorted(new | set(had)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "mask", "items"])
+                words = [words_of(t) for t in texts(batch)]
+                found = patterns.hits(words)
+                yield _result(batch.column(0), [len(w) for w in words], [int(mask.sum()) for mask, _ in found], [x for _, x in found])
 
-        out = out.mapInArrow(run, "doc_id long, text string, mask binary, items array<string>")
+        return own.mapInArrow(run, HITS)
+    hits = stage(_added_up(_hits_by_block(docs, chain([first, second], blocks), window)), "hits")
 
-    def result(batches):
+    def finish(batches):
         for batch in cut(batches):
-            n_words = [len(words_of(t)) for t in texts(batch)]
-            n_hit = [0 if m is None else int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in batch.column(2).to_pylist()]
-            items = batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()), pa.array([_rule(h, n) for h, n in zip(n_hit, n_words, strict=True)], pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            n_hit, items = ([x or empty for x in batch.column(i).to_pylist()] for i, empty in ((2, 0), (3, [])))
+            yield _result(batch.column(0), [len(words_of(t)) for t in texts(batch)], n_hit, items)
 
-    return out.mapInArrow(result, HITS)
+    joined = own.withColumn("h", F.xxhash64(docs["doc_id"], docs["text"])).join(hits, "h", "left").select("doc_id", "text", "n_hit", "items")
+    return joined.mapInArrow(finish, HITS)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns.
+    """The rows of docs that are not contaminated, with all their columns, whatever their names.
 
-    The rule is about all items together, so with several blocks of items the masks of find_hits are needed; rows are then
-    told apart by doc_id and a hash of the text.
+    Each case is that of find_hits. The rule is about all items together, so with several blocks of items rows are told apart
+    by a hash of doc_id and text, and those with hits are counted before they go.
     """
     blocks = item_blocks(benchmark, window, block_words)
     first, second = next(blocks, []), next(blocks, None)
@@ -190,7 +240,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 yield batch.filter(pa.array([not _rule(int(mask.sum()), len(w)) for w, (mask, _) in zip(words, patterns.hits(words), strict=True)], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    bad = find_hits(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, window, block_words).where("contaminated").select(F.col("doc_id").alias("__hit"))
+    raw = _hits_by_block(docs, chain([first, second], blocks), window)
+    bad = _added_up(raw).join(raw.select("h", "n_words").distinct(), "h").where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("h").alias("__hit"))
     return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["__hit"], "left_anti")
 
 
