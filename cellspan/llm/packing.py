@@ -2,7 +2,9 @@
 
 A document of n ids becomes whole pieces of `width` ids, then one piece for each binary digit of the rest, longest first.
 Pieces of equal length form a bucket; each piece is a sequence of its own, so no sequence crosses documents and none needs
-padding. Every document is cut alone: there is no shuffle, and a hot source or a long text only adds pieces.
+padding. Every document is cut alone: there is no shuffle, and a hot source or a long text only adds pieces. Within a
+partition pieces lie bucket by bucket, and their sequences are numbered in that order, so a reader forms batches of equal
+shape from neighbouring rows; `write_buckets` gives each bucket a folder.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ def piece_lengths(n: int, width: int = WIDTH) -> list[int]:
 
 
 def pack(docs: DataFrame, path: str, width: int = WIDTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian uint32), sequence_id, offset.
+    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian uint32), bucket, sequence_id, offset.
 
     Only id and text are read, so other columns can have any name. Null and empty texts have the end id alone; a null
-    doc_id stays null; repeated rows are packed as often as they occur. sequence_id is unique within the result.
+    doc_id stays null; repeated rows are packed as often as they occur; long texts are whole pieces and a rest; an empty
+    table gives no rows. `bucket` is the binary logarithm of the length; sequence_id is unique within the result.
     """
     if width & (width - 1):
         raise ValueError("width must be a power of two")
@@ -55,15 +58,16 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end: int = END, id_col:
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, start long, length long, doc_tokens long, ids binary"
     )
-    return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    bucketed = out.withColumn("bucket", F.round(F.log2("length")).cast("int")).sortWithinPartitions("bucket")
+    return bucketed.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """One folder for each length, so that a reader forms batches of equal shape without padding."""
-    pieces.write.partitionBy("length").parquet(path)
+    """One folder for each bucket, so that a reader forms batches of equal shape without padding."""
+    pieces.write.partitionBy("bucket").parquet(path)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

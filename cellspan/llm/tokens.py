@@ -31,14 +31,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """Ids equal to Tokenizer.encode(text, add_special_tokens=False).ids; strings of special tokens are ordinary text.
+    """Ids equal to Tokenizer.encode(text, add_special_tokens=False).ids, which reads the strings of special tokens as these.
 
     The memo is emptied when it has `bound` entries.
     """
 
     def __init__(self, path: str, bound: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # of the two, the one with word ends drops case and spaces
         self.letters = _byte_letters()
