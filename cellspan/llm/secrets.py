@@ -1,13 +1,14 @@
 """Secret scan with a battery of randomness tests.
 
-Fixed patterns give the base spans. Besides, every long run of token characters is a candidate: its encoding is inferred
-(hex, base32, base64, base64url, alphanumeric) and three tests judge it over that alphabet: chi-squared uniformity, runs
-above and below the middle symbol, and lag-1 serial correlation. A candidate that one of them rejects as random is out. For
-the rest the chi-squared statistic is held against what structured text of the same length would give (a noncentral
-chi-squared law whose centre grows with the length), so short strings can't look significant by chance. Benjamini-Hochberg
-control then runs within strata of length over the whole corpus: only a histogram of p-values (at most STRATA * BINS rows)
-reaches the driver, and its thresholds decide which candidates become spans. Texts are read once; nothing is shuffled but
-the histogram.
+Fixed patterns give the base spans. Besides, every run of LEAST token characters or more is a candidate: its encoding is
+inferred (digits, hex, letters, base32, base64, base64url, alphanumeric) and three tests judge it over that alphabet:
+chi-squared uniformity, runs above and below the middle symbol (of letters: vowels and others), and lag-1 serial
+correlation. A candidate that one of them rejects as random is out. For the rest the statistics are held against what
+structured text of the same length would give: the chi-squared statistic against a noncentral law whose centre grows with
+the length, and of letters alone the runs against the alternation of vowels and consonants in words; Fisher's sum puts the
+two together. So short strings can't look significant by chance. Benjamini-Hochberg control then runs within strata of encoding and
+length over the whole corpus: only a histogram of p-values (at most STRATA * BINS rows) reaches the driver, and its thresholds
+decide which candidates become spans. Texts are read once; nothing is shuffled but the histogram.
 """
 
 from __future__ import annotations
@@ -26,26 +27,37 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Characters of a candidate: below that no encoding can be told from words (parameter of the method).
+LEAST = 16
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 KINDS = ("assign", "access", "hex", "random")
 
+_LOW, _HIGH = "aeiouybcdfghjklmnpqrstvwxz", "AEIOUYBCDFGHJKLMNPQRSTVWXZ"  # vowels first
 #: (name, alphabet in order of value); the first that holds all characters is inferred.
 ALPHABETS = (
+    ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("lower", _LOW),
+    ("upper", _HIGH),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("alnum", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-_VALUES = [(name, {c: i for i, c in enumerate(a)}) for name, a in ALPHABETS]
-#: Chance that two symbols of structured text agree: about that of letters in running text, and of digits for hex.
-AGREE = 0.065
-AGREE_HEX = 0.1
+_VALUES = [(i, name, {c: j for j, c in enumerate(a)}) for i, (name, a) in enumerate(ALPHABETS)]
+#: Chance that two symbols of structured text agree: about that of letters in running text; of digits and hex by themselves.
+AGREE = {"digits": 0.13, "hex": 0.1, "HEX": 0.1}
+AGREE_TEXT = 0.065
+#: Chance that a letter of a word and the next are a vowel and a consonant.
+ALTERNATE = 0.7
+VOWELS = 6
 REJECT = 1e-3  # by one of the randomness tests
 RATE = 0.01  # of false discoveries within a stratum
 BINS, BIN = 400, 0.05  # of -log10 p
-STRATA = 8
+LENGTHS = 8
+STRATA = LENGTHS * len(ALPHABETS)
 
 
 def _normal_sf(z: float) -> float:
@@ -66,45 +78,54 @@ def noncentral_cdf(x: float, df: float, centre: float) -> float:
     return 1 - chi_squared_sf(x / scale, (df + centre) ** 2 / (df + 2 * centre)) if x > 0 else 0.0
 
 
-def battery(token: str) -> tuple[str, float, float] | None:
-    """(encoding, least p of the three randomness tests, p of so even a spread under structured text), or None."""
-    s = token.rstrip("=")
-    kinds = (any(c.isdigit() for c in s), any(c.isalpha() for c in s))
-    if not all(kinds):  # digits alone or letters alone are numbers and words
-        return None
-    found = next(((name, v) for name, v in _VALUES if all(c in v for c in s)), None)
-    if found is None:
-        return None
-    name, values = found
-    n, size = len(s), len(values)
-    x = [values[c] for c in s]
+def _tests(x: list[int], size: int, low: int) -> tuple[float, float, float, int, int]:
+    """p of uniformity, runs and serial correlation, the chi-squared statistic and the number of runs; values below `low`
+    are one side of the runs."""
+    n = len(x)
     counts = [0] * size
     for v in x:
         counts[v] += 1
     even = n / size
     statistic = sum((c - even) ** 2 for c in counts) / even
-    p_uniform = chi_squared_sf(statistic, size - 1)
-    high = [2 * v >= size for v in x]
+    high = [v >= low for v in x]
     n1 = sum(high)
     n0 = n - n1
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
     if n0 and n1:
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
         mean = 1 + 2 * n0 * n1 / n
         var = (mean - 1) * (mean - 2) / (n - 1)
         p_runs = 2 * _normal_sf(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0
-    else:
-        p_runs = 2.0 ** (1 - n)
+    else:  # all on one side
+        p_runs = max(low / size, 1 - low / size) ** n
     centre = sum(x) / n
     spread = sum((v - centre) ** 2 for v in x)
     serial = sum((a - centre) * (b - centre) for a, b in zip(x, x[1:], strict=False)) / spread if spread else 1.0
-    p_serial = 2 * _normal_sf(abs(serial + 1 / n) * math.sqrt(n))
-    agree = AGREE_HEX if size == 16 else AGREE
-    p_text = noncentral_cdf(statistic, size - 1, n * (size * agree - 1))
-    return name, min(p_uniform, p_runs, p_serial), max(p_text, 10 ** -(BINS * BIN))
+    return chi_squared_sf(statistic, size - 1), p_runs, 2 * _normal_sf(abs(serial + 1 / n) * math.sqrt(n)), statistic, runs
+
+
+def battery(token: str) -> tuple[int, float, float] | None:
+    """(number of the encoding, least p of the three randomness tests, p of such statistics under structured text), or None
+    where no encoding has all characters."""
+    s = token.rstrip("=")
+    found = next((v for v in _VALUES if all(c in v[2] for c in s)), None)
+    if found is None or not s:
+        return None
+    number, name, values = found
+    size, n = len(values), len(s)
+    words = name in ("lower", "upper")
+    p_uniform, p_runs, p_serial, statistic, runs = _tests([values[c] for c in s], size, VOWELS if words else size // 2)
+    p_text = noncentral_cdf(statistic, size - 1, max(0.0, n * (size * AGREE.get(name, AGREE_TEXT) - 1)))
+    if words:  # words alternate more than random letters do
+        usual = 1 + (n - 1) * ALTERNATE
+        p_words = 1 - _normal_sf((runs - usual) / math.sqrt((n - 1) * ALTERNATE * (1 - ALTERNATE)))
+        both = math.log(max(p_text, 1e-150)) + math.log(max(p_words, 1e-150))
+        p_text = math.exp(both) * (1 - both)
+    return number, min(p_uniform, p_runs, p_serial), max(p_text, 10 ** -(BINS * BIN))
 
 
-def stratum(length: int) -> int:
-    return min(STRATA - 1, max(0, length.bit_length() - 5))
+def stratum(encoding: int, length: int) -> int:
+    """Of an encoding and a doubling of the length."""
+    return encoding * LENGTHS + min(LENGTHS - 1, max(0, length.bit_length() - 5))
 
 
 def p_bin(p: float) -> int:
@@ -143,7 +164,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 for m in CANDIDATE.finditer(text or ""):
                     a, b = m.span()
                     if not any(x < b and a < y for _, x, y in base) and (judged := battery(m[0])) and judged[1] >= REJECT:
-                        more.append((a, b, stratum(b - a), p_bin(judged[2])))
+                        more.append((a, b, stratum(judged[0], b - a), p_bin(judged[2])))
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 rows.append((doc_id, *n[:3], [f"{k}:{a}:{b}" for k, a, b in base], *([x[i] for x in more] for i in range(4))))
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +192,9 @@ def least_bins(found: DataFrame, rate: float = RATE) -> dict[int, int]:
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row; null and empty texts have no spans.
 
-    Repeated rows are scanned as often as they occur. Candidates that overlap base spans are part of those already.
+    Repeated rows are scanned as often as they occur, and count so in the control of false discoveries; long texts are read
+    whole; an empty table gives no rows; only doc_id and text are read, so other columns can have any name. Candidates that
+    overlap base spans are part of those already.
     """
     found = stage(candidates(docs), "secrets")
     least = least_bins(found, rate)
