@@ -1,28 +1,39 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are found by one pattern; each is reduced to a canonical form (digits of a number, lower case of an address or a
-name), and a keyed hash of that form gives the canonical surrogate, so an entity has the same surrogate wherever it occurs
-and however it is written. Rendering puts the surrogate into the format of each occurrence: separators, case, gender (from
-the title) and script of a name, a valid check digit where the original had one.
-
-All distinct entities of the corpus are checked: a surrogate must not be another entity's and not be an entity itself. Those
-that clash try again with the next attempt number, round by round; only they are joined back to documents, on
-(doc_id, hash of the text). Everything else is computed within a row, so hot entities and sources don't gather anywhere.
+Entities are found by one pattern; each is reduced to a canonical form (digits of a number, lower case of an address), and the
+surrogate is a keyed function of that form, so an entity has the same surrogate wherever it occurs and however it is written.
+Rendering puts it into the format of each occurrence: separators, case, a valid check digit where the original had one.
+
+Numbers (network addresses, identity, card, account and phone numbers) go through keyed permutations of the numbers of their
+kind, length and range (Feistel rounds, walked on where a result would leave the range), so surrogates are distinct by
+construction however many there are; one may equal another original. Mail addresses and names get hashed surrogates. All
+distinct ones of the corpus are checked: a surrogate must not be another entity's and not be an entity itself. Those that
+clash try again with the next attempt number, round by round; only they are joined back to documents, on (doc_id, hash of the
+text). Everything else is computed within a row, so hot entities and sources don't gather anywhere.
+
+Persons are found by a title before up to three capitalised words. Each of these words is replaced by a surrogate of its own
+wherever it stands capitalised in that document, titled or not, so full names, given and last names go on naming one person,
+whatever the title; the ending of a given name tells the gender of the titles. Not found: persons whom no title names in the
+document, names in scripts without capitals, street addresses, other numbers.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.llm.common import stage, table
 
-KEY = "cellspan"
+#: Session setting with the secret key of the surrogates.
+KEY_SETTING = "spark.cellspan.pii.key"
 ATTEMPTS = 64
+ROUNDS = 8
 
-_TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme)\.|(?:Mister|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа|Κύριος|Κυρία)"
-FEMALE = r"^(?:Mrs|Ms|Sra|Mme|Miss|Frau|Señora|Madame|Госпожа|Κυρία)(?:\.| )"
-MALE = r"^(?:Mr|Sr|Mister|Herr|Señor|Monsieur|Господин|Κύριος)(?:\.| )"
+_NEUTRAL, _WOMEN, _MEN = r"(?:Dr|Prof)\.", r"(?:Mrs|Ms|Sra|Mme)\.|Miss|Frau|Señora|Madame|Госпожа|Κυρία", r"(?:Mr|Sr)\.|Mister|Herr|Señor|Monsieur|Господин|Κύριος"
+_NAME = r"\p{Lu}\p{L}+"
+PERSON = rf"(?<!\p{{L}})(?:{_NEUTRAL}|{_WOMEN}|{_MEN})(?: {_NAME}){{1,3}}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,18})"
 IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
@@ -30,19 +41,34 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-PERSON = rf"(?<!\p{{L}})(?:{_TITLES}) \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
-KINDS = {"email": EMAIL, "ipv4": IPV4, "ssn": SSN, "iban": IBAN, "card": CARD, "phone": PHONE, "person": PERSON}
+KINDS = {"email": EMAIL, "ipv4": IPV4, "ssn": SSN, "iban": IBAN, "card": CARD, "phone": PHONE}
 PATTERN = "|".join(KINDS.values())
 
 #: Syllables of invented names by script, and endings of given names by gender: f, m, and n where no title tells.
 SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro", "cyrillic": "ба бе би бо да де ди до фа фе га го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро", "greek": "βα βε βι βο δα δε δι δο φα φε γα γο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο"}
 ENDINGS = {"latin": {"f": "na", "m": "nd", "n": "nt"}, "cyrillic": {"f": "на", "m": "ов", "n": "ен"}, "greek": {"f": "να", "m": "ος", "n": "ιδ"}}
+NAME_SYLLABLES = 6
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of KEY_SETTING; where there is none, a random one is drawn and kept for the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
-def _hash(*parts: Column, key: str = KEY, bits: int = 512) -> Column:
+def _hash(key: str, *parts: Column) -> Column:
     """Keyed, nested SHA-2 in hex."""
     message = F.concat_ws("\x1f", *parts)
-    return F.sha2(F.concat(F.lit(f"{key}\x1e"), F.sha2(F.concat(F.lit(f"{key}\x1d"), message), 512)), bits)
+    return F.sha2(F.concat(F.lit(f"{key}\x1e"), F.sha2(F.concat(F.lit(f"{key}\x1d"), message), 512)), 512)
+
+
+def _keyed_number(key: str, *parts: Column) -> Column:
+    """60 keyed bits."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256), 1, 15), 16, 10).cast("long")
 
 
 def _number(h: Column, i: Column | int, n: int) -> Column:
@@ -55,26 +81,31 @@ def _pick(h: Column, i: Column | int, letters: str) -> Column:
     return F.substring(F.lit(letters), _number(h, i, len(letters)) + 1, F.lit(1))
 
 
-def kind_of(e: Column) -> Column:
-    out = F.when(F.contains(e, F.lit("@")), "email")
-    for kind in ("ipv4", "ssn", "iban", "card", "phone"):
-        out = out.when(e.rlike(f"^(?:{KINDS[kind]})$"), kind)
-    return out.otherwise("person")
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def canonical(e: Column, kind: Column) -> Column:
-    """What all ways to write an entity share: kind and form, in one string."""
-    name = F.regexp_replace(e, rf"^(?:{_TITLES}) ", "")
-    gender = F.when(e.rlike(FEMALE), "f").when(e.rlike(MALE), "m").otherwise("n")
-    form = (
-        F.when(kind.isin("email"), F.lower(e))
-        .when(kind == "ipv4", e)
-        .when(kind == "iban", F.upper(F.replace(e, F.lit(" "), F.lit(""))))
-        .when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), F.regexp_replace(e, "[^0-9]", "")))
-        .when(kind == "person", F.concat(gender, F.lit(":"), F.lower(name)))
-        .otherwise(F.regexp_replace(e, "[^0-9]", ""))
-    )
-    return F.concat(kind, F.lit(":"), form)
+def _walk(x: Column, step, good, steps: int = 400) -> Column:
+    """step(x), stepped on until `good`: a permutation of what is good where step is one of a larger range."""
+    start = F.struct(x.alias("v"), F.lit(False).alias("done"))
+    on = lambda s, _: F.when(s["done"], s).otherwise(_let(step(s["v"]), lambda v: F.struct(v.alias("v"), good(v).alias("done"))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, on, lambda s: s["v"])
+
+
+def _permuted(digits: Column, key: str, kind: str) -> Column:
+    """A keyed permutation of the digit strings of each length of at least 2: modular Feistel rounds over two parts."""
+
+    def turn(s, i):
+        mixed = F.pmod(s["a"].cast("long") + _keyed_number(key, F.lit(kind), i.cast("string"), F.length(s["a"]).cast("string"), s["b"]), F.pow(F.lit(10.0), F.length(s["a"])).cast("long"))
+        return F.struct(s["b"].alias("a"), F.lpad(mixed.cast("string"), F.length(s["a"]), F.lit("0")).alias("b"))
+
+    def rounds(d):
+        left = F.floor(F.length(d) / 2).cast("int")
+        start = F.struct(F.substring(d, F.lit(1), left).alias("a"), F.substring(d, left + 1, F.length(d) - left).alias("b"))
+        return F.when(F.length(d) < 2, d).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"])))
+
+    return _let(digits, rounds)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -84,49 +115,143 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(place, F.lit(0), lambda a, v: a + F.when(v > 9, v - 9).otherwise(v))
 
 
-def _digits(h: Column, n: Column, least: int = 0) -> Column:
-    """n digits; the first is at least `least`."""
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, _number(h, i - 1, 10 - least) + least).otherwise(_number(h, i - 1, 10)).cast("string"))
-    return F.when(n < 1, "").otherwise(F.array_join(each, ""))
+def _card(form: Column, key: str) -> Column:
+    """First digit and distance from the valid check digit stay."""
+    n = F.length(form)
+    due = lambda body: (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
+    body = F.substring(form, F.lit(1), n - 1)
+    last = lambda new: F.pmod(due(new) + F.substring(form, -1, 1).cast("int") - due(body), F.lit(10)).cast("string")
+    return _let(F.concat(F.substring(form, 1, 1), _permuted(F.substring(form, F.lit(2), n - 2), key, "card")), lambda new: F.concat(new, last(new)))
+
+
+def _phone(form: Column, key: str) -> Column:
+    """The sign and the first digits of an international number stay; a number that begins with 2 to 9 keeps doing so."""
+    kept = F.when(form.startswith("+1"), 2).when(form.startswith("+"), 3).otherwise(0)
+    high = lambda v: F.substring(v, 1, 1) >= "2"
+    moved = lambda rest: _walk(rest, lambda v: _permuted(v, key, "phone"), lambda v: high(v) == high(rest))
+    return _let(kept, lambda k: F.concat(F.substring(form, F.lit(1), k), _let(F.substring(form, k + 1, F.length(form) - k), moved)))
+
+
+def _iban(form: Column, key: str) -> Column:
+    """Country and distance from the valid check digits stay; digits are permuted, letters shifted by what the digits were."""
+    country, check = F.substring(form, 1, 2), F.substring(form, 3, 2).cast("int")
+
+    def moved(body):
+        digits = F.regexp_replace(body, "[^0-9]", "")
+        at = lambda i: F.substring(body, i, F.lit(1))
+        letter = lambda h, i: F.char(F.lit(65) + F.pmod(F.ascii(at(i)) - 65 + _number(h, i, 26), F.lit(26)))
+        shifted = lambda h: F.array_join(F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.when(at(i).rlike("[A-Z]"), letter(h, i)).otherwise("0")), "")
+        return _let(digits, lambda d: _fill(_let(_hash(key, F.lit("iban"), d), shifted), _permuted(d, key, "iban"), "[0-9]"))
+
+    def due(own):
+        def rest(whole):
+            value = lambda i: F.substring(whole, i, F.lit(1))
+            return F.aggregate(F.sequence(F.lit(1), F.length(whole)), F.lit(0), lambda r, i: F.when(value(i).rlike("[0-9]"), (r * 10 + value(i).cast("int")) % 97).otherwise((r * 100 + F.ascii(value(i)) - 55) % 97))
+
+        return 98 - _let(F.concat(own, country, F.lit("00")), rest)
+
+    checked = lambda body, new: F.concat(country, F.lpad(F.pmod(due(new) + check - due(body), F.lit(100)).cast("string"), 2, "0"), new)
+    return _let(F.substring(form, F.lit(5), F.length(form) - 4), lambda body: _let(moved(body), lambda new: checked(body, new)))
+
+
+#: Ranges that addresses stay in: (first, bits).
+_RANGES = ((10 << 24, 24), (127 << 24, 24), ((172 << 24) + (16 << 16), 20), ((192 << 24) + (168 << 16), 16), ((169 << 24) + (254 << 16), 16))
+
+
+def _ip(form: Column, key: str) -> Column:
+    """Private ranges stay private, public addresses public; no address stays the same."""
+
+    def feistel(x, half, back):
+        """Rounds over two halves of `half` bits, forth or back."""
+        size = 1 << half
+
+        def turn(s, i):
+            r = _keyed_number(key, F.lit(f"ip{half}"), i.cast("string"), (s["r"] if not back else s["l"]).cast("string")) % size
+            return F.struct(s["l"].bitwiseXOR(r).alias("r"), s["r"].alias("l")) if not back else F.struct(s["l"].alias("r"), s["r"].bitwiseXOR(r).alias("l"))
+
+        order = F.sequence(F.lit(1), F.lit(ROUNDS)) if not back else F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1))
+        start = F.struct((x % size).alias("r"), F.floor(x / size).cast("long").alias("l"))
+        return F.aggregate(order, start, turn, lambda s: s["l"] * size + s["r"])
+
+    def cycle(x, bits):
+        """One cycle through all numbers of so many bits."""
+        return feistel((feistel(x, bits // 2, False) + 1) % (1 << bits), bits // 2, True)
+
+    within = lambda x, first, bits: (x >= first) & (x < first + (1 << bits))
+
+    def group(x):
+        out = F.when((x < 1 << 24) | (x >= 224 << 24), 1)
+        for i, (first, bits) in enumerate(_RANGES):
+            out = out.when(within(x, first, bits), i + 2)
+        return out.otherwise(0)
+
+    def moved(number, own):
+        out = F.when(own < 2, _walk(number, lambda v: cycle(v, 32), lambda v: group(v) == own))
+        for i, (first, bits) in enumerate(_RANGES):
+            out = out.when(own == i + 2, cycle(number - first, bits) + first)
+        return out
+
+    parts = lambda p: sum((F.get(p, F.lit(i)).cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0).cast("long"))
+    written = lambda x: F.concat_ws(".", *((F.floor(x / (1 << (24 - 8 * i))) % 256).cast("long").cast("string") for i in range(4)))
+    return _let(_let(F.split(form, r"\."), parts), lambda number: _let(_let(group(number), lambda own: moved(number, own)), written))
 
 
 def _shape(h: Column, text: Column) -> Column:
     """Letters for letters and digits for digits (lower case); other characters stay."""
     each = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.struct(i.alias("i"), F.substring(text, i, F.lit(1)).alias("c")))
     place = lambda x: (x["i"] - 1) % 42
-    return F.array_join(F.transform(each, lambda x: F.when(x["c"].rlike(r"\p{L}"), _pick(h, place(x), "abcdefghijklmnopqrstuvwxyz")).when(x["c"].rlike(r"\p{N}"), _pick(h, place(x), "0123456789")).otherwise(x["c"])), "")
+    return F.array_join(F.transform(each, lambda x: F.when(x["c"].rlike(r"\p{L}"), _pick(h, place(x), _LETTERS)).when(x["c"].rlike(r"\p{N}"), _pick(h, place(x), "0123456789")).otherwise(x["c"])), "")
 
 
-def _name(h: Column, form: Column) -> Column:
-    """An invented name of as many words, in the script of the original; the given name's ending tells the gender."""
-    gender, name = F.substring(form, 1, 1), F.substring(form, 3, 10_000)
-    out = None
-    for script, syllables in SYLLABLES.items():
-        each = syllables.split(" ")
-        some = lambda at, n, each=each: F.concat(*(F.element_at(F.array(*map(F.lit, each)), _number(h, at + i, len(each)) + 1) for i in range(n)))
-        ending = F.when(gender == "f", ENDINGS[script]["f"]).when(gender == "m", ENDINGS[script]["m"]).otherwise(ENDINGS[script]["n"])
-        value = F.when(F.contains(name, F.lit(" ")), F.concat(some(0, 2), ending, F.lit(" "), some(8, 5))).otherwise(some(8, 5))
-        where = name.rlike({"latin": r"^\p{IsLatin}", "cyrillic": r"^\p{IsCyrillic}", "greek": r"^\p{IsGreek}"}[script])
-        out = F.when(where, value) if out is None else out.when(where, value)
-    return out.otherwise(_shape(h, name))
-
-
-def _surrogate_form(canon: Column, kind: Column, h: Column, domain: Column, attempt: Column) -> Column:
-    """The canonical surrogate from the hash h of (canon, attempt); domain: the hash of an address's domain."""
-    form = F.regexp_replace(canon, r"^[a-z0-9]+:", "")
-    n = F.length(form)
-    kept = F.when(form.startswith("+1"), 2).when(form.startswith("+"), 3).otherwise(0)
-    phone = F.concat(F.substring(form, F.lit(1), kept), _digits(h, n - kept, 2))
-    body = F.concat(F.substring(form, 1, 1), _digits(h, n - 2))
-    checked = F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    card = F.when(_luhn_sum(form) % 10 == 0, checked).otherwise(F.concat(body, _number(h, n, 10).cast("string")))
-    private = F.when(form.startswith("192.168."), 2).when(form.startswith("10."), 1).otherwise(0)
-    octets = F.concat_ws(".", *(F.when(F.lit(i) < private, F.split_part(form, F.lit("."), F.lit(i + 1))).otherwise((_number(h, i, 254) + 1).cast("string")) for i in range(4)))
-    local = F.concat(_shape(h, F.substring_index(form, "@", 1)), F.when(attempt > 0, F.concat(*(_pick(h, 36 + i, "abcdefghijklmnopqrstuvwxyz") for i in range(6)))).otherwise(""))
+def _email(form: Column, attempt: Column, key: str) -> Column:
+    local = lambda h: F.concat(_shape(h, F.substring_index(form, "@", 1)), F.when(attempt > 0, F.concat(*(_pick(h, 36 + i, _LETTERS) for i in range(6)))).otherwise(""))
+    domain = lambda h: F.concat(*(_pick(h, i, _LETTERS) for i in range(8)))
     tld = F.when(F.substring_index(form, ".", -1).isin("org", "net"), F.substring_index(form, ".", -1)).otherwise("com")
-    email = F.concat(local, F.lit("@"), *(_pick(domain, i, "abcdefghijklmnopqrstuvwxyz") for i in range(8)), F.lit(".example."), tld)
-    iban = F.concat(F.substring(form, 1, 2), F.array_join(F.transform(F.sequence(F.lit(3), n), lambda i: F.when(F.substring(form, i, F.lit(1)).rlike("[0-9]"), _pick(h, i, "0123456789")).otherwise(_pick(h, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))), ""))
-    return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).when(kind == "person", _name(h, form)).otherwise(_digits(h, n, 1))
+    return F.concat(_let(_hash(key, F.lit("email"), form, attempt.cast("string")), local), F.lit("@"), _let(_hash(key, F.lit("domain"), F.substring_index(form, "@", -1)), domain), F.lit(".example."), tld)
+
+
+def _script(name: Column) -> Column:
+    return F.when(name.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _stem(name: Column, attempt: Column, key: str) -> Column:
+    """NAME_SYLLABLES syllables in the script of the name: longer or shorter with an ending, so stems differ if and only if names do."""
+
+    def stem(h):
+        out = None
+        for kind, syllables in SYLLABLES.items():
+            each = F.array(*map(F.lit, syllables.split(" ")))
+            value = F.concat(*(F.element_at(each, _number(h, i, len(syllables.split(" "))) + 1) for i in range(NAME_SYLLABLES)))
+            out = F.when(_script(name) == kind, value) if out is None else out.when(_script(name) == kind, value)
+        return out
+
+    return _let(_hash(key, F.lit("name"), name, attempt.cast("string")), stem)
+
+
+def _ending(name: Column, gender: Column) -> Column:
+    out = None
+    for kind, by in ENDINGS.items():
+        value = F.when(gender == "f", by["f"]).when(gender == "m", by["m"]).when(gender == "n", by["n"]).otherwise("")
+        out = F.when(_script(name) == kind, value) if out is None else out.when(_script(name) == kind, value)
+    return out
+
+
+def kind_of(e: Column) -> Column:
+    out = F.when(F.contains(e, F.lit("@")), "email")
+    for kind in ("ipv4", "ssn", "iban", "card"):
+        out = out.when(e.rlike(f"^(?:{KINDS[kind]})$"), kind)
+    return out.otherwise("phone")
+
+
+def canonical(e: Column, kind: Column) -> Column:
+    """What all ways to write an entity share."""
+    return (
+        F.when(kind == "email", F.lower(e))
+        .when(kind == "ipv4", e)
+        .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
+        .when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), F.regexp_replace(e, "[^0-9]", "")))
+        .otherwise(F.regexp_replace(e, "[^0-9]", ""))
+    )
 
 
 def _fill(original: Column, letters: Column, what: str) -> Column:
@@ -139,35 +264,40 @@ def _fill(original: Column, letters: Column, what: str) -> Column:
 
 def _render(original: Column, kind: Column, form: Column) -> Column:
     """The canonical surrogate in the format of one occurrence."""
-    title = F.regexp_extract(original, rf"^(?:{_TITLES}) ", 0)
-    name = F.regexp_replace(original, rf"^(?:{_TITLES}) ", "")
-    cased = F.when(name == F.upper(name), F.upper(form)).otherwise(F.initcap(form))
     upper = F.when((original == F.upper(original)) & original.rlike(r"\p{L}"), F.upper(form)).otherwise(form)
-    return F.when(kind == "email", upper).when(kind == "ipv4", form).when(kind == "iban", _fill(original, form, "[A-Z0-9]")).when(kind == "person", F.concat(title, cased)).otherwise(_fill(original, F.replace(form, F.lit("+"), F.lit("")), "[0-9]"))
+    return F.when(kind == "email", upper).when(kind == "ipv4", form).when(kind == "iban", _fill(original, form, "[A-Z0-9]")).otherwise(_fill(original, F.replace(form, F.lit("+"), F.lit("")), "[0-9]"))
 
 
-def _keyed(canon: Column, kind: Column, attempt: Column, key: str) -> tuple[Column, Column]:
-    return _hash(canon, attempt.cast("string"), key=key), _hash(F.lit("domain"), F.substring_index(canon, "@", -1), key=key)
+def persons(text: Column) -> Column:
+    """The name words of a text's titled persons, lower case, with the gender that its titles give to given names ('' for
+    last names, which have no ending), as an array of structs without repeats of a word."""
+    mentions = F.regexp_extract_all(text, F.lit(PERSON), F.lit(0))
 
+    def words(m):
+        gender = F.when(m.rlike(f"^(?:{_WOMEN}) "), "f").when(m.rlike(f"^(?:{_MEN}) "), "m").otherwise("n")
+        own = F.regexp_extract_all(F.regexp_replace(m, rf"^(?:{_NEUTRAL}|{_WOMEN}|{_MEN}) ", ""), F.lit(_NAME), F.lit(0))
+        return F.transform(own, lambda w, i: F.struct(F.lower(w).alias("name"), F.when((F.size(own) > 1) & (i == 0), gender).otherwise("").alias("gender")))
 
-def entities(text: Column) -> Column:
-    """All entities of a text in order, as structs of the string, its kind and its canonical form."""
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    return F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("canon")))
+    every = F.flatten(F.transform(mentions, words))
+    # titles that tell a gender win over those that don't, and either over no ending
+    rank = lambda g: F.when(g == "f", 3).when(g == "m", 2).when(g == "n", 1).otherwise(0)
+    names = F.array_distinct(F.transform(every, lambda x: x["name"]))
+    best = lambda n: F.array_max(F.transform(F.filter(every, lambda x: x["name"] == n), lambda x: F.struct(rank(x["gender"]).alias("r"), x["gender"].alias("g"))))["g"]
+    return F.transform(names, lambda n: F.struct(n.alias("name"), best(n).alias("gender")))
 
 
-def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame | None:
-    """canon, attempt of the entities whose first surrogate clashes; None if there are none."""
-    found = docs.where(F.col("text").rlike(PATTERN)).select(F.explode(entities(F.col("text"))).alias("x"))
-    own = stage(found.groupBy(F.col("x.canon").alias("canon"), F.col("x.kind").alias("kind")).agg(F.lit(0).alias("attempt")), "entities")
+def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
+    """canon, attempt of the mail addresses and name words whose first surrogate clashes; None if there are none."""
+    text = F.col("text")
+    mails = docs.where(F.contains(text, F.lit("@"))).select(F.explode(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).alias("e")).select(F.concat(F.lit("email:"), F.lower("e")).alias("canon"))
+    names = docs.where(text.rlike(PERSON)).select(F.explode(persons(text)).alias("p")).select(F.concat(F.lit("name:"), F.col("p.name")).alias("canon"))
+    own = stage(mails.unionByName(names).distinct(), "entities")
     todo, good, later = own, None, None
+    form = F.regexp_replace("canon", "^[a-z]+:", "")
     for attempt in range(ATTEMPTS):
-        now = todo.withColumn("attempt", F.lit(attempt))
-        h, domain = _keyed(F.col("canon"), F.col("kind"), F.col("attempt"), key)
-        hashed = now.withColumn("h", h).withColumn("domain", domain)
-        prefix = F.when(F.col("kind") == "person", F.concat(F.lit("person:"), F.regexp_extract("canon", "^person:(.:)", 1))).otherwise(F.concat("kind", F.lit(":")))
-        proposed = stage(hashed.select("canon", "kind", "attempt", F.concat(prefix, _surrogate_form(F.col("canon"), F.col("kind"), F.col("h"), F.col("domain"), F.col("attempt"))).alias("s")), "proposed")
+        n = F.lit(attempt)
+        surrogate = F.when(F.col("canon").startswith("email:"), F.concat(F.lit("email:"), _email(form, n, key))).otherwise(F.concat(F.lit("name:"), _stem(form, n, key)))
+        proposed = stage(todo.select("canon", surrogate.alias("s")), "proposed")
         free = proposed.join(own.select(F.col("canon").alias("s")), "s", "left_anti")
         if good is not None:
             free = free.join(good, "s", "left_anti")
@@ -180,51 +310,72 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame | None:
         if not todo.take(1):
             return later
         good = stage(good, "taken")
-    raise ValueError(f"some entities have no surrogate of their own after {ATTEMPTS} attempts")
+    raise ValueError(f"some names have no surrogate of their own after {ATTEMPTS} attempts")
 
 
-def replaced(text: Column, attempts: Column | None, key: str = KEY) -> Column:
+def replaced(text: Column, attempts: Column | None, key: str) -> Column:
     """text with every entity replaced; attempts: map of canonical form to attempt, or None where all are 0."""
+    tried = lambda kind, form: F.lit(0) if attempts is None else F.coalesce(attempts[F.concat(F.lit(f"{kind}:"), form)], F.lit(0))
 
-    def tried(x):
-        n = F.lit(0) if attempts is None else F.coalesce(attempts[x["canon"]], F.lit(0))
-        return F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["canon"].alias("canon"), n.alias("n"))
+    def formed(e, kind, form):
+        other = F.when(kind == "email", _email(form, tried("email", form), key)).when(kind == "ipv4", _ip(form, key)).when(kind == "iban", _iban(form, key)).when(kind == "card", _card(form, key)).when(kind == "phone", _phone(form, key)).otherwise(_permuted(form, key, "ssn"))
+        return _let(other, lambda x: _render(e, kind, x))
 
-    def keyed(x):
-        h, domain = _keyed(x["canon"], x["kind"], x["n"], key)
-        return F.struct(*(x[c].alias(c) for c in ("e", "kind", "canon", "n")), h.alias("h"), domain.alias("domain"))
+    def new(e):
+        return _let(kind_of(e), lambda kind: _let(canonical(e, kind), lambda form: formed(e, kind, form)))
 
-    def formed(x):
-        return F.struct(x["e"].alias("e"), x["kind"].alias("kind"), _surrogate_form(x["canon"], x["kind"], x["h"], x["domain"], x["n"]).alias("form"))
-
-    new = F.transform(F.transform(F.transform(F.transform(entities(text), tried), keyed), formed), lambda x: _render(x["e"], x["kind"], x["form"]))
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     gaps = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
+    joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform(found, new), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
     return F.when(text.rlike(PATTERN), joined).otherwise(text)
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def renamed(text: Column, parts: Column, attempts: Column | None, key: str) -> Column:
+    """text with the capitalised words that are name words (parts: map of word to gender) replaced."""
+
+    def other(w, name):
+        n = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat(F.lit("name:"), name)], F.lit(0))
+        cased = lambda form: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(form)).otherwise(F.initcap(form))
+        return _let(F.concat(_stem(name, n, key), _ending(name, parts[name])), cased)
+
+    def new(w):
+        return F.when(F.map_contains_key(parts, F.lower(w)), _let(F.lower(w), lambda name: other(w, name))).otherwise(w)
+
+    word = rf"(?<!\p{{L}}){_NAME}(?!\p{{L}})"
+    gaps, words = F.split(text, word, -1), F.regexp_extract_all(text, F.lit(word), F.lit(0))
+    return F.array_join(F.flatten(F.zip_with(gaps, F.transform(words, new), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
+
+
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal data in `text` replaced (and n_chars, where there is such a column, that of the new text).
 
-    Other columns stay as they are; a null text stays null; equal rows stay equal; the same entity gets the same surrogate
-    in all documents, different entities different ones, none of them an entity of the corpus.
+    Other columns stay as they are, whatever their names; a null text stays null, an empty one empty; equal rows stay equal;
+    a null doc_id is an id like others; an empty table gives no rows; long texts are treated whole. The same entity gets the
+    same surrogate in all documents, different entities different ones. Without a key the surrogates could be enumerated, so
+    an empty one is an error.
     """
-    text = F.col("row.text").cast("string")
+    if not key:
+        raise ValueError(f"surrogates need a secret key, as in {KEY_SETTING}")
     rows = docs.select(F.struct("*").alias("row"))
     later = exceptions(docs.select(F.col("text").cast("string").alias("text")), key)
     attempts = None
     if later is not None:
         ids = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
-        has = ids.where(F.col("text").rlike(PATTERN)).select("d", "t", F.explode(F.array_distinct(F.transform(entities(F.col("text")), lambda x: x["canon"]))).alias("canon")).distinct()
+        mails = F.transform(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)), lambda e: F.concat(F.lit("email:"), F.lower(e)))
+        names = F.transform(persons(F.col("text")), lambda p: F.concat(F.lit("name:"), p["name"]))
+        canon = F.array_distinct(F.concat(F.when(F.contains("text", F.lit("@")), mails).otherwise(F.array()), F.when(F.col("text").rlike(PERSON), names).otherwise(F.array())))
+        has = ids.where(F.contains("text", F.lit("@")) | F.col("text").rlike(PERSON)).select("d", "t", F.explode(canon).alias("canon")).distinct()
         maps = has.join(later, "canon").groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("attempts"))
         rows = rows.join(maps, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("t")), "left")
         attempts = F.col("attempts")
-    new = replaced(text, attempts, key)
-    out = rows.select("row", new.alias("new"))
+    text = F.col("row.text").cast("string")
+    named = F.when(text.rlike(PERSON), F.map_from_entries(F.transform(persons(text), lambda p: F.struct(p["name"], p["gender"]))))
+    out = rows.select("row", *([] if attempts is None else ["attempts"]), named.alias("parts"), replaced(text, attempts, key).alias("new"))
+    out = out.select("row", F.when(F.col("parts").isNotNull(), renamed(F.col("new"), F.col("parts"), attempts, key)).otherwise(F.col("new")).alias("new"))
     fields = [F.col("new").alias(c) if c == "text" else F.char_length("new").cast(t).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c, t in docs.dtypes]
     return out.select(*fields)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_pii(docs)
+    return replace_pii(docs, session_key(spark))
