@@ -1,3 +1,3 @@
 """cellspan: Spark-native analytics for cycle-structured sensor series."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -120,62 +120,6 @@ def rate_normalise(k, cap, current, ambient, valid, ref_current: float = 2.0) ->
     return cap * np.exp(-dummies @ b), info
 
 
-def levenberg(residual: Callable[[np.ndarray], np.ndarray], start, low, high, rounds: int = 60, tol: float = 1e-10):
-    """Bounded least squares: damped Gauss-Newton steps, projected on the box. Returns parameters, residuals, Jacobian."""
-    low, high = np.asarray(low, float), np.asarray(high, float)
-    p = np.clip(np.asarray(start, float), low, high)
-    r = residual(p)
-    cost, damp = float(r @ r), 1e-3
-
-    def slope(p, r):
-        out = np.empty((len(r), len(p)))
-        for i in range(len(p)):
-            step = 1e-6 * max(abs(p[i]), 1e-3) * (-1 if p[i] + 1e-6 * max(abs(p[i]), 1e-3) > high[i] else 1)
-            q = p.copy()
-            q[i] += step
-            out[:, i] = (residual(q) - r) / step
-        return out
-
-    jac = slope(p, r)
-    for _ in range(rounds):
-        h, g = jac.T @ jac, jac.T @ r
-        free = ~(((p <= low) & (g > 0)) | ((p >= high) & (g < 0)))
-        if not free.any() or np.abs(g[free]).max() < tol:
-            break
-        a = h[np.ix_(free, free)]
-        step = np.zeros_like(p)
-        step[free] = -np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), g[free], rcond=None)[0]
-        q = np.clip(p + step, low, high)
-        new = residual(q)
-        new_cost = float(new @ new)
-        if new_cost < cost:
-            done = cost - new_cost < tol * max(cost, 1e-30)
-            p, r, cost, damp = q, new, new_cost, max(damp / 5, 1e-12)
-            jac = slope(p, r)
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    return p, r, jac
-
-
-def bisect(f: Callable[[float], float], a: float, b: float, rounds: int = 100) -> float:
-    """Root of f between a and b, whose signs there differ."""
-    fa = f(a)
-    for _ in range(rounds):
-        m = (a + b) / 2
-        fm = f(m)
-        if (fm > 0) == (fa > 0):
-            a, fa = m, fm
-        else:
-            b = m
-        if b - a < 1e-14:
-            break
-    return (a + b) / 2
-
-
 def savgol(y: np.ndarray, window: int = 9, order: int = 2) -> np.ndarray:
     """Local polynomial smoothing; ends use the polynomial of the first and last window."""
     n = len(y)
@@ -192,39 +136,6 @@ def savgol(y: np.ndarray, window: int = 9, order: int = 2) -> np.ndarray:
     return out
 
 
-def weighted_quantile(x: np.ndarray, w: np.ndarray, q) -> np.ndarray:
-    """The first sorted value whose cumulative weight reaches q."""
-    order = np.argsort(x, kind="stable")
-    c = np.cumsum(w[order])
-    return x[order][np.minimum(np.searchsorted(c, np.asarray(q) * c[-1], side="left"), len(x) - 1)]
-
-
-def systematic_resample(w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    at = (rng.random() + np.arange(len(w))) / len(w)
-    return np.minimum(np.searchsorted(np.cumsum(w) / w.sum(), at), len(w) - 1)
-
-
-def ols(x: np.ndarray, y: np.ndarray) -> dict:
-    """Coefficients (intercept first), standard errors, t, p, r2 and adjusted r2."""
-    a = np.column_stack([np.ones(len(y)), x])
-    b, *_ = np.linalg.lstsq(a, y, rcond=None)
-    r = y - a @ b
-    dof = len(y) - a.shape[1]
-    s2 = float(r @ r) / dof if dof > 0 else math.nan
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(a.T @ a)) * s2, 0)) if dof > 0 else np.full(len(b), math.nan)
-    sst = float(((y - y.mean()) ** 2).sum())
-    r2 = 1 - float(r @ r) / sst if sst > 0 else math.nan
-    t = np.divide(b, se, out=np.full(len(b), math.nan), where=se > 0)
-    return {"coef": b, "se": se, "t": t, "p": np.array([t_two_sided(v, dof) for v in t]), "r2": r2, "adj_r2": 1 - (1 - r2) * (len(y) - 1) / dof if dof > 0 else math.nan, "dof": dof}
-
-
-def vif(x: np.ndarray) -> np.ndarray:
-    """Variance inflation of each column."""
-    if x.shape[1] < 2:
-        return np.ones(x.shape[1])
-    return np.diag(np.linalg.pinv(np.corrcoef(x, rowvar=False)))
-
-
 def bayesian_ridge(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Evidence maximisation on sufficient statistics: coefficients, their covariance, noise variance."""
     d = len(xty)

@@ -1,4 +1,4 @@
-"""Curves of single cycles and what is read off them: resampling, Q(V), incremental capacity, half-cell fits."""
+"""Curves of single cycles and what is read off them: resampling, Q(V), incremental capacity, rate normalisation."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cellspan.config import CURVE_POINTS, LOADED_A
-from cellspan.functions.halfcell import fit_series
 from cellspan.functions.numeric import rate_normalise, savgol
 from cellspan.operators.features import running_charge
 
@@ -101,21 +100,6 @@ def delta_qv(df: DataFrame, lo: float = 3.3, hi: float = 3.9, n: int = 60) -> Da
     return both.mapInPandas(run, "Cell_ID string, Cycle_Index long, dq_logvar double, dq_min double, dq_mean double")
 
 
-FITS = "Cell_ID string, k long, qp double, qn double, li double, r double, rmse_mV double, success boolean, sd_qp double, sd_qn double, sd_li double, sd_r double, LLI double, LAM_PE double, LAM_NE double"
-
-
-def halfcell_fits(df: DataFrame, every: int = 1) -> DataFrame:
-    """Half-cell fits of each cell's curves in order (each starts from the one before)."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Cycle_Index").iloc[::every]
-        out = pd.DataFrame(fit_series([(int(r.Cycle_Index), np.asarray(r.q), np.asarray(r.v), float(np.mean(r.i))) for r in pdf.itertuples()]))
-        out.insert(0, "Cell_ID", key[0])
-        return out
-
-    return df.groupBy("Cell_ID").applyInPandas(run, FITS)
-
-
 def normalise_rate(df: DataFrame, cell: str = "cell") -> DataFrame:
     """df with cap_norm, normalised, rate_coef, offsets: level effects of current and ambient removed within each cell."""
     added = StructType([*df.schema.fields, *StructType.fromDDL("cap_norm double, normalised boolean, i_ref double, t_ref double, rate_coef double, offsets map<string,double>").fields])

@@ -43,15 +43,16 @@ def interpolated(sorted_values: Column, level: Column) -> Column:
     return a + (at - low) * (b - a)
 
 
-def conformal(resolved: DataFrame, alpha: float = BAND_ALPHA, least: int = 8, rows: int = 200) -> DataFrame:
+def conformal(resolved: DataFrame, alpha: float = BAND_ALPHA, least: int = 8, rows: int = 200, horizon: int = max(HORIZONS)) -> DataFrame:
     """radius: quantile of the last |actual - pred| of the same cell, model and horizon that were known at the origin.
 
-    The level is min(ceil((n + 1)(1 - alpha)) / n, 1); below `least` residuals there is none and `calibrated` is false.
+    The level is min(ceil((n + 1)(1 - alpha)) / n, 1); below `least` residuals there is none and `calibrated` is false. A
+    residual is known `horizon` origins later at most, so the last `rows` of them lie within rows + horizon origins.
     """
     w = Window.partitionBy("cell", "model", "h").orderBy("k0")
     # at origin k0 the targets up to k0 are known: origins at least h before
     known = resolved.withColumn("err", F.abs(F.col("actual") - F.col("pred")))
-    known = known.withColumn("prior", F.collect_list(F.when(F.col("err").isNotNull(), F.struct("k_target", "err"))).over(w.rowsBetween(-(rows + 60), -1)))
+    known = known.withColumn("prior", F.collect_list(F.when(F.col("err").isNotNull(), F.struct("k_target", "err"))).over(w.rowsBetween(-(rows + horizon), -1)))
     seen = F.transform(F.filter("prior", lambda p: p["k_target"] <= F.col("k0")), lambda p: p["err"])
     last = F.slice(F.concat(F.array_repeat(F.lit(-1.0), rows), seen), -rows, rows)
     s = F.array_sort(F.filter(last, lambda v: v >= 0))
@@ -71,13 +72,60 @@ def crossings(paths: DataFrame, threshold: float, by: list[str], h: str = "h", y
     return hit.select(*by, F.when(c["h0"].isNull(), c["h1"].cast("double")).otherwise(c["h0"] + (c["y0"] - threshold) / (c["y0"] - c["y1"] + 1e-12) * (c["h1"] - c["h0"])).alias("crossing"))
 
 
+def band(radius: Column, pred: Column, lo: Column, hi: Column) -> tuple[Column, Column, Column]:
+    """lo, hi and whether they are calibrated: pred and the conformal radius where there is one, else the model's own."""
+    known = radius.isNotNull()
+    return F.when(known, pred - radius).otherwise(lo), F.when(known, pred + radius).otherwise(hi), known
+
+
+def fan(resolved: DataFrame, steps: int = 60, horizons=(1, *HORIZONS)) -> DataFrame:
+    """cell, model, h, pred, lo, hi for each step ahead of the last origin: the radius lies on lines between the horizons
+    that were calibrated at that origin."""
+    last = conformal(resolved).groupBy("cell", "model", "h").agg(F.max_by(F.struct("k0", "pred", "radius"), "k0").alias("x"))
+    at = last.where(F.col("x.radius").isNotNull()).groupBy("cell", "model").agg(F.max_by("x.pred", "x.k0").alias("pred"), F.sort_array(F.collect_list(F.struct(F.col("h"), F.col("x.radius").alias("r")))).alias("rs"))  # one entry a horizon
+    each = at.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    below, above = F.filter("rs", lambda p: p["h"] <= F.col("h")), F.filter("rs", lambda p: p["h"] >= F.col("h"))
+    a, b = F.get(F.reverse(below), F.lit(0)), F.get(above, F.lit(0))
+    share = F.try_divide(F.col("h") - a["h"], b["h"] - a["h"])
+    radius = F.when(a.isNull(), b["r"]).when(b.isNull() | (a["h"] == b["h"]), a["r"]).otherwise(a["r"] + share * (b["r"] - a["r"]))
+    return each.select("cell", "model", "h", "pred", (F.col("pred") - radius).alias("lo"), (F.col("pred") + radius).alias("hi"))
+
+
+def linear_trend(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows: int = 20, width: float = 0.3) -> DataFrame:
+    """Forecast log of the line through the last rows (the last value where there are fewer than three)."""
+    w = Window.partitionBy("cell").orderBy("k").rowsBetween(-(rows - 1), 0)
+    k = F.col("k").cast("double")
+    lines = df.withColumns({"__n": F.count(x).over(w), "__b": F.regr_slope(x, k).over(w), "__a": F.regr_intercept(x, k).over(w)})
+    d = lines.withColumn("h", F.explode(F.array(*map(F.lit, horizons))))
+    pred = F.when(F.col("__n") >= 3, F.col("__a") + F.col("__b") * (F.col("k") + F.col("h"))).otherwise(F.col(x))
+    return d.select("cell", "grp", F.lit("linear trend").alias("model"), F.col("k").alias("k0"), pred.alias("pred"), F.col(x).alias("now"), "h").withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
+
+
+def live_accuracy(resolved: DataFrame) -> DataFrame:
+    """n, rmse, mae, coverage by model and horizon of what has been resolved so far; on a stream, in update mode."""
+    y, p = F.col("actual"), F.col("pred")
+    return resolved.where(y.isNotNull() & p.isNotNull()).groupBy("model", "h").agg(F.count("*").alias("n"), M.rmse(y, p).alias("rmse"), M.mae(y, p).alias("mae"), M.coverage(y, F.col("lo"), F.col("hi")).alias("coverage"))
+
+
+def combined(forecasts: DataFrame, weights: DataFrame) -> DataFrame:
+    """Forecasts of the ensemble: weighted means over the models of an origin (equal weights where none is known yet)."""
+    w = forecasts.join(weights.select("cell", "k0", "model", "weight"), ["cell", "k0", "model"], "left").withColumn("weight", F.coalesce("weight", F.lit(1e-9)))
+    mean = lambda c: (F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c)
+    out = w.where("weight > 0").groupBy("cell", "grp", "k0", "h", "k_target").agg(mean("pred"), F.first("now").alias("now"), mean("lo"), mean("hi"))
+    return out.withColumn("model", F.lit("ensemble"))
+
+
+#: Origins whose errors count: the weight of an older one is below 1e-36.
+EWMA_ROWS = 512
+
+
 def ewma_error(resolved: DataFrame, decay: float = 0.85) -> DataFrame:
     """Exponentially weighted squared error after each resolved one-step forecast; the first one starts it."""
-    w = Window.partitionBy("cell", "model").orderBy("k0").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("cell", "model").orderBy("k0")
     d = resolved.where((F.col("h") == 1) & F.col("actual").isNotNull()).withColumn("e2", F.pow(F.col("actual") - F.col("pred"), 2))
-    d = d.withColumn("all", F.collect_list("e2").over(w))
-    fold = F.aggregate(F.slice("all", 2, F.size("all")), F.element_at("all", 1), lambda a, v: a * decay + v * (1 - decay))
-    return d.withColumn("err", fold).withColumn("n", F.size("all")).drop("all")
+    d = d.withColumns({"n": F.row_number().over(w), "recent": F.collect_list("e2").over(w.rowsBetween(-(EWMA_ROWS - 1), 0))})
+    fold = F.aggregate(F.slice("recent", 2, EWMA_ROWS), F.element_at("recent", 1), lambda a, v: a * decay + v * (1 - decay))
+    return d.withColumn("err", fold).drop("recent")
 
 
 def ensemble_weights(errors: DataFrame, warm_up: int = 5, limit: float = 9.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Models over cycle features with whole cells held out: folds, Bayesian ridge on sufficient statistics, MLlib trees."""
+"""Models over tables of cycles with whole cells held out: folds, imputation, ridge from sums, MLlib trees, importance."""
 
 from __future__ import annotations
 
@@ -7,69 +7,264 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from cellspan.functions.numeric import bayesian_ridge, ols, vif
+from cellspan.functions import metrics as M
+from cellspan.functions.numeric import bayesian_ridge, t_two_sided
 
+ROUND = 4  # digits of values that medians are taken of, which bounds what an aggregation holds
 
-def group_folds(df: DataFrame, n: int = 5, group: str = "cell") -> DataFrame:
-    """group, fold: whole groups, the largest first into the lightest fold. One row a group reaches the driver."""
-    sizes = df.groupBy(group).count().orderBy(F.desc("count"), group).collect()
-    load, rows = [0] * min(n, max(1, len(sizes))), []
-    for r in sizes:
-        f = load.index(min(load))
-        load[f] += r["count"]
-        rows.append((r[group], f))
-    return df.sparkSession.createDataFrame(rows, f"{group} string, fold int")
-
-
-def _sums(df: DataFrame, x: list[str], y: str, by: str) -> dict:
-    """n, sums and products of (x, y) by fold, in one aggregation: the training sums of a fold are total minus own."""
-    cols = [*x, y]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    rows = df.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s_{c}") for c in cols), *(F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs)).collect()
-    out = {}
-    for r in rows:
-        p = np.zeros((len(cols), len(cols)))
-        for a, b in pairs:
-            i, j = cols.index(a), cols.index(b)
-            p[i, j] = p[j, i] = r[f"p_{a}_{b}"]
-        out[r[by]] = (r["n"], np.array([r[f"s_{c}"] for c in cols]), p)
+
+def _dealt(load: list[int], size: int, m: int) -> list[tuple[int, list[int]]]:
+    """How m groups of equal size go to the lightest fold one by one, as (first, folds in turn) segments; updates load."""
+    out, at = [], 0
+    while at < m:
+        order = sorted(range(len(load)), key=lambda f: (load[f], f))
+        level = load[order[0]]
+        turn = [f for f in order if load[f] - level < size]  # these take turns until another fold is as light
+        others = order[len(turn) :]
+        rounds = m if not others else max(1, (load[others[0]] - max(load[f] for f in turn)) // size)
+        take = min(m - at, rounds * len(turn))
+        out.append((at, turn))
+        for i in range(len(turn)):
+            load[turn[i]] += size * ((take - i + len(turn) - 1) // len(turn) if take > i else 0)
+        at += take
     return out
 
 
-def _ridge(n, s, p):
-    """Standardised Bayesian ridge: weights, means, scales, y mean, covariance, noise."""
+def group_folds(df: DataFrame, n: int = 5, group: str = "cell") -> DataFrame:
+    """group, fold: whole groups, the largest first (of equal ones by name) into the lightest fold.
+
+    Groups of equal size are dealt in turns, so the driver sees one row for each size (fewer than the root of twice the
+    rows) and makes a few segments of it; groups find their segment by their number among those of their size.
+    """
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("size"))
+    counts = sizes.groupBy("size").agg(F.count("*").alias("m"), F.count("*").alias("__n")).orderBy(F.desc("size")).collect()
+    load = [0] * min(n, max(1, sum(r["m"] for r in counts)))
+    rows = [(r["size"], at, turn) for r in counts for at, turn in _dealt(load, r["size"], r["m"])]
+    segments = df.sparkSession.createDataFrame(rows, "size long, at long, turn array<int>")
+    segments = segments.withColumn("until", F.lead("at").over(Window.partitionBy("size").orderBy("at")))
+    numbered = sizes.withColumn("i", F.row_number().over(Window.partitionBy("size").orderBy(group)) - 1)
+    joined = numbered.join(segments, "size").where((F.col("i") >= F.col("at")) & (F.col("until").isNull() | (F.col("i") < F.col("until"))))
+    return joined.select(group, F.get("turn", ((F.col("i") - F.col("at")) % F.size("turn")).cast("int")).alias("fold"))
+
+
+def folded(df: DataFrame, n: int = 5, group: str = "cell") -> DataFrame:
+    return df.join(group_folds(df, n, group), group)
+
+
+def imputed(df: DataFrame, columns, by: str = "fold") -> DataFrame:
+    """Gaps filled with the median of the other folds' known values (0 for columns without any)."""
+    folds = df.select(by).distinct().withColumnRenamed(by, "__to")
+    others = df.select(by, *columns).join(F.broadcast(folds), F.col(by) != F.col("__to"))  # as many rows as folds
+    medians = others.groupBy("__to").agg(*(F.percentile(F.round(c, ROUND), F.lit(0.5)).alias(f"__m_{c}") for c in columns))
+    out = df.join(medians, F.col(by) == F.col("__to"), "left")
+    return out.withColumns({c: F.coalesce(c, f"__m_{c}", F.lit(0.0)) for c in columns}).drop("__to", *(f"__m_{c}" for c in columns))
+
+
+def sums(df: DataFrame, x: list[str], y: str, by: str) -> DataFrame:
+    """n, sums and the upper triangle of the products of (x, y) by key, in one aggregation; rows with a gap don't count."""
+    cols = [F.col(c).cast("double") for c in (*x, y)]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    return df.dropna(subset=[*x, y]).groupBy(by).agg(F.count("*").alias("n"), F.array(*(F.sum(c) for c in cols)).alias("s"), F.array(*(F.sum(cols[i] * cols[j]) for i, j in pairs)).alias("p"))
+
+
+def _square(p, d: int) -> np.ndarray:
+    out = np.zeros((d, d))
+    out[np.triu_indices(d)] = p
+    return out + np.triu(out, 1).T
+
+
+def total_less_own(own: DataFrame, by: str) -> DataFrame:
+    """The same sums over all other keys; the total is one row."""
+    d = own.select(by, F.col("n").cast("double").alias("n"), "s", "p")
+    flat = d.select(F.posexplode(F.concat(F.array("n"), "s", "p")).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    total = flat.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda z: z["v"]).alias("t"))  # one entry a sum
+    both = d.withColumn("o", F.concat(F.array("n"), "s", "p")).crossJoin(F.broadcast(total))
+    rest = both.withColumn("r", F.zip_with("t", "o", lambda a, b: a - b)).withColumn("d", F.size("s"))
+    return rest.select(by, F.element_at("r", 1).alias("n"), F.slice(F.col("r"), F.lit(2), F.col("d")).alias("s"), F.slice(F.col("r"), F.col("d") + 2, F.size("p")).alias("p"))
+
+
+MODEL = "w array<double>, m array<double>, sd array<double>, wc array<double>, noise double"
+
+
+def _solve(n: float, s, p, alpha: float | None, tuned: tuple[float, float] = (1e-6, 1e-6)):
+    """Standardised ridge from sums: weights, means, scales, covariance of the weights, noise. alpha: a fixed penalty; None:
+    Bayesian, from the data."""
+    s = np.array(s)
+    d = len(s)
     m = s / n
-    cov = p / n - np.outer(m, m)
+    cov = _square(p, d) / n - np.outer(m, m)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-18))
     sd[sd < 1e-9] = 1.0
     c = cov / np.outer(sd, sd) * n
-    w, wc, noise = bayesian_ridge(c[:-1, :-1], c[:-1, -1], c[-1, -1], n)
-    return w, m, sd, wc, noise
+    if alpha is None:
+        w, wc, noise = bayesian_ridge(c[:-1, :-1], c[:-1, -1], c[-1, -1], n)
+    else:
+        inverse = np.linalg.inv(c[:-1, :-1] + alpha * np.eye(d - 1))
+        w = inverse @ c[:-1, -1]
+        noise = max(float(c[-1, -1] - 2 * w @ c[:-1, -1] + w @ c[:-1, :-1] @ w) / max(n - d, 1), 0.0)
+        wc = inverse * noise
+    return w.tolist(), m.tolist(), sd.tolist(), wc.ravel().tolist(), float(noise)
 
 
-def grouped_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5) -> DataFrame:
-    """df rows with fold, pred, std of a Bayesian ridge trained on the other folds; rows with missing values are left out."""
-    d = df.dropna(subset=[*x, y])
-    folded = d.join(F.broadcast(group_folds(d, n, group)), group)  # one row a group
-    sums = _sums(folded, x, y, "fold")
-    models = {}
-    for f in sums:
-        rest = [v for g, v in sums.items() if g != f]
-        if rest:
-            models[f] = _ridge(sum(v[0] for v in rest), sum(v[1] for v in rest), sum(v[2] for v in rest))
+def fitted(rest: DataFrame, by: str, alpha: float | None = None, least: int = 3, intercept: bool = False) -> DataFrame:
+    """A ridge for each row of sums (by, n, s, p); none from fewer than `least` rows. intercept: it is penalised as well."""
+    key = rest.schema[by]
 
     def run(frames):
         for pdf in frames:
-            pred, std = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
-            for f, (w, m, sd, wc, noise) in models.items():
-                on = (pdf["fold"] == f).to_numpy()
-                z = (pdf.loc[on, x].to_numpy(float) - m[:-1]) / sd[:-1]
-                pred[on] = z @ w * sd[-1] + m[-1]
-                std[on] = np.sqrt(np.einsum("ij,jk,ik->i", z, wc, z) + noise) * sd[-1]
-            yield pdf.assign(pred=pred, std=std)
+            rows = []
+            for r in pdf.itertuples():
+                if r.n >= least:
+                    w, m, *more = _solve(r.n, r.s, r.p, alpha)
+                    m[-1] *= r.n / (r.n + alpha) if intercept else 1
+                    rows.append((getattr(r, by), w, m, *more))
+            yield pd.DataFrame(rows, columns=[by, "w", "m", "sd", "wc", "noise"])
+
+    return rest.mapInPandas(run, StructType([key, *StructType.fromDDL(MODEL).fields]))
+
+
+def predicted(df: DataFrame, models: DataFrame, x: list[str], by: str) -> DataFrame:
+    """df with pred and std of the model of its key, in Column arithmetic; null where a feature or the model is missing."""
+    d = len(x)
+    z = F.array(*((F.col(c).cast("double") - F.get("m", F.lit(i))) / F.get("sd", F.lit(i)) for i, c in enumerate(x)))
+    known = df.join(models, by, "left").withColumn("z", z)
+    at = lambda c, i: F.get(c, F.lit(i))
+    line = sum((at("z", i) * at("w", i) for i in range(d)), F.lit(0.0))
+    spread = sum((at("z", i) * at("wc", i * d + j) * at("z", j) for i in range(d) for j in range(d)), F.lit(0.0))
+    out = known.withColumns({"pred": line * at("sd", d) + at("m", d), "std": F.sqrt(F.greatest(spread + F.col("noise"), F.lit(0.0))) * at("sd", d)})
+    return out.drop("w", "m", "sd", "wc", "noise", "z")
+
+
+def grouped_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, alpha: float | None = None) -> DataFrame:
+    """df rows with fold, pred, std of a ridge trained on the other folds' cells; gaps are filled with those folds' medians.
+
+    The training sums of a fold are the total less its own.
+    """
+    d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)
+    return predicted(d, fitted(total_less_own(sums(d, x, y, "fold"), "fold"), "fold", alpha), x, "fold")
+
+
+#: Penalties that tuning chooses from (fixed values of the grid), as multiples of a row's weight.
+PENALTIES = (1e-6, 1e-3, 1.0, 100.0)
+
+
+def tuned_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, penalties=PENALTIES) -> DataFrame:
+    """The same, nested: each fold's penalty is the one with the least error when the folds of its training cells are held
+    out one by one. Inner models come from sums as well: total less the outer fold less the inner one."""
+    d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)
+    rows, models = _fold_sums(d, x, y), []
+    for f in rows:
+        rest = {g: v for g, v in rows.items() if g != f}
+        whole = [sum(v[i] for v in rest.values()) for i in range(3)] if rest else None
+        if whole is None or whole[0] < 3:
+            continue
+        inner = {g: v for g, v in rest.items() if whole[0] - v[0] >= 3}
+        errors = {a: sum(_squared_error(_solve(whole[0] - n, whole[1] - s, whole[2] - p, a), n, s, p) for n, s, p in inner.values()) for a in penalties}
+        best = min(errors, key=lambda a: (errors[a], a))
+        models.append((f, float(best), *_solve(*whole, best)))
+    table = df.sparkSession.createDataFrame(models, f"fold int, penalty double, {MODEL}")
+    return predicted(d, table, x, "fold")
+
+
+def cv_summary(predicted_rows: DataFrame, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, rmse, mae, r2 and the share within 1.645 standard deviations, overall or by key (such as cell)."""
+    a, p, s = F.col(y), F.col("pred"), F.col("std")
+    return predicted_rows.where(p.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), M.rmse(a, p).alias("rmse"), M.mae(a, p).alias("mae"), M.r2(a, p).alias("r2"), M.coverage(a, p - 1.645 * s, p + 1.645 * s).alias("coverage90"))
+
+
+def backtest(fade: DataFrame, x: list[str], alpha: float | None = None, cell: str = "cell") -> DataFrame:
+    """Each origin's health `horizon` cycles ahead by a model of the loss that all other cells have taught (gaps: the median
+    over all cells). Cells with fewer than three others get no forecast."""
+    medians = fade.agg(*(F.percentile(F.round(c, ROUND), F.lit(0.5)).alias(f"__m_{c}") for c in x))
+    d = fade.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"__m_{c}", F.lit(0.0)) for c in x}).drop(*(f"__m_{c}" for c in x))  # one row
+    own = sums(d, x, "target", cell)
+    models = fitted(total_less_own(own, cell), cell, alpha)
+    enough = own.agg((F.count("*") > 3).alias("enough"))
+    out = predicted(d, models, x, cell).crossJoin(F.broadcast(enough)).where("enough")
+    ahead = F.col("horizon") / 100
+    return out.select(cell, "k0", "soh_now", "soh_future", "target", "horizon", F.col("pred").alias("rate_pred"), (F.col("soh_now") - F.col("pred") * ahead).alias("soh_pred"), (F.col("std") * ahead).alias("soh_std"))
+
+
+def loco(df: DataFrame, x: list[str], y: str = "soh", cell: str = "cell", alpha: float = 1e-3) -> DataFrame:
+    """cell, rmse on each cell of a ridge that all other cells have taught, for sets of columns (rows with a gap are out)."""
+    d = df.dropna(subset=[*x, y])
+    models = fitted(total_less_own(sums(d, x, y, cell), cell), cell, alpha, intercept=True)
+    return predicted(d, models, x, cell).groupBy(cell).agg(M.rmse(F.col(y), F.col("pred")).alias("rmse"))
+
+
+def greedy(candidates: list[str], error, gain: float = 0.03) -> list[tuple[str, float]]:
+    """Candidates chosen one by one, with the error of the set, while it falls by more than `gain`; error: set -> number."""
+    chosen: list[tuple[str, float]] = []
+    left, best = list(candidates), float("inf")
+    while left:
+        scored = [(e, c) for c in left if (e := error([*(n for n, _ in chosen), c])) is not None and np.isfinite(e)]
+        if not scored or min(scored)[0] > best * (1 - gain):
+            break
+        best, c = min(scored)
+        chosen.append((c, best))
+        left.remove(c)
+    return chosen
+
+
+#: Indicators that measure capacity itself (fixed values); they are no candidates unless asked for.
+CAPACITY_LIKE = ("cap_norm", "energy_Wh")
+
+
+def select_indicators(df: DataFrame, columns: list[str], y: str = "soh", share: float = 0.5, exclude=CAPACITY_LIKE) -> tuple[list[tuple[str, float]], str]:
+    """Indicators chosen greedily by their error on left-out cells, and whether one or several are better; a round is one
+    job for each candidate. Candidates are known in more than `share` of the rows."""
+    counts = df.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in columns)).first()
+    good = [c for c in columns if c not in exclude and counts["n"] and counts[c] / counts["n"] > share]
+    path = greedy(good, lambda cols: loco(df, cols, y).agg(F.when(F.count("*") >= 3, F.avg("rmse"))).first()[0])
+    return path, "undetermined" if not path else "several" if len(path) > 1 else "one"
+
+
+#: Groups of measurements (fixed values).
+MEASUREMENTS = {"resistance": ["R0"], "impedance": ["Re_ohm", "Rct_ohm"], "temperature rise": ["T_rise"], "charge times": ["cc_time_s", "cv_time_s"], "discharge voltage": ["V_mean"], "cycle count": ["k"]}
+
+
+def _squared_error(model, n: float, s, p) -> float:
+    """Of a model on rows with these sums, as a quadratic form in (1, x, y)."""
+    w, m, sd, _, _ = model
+    beta = np.array(w) * sd[-1] / np.array(sd[:-1])
+    const = m[-1] - beta @ np.array(m[:-1])
+    v = np.append(-beta, 1.0)
+    return float(v @ _square(p, len(m)) @ v - 2 * const * v @ np.array(s) + n * const * const)
+
+
+def _fold_sums(d: DataFrame, x: list[str], y: str) -> dict:
+    """One row a fold."""
+    return {r["fold"]: (float(r["n"]), np.array(r["s"]), np.array(r["p"])) for r in sums(d, x, y, "fold").collect()}
+
+
+def _error_from_sums(d: DataFrame, x: list[str], y: str, alpha: float | None = None) -> float | None:
+    """Root mean squared error of a ridge with each fold held out, from one aggregation: no row is predicted."""
+    rows = _fold_sums(d, x, y)
+    total = [sum(v[i] for v in rows.values()) for i in range(3)] if len(rows) > 1 else None
+    if total is None:
+        return None
+    sse = sum(_squared_error(_solve(total[0] - n, total[1] - s, total[2] - p, alpha), n, s, p) for n, s, p in rows.values())
+    return float(np.sqrt(max(sse, 0.0) / total[0]))
 
-    return folded.mapInPandas(run, StructType([*folded.schema.fields, *StructType.fromDDL("pred double, std double").fields]))
+
+def rank_measurements(df: DataFrame, groups: dict[str, list[str]] | None = None, y: str = "soh", share: float = 0.3, folds: int = 5) -> tuple[list[tuple[str, float, float]], list[tuple[str, float]]]:
+    """(measurement, error, gain over the mean), least error first, and those that are worth adding greedily.
+
+    Error: of a Bayesian ridge with whole cells held out, on rows that have the measurement.
+    """
+    groups = groups or MEASUREMENTS
+    every = sorted({c for v in groups.values() for c in v if c in df.columns})
+    row = df.agg(F.count("*").alias("n"), F.stddev_pop(y).alias("sd"), *(F.count(c).alias(c) for c in every)).first()
+    have = {name: [c for c in cols if c in every and row["n"] and row[c] / row["n"] > share] for name, cols in groups.items()}
+    have = {name: cols for name, cols in have.items() if cols}
+    d = folded(df.where(F.col(y).isNotNull()).select("cell", y, *every), folds).persist()
+    error = lambda names: _error_from_sums(d, [c for n in names for c in have[n]], y)
+    single = sorted(((name, error([name])) for name in have), key=lambda v: (v[1] is None, v[1]))
+    path = greedy(list(have), error)
+    d.unpersist()
+    return [(n, e, None if e is None else 1 - e / row["sd"]) for n, e in single], path
 
 
 def tree_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, kind: str = "forest", seed: int = 7) -> DataFrame:
@@ -77,22 +272,21 @@ def tree_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    d = df.dropna(subset=[*x, y])
-    folded = VectorAssembler(inputCols=x, outputCol="features").transform(d.join(F.broadcast(group_folds(d, n, group)), group)).cache()
+    d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)
+    data = VectorAssembler(inputCols=x, outputCol="features").transform(d)
     out = None
-    for r in folded.select("fold").distinct().collect():
+    for r in data.select("fold").distinct().collect():
         model = RandomForestRegressor(labelCol=y, numTrees=50, maxDepth=8, seed=seed) if kind == "forest" else GBTRegressor(labelCol=y, maxIter=40, maxDepth=4, stepSize=0.1, seed=seed)
-        part = model.fit(folded.where(F.col("fold") != r["fold"])).transform(folded.where(F.col("fold") == r["fold"])).drop("features").withColumnRenamed("prediction", "pred")
+        part = model.fit(data.where(F.col("fold") != r["fold"])).transform(data.where(F.col("fold") == r["fold"])).drop("features").withColumnRenamed("prediction", "pred")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def gaussian_process_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, most: int = 700, seed: int = 7) -> DataFrame:
     """The same with a Gaussian process on at most `most` training rows a fold (a parameter of the model); a task per fold."""
-    d = df.dropna(subset=[*x, y])
-    folded = d.join(F.broadcast(group_folds(d, n, group)), group)
-    folds = [r["fold"] for r in folded.select("fold").distinct().collect()]
-    train = folded.select("fold", *x, y).withColumn("r", F.rand(seed)).orderBy("r").limit(most * len(folds)).toPandas()
+    d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)
+    folds = [r["fold"] for r in d.select("fold").distinct().collect()]
+    train = d.select("fold", *x, y).withColumn("r", F.xxhash64("fold", *x, F.lit(seed))).orderBy("r").limit(most * len(folds)).toPandas()
 
     def run(frames):
         models = {}
@@ -118,31 +312,49 @@ def gaussian_process_cv(df: DataFrame, x: list[str], y: str, group: str = "cell"
                 std[on] = np.sqrt(np.maximum(1.05 - (v * v).sum(0), 1e-9)) * ysd
             yield pdf.assign(pred=pred, std=std)
 
-    return folded.mapInPandas(run, StructType([*folded.schema.fields, *StructType.fromDDL("pred double, std double").fields]))
+    return d.mapInPandas(run, StructType([*d.schema.fields, *StructType.fromDDL("pred double, std double").fields]))
+
+
+def dealt_anew(df: DataFrame, column: str, seed: int, bucket: int = 1000) -> DataFrame:
+    """df with the values of a column dealt out anew at random: rows and values meet within random buckets of about so many
+    rows, at their places in two random orders."""
+    keyed = df.withColumn("__id", F.xxhash64(*df.columns))
+    buckets = F.greatest(F.ceil(F.col("__all") / bucket), F.lit(1))
+    counted = keyed.crossJoin(F.broadcast(keyed.agg(F.count("*").alias("__all"))))  # one row
+    placed = counted.withColumn("__b", F.pmod(F.xxhash64("__id", F.lit(seed)), buckets)).drop("__all")
+    place = lambda salt: F.row_number().over(Window.partitionBy("__b").orderBy(F.xxhash64("__id", F.lit(seed), F.lit(salt)), "__id"))
+    rows = placed.withColumn("__r", place(1)).drop(column)
+    values = placed.select("__b", F.col(column), place(2).alias("__r"))
+    return rows.join(values, ["__b", "__r"]).select(*df.columns)
 
 
 def permutation_importance(df: DataFrame, x: list[str], y: str, group: str = "cell", repeats: int = 5) -> DataFrame:
-    """feature, increase: mean rise of the error when a feature's values are dealt out anew within the table."""
-    base = grouped_cv(df, x, y, group).agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col("pred"), 2))).alias("e")).first()["e"]
-    d = df.dropna(subset=[*x, y])
-    rows = []
-    for c in x:
-        rises = []
-        for s in range(repeats):
-            ordered = d.rdd.zipWithIndex().toDF(["row", "i"]).select("row.*", "i")
-            other = d.select(F.col(c).alias("__v")).orderBy(F.rand(s)).rdd.zipWithIndex().toDF(["v", "i"]).select(F.col("v.__v").alias("__v"), "i")
-            mixed = ordered.join(other, "i").withColumn(c, F.col("__v")).drop("i", "__v")
-            rises.append(grouped_cv(mixed, x, y, group).agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col("pred"), 2))).alias("e")).first()["e"] - base)
-        rows.append((c, float(np.mean(rises))))
-    return df.sparkSession.createDataFrame(rows, "feature string, increase double")
-
-
-def pca(df: DataFrame, columns: list[str], n: int = 2) -> tuple[DataFrame, pd.DataFrame, np.ndarray]:
-    """Scores, loadings and explained shares from one aggregation of moments; the largest loading is positive."""
-    d = df.dropna(subset=columns)
-    ((_, (count, s, p)),) = _sums(d.withColumn("__all", F.lit(0)), columns[:-1], columns[-1], "__all").items()
-    m = s / count
-    cov = p / count - np.outer(m, m)
+    """feature, increase: mean rise of the error on held-out cells when a feature's values are dealt out anew among rows."""
+    d = imputed(folded(df.where(F.col(y).isNotNull()), 5, group), x).persist()
+    models = fitted(total_less_own(sums(d, x, y, "fold"), "fold"), "fold").persist()
+    error = lambda rows: predicted(rows, models, x, "fold").agg(M.rmse(F.col(y), F.col("pred")).alias("e")).first()["e"]
+    base, rises = error(d), []
+    for c in x:  # one number for each feature and repeat
+        rises += [(c, float(error(dealt_anew(d, c, s)) - base)) for s in range(repeats)] if base is not None else []
+    d.unpersist()
+    models.unpersist()
+    return df.sparkSession.createDataFrame(rises, "feature string, rise double").groupBy("feature").agg(F.avg("rise").alias("increase"))
+
+
+def _moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """n, means and covariance (over n) of complete rows, from one aggregation."""
+    r = sums(df.withColumn("__all", F.lit(0)), columns[:-1], columns[-1], "__all").first()
+    if r is None:
+        return 0, np.zeros(len(columns)), np.zeros((len(columns), len(columns)))
+    m = np.array(r["s"]) / r["n"]
+    return r["n"], m, _square(r["p"], len(columns)) / r["n"] - np.outer(m, m)
+
+
+def pca(df: DataFrame, columns: list[str], n: int = 2, against: str | None = None) -> tuple[DataFrame, pd.DataFrame, np.ndarray, float | None]:
+    """Scores, loadings, explained shares, and the correlation of the first component with `against`; from moments. The
+    largest loading of a component is positive."""
+    d = df.dropna(subset=[*columns, *([against] if against else [])])
+    _, m, cov = _moments(d, columns)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-18))
     values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
     order = np.argsort(values)[::-1]
@@ -151,32 +363,36 @@ def pca(df: DataFrame, columns: list[str], n: int = 2) -> tuple[DataFrame, pd.Da
     z = [(F.col(c) - float(a)) / float(b) for c, a, b in zip(columns, m, sd, strict=True)]
     scores = d.withColumns({f"PC{j + 1}": sum(float(vectors[i, j]) * z[i] for i in range(len(columns))) for j in range(n)})
     loadings = pd.DataFrame(vectors[:, :n], index=columns, columns=[f"PC{j + 1}" for j in range(n)])
-    return scores, loadings, values / values.sum()
+    corr = scores.agg(F.corr("PC1", against)).first()[0] if against else None
+    return scores, loadings, values / values.sum(), corr
 
 
-def stress_regression(rates: DataFrame, factors: list[str], y: str = "fade_rate") -> pd.DataFrame:
-    """Coefficients of a regression over cells (one row a cell) with errors, p, inflation and a label of its power."""
-    pdf = rates.select(y, *factors).dropna().toPandas()
-    x = pdf[factors].to_numpy(float)
-    x = (x - x.mean(0)) / (x.std(0) + 1e-12)
-    fit = ols(x, pdf[y].to_numpy(float))
-    label = "insufficient" if fit["dof"] < 3 else "low" if fit["dof"] < 10 else "moderate" if fit["dof"] < 25 else "adequate"
-    return pd.DataFrame({"factor": factors, "coef": fit["coef"][1:], "se": fit["se"][1:], "t": fit["t"][1:], "p": fit["p"][1:], "vif": vif(x), "r2": fit["r2"], "adj_r2": fit["adj_r2"], "power": label})
+def power_label(dof: int) -> str:
+    """How much a regression with so many degrees of freedom can show (fixed values)."""
+    return "not estimable" if dof < 3 else "very low power" if dof < 10 else "low power" if dof < 25 else "adequate"
+
+
+def stress_regression(rates: DataFrame, factors: list[str], y: str = "fade_rate") -> tuple[pd.DataFrame, dict]:
+    """Standardised coefficients of a regression over cells with errors, p, inflation and whether they are confounded; and
+    n, r2, adj_r2, power and the pairs of factors that go together (|r| > 0.7). All from moments of the cells' rows."""
+    n, m, cov = _moments(rates, [*factors, y])
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    keep = [i for i in range(len(factors)) if sd[i] > 1e-12]
+    p, dof = len(keep), n - len(keep) - 1
+    facts = {"n": n, "power": power_label(dof), "confounding": [], "r2": None, "adj_r2": None}
+    if p == 0 or dof < 2 or sd[-1] <= 0:
+        return pd.DataFrame(columns=["factor", "coef", "se", "t", "p", "vif", "confounded"]), facts
+    corr = cov[np.ix_(keep, keep)] / np.outer(sd[keep], sd[keep])
+    inverse = np.linalg.pinv(corr)
+    with_y = cov[keep, -1] / sd[keep]
+    beta = inverse @ with_y
+    sse = n * max(float(cov[-1, -1] - with_y @ beta), 0.0)
+    se = np.sqrt(sse / dof * np.diag(inverse) / n)
+    t = beta / np.where(se > 0, se, np.inf)
+    vif = np.maximum(np.diag(inverse), 1.0)
+    r2 = 1 - sse / (n * float(cov[-1, -1]))
+    names = [factors[i] for i in keep]
+    facts |= {"r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / dof, "confounding": [f"{names[i]} ~ {names[j]} (r={corr[i, j]:+.2f})" for i in range(p) for j in range(i + 1, p) if abs(corr[i, j]) > 0.7]}
+    return pd.DataFrame({"factor": names, "coef": beta, "se": se, "t": t, "p": [t_two_sided(float(v), dof) for v in t], "vif": vif, "confounded": vif > 5}), facts
 
 
-def greedy_indicators(df: DataFrame, columns: list[str], y: str, group: str = "cell", gain: float = 0.03) -> list[tuple[str, float]]:
-    """Indicators chosen one by one while the error falls by more than `gain`; a round is one pass per candidate."""
-    chosen, best = [], float("inf")
-    left = list(columns)
-    while left:
-        scored = []
-        for c in left:
-            e = grouped_cv(df, [*(n for n, _ in chosen), c], y, group).agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col("pred"), 2))).alias("e")).first()["e"]
-            if e is not None and np.isfinite(e):
-                scored.append((e, c))
-        if not scored or min(scored)[0] > best * (1 - gain):
-            break
-        best, c = min(scored)
-        chosen.append((c, best))
-        left.remove(c)
-    return chosen

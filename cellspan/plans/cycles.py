@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellspan.config import EOL_AH
 from cellspan.operators import curves, features, quality
 from cellspan.operators.asof import asof_fill
+from cellspan.sources.registry import is_pulsed
 
 
 def build(samples: DataFrame, impedance: DataFrame, registry: DataFrame, eol_ah: float = EOL_AH) -> tuple[DataFrame, DataFrame]:
@@ -15,7 +16,8 @@ def build(samples: DataFrame, impedance: DataFrame, registry: DataFrame, eol_ah:
     table = features.discharge_features(samples)
     table = asof_fill(table, features.charge_features(samples), ["cc_time_s", "cv_time_s"])
     table = asof_fill(table, impedance, ["Re_ohm", "Rct_ohm"])
-    table = table.join(registry.select("Cell_ID", "grp", "ambients", "declared_pulsed"), "Cell_ID", "left")
+    declared = registry if "declared_pulsed" in registry.columns else registry.withColumn("declared_pulsed", is_pulsed())
+    table = table.join(declared.select("Cell_ID", "grp", "ambients", "declared_pulsed"), "Cell_ID", "left")
     table = table.withColumn("grp", F.coalesce("grp", F.lit("Unknown"))).withColumn("k", F.row_number().over(Window.partitionBy("Cell_ID").orderBy("Cycle_Index")))
     table = table.withColumn("ambient", F.coalesce("ambient_obs", quality.nearest(F.col("ambients"), F.col("T_start")))).withColumnRenamed("Cell_ID", "cell")
     ok = quality.plausible(F.col("capacity"))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellspan.operators import asof, curves, features, forecasts, indicators, learning, quality, study
-from cellspan.plans import economics
+from cellspan.operators import asof, curves, datasets, features, forecasts, indicators, learning, quality, study
 from cellspan.sources.samples import E_SQL, L_SQL, event_cycles, lineitem_samples, normalise_samples
-from cellspan.streaming import replay, windows
+from cellspan.streaming import windows
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -411,12 +410,7 @@ def set_operations(spark, d):
 
 @query("thinned", f"WITH {E_SQL} SELECT cell, k, CASE WHEN (k - 1) % 5 = 0 THEN round(cap, 7) END AS cap FROM ev")
 def thinned(spark, d):
-    return rounded(event_cycles(spark, d).select("cell", "k", F.when((F.col("k") - 1) % 5 == 0, F.col("cap")).alias("cap")))
-
-
-@query("daily_flows", economics.FLOWS_SQL)
-def daily_flows(spark, d):
-    return rounded(economics.daily_flows(economics.soh_grid(spark), F.col("soh"), F.col("current")), 8)
+    return rounded(datasets.measured_every(event_cycles(spark, d).select("cell", "k", "cap"), ["cap"], 5))
 
 
 @query("windows_tumbling", windows.TUMBLING_SQL)
@@ -435,7 +429,6 @@ def sessions(spark, d):
 
 
 
-
 # --- whole-group kernels and iterative plans: beyond SQL, tested against closed forms and known truth --------------------
 
 
@@ -445,27 +438,6 @@ def rate_normalise(spark, d):
     return rounded(out.select("cell", "k", "cap_norm", "normalised", "i_ref", "t_ref"))
 
 
-def series(spark, d):
-    e = quality.hampel(event_cycles(spark, d))
-    return replay.records(e, quality.robust_bol(e), 1.4)
-
-
-def _replayed(spark, d, model):
-    out = replay.replay(series(spark, d), (model,))
-    return rounded(out.where("kind = 'estimate'").select("cell", "k", "model", "value", "sd"))
-
-
-for _name, _model in (("trend_kf", "trend"), ("hier_bayes", "bayes"), ("powerlaw_pf", "power law"), ("mech_pf", "mechanisms"), ("ecm_twin", "twin")):
-    QUERIES[_name] = lambda spark, d, m=_model: _replayed(spark, d, m)
-
-
-@query("cohort_metrics")
-def cohort_metrics(spark, d):
-    s = series(spark, d)
-    resolved = replay.forecasts_of(replay.replay(s, ("trend", "bayes")), s).join(s.select("cell", "grp").distinct(), "cell")
-    return rounded(forecasts.accuracy(resolved), 5)
-
-
 @query("curve_arrays")
 def curve_arrays(spark, d):
     return curves.curves(lineitem_samples(spark, d))
@@ -491,41 +463,7 @@ def delta_qv(spark, d):
     return rounded(curves.delta_qv(curves.curves(lineitem_samples(spark, d))), 5)
 
 
-@query("halfcell_fit")
-def halfcell_fit(spark, d):
-    return rounded(curves.halfcell_fits(curves.curves(lineitem_samples(spark, d))), 3)
-
-
-@query("group_folds", f"WITH {E_SQL}, s AS (SELECT cell, count(*) AS n FROM ev GROUP BY cell) SELECT count(*) AS cells, CAST(5 AS BIGINT) AS folds FROM s")
-def group_folds(spark, d):
-    f = learning.group_folds(event_cycles(spark, d))
-    return f.agg(F.count("*").alias("cells"), F.countDistinct("fold").alias("folds"))
-
-
-@query("grouped_cv_ridge")
-def grouped_cv_ridge(spark, d):
-    e = event_cycles(spark, d).withColumn("kd", F.col("k").cast("double"))
-    return rounded(learning.grouped_cv(e.select("cell", "k", "kd", "I_mean", "ambient", "cap"), ["kd", "I_mean", "ambient"], "cap"), 5)
-
-
 @query("pca_scores")
 def pca_scores(spark, d):
     f = features.discharge_features(lineitem_samples(spark, d)).select("Cell_ID", "Cycle_Index", "I_mean", "T_mean", "V_mean", "duration_s", "energy_Wh")
     return rounded(learning.pca(f, ["I_mean", "T_mean", "V_mean", "duration_s", "energy_Wh"])[0].select("Cell_ID", "Cycle_Index", "PC1", "PC2"), 5)
-
-
-@query("stress_regression")
-def stress_regression(spark, d):
-    e = event_cycles(spark, d)
-    factors = e.groupBy("cell").agg(F.avg("I_mean").alias("I_mean"), F.avg("ambient").alias("ambient"))
-    return spark.createDataFrame(learning.stress_regression(indicators.fade_rates(e).join(factors, "cell"), ["I_mean", "ambient"]))
-
-
-@query("grid_study")
-def grid_study(spark, d):
-    return rounded(economics.summarise(economics.scenarios(spark, years=2.0)), 6)
-
-
-@query("dp_policy")
-def dp_policy(spark, d):
-    return rounded(economics.compare(economics.scenarios(spark, years=2.0)), 6)

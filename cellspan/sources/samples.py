@@ -96,6 +96,22 @@ def data_hash(*frames: DataFrame) -> str:
 CURRENT = {"signup": 1.0, "click": 2.0, "view": 2.0, "error": 4.0, "purchase": 4.0}
 
 
+def health_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_cycles with indicators made from the events (some unknown in some kinds of event), soh and outlier flags."""
+    from cellspan.operators import quality
+
+    u = F.pmod(F.col("event_id") * 7919, F.lit(1009)) / 1009.0
+    e = table(spark, sf_dir, "events").select(cell_id("user_id").alias("cell"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k"), u.alias("u"))
+    d = quality.hampel(event_cycles(spark, sf_dir))
+    d = d.join(e, ["cell", "k"]).join(quality.robust_bol(d), "cell")
+    c, i, kind = F.col("cap"), F.col("I_mean"), F.col("event_type")
+    return d.select(
+        "cell", "grp", "k", "cap", "I_mean", "ambient", "outlier", "bol", (c / F.col("bol")).alias("soh"), "event_type",
+        F.when(kind != "signup", 0.09 - 0.01 * c + 0.002 * F.col("u")).alias("R0"), F.when(kind.isin("click", "view"), 0.06 - 0.005 * c + 0.004 * F.col("u")).alias("Re_ohm"), F.when(kind.isin("click", "view"), 0.08 + 0.01 * F.col("u")).alias("Rct_ohm"),
+        (2.0 + 0.5 * i - 0.3 * c + F.col("u")).alias("T_rise"), (F.col("ambient") + i).alias("T_mean"), (3.3 + 0.1 * c - 0.02 * i + 0.05 * F.col("u")).alias("V_mean"),
+    )
+
+
 def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a cycle series: one row per user and event, in order of event_id."""
     e = table(spark, sf_dir, "events")
@@ -137,6 +153,13 @@ ev AS (
     'G' || CAST(user_id % 7 AS VARCHAR) AS grp, event_type
   FROM events
 )"""
+#: After E_SQL with outlier flags (hp) and beginnings of life (bol).
+H_SQL = """
+uu AS (SELECT printf('B%04d', user_id) AS cell, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS k, ((event_id * 7919) % 1009) / 1009.0::DOUBLE AS u FROM events),
+ht AS (SELECT cell, grp, k, cap, I_mean, ambient, outlier, bol, cap / bol AS soh, event_type,
+  CASE WHEN event_type <> 'signup' THEN 0.09::DOUBLE - 0.01::DOUBLE * cap + 0.002::DOUBLE * u END AS R0, CASE WHEN event_type IN ('click', 'view') THEN 0.06::DOUBLE - 0.005::DOUBLE * cap + 0.004::DOUBLE * u END AS Re_ohm,
+  CASE WHEN event_type IN ('click', 'view') THEN 0.08::DOUBLE + 0.01::DOUBLE * u END AS Rct_ohm, 2.0::DOUBLE + 0.5::DOUBLE * I_mean - 0.3::DOUBLE * cap + u AS T_rise, ambient + I_mean AS T_mean, 3.3::DOUBLE + 0.1::DOUBLE * cap - 0.02::DOUBLE * I_mean + 0.05::DOUBLE * u AS V_mean
+  FROM hp JOIN uu USING (cell, k) JOIN bol USING (cell))"""
 L_SQL = """
 li AS (SELECT *, 4 * year(l_shipdate) + quarter(l_shipdate) AS ci FROM lineitem),
 smp AS (

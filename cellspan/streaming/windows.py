@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,20 @@ def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def asof_static(df: DataFrame, static: DataFrame, value: str, by: str = "user_id", on: str = "ts") -> DataFrame:
+    """df (a batch or a stream) with the static row of its key that was last in force: static has `since` and `until` (null:
+    still), so the join is one of equality and a filter, which a stream can have without state."""
+    own = static.select(F.col(by).alias("__key"), "since", "until", value)
+    inside = (F.col("since") <= F.col(on)) & (F.col("until").isNull() | (F.col(on) < F.col("until")))
+    return df.join(own, (F.col(by) == F.col("__key")) & inside, "left").drop("__key", "since", "until")
+
+
+def in_force(changes: DataFrame, by: str = "user_id", at: str = "ts") -> DataFrame:
+    """Rows of changes with the time from (since) and to (until) which they hold."""
+    w = Window.partitionBy(by).orderBy(at, "event_id")
+    return changes.withColumns({"since": F.col(at), "until": F.lead(at).over(w)}).where(F.col("until").isNull() | (F.col("until") > F.col("since")))
+
+
 TUMBLING_SQL = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS until, event_type, count(*) AS n, round(avg(value), 7) AS mean FROM events GROUP BY ALL"
 SLIDING_SQL = """WITH x AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - unnest([0, 1]) * INTERVAL 6 HOUR AS start, event_type, value FROM events)
 SELECT start, start + INTERVAL 12 HOUR AS until, event_type, count(*) AS n, round(avg(value), 7) AS mean FROM x GROUP BY ALL"""

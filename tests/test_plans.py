@@ -7,12 +7,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellspan.operators import quality, study
+from cellspan.operators import forecasts, quality, study
 from cellspan.operators.asof import asof_fill
 from cellspan.plans import cohort, cycles
+from cellspan.sources import registry
 from cellspan.sources import samples as S
-from cellspan.sources import synthetic
-from cellspan.streaming import replay, windows
+from cellspan.streaming import windows
+from tests import fleet as synthetic
 
 
 def test_ids(spark):
@@ -80,27 +81,43 @@ def test_cycle_table(built):
 
 def test_cohort(built, tmp_path):
     table, _, _ = built
-    out = cohort.run(table, ("trend", "bayes"))
+    out = cohort.run(table)
     metrics = out["metrics"].toPandas()
     one = metrics[(metrics.cell == "S001") & (metrics.h == 1)]
-    assert (one.rmse < 0.02).all() and set(metrics.model) == {"trend", "bayes", "ensemble"}
-    said = cohort.answers(out["metrics"])
-    cohort.export(str(tmp_path), "study", said, {"leaderboard": study.leaderboard(out["metrics"], 10)})
-    assert (tmp_path / "report.html").read_text().startswith("<!doctype html>")
-
-
-def test_live_equals_replay(spark, tmp_path):
-    rows = [(c, "g", k, 1 - 0.002 * k, 1.9 * (1 - 0.002 * k), 1.9, 2.0, 24.0, 0.7) for c in ("a", "b") for k in range(1, 41)]
-    df = spark.createDataFrame(rows, "cell string, grp string, k int, soh double, cap double, bol double, current double, temperature double, eol double")
-    at = str(tmp_path / "in")
-    for lo, hi in ((1, 15), (16, 40)):
-        df.where(F.col("k").between(lo, hi)).coalesce(1).write.mode("append").parquet(at)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
-    q = replay.live(stream).writeStream.format("memory").queryName("live_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    key = ["cell", "kind", "k", "model", "h"]
-    tidy = lambda d: d.select(*key, F.round("value", 9).alias("value")).toPandas().sort_values(key).reset_index(drop=True)
-    pd.testing.assert_frame_equal(tidy(spark.table("live_out")), tidy(replay.replay(df)), check_dtype=False)
+    assert (one.rmse < 0.03).all() and set(metrics.model) == {"persistence", "trailing mean", "linear trend", "ensemble"}
+    assert out["estimation"].where("rmse > 0.05 AND cell = 'S001'").count() == 0
+    freq = cohort.update_frequency(table, (1, 10), 10)
+    rates = {r["interval"]: r["rmse"] for r in freq.collect()}
+    assert set(rates) == {1, 10} and rates[1] <= rates[10] * 1.2
+    ranking = table.sparkSession.createDataFrame([("cap_norm", 0.9), ("energy_Wh", 0.95), ("R0", 0.5)], "hi string, score double")
+    ledger = table.sparkSession.createDataFrame([("2 A", 1.0), ("4 A", 3.0)], "policy string, profit double")
+    said = cohort.answers(out["metrics"], freq, ranking, [("resistance", 0.01, 0.5)], ledger)
+    assert said["best indicator"].startswith("R0") and said["best policy"].startswith("4 A") and "50% below" in said["best measurement"] and "update interval" in said
+    board = study.leaderboard(out["metrics"], 10)
+    cohort.export(str(tmp_path), "study", said, {"leaderboard": board}, (cohort.bars("error", {"a": 1.0, "b": 2.0}),))
+    page = (tmp_path / "report.html").read_text()
+    assert page.startswith("<!doctype html>") and "<svg" in page
+    cohort.write_csv({"board": board}, str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv" / "board").glob("*.csv"))) == 1
+
+
+def test_results_are_cached_by_data_and_arguments(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    df = spark.range(5)
+    h = S.data_hash(df)
+    assert h == S.data_hash(df.orderBy(F.desc("id")).repartition(3)) != S.data_hash(spark.range(6))
+    for _ in range(2):
+        assert cohort.cached(spark, str(tmp_path), "x", make, data=h, every=2).count() == 3
+    cohort.cached(spark, str(tmp_path), "x", make, data=h, every=3)
+    assert len(made) == 2
+    cohort.require("0.1.0")
+    with pytest.raises(RuntimeError, match="needed"):
+        cohort.require("99.0")
 
 
 def test_streaming_windows(spark, tmp_path):
@@ -114,6 +131,45 @@ def test_streaming_windows(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("tumbled").collect()) == [24, 24]
 
 
+def test_static_join_and_accuracy_on_streams(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(i, t + datetime.timedelta(hours=i), i % 2, "signup" if i % 5 == 0 else "view", float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    static = windows.in_force(df.where("event_type = 'signup'").withColumnRenamed("value", "quota")).persist()
+    at = str(tmp_path / "e")
+    df.coalesce(1).write.parquet(at)
+    stream = spark.readStream.schema(df.schema).parquet(at)
+    q = windows.asof_static(stream, static, "quota").select("event_id", "quota").writeStream.format("memory").queryName("joined_out").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = {r[0]: max([s for s in range(0, r[0] + 1, 5) if s % 2 == r[2]], default=None) for r in rows}
+    assert {r["event_id"]: None if r["quota"] is None else int(r["quota"]) for r in spark.table("joined_out").collect()} == want
+    log = spark.createDataFrame([("a", 1, float(i), i + 0.5, i - 1.0, i + 1.0) for i in range(10)] + [("a", 1, 1.0, None, 0.0, 2.0)], "model string, h int, pred double, actual double, lo double, hi double")
+    log.coalesce(1).write.parquet(str(tmp_path / "l"))
+    q = forecasts.live_accuracy(spark.readStream.schema(log.schema).parquet(str(tmp_path / "l"))).writeStream.format("memory").queryName("accuracy_out").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    r = spark.table("accuracy_out").first()
+    assert (r["n"], r["rmse"], r["coverage"]) == (10, 0.5, 1.0)
+
+
+def test_registry(spark):
+    cells = registry.cells(spark)
+    assert cells.count() == 34 and {r[0] for r in cells.where(registry.is_pulsed()).select("Cell_ID").collect()} == {f"B00{n}" for n in range(25, 29)}
+    more = spark.createDataFrame([("S001", "own", [10.0], "pulsed", 2.5, None), ("B0005", "moved", [24.0], "2.0", 2.7, 1.4)], registry.SCHEMA)
+    both = registry.cells(spark, more)
+    assert both.count() == 35 and both.where("Cell_ID = 'B0005'").first()["grp"] == "moved"
+    df = spark.createDataFrame([("S001", 1), ("zz", 2)], "cell string, k int")
+    assert {(r["cell"], r["grp"], r["declared_pulsed"]) for r in registry.with_cells(df, both).collect()} == {("S001", "own", True), ("zz", "Unknown", False)}
+
+
+def test_holm_equals_the_textbook(spark):
+    rng = np.random.default_rng(1)
+    p = np.concatenate([rng.uniform(0, 1, 300), rng.uniform(0, 1e-4, 100), [0.0, 1.0, 1e-300, 0.5, 0.5]])
+    got = {r["model_a"]: r["p_holm"] for r in study.holm(spark.createDataFrame([(f"a{i:03d}", "b", float(v)) for i, v in enumerate(p)], "model_a string, model_b string, p double")).collect()}
+    order = np.argsort(p, kind="stable")
+    want = np.maximum.accumulate(np.minimum(1, (len(p) - np.arange(len(p))) * p[order]))
+    assert [got[f"a{i:03d}"] for i in order] == pytest.approx(want.tolist())
+
+
 def test_common_cells_and_holm(spark):
     rng = np.random.default_rng(0)
     rows = [(f"c{i}", "G1" if i < 8 else "G2", m, 10, 20, float(e + rng.normal(0, 0.0005)), 0.5, 0.9, 0.1, "ok") for i in range(12) for m, e in (("A", 0.01), ("B", 0.02))]

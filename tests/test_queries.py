@@ -7,9 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cellspan.operators import curves
+from cellspan import learning_queries  # noqa: F401 - adds its queries
 from cellspan.queries import QUERIES, SQL, flagship
-from cellspan.sources.samples import event_cycles, lineitem_samples
+from cellspan.sources.samples import event_cycles
 
 DIR = "/root/testdata/sf0.001"
 
@@ -34,7 +34,7 @@ def test_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["trend_kf", "cohort_metrics", "halfcell_fit", "grouped_cv_ridge", "pca_scores", "grid_study"])
+@pytest.mark.parametrize("name", ["cohort_metrics", "grouped_cv_ridge", "pca_scores", "stress_regression"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
@@ -43,9 +43,7 @@ def test_flagship(spark):
     assert flagship(spark, DIR).count() == 15
 
 
-def test_every_curve_origin_and_horizon(spark):
-    fits = QUERIES["halfcell_fit"](spark, DIR).select("Cell_ID", "k").collect()
-    assert sorted(map(tuple, fits)) == sorted(map(tuple, curves.curves(lineitem_samples(spark, DIR)).select("Cell_ID", "Cycle_Index").collect()))
+def test_every_origin_and_horizon(spark):
     events = sorted(map(tuple, event_cycles(spark, DIR).select("cell", "k").collect()))
     assert sorted(map(tuple, QUERIES["rul_crossings"](spark, DIR).select("cell", "k").collect())) == events
     radii = QUERIES["conformal_radii"](spark, DIR).select("h", "cell", "k0").distinct().collect()
