@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,18 +97,65 @@ def correlation_flags(df: DataFrame, columns: list[str], limit: float = 0.7) ->
     return row.select(F.explode(each).alias("p")).select("p.*").withColumn("flagged", F.coalesce(F.abs("r") > limit, F.lit(False)))
 
 
-def theil_sen(df: DataFrame, x: str = "k", y: str = "cap", by: str = "cell", least: int = 10) -> DataFrame:
-    """Median of the slopes between all pairs of a cell's rows; null below `least` rows.
+#: Widths of the three parts that a slope's 64 ordered bits are selected by.
+_PARTS = (22, 21, 21)
 
-    A cell has as many rows as cycles, so pairs stay within one cell's history.
+
+def _slope_bins(units: DataFrame, level: int, by: str) -> DataFrame:
+    """by, which, bin, n: how many slopes of the units' pairs fall in each bin of a part of their ordered bits; from the
+    second part on only slopes that begin with `prefix`."""
+    shift = 64 - sum(_PARTS[: level + 1])
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                x, y = (np.array([p[c] for p in r.a]) for c in "xy")
+                u, v = (np.array([p[c] for p in r.b]) for c in "xy")
+                dx = u[None, :] - x[:, None]
+                ok = dx > 0
+                bits = ((v[None, :] - y[:, None])[ok] / dx[ok] + 0.0).view(np.uint64)
+                bits = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63)) >> np.uint64(shift)
+                if level:
+                    bits = bits[bits >> np.uint64(_PARTS[level]) == np.uint64(r.prefix)] & np.uint64((1 << _PARTS[level]) - 1)
+                for v_, n in zip(*np.unique(bits, return_counts=True), strict=True):
+                    out.append((getattr(r, by), r.which, int(v_), int(n)))
+            yield pd.DataFrame(out, columns=[by, "which", "bin", "n"])
+
+    schema = f"{by} {units.schema[by].dataType.simpleString()}, which int, bin long, n long"
+    return units.mapInPandas(run, schema).groupBy(by, "which", "bin").agg(F.sum("n").alias("n"))
+
+
+def theil_sen(df: DataFrame, x: str = "k", y: str = "cap", by: str = "cell", least: int = 10, block: int = 256) -> DataFrame:
+    """Median of the slopes between all pairs of a cell's rows with different x; null below `least` rows.
+
+    Rows are gathered in blocks, a task takes pairs of blocks and only counts of slopes by bins leave it: the two middle
+    slopes are selected exactly, part by part of their bits, in three passes. A long history is many pairs of blocks.
     """
-    d = df.where(F.col(y).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y")))).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda p, i: F.transform(F.filter("s", lambda q: q["x"] > p["x"]), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"]))))
-    slopes = d.select(by, F.size("s").alias("n"), pairs.alias("m"))
-    s = F.array_sort("m")
-    mid = F.size("m")
-    median = F.when(mid % 2 == 1, F.element_at(s, ((mid + 1) / 2).cast("int"))).otherwise((F.element_at(s, (mid / 2).cast("int")) + F.element_at(s, (mid / 2).cast("int") + 1)) / 2)
-    return slopes.select(by, F.when((F.col("n") >= least) & (mid > 0), median).alias("slope"))
+    d = df.where(F.col(y).isNotNull()).select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    place = F.floor((F.row_number().over(Window.partitionBy(by).orderBy("x", "y")) - 1) / block)
+    blocks = d.withColumn("i", place).groupBy(by, "i").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("s"))
+    right = blocks.select(F.col(by).alias("__by"), F.col("i").alias("j"), F.col("s").alias("b"))
+    units = blocks.join(right, (F.col(by) == F.col("__by")) & (F.col("i") <= F.col("j"))).select(by, F.col("s").alias("a"), "b")
+    w = Window.partitionBy(by, "which").orderBy("bin")
+    upto = lambda bins: bins.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy(by, "which"))})
+    first = upto(_slope_bins(units.withColumns({"which": F.lit(0), "prefix": F.lit(0).cast("long")}), 0, by))
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("all") + 1) / 2).alias("rank")), F.struct(F.lit(1).alias("which"), (F.floor(F.col("all") / 2) + 1).alias("rank")))).alias("r")
+    inside = (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
+    found = first.select(by, "bin", "n", "upto", ranks).select(by, "bin", "n", "upto", "r.*").where(inside).select(by, "which", F.col("bin").alias("prefix"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    for level in (1, 2):
+        bins = upto(_slope_bins(units.join(found.drop("rank"), by), level, by)).join(found, [by, "which"])
+        found = bins.where(inside).select(by, "which", F.shiftleft("prefix", _PARTS[level]).bitwiseOR(F.col("bin")).alias("prefix"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+
+    def values(frames):
+        for pdf in frames:
+            bits = pdf["prefix"].to_numpy(np.int64).view(np.uint64)
+            back = np.where(bits >> np.uint64(63), bits & np.uint64((1 << 63) - 1), ~bits)
+            yield pd.DataFrame({by: pdf[by], "m": back.view(np.float64)})
+
+    middle = found.select(by, "prefix").mapInPandas(values, f"{by} {df.schema[by].dataType.simpleString()}, m double").groupBy(by).agg(F.avg("m").alias("m"))
+    sizes = d.groupBy(by).agg(F.count("*").alias("n"))
+    return sizes.join(middle, by, "left").select(by, F.when(F.col("n") >= least, F.col("m")).alias("slope"))
 
 
 def fade_rates(df: DataFrame, y: str = "cap", by: str = "cell", max_k: int | None = None) -> DataFrame:

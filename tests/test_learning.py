@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellspan.operators import datasets, learning
+from cellspan.operators import datasets, indicators, learning
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +158,14 @@ def test_population_prior_falls_back(spark):
     d = spark.createDataFrame([("a", k, 1.0 - 0.001 * k) for k in range(20)], "cell string, k int, soh double")
     r = datasets.population_prior(d).first()
     assert (r["n_cells"], r["mu1"]) == (1, -0.12) and r["cov00"] == pytest.approx(1e-4)
+
+
+def test_median_slope_of_long_and_short_histories(spark):
+    rng = np.random.default_rng(8)
+    rows = [("long", float(k), float(-0.01 * k + rng.normal(0, 0.3))) for k in range(700)] + [("even", float(k), float(v)) for k, v in enumerate(rng.normal(0, 1, 12))] + [("flat", float(k), 1.0) for k in range(11)] + [("few", 0.0, 1.0), ("few", 1.0, 2.0), ("ties", 0.0, 5.0)] + [("ties", 1.0, float(k)) for k in range(10)]
+    got = {r["cell"]: r["slope"] for r in indicators.theil_sen(spark.createDataFrame(rows, "cell string, k double, cap double"), block=64).collect()}
+    for cell in ("long", "even", "flat", "ties"):
+        x, y = (np.array([r[i] for r in rows if r[0] == cell]) for i in (1, 2))
+        i, j = np.nonzero(x[None, :] > x[:, None])
+        assert got[cell] == pytest.approx(float(np.median((y[j] - y[i]) / (x[j] - x[i]))), abs=1e-12)
+    assert got["few"] is None
