@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.operators import datasets, forecasts, indicators, learning, quality, study
+from cellspan.operators import curves, datasets, forecasts, indicators, learning, quality, study
 from cellspan.plans import cohort, economics
 from cellspan.queries import BOL_SQL, EOL_SQL, FC_SQL, MONO_SQL, QUERIES, SPEAR_SQL, SQL, forecast_log, query, r, rounded
 from cellspan.sources import registry, samples
@@ -156,6 +156,18 @@ def stress_line(spark, d):
     return rounded(spark.createDataFrame(rows, "factor string, n long, coef double, se double, t double, r2 double").withColumn("t", F.round("t", 4)), 6)
 
 
+STRESS_SQL = f"""{E_SQL}, ts AS (SELECT a.cell, quantile_cont((b.cap - a.cap) / (b.k - a.k), 0.5) AS m FROM ev a JOIN ev b ON a.cell = b.cell AND b.k > a.k GROUP BY a.cell),
+ra AS (SELECT ev.cell, CASE WHEN count(*) >= 10 THEN -100 * any_value(m) END AS y, avg(I_mean) AS a, avg(ambient) AS b FROM ev LEFT JOIN ts ON ts.cell = ev.cell GROUP BY ev.cell),
+q AS (SELECT count(*) AS n, corr(a, b) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb, var_pop(y) AS v FROM ra WHERE y IS NOT NULL),
+w AS (SELECT *, (ca - r * cb) / (1 - r * r) AS wa, (cb - r * ca) / (1 - r * r) AS wb FROM q), e AS (SELECT *, sqrt((v - ca * wa - cb * wb) / (n - 3) / (1 - r * r)) AS se FROM w)"""
+
+
+@query("stress_coefficients", f"WITH {STRESS_SQL} SELECT 'I_mean' AS factor, {r('wa', 'coef', 6)}, {r('se', digits=6)}, {r('1 / (1 - r * r)', 'vif', 6)} FROM e UNION ALL SELECT 'ambient', {r('wb', 'coef', 6)}, {r('se', digits=6)}, {r('1 / (1 - r * r)', 'vif', 6)} FROM e")
+def stress_coefficients(spark, d):
+    """stress_regression without the tail probabilities, which SQL has no function for."""
+    return rounded(stress_regression(spark, d).select("factor", "coef", "se", "vif"), 6)
+
+
 @query("stress_regression")
 def stress_regression(spark, d):
     e = event_cycles(spark, d)
@@ -235,6 +247,25 @@ def mechanism_shares(spark, d):
     return rounded(study.mechanism_shares(e, ["LLI", "LAM_PE", "LAM_NE"]))
 
 
+@query("pairwise_differences", f"WITH {FC_SQL}, o AS (SELECT cell, model, rmse FROM mt WHERE h = 10 AND status = 'ok') SELECT a.model AS model_a, b.model AS model_b, count(*) AS n, {r('quantile_cont(a.rmse - b.rmse, 0.5)', 'median_diff', 6)}, count(*) FILTER (a.rmse < b.rmse) AS a_better FROM o a JOIN o b ON a.cell = b.cell AND a.model < b.model GROUP BY a.model, b.model")
+def pairwise_differences(spark, d):
+    """pairwise_models without the tail probabilities, which SQL has no function for."""
+    metrics = forecasts.accuracy(forecast_log(spark, d)).withColumn("status", F.when(F.col("n") < 5, "insufficient").otherwise("ok"))
+    return rounded(study.pairwise(metrics, 10).select("model_a", "model_b", "n", "median_diff", "a_better"), 6)
+
+
+@query(
+    "curve_points",
+    f"""WITH {L_SQL}, rc AS (SELECT *, greatest((abs(Current_A) + lag(abs(Current_A)) OVER w) / 2 * (Time_s - lag(Time_s) OVER w) / 3600, 0) AS dq FROM smp WHERE Cycle_Type = 'discharge' WINDOW w AS (PARTITION BY Cell_ID, Cycle_Index ORDER BY Time_s)),
+rq AS (SELECT *, sum(coalesce(dq, 0)) OVER (PARTITION BY Cell_ID, Cycle_Index ORDER BY Time_s) AS q FROM rc), ro AS (SELECT *, count(*) OVER (PARTITION BY Cell_ID, Cycle_Index) AS n FROM rq WHERE abs(Current_A) > 0.1)
+SELECT Cell_ID, Cycle_Index, Time_s AS t, {r('Voltage_V', 'v')}, {r('abs(Current_A)', 'i')}, {r('q')} FROM ro WHERE n >= 5""",
+)
+def curve_points(spark, d):
+    """Curves as rows; cycles of these tables have fewer points than a curve keeps, so none is resampled."""
+    points = F.explode(F.arrays_zip("t", "v", "i", "q")).alias("p")
+    return rounded(curves.curves(lineitem_samples(spark, d)).select("Cell_ID", "Cycle_Index", points).select("Cell_ID", "Cycle_Index", "p.*"))
+
+
 # --- plants and policies ----------------------------------------------------------------------------------------------
 
 
