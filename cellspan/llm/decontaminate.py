@@ -218,7 +218,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
             n_hit, items = ([x or empty for x in batch.column(i).to_pylist()] for i, empty in ((2, 0), (3, [])))
             yield _result(batch.column(0), [len(words_of(t)) for t in texts(batch)], n_hit, items)
 
-    joined = own.withColumn("h", F.xxhash64(docs["doc_id"], docs["text"])).join(hits, "h", "left").select("doc_id", "text", "n_hit", "items")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    joined = hashed.join(hits, "h", "left").select("doc_id", "text", "n_hit", "items")
     return joined.mapInArrow(finish, HITS)
 
 
