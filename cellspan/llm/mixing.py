@@ -307,6 +307,19 @@ class Model:
     refine: dict[str, np.ndarray]
 
 
+@dataclass
+class Shared:
+    """A model whose large parts are broadcasts."""
+
+    coder: object
+    logits: object
+    weights: dict[str, np.ndarray]
+    refine: dict[str, np.ndarray]
+
+    def open(self) -> Model:
+        return Model(self.coder.value, self.logits.value, self.weights, self.refine)
+
+
 def _summed(blocks: DataFrame) -> DataFrame:
     """Sums of equally long arrays of whole numbers by block, streamed in sorted order, so one sum is held at a time."""
 
@@ -336,8 +349,9 @@ def _packed(values: np.ndarray) -> tuple[int, bytes]:
     return size, values.astype(f"<u{size}").tobytes()
 
 
-def bit_counts(docs: DataFrame, coder) -> dict[str, list[np.ndarray]]:
-    """Zeros and ones in each slot over the training documents outside the tuning fold; coder is a broadcast.
+def bit_logits(docs: DataFrame, coder) -> dict[str, list[np.ndarray]]:
+    """Logits of the counts of zeros and ones in each slot over the training documents outside the tuning fold; coder is a
+    broadcast. The driver gets one block of counts at a time.
 
     A coded word that occurs once counts as a word and as a new one, so that new words get the share of those.
     """
@@ -369,12 +383,12 @@ def bit_counts(docs: DataFrame, coder) -> dict[str, list[np.ndarray]]:
                     yield pa.RecordBatch.from_arrays([pa.array([first + b // (2 * BLOCK)], pa.int32()), pa.array([size], pa.int8()), pa.array([raw], pa.binary())], ["block", "size", "sums"])
             first += -(-n // BLOCK)
 
-    out = {(k, i): np.zeros((n, 2)) for k, i, n in layout}
+    out = {(k, i): np.zeros(n, np.float32) for k, i, n in layout}
     where = [(k, i, b) for k, i, n in layout for b in range(0, n, BLOCK)]
     for r in _summed(_texts(docs).mapInArrow(run, "block int, size tinyint, sums binary")).toLocalIterator():
         k, i, b = where[r["block"]]
         values = np.frombuffer(r["sums"], np.int64).reshape(-1, 2)
-        out[k, i][b : b + len(values)] = values
+        out[k, i][b : b + len(values)] = logits_of(values)
     return {k: [out[k, i] for i in range(INPUTS)] for k in FEWER}
 
 
@@ -450,10 +464,12 @@ def log_probabilities(model: Model, docs: list[bytes]) -> tuple[Tokens, np.ndarr
     tokens, mixed = mixed_streams(model, docs)
     out = np.zeros(len(docs))
     for k, (s, z, gate) in mixed.items():
-        p = 1 / (1 + np.exp(-z.astype(float)))
-        p = np.clip((p + model.refine[k][gate, _step(z)]) / 2, LEAST_P, 1 - LEAST_P)
-        out += np.bincount(s.lane, weights=np.log10(np.where(s.bit == 1, p, 1 - p)), minlength=len(docs))
-    return tokens, out
+        p = 1 / (1 + np.exp(-z))
+        p += model.refine[k].ravel().take(gate * STEPS + _step(z)).astype(np.float32)
+        p *= np.float32(0.5)
+        np.subtract(np.float32(1), p, out=p, where=s.bit == 0)
+        out += np.bincount(s.lane, weights=np.log(np.maximum(p, np.float32(LEAST_P))), minlength=len(docs))
+    return tokens, out / math.log(10)
 
 
 def _of_fold(docs: DataFrame, batches: int) -> DataFrame:
@@ -483,11 +499,11 @@ def _sum_cells(rows: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def learn_weights(tuning: DataFrame, model) -> dict[str, np.ndarray]:
+def learn_weights(tuning: DataFrame, model: Shared) -> dict[str, np.ndarray]:
     """Each batch learns online from its documents in order; the averages of batches count by the bits each gate has seen."""
 
     def run(batches):
-        m, key, state, totals = model.value, None, {}, {}
+        m, key, state, totals = model.open(), None, {}, {}
 
         def close():
             for k, (w, seen) in state.items():
@@ -512,19 +528,19 @@ def learn_weights(tuning: DataFrame, model) -> dict[str, np.ndarray]:
 
     sums = _sum_cells(tuning.mapInArrow(run, "kind string, cells array<bigint>"))
     out = {}
-    for k, before in model.value.weights.items():
+    for k, before in model.weights.items():
         w, seen = np.split(sums.get(k, np.zeros(GATES[k] * (INPUTS + 1))), [GATES[k] * INPUTS])
         out[k] = np.where(seen[:, None] > 0, w.reshape(-1, INPUTS) / FIXED / np.maximum(seen, 1)[:, None], before)
     return out
 
 
-def refine_tables(tuning: DataFrame, model) -> dict[str, np.ndarray]:
+def refine_tables(tuning: DataFrame, model: Shared) -> dict[str, np.ndarray]:
     """The chance of a 1 by gate and step of the mixed logit, from what followed the predictions of the final weights."""
 
     def run(batches):
-        totals = {k: np.zeros((2, GATES[k] * STEPS), np.int64) for k in FEWER}
+        m, totals = model.open(), {k: np.zeros((2, GATES[k] * STEPS), np.int64) for k in FEWER}
         for _, own in _by_batch(batches):
-            for k, (s, z, gate) in mixed_streams(model.value, own, True)[1].items():
+            for k, (s, z, gate) in mixed_streams(m, own, True)[1].items():
                 cell = gate * STEPS + _step(z)
                 totals[k] += np.stack([np.bincount(cell[s.bit == b], minlength=GATES[k] * STEPS) for b in (0, 1)])
         for k, cells in totals.items():
@@ -539,40 +555,30 @@ def refine_tables(tuning: DataFrame, model) -> dict[str, np.ndarray]:
     return out
 
 
-def learned(docs: DataFrame, counts: DataFrame, n: int, v: int) -> Model:
+def learned(docs: DataFrame, counts: DataFrame, n: int, v: int) -> Shared:
     """The model of the training documents; counts: their words' counts, n and v: tokens and distinct words."""
     sc = docs.sparkSession.sparkContext
     top = counts.where((F.col("word") != F.lit(END)) & (F.length("word") <= KEY_BYTES)).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     ends = next((r["n"] for r in counts.where(F.col("word") == F.lit(END)).collect()), 0)
     words, own = [bytes(r["word"]) for r in top], [r["n"] for r in top]
-    coder = Coder(Code(words, own, n - ends - sum(own), ends), v)
-    shared = sc.broadcast(coder)
-    found = bit_counts(docs, shared)
-    model = Model(coder, {k: [logits_of(t) for t in found[k]] for k in found}, {k: np.full((GATES[k], INPUTS), 0.3) for k in FEWER}, {})
-    del found
+    coder = sc.broadcast(Coder(Code(words, own, n - ends - sum(own), ends), v))
+    logits = sc.broadcast(bit_logits(docs, coder))
     tuning = stage(_of_fold(docs, max(1, n // FOLDS // TUNING_TOKENS)), "tuning")
     tuning = tuning.repartition("batch").sortWithinPartitions("batch", F.xxhash64("doc_id", "text"))
-    first = sc.broadcast(model)
-    weights = learn_weights(tuning, first)
-    first.unpersist()
-    model = Model(model.coder, model.logits, weights, {})
-    second = sc.broadcast(model)
-    refine = refine_tables(tuning, second)
-    second.unpersist()
-    shared.unpersist()
-    return Model(model.coder, model.logits, weights, refine)
+    weights = learn_weights(tuning, Shared(coder, logits, {k: np.full((GATES[k], INPUTS), 0.3) for k in FEWER}, {}))
+    return Shared(coder, logits, weights, refine_tables(tuning, Shared(coder, logits, weights, {})))
 
 
 FACTS = ("doc_id", "none", "n_tokens", "n_bytes", "n_known", "base", "score")
 
 
-def scored(docs: DataFrame, model, n: int, v: int) -> DataFrame:
+def scored(docs: DataFrame, model: Shared, n: int, v: int) -> DataFrame:
     """For each batch of documents one row with its FACTS, as far as coded words go, and for each other word in it a row
     with the documents that have it, once an occurrence."""
     names = ["batch", "word", "docs", "facts"]
 
     def run(batches):
-        m = model.value
+        m = model.open()
         part = TaskContext.get().partitionId() << 32
         for number, (ids, own) in enumerate(_gathered(batches)):
             batch, facts, odd_words, odd_docs = part + number, [], [], []
@@ -650,8 +656,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stage(word_counts(docs), "words")
     known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = known["n"], known["v"]
-    model = docs.sparkSession.sparkContext.broadcast(learned(docs, counts, n, v))
-    rows = scored(docs, model, n, v)
+    rows = scored(docs, learned(docs, counts, n, v), n, v)
     rows = rows.join(counts.withColumnRenamed("n", "c"), "word", "left").select("batch", "docs", F.coalesce("c", F.lit(0)).alias("c"), "facts")
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     bits = -F.col("score") / (math.log10(2) * F.col("n_bytes"))
