@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,8 +24,8 @@ WORD_TABLE = bytes(
 )
 #: Rows and bytes that cross to Python at once; a batch is cut further by the bytes of its texts (see cut).
 ROWS_PER_BATCH = 1000
-BYTES_PER_BATCH = 8 << 20
-BYTES_PER_CUT = 4 << 20
+BYTES_PER_BATCH = 4 << 20
+BYTES_PER_CUT = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,14 @@ def cut(batches: Iterable[pa.RecordBatch], column: int = 1, size: int = BYTES_PE
             end = max(at + 1, int(np.searchsorted(total, base + size, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    _release()
+
+
+def _release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: int = 1, field: str | None = None) -> list[bytes]:

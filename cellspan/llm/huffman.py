@@ -129,7 +129,7 @@ def segments(docs: DataFrame, path: str, end: int, parts: int, id_col: str = "do
     def run(batches):
         part, seg, first = TaskContext.get().partitionId(), 0, 0
         held: list = []
-        for batch in cut(batches):
+        for batch in cut(batches, size=4 << 20):
             ids, counts = encoder(path).batch(batch.column(1))
             ids, counts = with_end(ids, counts, end)
             doc_ids, at = batch.column(0).to_pylist(), 0

@@ -135,7 +135,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, node (of the word sequence), size (words or shingles), bands (hashes; none for texts without words)."""
 
     def run(batches):
-        for batch in cut(batches, size=1 << 20):
+        for batch in cut(batches, size=1 << 18):  # a text has some thousand darts
             own = texts(batch)
             doc, element, count = shingles(own)
             sig = dart_signatures(doc, element, count, len(own))

@@ -39,7 +39,7 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end: int = END, id_col:
         raise ValueError("width must be a power of two")
 
     def run(batches):
-        for batch in cut(batches):
+        for batch in cut(batches, size=4 << 20):
             ids, counts = encoder(path).batch(batch.column(1))
             ids, counts = with_end(ids, counts, end)
             pieces = [piece_lengths(n, width) for n in counts.tolist()]

@@ -32,6 +32,8 @@ SALTS = 32
 #: Rows that an estimate needs (parameter of estimates): smaller groups are pooled with the other small groups of their
 #: language, then of all languages; where even those are fewer, there is no estimate.
 LEAST_ROWS = 20 * D
+#: Languages and sources whose parameters are broadcast: some 600 bytes each.
+MOST_GROUPS = 20_000
 #: False-rejection rate: the share of normal data beyond the cut, which is the chi-squared quantile of the scaled distance.
 RATE = 1e-6
 #: Least standard deviation of a transformed statistic: groups with none, as of symbols, would have no covariance.
@@ -215,14 +217,38 @@ def judge(docs: DataFrame, rate: float = RATE) -> DataFrame:
     return verdicts(stats, estimates(stats), rate).drop("lang", "source", "x")
 
 
-def keep_good(docs: DataFrame, rate: float = RATE) -> DataFrame:
+def keep_good(docs: DataFrame, rate: float = RATE, most: int = MOST_GROUPS) -> DataFrame:
     """The rows of docs that are kept, with all their columns, whatever their names; each case is that of judge.
 
-    Statistics are computed once and written with their rows; estimates read the statistics alone.
+    Up to `most` languages and sources, their parameters are broadcast and Arrow batches are filtered in place: statistics
+    are computed a second time, but no row is carried along. With more, rows are written with their statistics and joined.
     """
     small_batches(docs.sparkSession)
-    stats = stage(statistics(docs, carry=True), "statistics")
-    return verdicts(stats, estimates(stats.drop("row")), rate).where("kept").select("row.*")
+    found = estimates(stage(statistics(docs), "statistics"))
+    params = found.select("l", "s", "mean", "inverse", "scale").limit(most + 1).collect()
+    if len(params) > most:
+        return verdicts(stage(statistics(docs, carry=True), "statistics"), found, rate).where("kept").select("row.*")
+    held = {(r["l"], r["s"]): (np.array(r["mean"]), np.array(r["inverse"]).reshape(D, D), r["scale"]) for r in params}
+    shared, far = docs.sparkSession.sparkContext.broadcast(held), cut_distance(rate)
+    at, lang, source = (docs.columns.index(c) for c in ("text", "lang", "source"))
+
+    def good(text: bytes, lang, source) -> bool:
+        counts = base_counts(text)
+        if base_rule(counts[0], counts[4]):
+            return False
+        own = shared.value.get(("" if lang is None else str(lang), "" if source is None else str(source)))
+        if own is None:
+            return True
+        mean, inverse, scale = own
+        z = inverse @ (np.array(shape(text, counts)) - mean)
+        return math.sqrt(float(z @ z) / scale) <= far
+
+    def run(batches):
+        for batch in cut(batches, at):
+            keep = [good(*x) for x in zip(texts(batch, at), batch.column(lang).to_pylist(), batch.column(source).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

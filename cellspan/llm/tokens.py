@@ -33,16 +33,18 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder:
     """Ids equal to Tokenizer.encode(text, add_special_tokens=False).ids, which reads the strings of special tokens as these.
 
-    The memo is emptied when it has `bound` entries.
+    The memo has two generations of `bound` entries at most: when the younger is full it becomes the elder and the elder is
+    forgotten, so what goes on being used stays.
     """
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = 100_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # of the two, the one with word ends drops case and spaces
         self.letters = _byte_letters()
         self.bound = bound
         self.memo: dict[bytes, bytes] = {}
+        self.elder: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _plain(self, s: str) -> bytes:
@@ -52,7 +54,7 @@ class TextEncoder:
         """One pre-token: the model alone gives the same ids without the overhead of the whole tokenizer."""
         out = self.words.get(s)
         if out is None:
-            if len(self.words) >= self.bound // 2:
+            if len(self.words) >= self.bound // 4:
                 self.words.clear()
             mapped = s.replace(" ", "Ġ") if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
             out = self.words[s] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
@@ -97,9 +99,9 @@ class TextEncoder:
         starts = np.flatnonzero(begins)
         cuts = np.append(starts, total).astype("<i8")
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), data]).dictionary_encode()
-        memo = self.memo
-        if len(memo) >= self.bound:
-            memo.clear()
+        if len(self.memo) >= self.bound:
+            self.elder, self.memo = self.memo, {}
+        memo, elder = self.memo, self.elder
         ends = np.frombuffer(coded.dictionary.buffers()[1], "<i8")[: len(coded.dictionary) + 1].tolist()
         pieces = coded.dictionary.buffers()[2].to_pybytes()
         keys = [pieces[a:b] for a, b in zip(ends, ends[1:], strict=False)]
@@ -107,7 +109,8 @@ class TextEncoder:
         for i, part in enumerate(parts):
             if part is None:
                 k = keys[i]
-                parts[i] = memo[k] = self.stretch(k.decode())
+                old = elder.get(k)
+                parts[i] = memo[k] = self.stretch(k.decode()) if old is None else old
         lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), "<u4")
         code = coded.indices.to_numpy()
