@@ -2,6 +2,7 @@
 
 from cellspan.llm.chat import OP7_SQL, op7_chat
 from cellspan.llm.decontaminate import OP3_SQL, op3_decontaminate
+from cellspan.llm.divergence import OP11_SQL, op11_divergence
 from cellspan.llm.huffman import op6_huffman
 from cellspan.llm.mixing import op8_mixing
 from cellspan.llm.near_dedup import op9_near_dedup
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
+    "op11_divergence": op11_divergence,
 }
-SQL = {"op3_decontaminate": OP3_SQL, "op7_chat": OP7_SQL}
+SQL = {"op3_decontaminate": OP3_SQL, "op7_chat": OP7_SQL, "op11_divergence": OP11_SQL}
