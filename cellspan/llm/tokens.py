@@ -18,12 +18,12 @@ from tokenizers import Tokenizer
 #: UTF-8 of the white space of the pre-tokenizers' patterns besides space and line end (fixed values: Unicode White_Space).
 _OTHER = rb"[\t\x0b-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 _ODD = re.compile(_OTHER)
-_RUN = re.compile(rb"(?:[ \n]|" + _OTHER + rb")+")
+WHITE = re.compile(rb"(?:[ \n]|" + _OTHER + rb")+")
 #: A word of Latin letters, then perhaps marks that no pattern joins with a letter before them.
 _WORD = re.compile(r"([ ]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[.,!|&%$*#;:?][^']*)?)\Z")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -41,7 +41,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # of the two, the one with word ends drops case and spaces
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.bound = bound
         self.memo: dict[bytes, bytes] = {}
         self.elder: dict[bytes, bytes] = {}
@@ -50,14 +50,19 @@ class TextEncoder:
     def _plain(self, s: str) -> bytes:
         return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
+    def _kept(self, s: str, ids: bytes) -> bytes:
+        """ids, remembered for s; words and marks share a bound."""
+        if len(self.words) >= max(1, self.bound // 4):
+            self.words.clear()
+        self.words[s] = ids
+        return ids
+
     def _word(self, s: str) -> bytes:
         """One pre-token: the model alone gives the same ids without the overhead of the whole tokenizer."""
         out = self.words.get(s)
         if out is None:
-            if len(self.words) >= self.bound // 4:
-                self.words.clear()
             mapped = s.replace(" ", "Ġ") if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
-            out = self.words[s] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            out = self._kept(s, array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes())
         return out
 
     def stretch(self, s: str) -> bytes:
@@ -69,7 +74,7 @@ class TextEncoder:
                 return head
             tail = self.words.get(marks)
             if tail is None:
-                tail = self.words[marks] = self._plain(marks)
+                tail = self._kept(marks, self._plain(marks))
             return head + tail
         return self._plain(s)
 
@@ -93,24 +98,23 @@ class TextEncoder:
             a, b = int(offsets[i]), int(offsets[i + 1])
             if _ODD.search(whole[a:b]):
                 begins[a:b] = False
-                begins[[a + m.start() for m in _RUN.finditer(whole[a:b])]] = True
+                begins[[a + m.start() for m in WHITE.finditer(whole[a:b])]] = True
         filled = offsets[:-1][offsets[1:] > offsets[:-1]]
         begins[filled] = True
         starts = np.flatnonzero(begins)
         cuts = np.append(starts, total).astype("<i8")
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), data]).dictionary_encode()
-        if len(self.memo) >= self.bound:
-            self.elder, self.memo = self.memo, {}
-        memo, elder = self.memo, self.elder
         ends = np.frombuffer(coded.dictionary.buffers()[1], "<i8")[: len(coded.dictionary) + 1].tolist()
         pieces = coded.dictionary.buffers()[2].to_pybytes()
         keys = [pieces[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        parts = list(map(memo.get, keys))
+        parts = list(map(self.memo.get, keys))
         for i, part in enumerate(parts):
             if part is None:
                 k = keys[i]
-                old = elder.get(k)
-                parts[i] = memo[k] = self.stretch(k.decode()) if old is None else old
+                old = self.elder.get(k)
+                if len(self.memo) >= self.bound:
+                    self.elder, self.memo = self.memo, {}
+                parts[i] = self.memo[k] = self.stretch(k.decode()) if old is None else old
         lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), "<u4")
         code = coded.indices.to_numpy()
