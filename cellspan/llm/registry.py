@@ -1,5 +1,6 @@
 """Queries of this subpackage, and SQL where SQL can express them."""
 
+from cellspan.llm.alignment import op12_alignment
 from cellspan.llm.chat import OP7_SQL, op7_chat
 from cellspan.llm.decontaminate import OP3_SQL, op3_decontaminate
 from cellspan.llm.divergence import OP11_SQL, op11_divergence
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
     "op11_divergence": op11_divergence,
+    "op12_alignment": op12_alignment,
 }
 SQL = {"op3_decontaminate": OP3_SQL, "op7_chat": OP7_SQL, "op11_divergence": OP11_SQL}
