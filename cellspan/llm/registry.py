@@ -5,6 +5,7 @@ from cellspan.llm.chat import OP7_SQL, op7_chat
 from cellspan.llm.decontaminate import OP3_SQL, op3_decontaminate
 from cellspan.llm.divergence import OP11_SQL, op11_divergence
 from cellspan.llm.huffman import op6_huffman
+from cellspan.llm.main_text import op13_main_text
 from cellspan.llm.mixing import op8_mixing
 from cellspan.llm.near_dedup import op9_near_dedup
 from cellspan.llm.packing import op5_packing
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_divergence": op11_divergence,
     "op12_alignment": op12_alignment,
+    "op13_main_text": op13_main_text,
 }
 SQL = {"op3_decontaminate": OP3_SQL, "op7_chat": OP7_SQL, "op11_divergence": OP11_SQL}
