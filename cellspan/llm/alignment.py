@@ -161,7 +161,7 @@ def align_batches(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in cut(batches, size=BYTES):
             texts = [b" " + t if t else b"" for t in batch.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()]
             where = [cut_points(t) if t else [] for t in texts]
-            flat = [t[a:b] for t, at in zip(texts, where, strict=True) for a, b in zip(at, [*at[1:], len(t)], strict=True)]
+            flat = [t[a:b] for t, at in zip(texts, where, strict=True) for a, b in zip(at, [*at[1:], len(t)], strict=False)]
             coded = pa.array(flat, pa.large_binary()).dictionary_encode()
             known = tool.stretches(coded.dictionary.to_pylist())
             codes = coded.indices.to_numpy().tolist()

@@ -215,7 +215,7 @@ PAGES = (
     "<article><p class=notice>{20}</p><h1>[5]</h1><div class=meta>{6}</div><p>[35]</p><blockquote><p>[18]</p></blockquote><figure><figcaption>[9]</figcaption></figure><p><a href=/>[6]</a></p><p>[25]</p><nav><a href=/>{3}</a></nav></article>",
     "<article><h2>[4]</h2><p><a href=/>[2]</a></p><ul><li><a href=/>[3]</a></li><li><a href=/>[5]</a></li></ul><p>[12]</p><div class=tags><a href=/>{1}</a></div></article>",
     "<nav><a href=/>{2}</a></nav><article><header><p class=category>{2}</p><h1>[6]</h1><p>{14}</p></header><p>[40]</p><h2>[3]</h2><p>[30]</p></article><footer>{9}</footer>",
-    "<main><header><a href=/>{1}</a><h1>[9]</h1></header><p>[5]</p><p>[60]</p><div class=warning><h3>{2}</h3><p>{12}</p></div></main>",
+    "<main><header><a href=/>{1}</a><h1>[9]</h1></header><p>[5]</p><p>[60]</p><div class=warning><p>{12}</p></div></main>",
     # reader comments inside, beside and marked as articles
     "<article><h1>[5]</h1><p>[45]</p><section id=comments><h3>{2}</h3><div class=comment><p>{40}</p></div><div class=comment><p>{5}</p></div></section></article><footer>{5}</footer>",
     "<main><article><h1>[5]</h1><p>[45]</p><p>[2]</p></article><div id=comments><h2>{2}</h2><article><p>{60}</p></article><article class=comment><p>{4}</p></article></div></main>",
