@@ -127,13 +127,25 @@ def test_stretches_give_the_groups_of_whole_texts():
     for _ in range(1500):
         text = "".join(rnd.choices(letters, k=rnd.randint(1, 30)))
         full = (" " + text).encode()
-        at = alignment.cut_points(full)
-        parts = tool.stretches([full[a:b] for a, b in zip(at, [*at[1:], len(full)], strict=True)])
+        at = [0, *alignment.cut_points(np.frombuffer(full, np.uint8)).tolist()]
+        cut = [full[a:b] for a, b in zip(at, [*at[1:], len(full)], strict=True)]
+        found = dict(zip(dict.fromkeys(cut), tool.stretches(list(dict.fromkeys(cut))), strict=True))
         want = whole(tool, text)
-        assert b";".join(p[0] for p in parts).decode() == want[2] and sum(p[5] for p in parts) == want[4]
+        assert b";".join(found[c][0] for c in cut).decode() == want[2]
+        numbers = [np.frombuffer(found[c][1], np.int64) for c in cut]
+        assert [sum(int(x[k]) for x in numbers) for k in (0, 1, 3)] == [want[0], want[1], want[4]]
+        assert [(int(k) >> 32, int(k) & 0xFFFFFFFF) for x in numbers for k in x[4:]] == want[3]
         assert len(tool.memo) <= 300 and len(tool.elder) <= 300
 
 
+def test_ranks_give_the_ids_of_the_tokenizer():
+    tool, rnd = alignment.Aligner(*PATHS), random.Random(2)
+    low = [chr(i) for i in range(0x370)]
+    texts = [f" a{x}b{x} {x}{x} 1{x}" for x in low] + [" " + "".join(rnd.choices(low, k=8)) for _ in range(20_000)] + [" " + "".join(rnd.choices(" \n\t\x85\xa0\x1c'sa1.", k=8)) for _ in range(20_000)]
+    texts += [" 日本  x", " <|endoftext|>", " ", " é\u0301"]
+    assert tool.ids(texts)[0] == [e.ids for e in tool.a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_owner_arrays():
     a, b, both = alignment.overlaps_and_cuts(np.array([2, 1, 3]), np.array([1, 2, 2, 1]))
     assert list(zip(a.tolist(), b.tolist(), both.tolist(), strict=True)) == [(0, 0, False), (0, 1, False), (1, 1, True), (2, 2, False), (2, 3, True)]
