@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellspan.config import HORIZONS
 from cellspan.operators import asof, curves, datasets, features, forecasts, indicators, learning, quality, study
 from cellspan.sources.samples import E_SQL, L_SQL, event_cycles, lineitem_samples, normalise_samples
-from cellspan.streaming import windows
+from cellspan.streaming import live, windows
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -251,6 +252,24 @@ def forecast_resolve(spark, d):
     return rounded(forecast_log(spark, d).select("cell", "model", "k0", "h", "k_target", "pred", "actual"))
 
 
+def run_live(spark, d):
+    """Events of the whole log and the whole series as two file streams, read to their ends; a last row of each carries the
+    time on, so that what is still open ends."""
+    e = event_cycles(spark, d).join(windows.event_times(spark, d), ["cell", "k"])
+    log = forecasts.persistence(e).unionByName(forecasts.trailing_mean(e)).join(e.select("cell", F.col("k").alias("k0"), "ts"), ["cell", "k0"])
+    made = log.select("cell", "model", "h", "k0", "pred", "lo", "hi", "ts")
+    seen = e.select("cell", "k", F.col("cap").alias("value"), "ts")
+    pairs = [(m, h) for m in ("persistence", "trailing mean") for h in (1, *HORIZONS)]
+    return live.replay(made, seen, pairs)
+
+
+@query("live_resolve", SQL["forecast_resolve"])
+def live_resolve(spark, d):
+    """forecast_resolve as a stream."""
+    out = run_live(spark, d).where("what = 'resolved'")
+    return rounded(out.select("cell", "model", "k0", "h", "k_target", "pred", "actual"))
+
+
 @query("forecast_accuracy", f"WITH {FC_SQL} SELECT cell, grp, model, h, n, {r('rmse')}, {r('mae')}, {r('r2', digits=5)}, {r('coverage')}, {r('fade_skill', digits=5)} FROM acc")
 def forecast_accuracy(spark, d):
     out = forecasts.accuracy(forecast_log(spark, d))
@@ -275,6 +294,13 @@ def conformal_radii(spark, d):
     return rounded(out.select("cell", "model", "h", "k0", "n_seen", "radius"), 6)
 
 
+@query("live_radii", SQL["conformal_radii"])
+def live_radii(spark, d):
+    """conformal_radii as a stream."""
+    out = run_live(spark, d).where("what = 'band'")
+    return rounded(out.select("cell", "model", "h", "k0", "n_seen", "radius"), 6)
+
+
 @query(
     "ensemble_weights",
     f"""WITH RECURSIVE {FC_SQL}, o AS (SELECT cell, model, k0, power(actual - pred, 2) AS e2, row_number() OVER (PARTITION BY cell, model ORDER BY k0) AS i FROM rs WHERE h = 1 AND actual IS NOT NULL),
