@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 
@@ -63,63 +62,6 @@ def wilcoxon_p(d: np.ndarray) -> float:
     return float(2 * (1 - erf_cdf(abs(w - mean) / math.sqrt(var)))) if var > 0 else 1.0
 
 
-def theil_sen_slope(x: np.ndarray, y: np.ndarray) -> float:
-    i, j = np.triu_indices(len(x), 1)
-    dx = x[j] - x[i]
-    ok = dx != 0
-    return float(np.median((y[j] - y[i])[ok] / dx[ok])) if ok.any() else math.nan
-
-
-def hinge_basis(k: np.ndarray, knots: int = 4) -> np.ndarray:
-    """1, z and (z - t)+ at inner quantiles of z, the series scaled to 0..1."""
-    z = (k - k.min()) / max(float(np.ptp(k)), 1.0)
-    ts = np.quantile(z, np.arange(1, knots + 1) / (knots + 1))
-    return np.column_stack([np.ones_like(z), z, *(np.maximum(z - t, 0) for t in ts)])
-
-
-def huber_fit(x: np.ndarray, y: np.ndarray, rounds: int = 20, c: float = 1.345) -> np.ndarray:
-    """Robust coefficients by reweighted least squares with a MAD scale."""
-    w = np.ones(len(y))
-    b = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        s = np.sqrt(w)[:, None]
-        b = np.linalg.lstsq(x * s, y * s[:, 0], rcond=None)[0]
-        r = y - x @ b
-        scale = 1.4826 * float(np.median(np.abs(r - np.median(r)))) + 1e-9
-        w = np.minimum(1.0, c * scale / np.maximum(np.abs(r), 1e-12))
-    return b
-
-
-def rate_normalise(k, cap, current, ambient, valid, ref_current: float = 2.0) -> tuple[np.ndarray, dict]:
-    """Capacity at reference conditions: level effects of current and ambient taken out on a log scale."""
-    k, cap, current, ambient = (np.asarray(v, float) for v in (k, cap, current, ambient))
-    i_level, t_level = np.rint(current / 0.5) * 0.5, np.rint(ambient)
-    good = np.asarray(valid, bool) & np.isfinite(cap) & (cap > 0) & np.isfinite(current)
-
-    def mode(v, otherwise):
-        v = v[np.isfinite(v)]
-        if not len(v):
-            return otherwise
-        u, n = np.unique(v, return_counts=True)
-        return float(u[np.argmax(n)])
-
-    i_ref = ref_current if (i_level[good] == ref_current).any() else mode(i_level[good], ref_current)
-    t_ref = mode(t_level[good], 24.0)
-    effects = [(name, v, lv) for name, lv, ref in (("I", i_level, i_ref), ("T", t_level, t_ref)) for v, n in zip(*np.unique(lv[good & np.isfinite(lv)], return_counts=True), strict=True) if v != ref and n >= 5]
-    info = {"i_ref": i_ref, "t_ref": t_ref, "normalised": False, "rate_coef": math.nan, "offsets": {}}
-    if not effects or good.sum() < 10:
-        return cap.copy(), info
-    dummies = np.column_stack([(lv == v).astype(float) for _, v, lv in effects])
-    trend = hinge_basis(k[good])
-    b = huber_fit(np.column_stack([trend, dummies[good]]), np.log(cap[good]))[trend.shape[1] :]
-    info |= {"normalised": True, "offsets": {f"{name}={v:g}": float(x) for (name, v, _), x in zip(effects, b, strict=True)}}
-    by_current = [(v - i_ref, x) for (name, v, _), x in zip(effects, b, strict=True) if name == "I"]
-    if by_current:
-        dx, y = np.array(by_current).T
-        info["rate_coef"] = float(dx @ y / (dx @ dx))
-    return cap * np.exp(-dummies @ b), info
-
-
 def savgol(y: np.ndarray, window: int = 9, order: int = 2) -> np.ndarray:
     """Local polynomial smoothing; ends use the polynomial of the first and last window."""
     n = len(y)

@@ -1,4 +1,4 @@
-"""Curves of single cycles and what is read off them: resampling, Q(V), incremental capacity, rate normalisation."""
+"""Curves of single cycles and what is read off them: resampling, Q(V), incremental capacity."""
 
 from __future__ import annotations
 
@@ -6,10 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cellspan.config import CURVE_POINTS, LOADED_A
-from cellspan.functions.numeric import rate_normalise, savgol
+from cellspan.functions.numeric import savgol
 from cellspan.operators.features import running_charge
 
 
@@ -98,15 +97,3 @@ def delta_qv(df: DataFrame, lo: float = 3.3, hi: float = 3.9, n: int = 60) -> Da
             yield pd.DataFrame(out, columns=["Cell_ID", "Cycle_Index", "dq_logvar", "dq_min", "dq_mean"])
 
     return both.mapInPandas(run, "Cell_ID string, Cycle_Index long, dq_logvar double, dq_min double, dq_mean double")
-
-
-def normalise_rate(df: DataFrame, cell: str = "cell") -> DataFrame:
-    """df with cap_norm, normalised, rate_coef, offsets: level effects of current and ambient removed within each cell."""
-    added = StructType([*df.schema.fields, *StructType.fromDDL("cap_norm double, normalised boolean, i_ref double, t_ref double, rate_coef double, offsets map<string,double>").fields])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        cap, info = rate_normalise(pdf["k"], pdf["cap"], pdf["I_mean"], pdf["ambient"], ~pdf["outlier"].astype(bool))
-        return pdf.assign(cap_norm=cap, normalised=info["normalised"], i_ref=info["i_ref"], t_ref=info["t_ref"], rate_coef=info["rate_coef"], offsets=[info["offsets"]] * len(pdf))
-
-    return df.groupBy(cell).applyInPandas(run, added)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspan.config import EOL_AH
-from cellspan.operators import curves, features, quality
+from cellspan.operators import features, quality, rates
 from cellspan.operators.asof import asof_fill
 from cellspan.sources.registry import is_pulsed
 
@@ -23,7 +23,7 @@ def build(samples: DataFrame, impedance: DataFrame, registry: DataFrame, eol_ah:
     ok = quality.plausible(F.col("capacity"))
     table = quality.hampel(table.withColumn("masked", F.when(ok, F.col("capacity"))), "masked").drop("med", "scale", "masked", "ambients")
     table = table.withColumn("outlier", F.col("outlier") | ~ok).withColumnRenamed("capacity", "cap")
-    table = curves.normalise_rate(table)
+    table = rates.normalise_rate(table)
     bol = quality.robust_bol(table, "cap_norm")
     table = table.join(bol, "cell")
     early = F.col("crash") & (F.col("k") <= 20) & ((F.col("cap_norm") > 1.08 * F.col("bol")) | (F.col("cap_norm") < 0.85 * F.col("bol")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellspan.config import HORIZONS
-from cellspan.operators import asof, curves, datasets, features, forecasts, indicators, learning, quality, study
+from cellspan.operators import asof, curves, datasets, features, forecasts, indicators, learning, quality, rates, study
 from cellspan.sources.samples import E_SQL, L_SQL, event_cycles, lineitem_samples, normalise_samples
 from cellspan.streaming import live, windows
 
@@ -460,8 +460,8 @@ def sessions(spark, d):
 
 @query("rate_normalise")
 def rate_normalise(spark, d):
-    out = curves.normalise_rate(quality.hampel(event_cycles(spark, d)).select("cell", "k", "cap", "I_mean", "ambient", "outlier"))
-    return rounded(out.select("cell", "k", "cap_norm", "normalised", "i_ref", "t_ref"))
+    out = rates.normalise_rate(quality.hampel(event_cycles(spark, d)).select("cell", "k", "cap", "I_mean", "ambient", "outlier"))
+    return rounded(out.select("cell", "k", "cap_norm", "normalised", "i_ref", "t_ref", "rate_coef"))
 
 
 @query("curve_arrays")

@@ -21,12 +21,3 @@ def test_t_tail():
 def test_savgol_keeps_parabola():
     x = np.arange(30.0)
     assert np.allclose(N.savgol(x**2 - 3 * x, 9, 2), x**2 - 3 * x)
-
-
-def test_rate_normalise():
-    k = np.arange(1, 151)
-    current = np.array([(2.0, 4.0, 1.0)[(i - 1) // 8 % 3] for i in k])
-    true = 1.9 - 0.002 * k
-    cap = true * np.exp(np.select([current == 4, current == 1], [-0.07, 0.01], 0.0)) + np.random.default_rng(1).normal(0, 0.003, 150)
-    out, info = N.rate_normalise(k, cap, current, np.full(150, 24.0), np.ones(150, bool))
-    assert info["normalised"] and np.sqrt(np.mean((out - true) ** 2)) < 0.006 < 0.05 < np.sqrt(np.mean((cap - true) ** 2))
