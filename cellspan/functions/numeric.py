@@ -78,8 +78,9 @@ def savgol(y: np.ndarray, window: int = 9, order: int = 2) -> np.ndarray:
     return out
 
 
-def bayesian_ridge(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """Evidence maximisation on sufficient statistics: coefficients, their covariance, noise variance."""
+def bayesian_ridge(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, shape: float = 1e-6, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """Evidence maximisation on sufficient statistics: coefficients, their covariance, noise variance. shape: of the gamma prior
+    of the noise precision; the other parameters of the priors are 1e-6."""
     d = len(xty)
     values, vectors = np.linalg.eigh(xtx)
     values = np.maximum(values, 0)
@@ -89,7 +90,7 @@ def bayesian_ridge(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, round
         m = vectors @ (beta * proj / (alpha + beta * values))
         gamma = float((beta * values / (alpha + beta * values)).sum())
         sse = max(yty - 2 * float(m @ xty) + float(m @ xtx @ m), 1e-12)
-        new_alpha, new_beta = (gamma + 1e-6) / (float(m @ m) + 1e-6), (n - gamma + 1e-6) / (sse + 1e-6)
+        new_alpha, new_beta = (gamma + 2e-6) / (float(m @ m) + 2e-6), (n - gamma + 2 * shape) / (sse + 2e-6)
         done = abs(new_alpha - alpha) < 1e-6 * alpha and abs(new_beta - beta) < 1e-6 * beta
         alpha, beta = new_alpha, max(new_beta, 1e-9)
         if done:

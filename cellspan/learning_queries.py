@@ -9,6 +9,7 @@ from cellspan.operators import curves, datasets, forecasts, indicators, learning
 from cellspan.plans import cohort, economics
 from cellspan.queries import BOL_SQL, EOL_SQL, FC_SQL, MONO_SQL, QUERIES, SPEAR_SQL, SQL, forecast_log, query, r, rounded
 from cellspan.sources import registry, samples
+from cellspan.sources.staging import staged
 from cellspan.sources.samples import E_SQL, H_SQL, L_SQL, event_cycles, health_table, lineitem_samples, table
 from cellspan.streaming import windows
 
@@ -103,13 +104,15 @@ def grouped_cv_cells(spark, d):
 
 @query(
     "fade_backtest",
-    f"""WITH {FADE_SQL}, md AS (SELECT quantile_cont(round(slope20, 4), 0.5) AS m FROM fd), fx AS (SELECT fd.* EXCLUDE (slope20), coalesce(slope20, m, 0) AS x FROM fd, md),
-mo AS (SELECT t.cell, count(*)::DOUBLE AS n, avg(x) AS mx, avg(target) AS my, stddev_pop(x) AS sx, stddev_pop(target) AS sy, corr(x, target) AS c FROM fx JOIN (SELECT DISTINCT cell FROM fx) t ON fx.cell <> t.cell GROUP BY t.cell HAVING count(DISTINCT fx.cell) >= 3 AND count(*) >= 3),
-bp AS (SELECT fx.cell, k0, soh_now, soh_future, target, horizon, my + (x - mx) / sx * sy * c * n / (n + 1e-3) AS rate_pred FROM fx JOIN mo ON mo.cell = fx.cell)
+    f"""WITH {FADE_SQL}, ce AS (SELECT DISTINCT cell FROM fd), md AS (SELECT ce.cell, {', '.join(f'quantile_cont(round({c}, 4), 0.5) AS m{i}' for i, c in enumerate(("slope20", "R0_rel")))} FROM ce JOIN fd ON fd.cell <> ce.cell GROUP BY ce.cell),
+fx AS (SELECT md.cell AS t, fd.*, coalesce(slope20, m0, 0) AS x, coalesce(R0_rel, m1, 0) AS z FROM md, fd),
+mo AS (SELECT t, count(*)::DOUBLE AS n, avg(x) AS mx, avg(z) AS mz, avg(target) AS my, stddev_pop(x) AS sx, stddev_pop(z) AS sz, stddev_pop(target) AS sy, corr(x, target) AS cx, corr(z, target) AS cz, corr(x, z) AS c FROM fx WHERE cell <> t GROUP BY t HAVING count(DISTINCT cell) >= 3 AND count(*) >= 3),
+mw AS (SELECT *, 1 + 1e-3 / n AS e, (cx * (1 + 1e-3 / n) - c * cz) / ((1 + 1e-3 / n) * (1 + 1e-3 / n) - c * c) AS wx, (cz * (1 + 1e-3 / n) - c * cx) / ((1 + 1e-3 / n) * (1 + 1e-3 / n) - c * c) AS wz FROM mo),
+bp AS (SELECT fx.cell, k0, soh_now, soh_future, target, horizon, my + ((x - mx) / sx * wx + (z - mz) / sz * wz) * sy AS rate_pred FROM fx JOIN mw ON mw.t = fx.t WHERE fx.cell = fx.t)
 SELECT cell, CAST(k0 AS INTEGER) AS k0, {r('soh_now', digits=5)}, {r('soh_future', digits=5)}, {r('target', digits=4)}, horizon, {r('rate_pred', digits=4)}, {r('soh_now - rate_pred * horizon / 100', 'soh_pred', 5)} FROM bp""",
 )
 def fade_backtest(spark, d):
-    out = learning.backtest(datasets.fade_dataset(health_table(spark, d)), ["slope20"], alpha=1e-3).drop("soh_std")
+    out = learning.backtest(datasets.fade_dataset(health_table(spark, d)), ["slope20", "R0_rel"], alpha=1e-3).drop("soh_std")
     return rounded(out.withColumns({"target": F.round("target", 4), "rate_pred": F.round("rate_pred", 4)}), 5)
 
 
@@ -428,14 +431,14 @@ FEATURES = ["k", "R0", "Re_ohm", "Rct_ohm", "T_rise", "T_mean", "V_mean", "I_mea
 
 @query("grouped_cv_ridge")
 def grouped_cv_ridge(spark, d):
-    out = learning.grouped_cv(datasets.soh_dataset(health_table(spark, d)), FEATURES, "soh")
+    out = learning.grouped_cv(staged(datasets.soh_dataset(health_table(spark, d)), "soh"), FEATURES, "soh")
     return rounded(out.select("cell", "k", "fold", "soh", "pred", "std"), 5)
 
 
 @query("nested_cv")
 def nested_cv(spark, d):
-    out = learning.tuned_cv(datasets.soh_dataset(health_table(spark, d)), FEATURES, "soh")
-    return rounded(learning.cv_summary(out, "soh", ("fold",)), 5)
+    out = learning.tuned_cv(staged(datasets.soh_dataset(health_table(spark, d)), "soh"), FEATURES, "soh")
+    return rounded(learning.cv_summary(out, "soh", ("fold", "shape")).withColumn("shape", F.col("shape").cast("string")), 5)
 
 
 @query("hi_selection")
@@ -454,7 +457,7 @@ def measurement_ranking(spark, d):
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    return rounded(learning.permutation_importance(datasets.soh_dataset(health_table(spark, d)), ["k", "R0", "V_mean"], "soh", repeats=2), 5)
+    return rounded(learning.permutation_importance(staged(datasets.soh_dataset(health_table(spark, d)), "soh"), FEATURES, "soh"), 5)
 
 
 @query("cohort_metrics")

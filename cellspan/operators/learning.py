@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from cellspan.functions import metrics as M
 from cellspan.functions.numeric import bayesian_ridge, t_two_sided
+from cellspan.sources.staging import staged
 
 ROUND = 4  # digits of values that medians are taken of, which bounds what an aggregation holds
 
@@ -53,20 +54,42 @@ def folded(df: DataFrame, n: int = 5, group: str = "cell") -> DataFrame:
     return df.join(group_folds(df, n, group), group)
 
 
-def imputed(df: DataFrame, columns, by: str = "fold") -> DataFrame:
-    """Gaps filled with the median of the other folds' known values (0 for columns without any)."""
+def fold_medians(df: DataFrame, columns, by: str = "fold") -> DataFrame:
+    """by, fill: the medians of the columns' known values over all other folds' rows, 0 for columns without any."""
     folds = df.select(by).distinct().withColumnRenamed(by, "__to")
     others = df.select(by, *columns).join(F.broadcast(folds), F.col(by) != F.col("__to"))  # as many rows as folds
-    medians = others.groupBy("__to").agg(*(F.percentile(F.round(c, ROUND), F.lit(0.5)).alias(f"__m_{c}") for c in columns))
-    out = df.join(medians, F.col(by) == F.col("__to"), "left")
-    return out.withColumns({c: F.coalesce(c, f"__m_{c}", F.lit(0.0)) for c in columns}).drop("__to", *(f"__m_{c}" for c in columns))
+    fill = F.array(*(F.coalesce(F.percentile(F.round(c, ROUND), F.lit(0.5)), F.lit(0.0)) for c in columns))
+    return others.groupBy(F.col("__to").alias(by)).agg(fill.alias("fill"))
+
+
+def imputed(df: DataFrame, columns, by: str = "fold") -> DataFrame:
+    """Each row's gaps filled as a row held out: with the median of the other folds' known values (0 for columns without any).
+    Training rows of a model are filled by `filled_sums` with that model's own medians."""
+    out = df.join(F.broadcast(fold_medians(df, columns, by)), by, "left")  # as many rows as folds
+    return out.withColumns({c: F.coalesce(c, F.get("fill", F.lit(i)), F.lit(0.0)) for i, c in enumerate(columns)}).drop("fill")
+
+
+def gap_sums(df: DataFrame, x: list[str], y: str, *by: str) -> DataFrame:
+    """Sums of known values (0 in a gap), of gap flags and of y, and of all their products, by key. Whatever the gaps are
+    filled with later, the sums of the filled rows follow from these."""
+    known = {f"__v{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(x)}
+    flags = {f"__g{i}": F.col(c).isNull().cast("double") for i, c in enumerate(x)}
+    return sums(df.where(F.col(y).isNotNull()).withColumns(known | flags), [*known, *flags], y, *by)
 
 
-def sums(df: DataFrame, x: list[str], y: str, by: str) -> DataFrame:
+def filled_sums(s, p, fill) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and the upper triangle of products of (x, y) when gaps are filled: x = v + fill * g."""
+    d = len(fill)
+    t = np.zeros((d + 1, 2 * d + 1))
+    t[:d, :d], t[:d, d : 2 * d], t[d, 2 * d] = np.eye(d), np.diag(fill), 1.0
+    return t @ np.array(s), (t @ _square(p, 2 * d + 1) @ t.T)[np.triu_indices(d + 1)]
+
+
+def sums(df: DataFrame, x: list[str], y: str, *by: str) -> DataFrame:
     """n, sums and the upper triangle of the products of (x, y) by key, in one aggregation; rows with a gap don't count."""
     cols = [F.col(c).cast("double") for c in (*x, y)]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    return df.dropna(subset=[*x, y]).groupBy(by).agg(F.count("*").alias("n"), F.array(*(F.sum(c) for c in cols)).alias("s"), F.array(*(F.sum(cols[i] * cols[j]) for i, j in pairs)).alias("p"))
+    return df.dropna(subset=[*x, y]).groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.sum(c) for c in cols)).alias("s"), F.array(*(F.sum(cols[i] * cols[j]) for i, j in pairs)).alias("p"))
 
 
 def _square(p, d: int) -> np.ndarray:
@@ -88,9 +111,9 @@ def total_less_own(own: DataFrame, by: str) -> DataFrame:
 MODEL = "w array<double>, m array<double>, sd array<double>, wc array<double>, noise double"
 
 
-def _solve(n: float, s, p, alpha: float | None, tuned: tuple[float, float] = (1e-6, 1e-6)):
+def _solve(n: float, s, p, alpha: float | None, shape: float = 1e-6):
     """Standardised ridge from sums: weights, means, scales, covariance of the weights, noise. alpha: a fixed penalty; None:
-    Bayesian, from the data."""
+    Bayesian, from the data, with `shape` of the noise precision's prior."""
     s = np.array(s)
     d = len(s)
     m = s / n
@@ -99,7 +122,7 @@ def _solve(n: float, s, p, alpha: float | None, tuned: tuple[float, float] = (1e
     sd[sd < 1e-9] = 1.0
     c = cov / np.outer(sd, sd) * n
     if alpha is None:
-        w, wc, noise = bayesian_ridge(c[:-1, :-1], c[:-1, -1], c[-1, -1], n)
+        w, wc, noise = bayesian_ridge(c[:-1, :-1], c[:-1, -1], c[-1, -1], n, shape)
     else:
         inverse = np.linalg.inv(c[:-1, :-1] + alpha * np.eye(d - 1))
         w = inverse @ c[:-1, -1]
@@ -109,7 +132,8 @@ def _solve(n: float, s, p, alpha: float | None, tuned: tuple[float, float] = (1e
 
 
 def fitted(rest: DataFrame, by: str, alpha: float | None = None, least: int = 3, intercept: bool = False) -> DataFrame:
-    """A ridge for each row of sums (by, n, s, p); none from fewer than `least` rows. intercept: it is penalised as well."""
+    """A ridge for each row of sums (by, n, s, p); none from fewer than `least` rows. intercept: it is penalised as well. With a
+    column `fill` the sums are those of gap_sums and the gaps are filled with it."""
     key = rest.schema[by]
 
     def run(frames):
@@ -117,7 +141,7 @@ def fitted(rest: DataFrame, by: str, alpha: float | None = None, least: int = 3,
             rows = []
             for r in pdf.itertuples():
                 if r.n >= least:
-                    w, m, *more = _solve(r.n, r.s, r.p, alpha)
+                    w, m, *more = _solve(r.n, *(filled_sums(r.s, r.p, r.fill) if "fill" in pdf else (r.s, r.p)), alpha)
                     m[-1] *= r.n / (r.n + alpha) if intercept else 1
                     rows.append((getattr(r, by), w, m, *more))
             yield pd.DataFrame(rows, columns=[by, "w", "m", "sd", "wc", "noise"])
@@ -138,34 +162,67 @@ def predicted(df: DataFrame, models: DataFrame, x: list[str], by: str) -> DataFr
 
 
 def grouped_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, alpha: float | None = None) -> DataFrame:
-    """df rows with fold, pred, std of a ridge trained on the other folds' cells; gaps are filled with those folds' medians.
+    """df rows with fold, pred, std of a ridge trained on the other folds' cells; gaps of training and held-out rows alike are
+    filled with the medians of that model's training rows.
 
     The training sums of a fold are the total less its own.
     """
-    d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)
-    return predicted(d, fitted(total_less_own(sums(d, x, y, "fold"), "fold"), "fold", alpha), x, "fold")
+    d = staged(folded(df.where(F.col(y).isNotNull()), n, group), "folds")
+    rest = total_less_own(gap_sums(d, x, y, "fold"), "fold").join(fold_medians(d, x), "fold")
+    return predicted(imputed(d, x), fitted(rest, "fold", alpha), x, "fold")
 
 
-#: Penalties that tuning chooses from (fixed values of the grid), as multiples of a row's weight.
-PENALTIES = (1e-6, 1e-3, 1.0, 100.0)
+#: The grid of the noise prior's shape that tuning chooses from, and the inner folds it is judged by (fixed values).
+SHAPES = (1e-6, 1e-3)
+INNER = 3
 
 
-def tuned_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, penalties=PENALTIES) -> DataFrame:
-    """The same, nested: each fold's penalty is the one with the least error when the folds of its training cells are held
-    out one by one. Inner models come from sums as well: total less the outer fold less the inner one."""
-    d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)
-    rows, models = _fold_sums(d, x, y), []
-    for f in rows:
-        rest = {g: v for g, v in rows.items() if g != f}
-        whole = [sum(v[i] for v in rest.values()) for i in range(3)] if rest else None
-        if whole is None or whole[0] < 3:
+def inner_folds(d: DataFrame, n: int = INNER, group: str = "cell") -> DataFrame:
+    """fold, group, inner: the training cells of each outer fold dealt into inner folds."""
+    cells = d.groupBy(group, "fold").agg(F.count("*").alias("times")).persist()
+    out = None
+    for r in d.select("fold").distinct().orderBy("fold").collect():
+        rest = cells.where(F.col("fold") != r["fold"])
+        part = group_folds(rest.withColumn("__one", F.explode(F.sequence(F.lit(1), F.col("times")))), n, group)
+        part = part.select(F.lit(r["fold"]).cast("int").alias("outer"), group, F.col("fold").alias("inner"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def tuned_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, shapes=SHAPES, inner: int = INNER) -> DataFrame:
+    """The same with a Bayesian ridge, nested: each fold's model has the shape of the noise prior with the least mean error over
+    inner folds of its training cells (the first of equal ones; the first of all where fewer than `inner` cells train).
+
+    One table of sums by outer and inner fold gives all inner models, what they err on their held-out cells, and the outer
+    ones: gaps are filled with the medians of each model's own training rows. The table has outer times inner rows, medians as
+    many; both go to the driver, no row does.
+    """
+    d = staged(folded(df.where(F.col(y).isNotNull()), n, group), "folds")
+    if d.isEmpty():
+        return predicted(imputed(d, x), df.sparkSession.createDataFrame([], f"fold int, shape double, {MODEL}"), x, "fold")
+    levels = staged(inner_folds(d, inner, group), "inner-folds")
+    rows = d.join(levels, group)
+    table = {(r["outer"], r["inner"]): (float(r["n"]), np.array(r["s"]), np.array(r["p"])) for r in gap_sums(rows, x, y, "outer", "inner").collect()}
+    held = F.broadcast(df.sparkSession.range(inner).select(F.col("id").cast("int").alias("held")))
+    fill = F.array(*(F.coalesce(F.percentile(F.round(c, ROUND), F.lit(0.5)), F.lit(0.0)) for c in x))
+    fills = {(r["outer"], r["held"]): r["fill"] for r in rows.join(held, F.col("held") != F.col("inner")).groupBy("outer", "held").agg(fill.alias("fill")).collect()}
+    whole_fill = {r["fold"]: r["fill"] for r in fold_medians(d, x).collect()}
+    models = []
+    for f, medians in sorted(whole_fill.items()):
+        parts = {g: v for (o, g), v in table.items() if o == f}
+        whole = [sum(v[i] for v in parts.values()) for i in range(3)]
+        if whole[0] < 3:
             continue
-        inner = {g: v for g, v in rest.items() if whole[0] - v[0] >= 3}
-        errors = {a: sum(_squared_error(_solve(whole[0] - n, whole[1] - s, whole[2] - p, a), n, s, p) for n, s, p in inner.values()) for a in penalties}
-        best = min(errors, key=lambda a: (errors[a], a))
-        models.append((f, float(best), *_solve(*whole, best)))
-    table = df.sparkSession.createDataFrame(models, f"fold int, penalty double, {MODEL}")
-    return predicted(d, table, x, "fold")
+        errors = dict.fromkeys(shapes, 0.0)
+        for g, own in parts.items() if len(parts) == inner else ():
+            rest = [whole[i] - own[i] for i in range(3)]
+            training, test = (filled_sums(v[1], v[2], fills[f, g]) for v in (rest, own))
+            for a in shapes:
+                errors[a] += np.sqrt(max(_squared_error(_solve(rest[0], *training, None, a), own[0], *test), 0.0) / own[0])
+        best = min(shapes, key=lambda a: errors[a])  # noqa: B023
+        models.append((f, float(best), *_solve(whole[0], *filled_sums(whole[1], whole[2], medians), None, best)))
+    known = df.sparkSession.createDataFrame(models, f"fold int, shape double, {MODEL}")
+    return predicted(imputed(d, x), known, x, "fold")
 
 
 def cv_summary(predicted_rows: DataFrame, y: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -174,14 +231,43 @@ def cv_summary(predicted_rows: DataFrame, y: str, by: tuple[str, ...] = ()) -> D
     return predicted_rows.where(p.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), M.rmse(a, p).alias("rmse"), M.mae(a, p).alias("mae"), M.r2(a, p).alias("r2"), M.coverage(a, p - 1.645 * s, p + 1.645 * s).alias("coverage90"))
 
 
+def medians_without(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """key, fill: medians of the columns' known values over the rows of all other keys (0 for columns without any).
+
+    The r-th value of the others is a value of the whole: that of rank r plus the number of own rows before it, which are those
+    with at most r values of others below. So a key needs its own rows' places in the whole and two values by rank, not the
+    others' rows. Values are rounded to ROUND digits, places are taken of distinct ones.
+    """
+    long = df.select(key, F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.col(c).cast("double"), ROUND).alias("v")) for i, c in enumerate(columns))))).where("v IS NOT NULL")
+    own = long.groupBy(key, "i", "v").agg(F.count("*").alias("c"))
+    whole = own.groupBy("i", "v").agg(F.sum("c").alias("n"))
+    place = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    whole = whole.withColumn("below", F.sum("n").over(place) - F.col("n"))
+    all_rows = whole.groupBy("i").agg(F.sum("n").alias("all"))
+    before = Window.partitionBy(key, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = own.join(whole, ["i", "v"]).withColumn("free", F.col("below") - (F.sum("c").over(before) - F.col("c")))
+    sizes = df.select(key).distinct().join(F.broadcast(all_rows)).join(own.groupBy(key, "i").agg(F.sum("c").alias("mine")), [key, "i"], "left").na.fill(0, ["mine"])  # a row for each column
+    rest = F.col("all") - F.col("mine")
+    wanted = sizes.where(rest > 0).select(key, "i", F.explode(F.array(F.floor((rest - 1) / 2), F.floor(rest / 2))).alias("r"), F.monotonically_increasing_id().alias("id"))
+    met = wanted.join(placed.select(key, "i", "c", "free"), [key, "i"], "left").groupBy(key, "i", "id", "r").agg(F.sum(F.when(F.col("free") <= F.col("r"), F.col("c")).otherwise(0)).alias("t"))
+    asked = met.select("i", (F.col("r") + F.col("t")).alias("at"), F.lit(1).alias("o"), F.col(key).alias("__key"), F.lit(None).cast("double").alias("v"))
+    both = asked.unionByName(whole.select("i", F.col("below").alias("at"), F.lit(0).alias("o"), F.lit(None).cast(df.schema[key].dataType).alias("__key"), "v"))
+    value = F.last("v", ignorenulls=True).over(Window.partitionBy("i").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("v", value).where("o = 1").groupBy("__key", "i").agg(F.avg("v").alias("m"))
+    fill = F.array(*(F.coalesce(F.max(F.when(F.col("i") == i, F.col("m"))), F.lit(0.0)) for i in range(len(columns))))
+    filled = found.groupBy(F.col("__key").alias(key)).agg(fill.alias("fill"))
+    return df.select(key).distinct().join(filled, key, "left").select(key, F.coalesce("fill", F.array_repeat(F.lit(0.0), len(columns))).alias("fill"))
+
+
 def backtest(fade: DataFrame, x: list[str], alpha: float | None = None, cell: str = "cell") -> DataFrame:
-    """Each origin's health `horizon` cycles ahead by a model of the loss that all other cells have taught (gaps: the median
-    over all cells). Cells with fewer than three others get no forecast."""
-    medians = fade.agg(*(F.percentile(F.round(c, ROUND), F.lit(0.5)).alias(f"__m_{c}") for c in x))
-    d = fade.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"__m_{c}", F.lit(0.0)) for c in x}).drop(*(f"__m_{c}" for c in x))  # one row
-    own = sums(d, x, "target", cell)
-    models = fitted(total_less_own(own, cell), cell, alpha)
+    """Each origin's health `horizon` cycles ahead by a model of the loss that all other cells have taught; gaps, those of the
+    cell itself too, are filled with the others' medians. Cells with fewer than three others get no forecast."""
+    fade = staged(fade, "backtest")
+    fills = staged(medians_without(fade, x, cell), "backtest-medians")
+    own = gap_sums(fade, x, "target", cell)
+    models = fitted(total_less_own(own, cell).join(fills, cell), cell, alpha)
     enough = own.agg((F.count("*") > 3).alias("enough"))
+    d = fade.join(fills, cell).withColumns({c: F.coalesce(F.col(c).cast("double"), F.get("fill", F.lit(i))) for i, c in enumerate(x)}).drop("fill")
     out = predicted(d, models, x, cell).crossJoin(F.broadcast(enough)).where("enough")
     ahead = F.col("horizon") / 100
     return out.select(cell, "k0", "soh_now", "soh_future", "target", "horizon", F.col("pred").alias("rate_pred"), (F.col("soh_now") - F.col("pred") * ahead).alias("soh_pred"), (F.col("std") * ahead).alias("soh_std"))
@@ -315,30 +401,31 @@ def gaussian_process_cv(df: DataFrame, x: list[str], y: str, group: str = "cell"
     return d.mapInPandas(run, StructType([*d.schema.fields, *StructType.fromDDL("pred double, std double").fields]))
 
 
-def dealt_anew(df: DataFrame, column: str, seed: int, bucket: int = 1000) -> DataFrame:
-    """df with the values of a column dealt out anew at random: rows and values meet within random buckets of about so many
-    rows, at their places in two random orders."""
-    keyed = df.withColumn("__id", F.xxhash64(*df.columns))
-    buckets = F.greatest(F.ceil(F.col("__all") / bucket), F.lit(1))
-    counted = keyed.crossJoin(F.broadcast(keyed.agg(F.count("*").alias("__all"))))  # one row
-    placed = counted.withColumn("__b", F.pmod(F.xxhash64("__id", F.lit(seed)), buckets)).drop("__all")
-    place = lambda salt: F.row_number().over(Window.partitionBy("__b").orderBy(F.xxhash64("__id", F.lit(seed), F.lit(salt)), "__id"))
-    rows = placed.withColumn("__r", place(1)).drop(column)
-    values = placed.select("__b", F.col(column), place(2).alias("__r"))
-    return rows.join(values, ["__b", "__r"]).select(*df.columns)
-
-
-def permutation_importance(df: DataFrame, x: list[str], y: str, group: str = "cell", repeats: int = 5) -> DataFrame:
-    """feature, increase: mean rise of the error on held-out cells when a feature's values are dealt out anew among rows."""
-    d = imputed(folded(df.where(F.col(y).isNotNull()), 5, group), x).persist()
-    models = fitted(total_less_own(sums(d, x, y, "fold"), "fold"), "fold").persist()
-    error = lambda rows: predicted(rows, models, x, "fold").agg(M.rmse(F.col(y), F.col("pred")).alias("e")).first()["e"]
-    base, rises = error(d), []
-    for c in x:  # one number for each feature and repeat
-        rises += [(c, float(error(dealt_anew(d, c, s)) - base)) for s in range(repeats)] if base is not None else []
-    d.unpersist()
-    models.unpersist()
-    return df.sparkSession.createDataFrame(rises, "feature string, rise double").groupBy("feature").agg(F.avg("rise").alias("increase"))
+def dealt_anew(rows: DataFrame, columns: list[str], repeats: int, seed: int = 7, bucket: int = 1000) -> DataFrame:
+    """rows for each column and repeat, with `feature`, `repeat`, `old` and `new`: the column's values dealt out anew at random.
+    Rows and values meet within random buckets of about so many rows, at their places in two random orders; all columns and
+    repeats are one plan. rows: with a key `__id`."""
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"), F.col(c).cast("double").alias("old")) for c in columns for r in range(repeats))))
+    counted = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))  # one row
+    placed = counted.select("*", each).withColumn("__b", F.pmod(F.xxhash64("__id", "feature", "repeat", F.lit(seed)), F.greatest(F.ceil(F.col("__all") / bucket), F.lit(1)))).drop("__all")
+    group = ["feature", "repeat", "__b"]
+    place = lambda salt: F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("__id", "feature", "repeat", F.lit(seed), F.lit(salt)), "__id"))
+    values = placed.select(*group, F.col("old").alias("new"), place(2).alias("__r"))
+    return placed.withColumn("__r", place(1)).join(values, [*group, "__r"]).drop("__b", "__r")
+
+
+def permutation_importance(df: DataFrame, x: list[str], y: str, group: str = "cell", repeats: int = 5, n: int = 4) -> DataFrame:
+    """feature, increase: mean rise of the error on the cells of one held-out fold (of n) when a feature's values are dealt out
+    anew among its rows. A row's prediction moves by its weight times the change, so rows are predicted once."""
+    d = staged(folded(df.where(F.col(y).isNotNull()), n, group), "folds")
+    rest = gap_sums(d.where("fold <> 0"), x, y, "fold").groupBy().agg(F.lit(0).alias("fold"), F.sum("n").alias("n"), *(F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(size))).alias(c) for c, size in (("s", 2 * len(x) + 1), ("p", (2 * len(x) + 1) * (len(x) + 1)))))
+    models = fitted(rest.join(fold_medians(d, x).where("fold = 0"), "fold"), "fold")
+    test = predicted(imputed(d, x).where("fold = 0"), models, x, "fold").join(F.broadcast(models.select("fold", "w", "sd")), "fold")  # one row
+    test = staged(test.where(F.col("pred").isNotNull()).withColumn("__id", F.monotonically_increasing_id()), "importance")
+    weight = F.coalesce(*(F.when(F.col("feature") == c, F.get("w", F.lit(i)) / F.get("sd", F.lit(i)) * F.get("sd", F.lit(len(x)))) for i, c in enumerate(x)))
+    moved = dealt_anew(test, x, repeats).withColumn("moved", F.col("pred") + weight * (F.col("new") - F.col("old")))
+    rises = moved.groupBy("feature", "repeat").agg((M.rmse(F.col(y), F.col("moved")) - M.rmse(F.col(y), F.col("pred"))).alias("rise"))
+    return rises.groupBy("feature").agg(F.avg("rise").alias("increase"))
 
 
 def _moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:

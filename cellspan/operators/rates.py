@@ -114,7 +114,7 @@ def _gathered(k: np.ndarray, y: np.ndarray, i: np.ndarray, t: np.ndarray, effect
 # --- long cells: rounds of aggregations ---------------------------------------------------------------------------------
 
 
-def order_statistics(values: DataFrame, ranks: DataFrame, levels: int = 2) -> DataFrame:
+def order_statistics(values: DataFrame, ranks: DataFrame, levels: int = 3) -> DataFrame:
     """cell, which, value: the value of each rank (0 is the least) among a cell's values `v`; values: cell, v; ranks: cell, which,
     rank. Bins between the bounds of a level pick the next level's bounds, which are values: where these agree the value is
     exact, else it lies within (range / BINS ** levels) of it. A cell's rows at a level are at most BINS for each rank."""
@@ -137,10 +137,10 @@ def order_statistics(values: DataFrame, ranks: DataFrame, levels: int = 2) -> Da
     return wanted.select("cell", "which", ((F.col("low") + F.col("high")) / 2).alias("value"))
 
 
-def quantiles(values: DataFrame, sizes: DataFrame, shares: list[float]) -> DataFrame:
+def quantiles(values: DataFrame, sizes: DataFrame, shares: list[float], levels: int = 2) -> DataFrame:
     """cell, q: array of linear quantiles; sizes: cell, n."""
     each = F.inline(F.array(*(F.struct(F.lit(2 * j + s).alias("which"), F.least(F.floor(F.lit(p) * (F.col("n") - 1)) + s, F.col("n") - 1).alias("rank")) for j, p in enumerate(shares) for s in (0, 1))))
-    got = order_statistics(values, sizes.select("cell", each)).groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("which", "value"))).alias("m"))
+    got = order_statistics(values, sizes.select("cell", each), levels).groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("which", "value"))).alias("m"))
     at = lambda p: F.lit(p) * (F.col("n") - 1)
     q = [F.element_at("m", F.lit(2 * j)) + (at(p) - F.floor(at(p))) * (F.element_at("m", F.lit(2 * j + 1)) - F.element_at("m", F.lit(2 * j))) for j, p in enumerate(shares)]
     return got.join(sizes, "cell").select("cell", F.array(*q).alias("q"))

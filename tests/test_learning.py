@@ -66,10 +66,7 @@ def test_grouped_cv_with_gaps(df, rows):
     d = rows.assign(fold=rows.cell.map(folds))
     want = {}
     for f in range(5):
-        rest, own = d[d.fold != f], d[d.fold == f].copy()
-        filled = d.copy()
-        for g in range(5):
-            filled.loc[(filled.fold == g) & filled.b.isna(), "b"] = d[d.fold != g].b.dropna().round(4).median()
+        filled = d.assign(b=d.b.fillna(d[d.fold != f].b.dropna().round(4).median()))  # the training rows' median, for all rows
         rest, own = filled[filled.fold != f], filled[filled.fold == f]
         p = ridge(rest[["a", "b"]].to_numpy(), rest.soh.to_numpy(), 0.5)(own[["a", "b"]].to_numpy())
         want |= dict(zip(zip(own.cell, own.k, strict=True), p, strict=True))
@@ -78,25 +75,63 @@ def test_grouped_cv_with_gaps(df, rows):
     assert 0.8 < learning.cv_summary(got_df(df, got), "soh").first()["coverage90"] <= 1
 
 
+def test_held_out_values_teach_nothing(df, rows):
+    """Other values in the held-out fold leave its model, and so what it predicts of like rows, as they were."""
+    folds = folds_of(rows.groupby("cell").size().to_dict(), 5)
+    cells = [c for c, f in folds.items() if f == 0]
+    changed = df.withColumn("b", F.when(F.col("cell").isin(cells) & F.col("b").isNotNull(), 1000.0).otherwise(F.col("b")))
+    own = F.col("cell").isin(cells) & (F.col("k") % 7 == 0)
+    for cv in (lambda t: learning.grouped_cv(t, ["a", "b"], "soh", alpha=0.5), lambda t: learning.tuned_cv(t, ["a", "b"], "soh")):
+        before, after = (sorted(map(tuple, cv(t).where(own).select("cell", "k", F.round("pred", 6)).collect())) for t in (df, changed))
+        assert before == after and before
+    fade = lambda t: t.select("cell", F.col("k").alias("k0"), "a", "b", F.col("soh").alias("target"), F.lit(1.0).alias("soh_now"), F.lit(1.0).alias("soh_future"), F.lit(25).alias("horizon"))
+    one = F.col("cell") == "c3"
+    changed = df.withColumn("b", F.when(one & F.col("b").isNotNull(), 1000.0).otherwise(F.col("b")))
+    before, after = (sorted(map(tuple, learning.backtest(fade(t), ["a", "b"], alpha=0.5).where(one).join(t.where("b IS NULL").select("cell", F.col("k").alias("k0")), ["cell", "k0"]).select("k0", F.round("rate_pred", 6)).collect())) for t in (df, changed))
+    assert before == after and before
+
+
+def test_medians_of_all_others(spark):
+    rng = np.random.default_rng(8)
+    for turn in range(3):
+        cells = rng.integers(0, 6, 60)
+        table = pd.DataFrame({"cell": [f"c{i}" for i in cells], "a": rng.integers(0, 5 if turn else 10**6, 60).astype(float), "b": np.where(cells == 2, rng.normal(size=60), np.nan)})
+        got = {r["cell"]: r["fill"] for r in learning.medians_without(spark.createDataFrame(table).replace(float("nan"), None), ["a", "b"], "cell").collect()}
+        for c in table.cell.unique():
+            rest = table[table.cell != c]
+            assert got[c] == pytest.approx([rest.a.median(), rest.b.round(4).median() if rest.b.notna().any() else 0.0])
+
+
 def got_df(df, pdf):
     return df.sparkSession.createDataFrame(pdf[["cell", "soh", "pred", "std"]])
 
 
-def test_nested_tuning_takes_the_best_penalty(df, rows):
-    d = rows.dropna()
-    small = df.dropna()
-    folds = folds_of(d.groupby("cell").size().to_dict(), 5)
-    d = d.assign(fold=d.cell.map(folds))
-    got = learning.tuned_cv(small, ["a", "b"], "soh", penalties=(1e-3, 50.0)).select("fold", "penalty").distinct().collect()
-    for f, penalty in got:
-        rest, errors = d[d.fold != f], {}
-        for alpha in (1e-3, 50.0):
-            sse = 0.0
-            for g in set(rest.fold):
-                tr, te = rest[rest.fold != g], rest[rest.fold == g]
-                sse += float(((ridge(tr[["a", "b"]].to_numpy(), tr.soh.to_numpy(), alpha)(te[["a", "b"]].to_numpy()) - te.soh) ** 2).sum())
-            errors[alpha] = sse
-        assert penalty == min(errors, key=errors.get)
+def test_nested_tuning_takes_the_best_shape(df, rows):
+    from cellspan.functions.numeric import bayesian_ridge
+
+    def fit(t, shape):
+        m, s, my, sy = t[["a", "b"]].mean().to_numpy(), t[["a", "b"]].std(ddof=0).to_numpy(), t.soh.mean(), t.soh.std(ddof=0)
+        z, v = (t[["a", "b"]].to_numpy() - m) / s, (t.soh.to_numpy() - my) / sy
+        w = bayesian_ridge(z.T @ z, z.T @ v, float(v @ v), len(t), shape)[0]
+        return lambda q: my + (q[["a", "b"]].to_numpy() - m) / s @ w * sy
+
+    filled = lambda t, by: t.assign(b=t.b.fillna(by.b.dropna().round(4).median()))
+    shapes = (1e-6, 200.0)  # far apart, so that the choice shows
+    d = rows.assign(fold=rows.cell.map(folds_of(rows.groupby("cell").size().to_dict(), 5)))
+    want, chosen = {}, {}
+    for f in range(5):
+        rest, own = d[d.fold != f], d[d.fold == f]
+        inner = rest.cell.map(folds_of(rest.groupby("cell").size().to_dict(), 3))
+        score = {a: 0.0 for a in shapes}
+        for g in range(3):
+            tr, te = rest[inner != g], rest[inner == g]
+            for a in shapes:
+                score[a] += np.sqrt(np.mean((fit(filled(tr, tr), a)(filled(te, tr)) - te.soh) ** 2))
+        chosen[f] = min(shapes, key=score.get)
+        want |= dict(zip(zip(own.cell, own.k, strict=True), fit(filled(rest, rest), chosen[f])(filled(own, rest)), strict=True))
+    got = learning.tuned_cv(df, ["a", "b"], "soh", shapes=shapes).toPandas()
+    assert dict(zip(got.fold, got["shape"], strict=True)) == chosen
+    assert len(got) == len(rows) and all(r.pred == pytest.approx(want[r.cell, r.k], abs=1e-9) for r in got.itertuples())
 
 
 def test_error_from_sums_is_that_of_rows(df):
@@ -113,14 +148,31 @@ def test_selection_and_informativeness(df):
     assert [s[0] for s in single] == ["first", "second"] and [n for n, _ in added] == ["first", "second"] and single[0][2] > 0.1
 
 
-def test_permutation_importance(df):
-    dealt = learning.dealt_anew(df, "a", 1, bucket=50)
-    assert sorted(r["a"] for r in dealt.collect()) == sorted(r["a"] for r in df.collect()) and dealt.columns == df.columns
-    assert dealt.join(df.select("cell", "k", F.col("a").alias("old")), ["cell", "k"]).where("a = old").count() < 30
-    got = {r["feature"]: r["increase"] for r in learning.permutation_importance(df, ["a", "b", "k"], "soh", repeats=2).collect()}
+def test_permutation_importance(df, rows):
+    numbered = df.fillna({"b": 0.0}).withColumn("__id", F.monotonically_increasing_id()).persist()
+    dealt = learning.dealt_anew(numbered, ["a", "b"], 3, bucket=50).toPandas()
+    assert len(dealt) == 6 * len(rows) and dealt.groupby(["feature", "repeat"])[["cell"]].count().cell.eq(len(rows)).all()
+    for _, part in dealt.groupby(["feature", "repeat"]):
+        assert sorted(part.old) == sorted(part.new)
+    a = dealt[dealt.feature == "a"]
+    assert (a.old == a.new).mean() < 0.1 and len({tuple(p.sort_values("__id").new) for _, p in a.groupby("repeat")}) == 3
+    got = {r["feature"]: r["increase"] for r in learning.permutation_importance(df, ["a", "b", "k"], "soh").collect()}
     assert got["a"] > got["b"] > 0 and got["a"] > 0.005
 
 
+def test_importance_equals_predicting_anew(df, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(learning, "dealt_anew", lambda t, x, n, real=learning.dealt_anew: kept.setdefault("rows", real(t, x, n).persist()))
+    got = {r["feature"]: r["increase"] for r in learning.permutation_importance(df, ["a", "b"], "soh").collect()}
+    moved = kept["rows"].toPandas()
+    assert set(moved["repeat"]) == set(range(5)) and set(moved.fold) == {0}
+    for c, part in moved.groupby("feature"):
+        w, sd = np.array(part.w.iloc[0]), np.array(part.sd.iloc[0])
+        i = ["a", "b"].index(c)
+        rises = [np.sqrt(np.mean((p.soh - p.pred - w[i] / sd[i] * sd[2] * (p.new - p.old)) ** 2)) - np.sqrt(np.mean((p.soh - p.pred) ** 2)) for _, p in part.groupby("repeat")]
+        assert got[c] == pytest.approx(np.mean(rises))
+
+
 def test_trees_and_gaussian_process(df):
     spread = df.agg(F.stddev_pop("soh")).first()[0]
     for rows in (learning.tree_cv(df, ["a", "b", "k"], "soh", n=2), learning.tree_cv(df, ["a", "b", "k"], "soh", n=2, kind="boost"), learning.gaussian_process_cv(df, ["a", "b", "k"], "soh", n=2, most=100)):
