@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.operators import curves, datasets, forecasts, indicators, learning, quality, study
+from cellspan.operators import curves, datasets, forecasts, indicators, learning, quality, study, trees
 from cellspan.plans import cohort, economics
 from cellspan.queries import BOL_SQL, EOL_SQL, FC_SQL, MONO_SQL, QUERIES, SPEAR_SQL, SQL, forecast_log, query, r, rounded
 from cellspan.sources import registry, samples
@@ -441,6 +441,12 @@ def nested_cv(spark, d):
     return rounded(learning.cv_summary(out, "soh", ("fold", "shape")).withColumn("shape", F.col("shape").cast("string")), 5)
 
 
+@query("extra_trees_cv")
+def extra_trees_cv(spark, d):
+    out = trees.tree_cv(staged(datasets.soh_dataset(health_table(spark, d)), "soh"), FEATURES, "soh")
+    return rounded(out.select("cell", "k", "fold", "soh", "pred"), 5)
+
+
 @query("hi_selection")
 def hi_selection(spark, d):
     g = datasets.relative(health_table(spark, d).where(~F.col("outlier")), ["R0", "T_rise", "V_mean"])

@@ -1,4 +1,4 @@
-"""Models over tables of cycles with whole cells held out: folds, imputation, ridge from sums, MLlib trees, importance."""
+"""Models over tables of cycles with whole cells held out: folds, imputation, ridge from sums, importance."""
 
 from __future__ import annotations
 
@@ -70,11 +70,27 @@ def imputed(df: DataFrame, columns, by: str = "fold") -> DataFrame:
 
 
 def gap_sums(df: DataFrame, x: list[str], y: str, *by: str) -> DataFrame:
-    """Sums of known values (0 in a gap), of gap flags and of y, and of all their products, by key. Whatever the gaps are
-    filled with later, the sums of the filled rows follow from these."""
-    known = {f"__v{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(x)}
-    flags = {f"__g{i}": F.col(c).isNull().cast("double") for i, c in enumerate(x)}
-    return sums(df.where(F.col(y).isNotNull()).withColumns(known | flags), [*known, *flags], y, *by)
+    """n, sums of known values (0 in a gap), of gap flags and of y, and the upper triangle of all their products, by key. Whatever
+    the gaps are filled with later, the sums of the filled rows follow from these. Batches are added up in the tasks, so what is
+    shuffled is a row for each batch and key."""
+    size = 2 * len(x) + 1
+    upper = np.triu_indices(size)
+    keys = [df.schema[c] for c in by]
+
+    def run(frames):
+        for pdf in frames:
+            known = pdf[x].to_numpy(float)
+            gaps = np.isnan(known)
+            v = np.column_stack([np.where(gaps, 0.0, known), gaps, pdf[y].to_numpy(float)])
+            rows = []
+            for key, at in pdf.groupby(list(by), sort=False).indices.items():
+                part = v[at]
+                rows.append((*(key if isinstance(key, tuple) else (key,)), len(at), np.concatenate([part.sum(0), (part.T @ part)[upper]]).tolist()))
+            yield pd.DataFrame(rows, columns=[*by, "n", "v"])
+
+    parts = df.where(F.col(y).isNotNull()).select(*by, *(F.col(c).cast("double").alias(c) for c in (*x, y))).mapInPandas(run, StructType([*keys, *StructType.fromDDL("n long, v array<double>").fields]))
+    added = lambda a, b: F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(a, b)))
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), added(0, size).alias("s"), added(size, size + len(upper[0])).alias("p"))
 
 
 def filled_sums(s, p, fill) -> tuple[np.ndarray, np.ndarray]:
@@ -154,10 +170,11 @@ def predicted(df: DataFrame, models: DataFrame, x: list[str], by: str) -> DataFr
     d = len(x)
     z = F.array(*((F.col(c).cast("double") - F.get("m", F.lit(i))) / F.get("sd", F.lit(i)) for i, c in enumerate(x)))
     known = df.join(models, by, "left").withColumn("z", z)
-    at = lambda c, i: F.get(c, F.lit(i))
-    line = sum((at("z", i) * at("w", i) for i in range(d)), F.lit(0.0))
-    spread = sum((at("z", i) * at("wc", i * d + j) * at("z", j) for i in range(d) for j in range(d)), F.lit(0.0))
-    out = known.withColumns({"pred": line * at("sd", d) + at("m", d), "std": F.sqrt(F.greatest(spread + F.col("noise"), F.lit(0.0))) * at("sd", d)})
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    line = dot(F.col("z"), F.col("w"))
+    spread = F.aggregate(F.transform("z", lambda v, i: v * dot(F.slice("wc", i * d + 1, d), F.col("z"))), F.lit(0.0), lambda s, v: s + v)
+    scale = F.get("sd", F.lit(d))
+    out = known.withColumns({"pred": line * scale + F.get("m", F.lit(d)), "std": F.sqrt(F.greatest(spread + F.col("noise"), F.lit(0.0))) * scale})
     return out.drop("w", "m", "sd", "wc", "noise", "z")
 
 
@@ -353,23 +370,8 @@ def rank_measurements(df: DataFrame, groups: dict[str, list[str]] | None = None,
     return [(n, e, None if e is None else 1 - e / row["sd"]) for n, e in single], path
 
 
-def tree_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, kind: str = "forest", seed: int = 7) -> DataFrame:
-    """The same with MLlib trees (forest: random forest in place of extra trees; boost: gradient boosting)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)
-    data = VectorAssembler(inputCols=x, outputCol="features").transform(d)
-    out = None
-    for r in data.select("fold").distinct().collect():
-        model = RandomForestRegressor(labelCol=y, numTrees=50, maxDepth=8, seed=seed) if kind == "forest" else GBTRegressor(labelCol=y, maxIter=40, maxDepth=4, stepSize=0.1, seed=seed)
-        part = model.fit(data.where(F.col("fold") != r["fold"])).transform(data.where(F.col("fold") == r["fold"])).drop("features").withColumnRenamed("prediction", "pred")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def gaussian_process_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, most: int = 700, seed: int = 7) -> DataFrame:
-    """The same with a Gaussian process on at most `most` training rows a fold (a parameter of the model); a task per fold."""
+    """grouped_cv with a Gaussian process on at most `most` training rows a fold (a parameter of the model); a task per fold."""
     d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)
     folds = [r["fold"] for r in d.select("fold").distinct().collect()]
     train = d.select("fold", *x, y).withColumn("r", F.xxhash64("fold", *x, F.lit(seed))).orderBy("r").limit(most * len(folds)).toPandas()
