@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellspan.operators import curves, datasets, forecasts, indicators, learning, quality, study, trees
 from cellspan.plans import cohort, economics
-from cellspan.queries import BOL_SQL, EOL_SQL, FC_SQL, MONO_SQL, QUERIES, SPEAR_SQL, SQL, forecast_log, query, r, rounded
+from cellspan.queries import BOL_SQL, EOL_SQL, FC_SQL, MONO_SQL, QUERIES, SCORE_SQL, SPEAR_SQL, SQL, forecast_log, query, r, rounded
 from cellspan.sources import registry, samples
 from cellspan.sources.staging import staged
 from cellspan.sources.samples import E_SQL, H_SQL, L_SQL, event_cycles, health_table, lineitem_samples, table
@@ -116,11 +116,10 @@ def fade_backtest(spark, d):
     return rounded(out.withColumns({"target": F.round("target", 4), "rate_pred": F.round("rate_pred", 4)}), 5)
 
 
-HIS = ["R0", "T_rise", "V_mean"]
+HIS = ["R0", "Re_ohm", "Rct_ohm", "T_rise", "V_mean"]
 MONO_TAIL = MONO_SQL.split("INTO NAME hi VALUE x),")[1]
 HI_SQL = f"""{HT}, lg AS (UNPIVOT (SELECT cell, k, {', '.join(HIS)} FROM g) ON {', '.join(HIS)} INTO NAME hi VALUE x), {MONO_TAIL}, {SPEAR_SQL},
-e AS (SELECT cell, hi, arg_min(x, k) AS a, arg_max(x, k) AS z FROM lg GROUP BY cell, hi), pg AS (SELECT hi, exp(-stddev_pop(z) / (avg(abs(z - a)) + 1e-12)) AS prog FROM e GROUP BY hi),
-ma AS (SELECT hi, avg(mono) AS mono FROM mono GROUP BY hi), tb AS (SELECT hi, avg(abs(rho)) AS trend FROM sp GROUP BY hi),
+{SCORE_SQL},
 rx AS (SELECT lg.cell, hi, soh, x, count(x) OVER (PARTITION BY lg.cell, hi ORDER BY lg.k) AS i FROM lg JOIN g ON g.cell = lg.cell AND g.k = lg.k),
 ry AS (SELECT cell, hi, soh AS y, x / avg(CASE WHEN i <= 3 THEN x END) OVER (PARTITION BY cell, hi) AS x FROM rx),
 ow AS (SELECT cell, hi, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM ry GROUP BY cell, hi),
@@ -130,7 +129,7 @@ ob AS (SELECT *, ((sxy - mu * sy) / s) / ((sxx - 2 * mu * sx + n * mu * mu) / (s
 lc AS (SELECT hi, avg(e) AS loco_rmse FROM (SELECT ry.cell, ry.hi, sqrt(avg((y - (a + b * (x - mu) / s)) * (y - (a + b * (x - mu) / s)))) AS e FROM ry JOIN ob ON ob.cell = ry.cell AND ob.hi = ry.hi GROUP BY ry.cell, ry.hi) GROUP BY hi)"""
 
 
-@query("hi_ranking", f"WITH {HI_SQL} SELECT hi, {r('mono', digits=6)}, {r('trend', digits=6)}, {r('prog', digits=6)}, {r('(mono + trend + prog) / 3', 'score', 6)}, {r('loco_rmse', digits=5)} FROM ma JOIN tb USING (hi) JOIN pg USING (hi) LEFT JOIN lc USING (hi)")
+@query("hi_ranking", f"WITH {HI_SQL} SELECT hi, n_cells, {r('mono', digits=6)}, {r('trend', digits=6)}, {r('prog', digits=6)}, {r('score', digits=6)}, {r('loco_rmse', digits=5)} FROM sc LEFT JOIN lc USING (hi)")
 def hi_ranking(spark, d):
     """Indicators with their scores and their error on left-out cells."""
     g = health_table(spark, d).where(~F.col("outlier") & F.col("soh").isNotNull())

@@ -37,20 +37,37 @@ def spearman(long: DataFrame, by: list[str], order: str = "k", x: str = "x") ->
     return r.groupBy(*by).agg(F.corr("rk", "rx").alias("rho"))
 
 
-def prognosability(long: DataFrame, by: list[str], order: str = "k", x: str = "x", cell: str = "cell") -> DataFrame:
-    """exp(-spread of end values / mean range) over the cells of each indicator."""
-    ends = long.where(F.col(x).isNotNull()).groupBy(cell, *by).agg(F.min_by(x, order).alias("a"), F.max_by(x, order).alias("z"))
-    return ends.groupBy(*by).agg(F.exp(-F.stddev_pop("z") / (F.avg(F.abs(F.col("z") - F.col("a"))) + 1e-12)).alias("prog"))
+#: What an indicator needs to be scored (fixed values): known rows overall, known rows of a cell with some spread, such cells.
+LEAST_ROWS, LEAST_OWN, LEAST_CELLS = 10, 8, 2
+
+
+def ends(long: DataFrame, by: list[str], order: str = "k", x: str = "x") -> DataFrame:
+    """first, last: means of the first and last three values of the smoothed series (rolling median of 5); n, and whether the
+    series has any spread."""
+    w = Window.partitionBy(*by).orderBy(order)
+    s = long.where(F.col(x).isNotNull()).withColumns({"s": rolling_median(F.col(x), w, 2), "i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*by))})
+    return s.groupBy(*by).agg(F.avg(F.when(F.col("i") <= 3, F.col("s"))).alias("first"), F.avg(F.when(F.col("i") > F.col("n") - 3, F.col("s"))).alias("last"), F.count("*").alias("n"), (F.max(x) > F.min(x)).alias("spread"))
+
+
+def prognosability(known: DataFrame, by: list[str]) -> DataFrame:
+    """exp(-spread of the last values / mean range) over the cells of each indicator; known: rows of `ends`."""
+    return known.groupBy(*by).agg(F.exp(-F.stddev_pop("last") / (F.avg(F.abs(F.col("last") - F.col("first"))) + 1e-12)).alias("prog"), F.count("*").alias("n_cells"))
 
 
 def scores(df: DataFrame, columns: list[str], cell: str = "cell", order: str = "k") -> DataFrame:
-    """hi, mono, trend, prog, score: means over cells; all indicators in one pass over the long form."""
+    """hi, n_cells, mono, trend, prog, score: means over the cells that an indicator can be scored on; all indicators in one pass
+    over the long form. Indicators with too few rows or cells are out; a missing score does not count in the mean."""
     long = unpivot(df, columns, [cell, order])
-    mono = monotonicity(long, [cell, "hi"], order).groupBy("hi").agg(F.avg("mono").alias("mono"))
-    trend = spearman(long, [cell, "hi"], order).groupBy("hi").agg(F.avg(F.abs("rho")).alias("trend"))
-    prog = prognosability(long, ["hi"], order, cell=cell)
-    out = mono.join(trend, "hi", "left").join(prog, "hi", "left")
-    return out.withColumn("score", (F.col("mono") + F.col("trend") + F.col("prog")) / 3)
+    each = ends(long, [cell, "hi"], order)
+    enough = each.groupBy("hi").agg(F.sum("n").alias("rows")).where(F.col("rows") >= LEAST_ROWS).select("hi")
+    known = each.where((F.col("n") >= LEAST_OWN) & F.col("spread")).join(F.broadcast(enough), "hi")  # a row for each column
+    cells = known.select(cell, "hi")
+    mono = monotonicity(long, [cell, "hi"], order).join(cells, [cell, "hi"]).groupBy("hi").agg(F.avg("mono").alias("mono"))
+    trend = spearman(long, [cell, "hi"], order).join(cells, [cell, "hi"]).groupBy("hi").agg(F.avg(F.abs("rho")).alias("trend"))
+    out = prognosability(known, ["hi"]).where(F.col("n_cells") >= LEAST_CELLS).join(mono, "hi", "left").join(trend, "hi", "left")
+    three = [F.col(c) for c in ("mono", "trend", "prog")]
+    score = sum((F.coalesce(c, F.lit(0.0)) for c in three), F.lit(0.0)) / sum((c.isNotNull().cast("int") for c in three), F.lit(0))
+    return out.select("hi", "n_cells", "mono", "trend", "prog", score.alias("score"))
 
 
 def first_baseline(df: DataFrame, columns: list[str], cell: str = "cell", order: str = "k", n: int = 3) -> DataFrame:

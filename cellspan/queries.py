@@ -182,6 +182,13 @@ RANK = "rank() OVER (PARTITION BY cell, hi ORDER BY {0}) + (count(*) OVER (PARTI
 SPEAR_SQL = f"rk AS (SELECT *, {RANK.format('x')} AS rx, {RANK.format('k')} AS rkk FROM lg WHERE x IS NOT NULL), sp AS (SELECT cell, hi, CASE WHEN isnan(corr(rkk, rx)) THEN NULL ELSE corr(rkk, rx) END AS rho FROM rk GROUP BY cell, hi)"
 
 
+#: Needs lg, sm, mono, sp: cells with 8 values and some spread, indicators with 10 values and two such cells.
+SCORE_SQL = """el AS (SELECT cell, hi, avg(s) FILTER (i <= 3) AS a, avg(s) FILTER (i > n - 3) AS z FROM (SELECT *, row_number() OVER (PARTITION BY cell, hi ORDER BY k) AS i, count(*) OVER (PARTITION BY cell, hi) AS n FROM sm) GROUP BY cell, hi HAVING count(*) >= 8 AND max(x) > min(x)),
+en AS (SELECT hi FROM sm GROUP BY hi HAVING count(*) >= 10), pg AS (SELECT hi, count(*) AS n_cells, exp(-stddev_pop(z) / (avg(abs(z - a)) + 1e-12)) AS prog FROM el JOIN en USING (hi) GROUP BY hi HAVING count(*) >= 2),
+ma AS (SELECT hi, avg(mono) AS mono FROM mono JOIN el USING (cell, hi) GROUP BY hi), tb AS (SELECT hi, avg(abs(rho)) AS trend FROM sp JOIN el USING (cell, hi) GROUP BY hi),
+sc AS (SELECT hi, n_cells, mono, trend, prog, list_avg([v FOR v IN [mono, trend, prog] IF v IS NOT NULL]) AS score FROM pg LEFT JOIN ma USING (hi) LEFT JOIN tb USING (hi))"""
+
+
 @query("spearman", f"WITH {MONO_SQL}, {SPEAR_SQL} SELECT cell, hi, {r('rho')} FROM sp WHERE hi <> 'ambient'")
 def spearman(spark, d):
     return rounded(indicators.spearman(indicators.unpivot(event_cycles(spark, d), ["cap", "I_mean"], ["cell", "k"]), ["cell", "hi"]))
@@ -189,9 +196,7 @@ def spearman(spark, d):
 
 @query(
     "hi_scores",
-    f"""WITH {MONO_SQL}, {SPEAR_SQL}, e AS (SELECT cell, hi, arg_min(x, k) AS a, arg_max(x, k) AS z FROM lg GROUP BY cell, hi), pg AS (SELECT hi, exp(-stddev_pop(z) / (avg(abs(z - a)) + 1e-12)) AS prog FROM e GROUP BY hi),
-a AS (SELECT hi, avg(mono) AS mono FROM mono GROUP BY hi), b AS (SELECT hi, avg(abs(rho)) AS trend FROM sp GROUP BY hi)
-SELECT hi, {r('mono')}, {r('trend')}, {r('prog')}, {r('(mono + trend + prog) / 3', 'score')} FROM a JOIN b USING (hi) JOIN pg USING (hi) WHERE hi <> 'ambient'""",
+    f"""WITH {MONO_SQL.replace("ON cap, I_mean, ambient", "ON cap, I_mean")}, {SPEAR_SQL}, {SCORE_SQL} SELECT hi, n_cells, {r('mono')}, {r('trend')}, {r('prog')}, {r('score')} FROM sc""",
 )
 def hi_scores(spark, d):
     return rounded(indicators.scores(event_cycles(spark, d), ["cap", "I_mean"]))

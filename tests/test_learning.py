@@ -221,3 +221,30 @@ def test_median_slope_of_long_and_short_histories(spark):
         i, j = np.nonzero(x[None, :] > x[:, None])
         assert got[cell] == pytest.approx(float(np.median((y[j] - y[i]) / (x[j] - x[i]))), abs=1e-12)
     assert got["few"] is None
+
+
+def test_indicator_scores_equal_plain_loops(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(8):
+        m = (3, 7, 8, 30, 40, 25, 50, 33)[i]
+        for k in range(1, m + 1):
+            noise = rng.normal(0, 0.3, 2)
+            rows.append((f"c{i}", k, 1 + k / 20 + noise[0] if rng.random() > 0.1 else None, 5.0 if i in (3, 4) else 2 - k / 30 + noise[1], 1.0 if i == 5 and k < 10 else None))
+    pdf = pd.DataFrame(rows, columns=["cell", "k", "a", "b", "rare"])
+    got = {r["hi"]: r for r in indicators.scores(spark.createDataFrame(rows, "cell string, k int, a double, b double, rare double"), ["a", "b", "rare"]).collect()}
+    assert set(got) == {"a", "b"}
+    for c in ("a", "b"):
+        mono, trend, first, last = [], [], [], []
+        for _, g in pdf.groupby("cell"):
+            g = g.dropna(subset=[c])
+            if len(g) < 8 or g[c].nunique() < 2:
+                continue
+            s = g[c].rolling(5, center=True, min_periods=1).median().to_numpy()
+            mono.append(abs(np.sign(np.diff(s)).sum()) / (len(s) - 1))
+            trend.append(abs(np.corrcoef(g.k.rank(), g[c].rank())[0, 1]))
+            first.append(s[:3].mean())
+            last.append(s[-3:].mean())
+        prog = np.exp(-np.std(last) / (np.mean(np.abs(np.subtract(last, first))) + 1e-12))
+        want = (len(mono), np.mean(mono), np.mean(trend), prog, np.mean([np.mean(mono), np.mean(trend), prog]))
+        assert tuple(got[c])[1:] == pytest.approx(want)
