@@ -256,16 +256,31 @@ def pairwise_differences(spark, d):
     return rounded(study.pairwise(metrics, 10).select("model_a", "model_b", "n", "median_diff", "a_better"), 6)
 
 
-@query(
-    "curve_points",
-    f"""WITH {L_SQL}, rc AS (SELECT *, greatest((abs(Current_A) + lag(abs(Current_A)) OVER w) / 2 * (Time_s - lag(Time_s) OVER w) / 3600, 0) AS dq FROM smp WHERE Cycle_Type = 'discharge' WINDOW w AS (PARTITION BY Cell_ID, Cycle_Index ORDER BY Time_s)),
-rq AS (SELECT *, sum(coalesce(dq, 0)) OVER (PARTITION BY Cell_ID, Cycle_Index ORDER BY Time_s) AS q FROM rc), ro AS (SELECT *, count(*) OVER (PARTITION BY Cell_ID, Cycle_Index) AS n FROM rq WHERE abs(Current_A) > 0.1)
-SELECT Cell_ID, Cycle_Index, Time_s AS t, {r('Voltage_V', 'v')}, {r('abs(Current_A)', 'i')}, {r('q')} FROM ro WHERE n >= 5""",
-)
+CURVE_SQL = f"""{L_SQL}, rc AS (SELECT *, row_number() OVER w AS p, greatest((abs(Current_A) + lag(abs(Current_A)) OVER w) / 2 * (Time_s - lag(Time_s) OVER w) / 3600, 0) AS dq FROM smp WHERE Cycle_Type = 'discharge' WINDOW w AS (PARTITION BY Cell_ID, Cycle_Index ORDER BY Time_s)),
+ro AS (SELECT *, min(p) FILTER (abs(Current_A) > 0.1) OVER c AS p0, max(p) FILTER (abs(Current_A) > 0.1) OVER c AS p1, count(*) FILTER (abs(Current_A) > 0.1) OVER c AS m FROM rc WINDOW c AS (PARTITION BY Cell_ID, Cycle_Index)),
+rq AS (SELECT Cell_ID, Cycle_Index, p - p0 AS j, p1 - p0 + 1 AS size, Time_s - min(Time_s) OVER c AS t, max(Time_s) OVER c - min(Time_s) OVER c AS span, Voltage_V AS v, Current_A AS i, sum(CASE WHEN p > p0 THEN dq ELSE 0 END) OVER (PARTITION BY Cell_ID, Cycle_Index ORDER BY p) AS q
+  FROM ro WHERE m >= 5 AND p BETWEEN p0 AND p1 WINDOW c AS (PARTITION BY Cell_ID, Cycle_Index))"""
+
+
+@query("curve_points", f"WITH {CURVE_SQL} SELECT Cell_ID, Cycle_Index, t, {r('v')}, {r('abs(i)', 'i')}, {r('q')} FROM rq")
 def curve_points(spark, d):
     """Curves as rows; cycles of these tables have fewer points than a curve keeps, so none is resampled."""
-    points = F.explode(F.arrays_zip("t", "v", "i", "q")).alias("p")
-    return rounded(curves.curves(lineitem_samples(spark, d)).select("Cell_ID", "Cycle_Index", points).select("Cell_ID", "Cycle_Index", "p.*"))
+    return rounded(curves.curve_rows(lineitem_samples(spark, d)).drop("j"))
+
+
+@query(
+    "curve_grid",
+    f"""WITH {CURVE_SQL}, nx AS (SELECT *, lead(t) OVER w AS t2, lead(v) OVER w AS v2, lead(i) OVER w AS i2, lead(q) OVER w AS q2 FROM rq WHERE size > 4 WINDOW w AS (PARTITION BY Cell_ID, Cycle_Index ORDER BY j)),
+gr AS (SELECT Cell_ID, Cycle_Index, span, unnest([0, 1, 2, 3]) AS g FROM (SELECT DISTINCT Cell_ID, Cycle_Index, span FROM nx)),
+br AS (SELECT gr.Cell_ID, gr.Cycle_Index, g, gr.span * g / 3 AS tt, arg_max(nx, nx.t) AS b FROM gr JOIN nx ON nx.Cell_ID = gr.Cell_ID AND nx.Cycle_Index = gr.Cycle_Index AND nx.t <= gr.span * g / 3 + 1e-7 GROUP BY ALL),
+fi AS (SELECT *, coalesce((tt - b.t) / (b.t2 - b.t), 0) AS f FROM br)
+SELECT Cell_ID, Cycle_Index, CAST(g AS INTEGER) AS j, round(tt, 5) AS t, {', '.join(f"round({'abs' if c == 'i' else ''}(b.{c} + f * coalesce(b.{c}2 - b.{c}, 0)), 6) + 0.0::DOUBLE AS {c}" for c in 'viq')} FROM fi
+UNION ALL SELECT Cell_ID, Cycle_Index, CAST(j AS INTEGER), round(t, 5), {', '.join(f"round({'abs' if c == 'i' else ''}({c}), 6) + 0.0::DOUBLE" for c in 'viq')} FROM rq WHERE size <= 4""",
+)
+def curve_grid(spark, d):
+    """Curves of at most four points: longer cycles are resampled."""
+    out = curves.curve_rows(lineitem_samples(spark, d), 4)
+    return rounded(out.withColumn("t", F.round("t", 5)), 6)
 
 
 # --- plants and policies ----------------------------------------------------------------------------------------------

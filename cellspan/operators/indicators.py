@@ -31,10 +31,10 @@ def monotonicity(long: DataFrame, by: list[str], order: str = "k", x: str = "x")
 
 
 def spearman(long: DataFrame, by: list[str], order: str = "k", x: str = "x") -> DataFrame:
-    """Rank correlation of x with the order."""
+    """Rank correlation of x with the order; null for a constant series."""
     r = long.where(F.col(x).isNotNull())
     r = r.withColumn("rx", average_rank(x, by)).withColumn("rk", average_rank(order, by))
-    return r.groupBy(*by).agg(F.corr("rk", "rx").alias("rho"))
+    return r.groupBy(*by).agg(F.try_divide(F.covar_pop("rk", "rx"), F.stddev_pop("rk") * F.stddev_pop("rx")).alias("rho"))
 
 
 #: What an indicator needs to be scored (fixed values): known rows overall, known rows of a cell with some spread, such cells.

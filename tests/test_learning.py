@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellspan.operators import datasets, indicators, learning
+from cellspan.operators import curves, datasets, indicators, learning
 
 
 @pytest.fixture(scope="module")
@@ -230,7 +230,7 @@ def test_indicator_scores_equal_plain_loops(spark):
         m = (3, 7, 8, 30, 40, 25, 50, 33)[i]
         for k in range(1, m + 1):
             noise = rng.normal(0, 0.3, 2)
-            rows.append((f"c{i}", k, 1 + k / 20 + noise[0] if rng.random() > 0.1 else None, 5.0 if i in (3, 4) else 2 - k / 30 + noise[1], 1.0 if i == 5 and k < 10 else None))
+            rows.append((f"c{i}", k, 1 + k / 20 + float(noise[0]) if rng.random() > 0.1 else None, 5.0 if i in (3, 4) else 2 - k / 30 + float(noise[1]), 1.0 if i == 5 and k < 10 else None))
     pdf = pd.DataFrame(rows, columns=["cell", "k", "a", "b", "rare"])
     got = {r["hi"]: r for r in indicators.scores(spark.createDataFrame(rows, "cell string, k int, a double, b double, rare double"), ["a", "b", "rare"]).collect()}
     assert set(got) == {"a", "b"}
@@ -248,3 +248,35 @@ def test_indicator_scores_equal_plain_loops(spark):
         prog = np.exp(-np.std(last) / (np.mean(np.abs(np.subtract(last, first))) + 1e-12))
         want = (len(mono), np.mean(mono), np.mean(trend), prog, np.mean([np.mean(mono), np.mean(trend), prog]))
         assert tuple(got[c])[1:] == pytest.approx(want)
+
+
+def test_long_curves_are_resampled(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for c, m in ((1, 300), (2, 61), (3, 60), (4, 7)):
+        t = np.cumsum(rng.uniform(0.5, 30, m))
+        i = np.where(rng.random(m) < 0.2, 0.0, -rng.uniform(0.2, 2, m))
+        i[:2] = i[-1:] = 0.0
+        rows += [("B0001", c, "discharge", float(a), float(4.2 - 0.001 * a), float(b)) for a, b in zip(t, i, strict=True)]
+    got = curves.curves(spark.createDataFrame(rows, "Cell_ID string, Cycle_Index long, Cycle_Type string, Time_s double, Voltage_V double, Current_A double")).collect()
+    assert len(got) == 4 or sum(r[1] == 4 and r[5] != 0 for r in rows) < 5
+    for r in got:
+        t, v, i = (np.array([x[k] for x in rows if x[1] == r["Cycle_Index"]]) for k in (3, 4, 5))
+        on = np.flatnonzero(np.abs(i) > 0.1)
+        t, v, i = (x[on[0] : on[-1] + 1] for x in (t, v, i))
+        a = np.abs(i)
+        q = np.concatenate([[0], np.cumsum(np.diff(t) * (a[1:] + a[:-1]) / 2 / 3600)])
+        if len(t) > 60:
+            g = np.linspace(t[0], t[-1], 60)
+            t, v, i, q = g, np.interp(g, t, v), np.interp(g, t, i), np.interp(g, t, q)
+        for c, want in (("t", t - t[0]), ("v", v), ("i", np.abs(i)), ("q", q)):
+            np.testing.assert_allclose(r[c], want, atol=1e-9)
+
+
+def test_delta_qv_refers_to_the_third_good_cycle(spark):
+    v = np.linspace(4.1, 3.0, 50)
+    listed = [("a", c, v.tolist(), (np.linspace(0, 1, 50) * (2 - 0.1 * c)).tolist()) for c in range(1, 7)]
+    df = spark.createDataFrame(listed, "Cell_ID string, Cycle_Index long, v array<double>, q array<double>")
+    good = df.where("Cycle_Index <> 2")
+    got = {r["Cycle_Index"]: r["dq_mean"] for r in curves.delta_qv(df, good).collect()}
+    assert set(got) == {1, 3, 4, 5, 6} and got[4] == pytest.approx(0) and got[1] > 0 > got[6]
