@@ -145,6 +145,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def outside(a: int, b: int, spans: list[tuple[str, int, int]], least: int = LEAST) -> list[tuple[int, int]]:
+    """What spans leave of a..b, in parts of `least` characters or more."""
+    out = []
+    for x, y in sorted((x, y) for _, x, y in spans if x < b and a < y):
+        out.append((a, x))
+        a = max(a, y)
+    return [(p, q) for p, q in [*out, (a, b)] if q - p >= least]
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
@@ -162,9 +171,9 @@ def candidates(docs: DataFrame) -> DataFrame:
                 base = base_spans(text or "")
                 more = []
                 for m in CANDIDATE.finditer(text or ""):
-                    a, b = m.span()
-                    if not any(x < b and a < y for _, x, y in base) and (judged := battery(m[0])) and judged[1] >= REJECT:
-                        more.append((a, b, stratum(judged[0], b - a), p_bin(judged[2])))
+                    for a, b in outside(*m.span(), base):
+                        if (judged := battery(text[a:b])) and judged[1] >= REJECT:
+                            more.append((a, b, stratum(judged[0], b - a), p_bin(judged[2])))
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 rows.append((doc_id, *n[:3], [f"{k}:{a}:{b}" for k, a, b in base], *([x[i] for x in more] for i in range(4))))
             yield pa.RecordBatch.from_arrays(
@@ -193,8 +202,8 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row; null and empty texts have no spans.
 
     Repeated rows are scanned as often as they occur, and count so in the control of false discoveries; long texts are read
-    whole; an empty table gives no rows; only doc_id and text are read, so other columns can have any name. Candidates that
-    overlap base spans are part of those already.
+    whole; an empty table gives no rows; only doc_id and text are read, so other columns can have any name. Of candidates
+    that overlap base spans the parts outside these are tested.
     """
     found = stage(candidates(docs), "secrets")
     least = least_bins(found, rate)

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from cellspan.llm import alignment, divergence, main_text, tokens
+from cellspan.llm import alignment, divergence, main_text, secrets, tokens
 from cellspan.llm.common import small_batches
 
 DIR = "/root/testdata/sf0.001"
@@ -219,3 +219,15 @@ def test_odd_pages(spark):
     got = {(r["page_id"], r["url"]): r["text"] for r in main_text.extract(df).collect()}
     assert got[1, "u"] == got[2, None] == got[3, "u"] == got[5, "u"] == got[6, "u"] == "" and got[4, "u"].count("\n") == 29_999
     assert main_text.extract(df).count() == len(rows) and main_text.extract(df.limit(0)).count() == 0
+
+
+def test_candidates_are_cut_at_base_spans(spark):
+    assert secrets.outside(0, 100, [("hex", 30, 60), ("access", 50, 70)]) == [(0, 30), (70, 100)]
+    assert secrets.outside(5, 40, [("assign", 0, 60)]) == [] and secrets.outside(5, 40, [("hex", 41, 50)]) == [(5, 40)] and secrets.outside(0, 40, [("hex", 10, 24)], 17) == []
+    rnd = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = lambda n: "".join(rnd.choices(letters, k=n))
+    rows = [(i, f"see {run(60)}AKIA{'Q2' * 9}/{run(60)} end") for i in range(300)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [[s for s in r["spans"].split(",") if s.startswith("random")] for r in got]
+    assert all(r["n_access"] == 1 for r in got) and np.mean([len(f) for f in found]) > 1.5
