@@ -37,7 +37,7 @@ class TextEncoder:
     forgotten, so what goes on being used stays.
     """
 
-    def __init__(self, path: str, bound: int = 100_000):
+    def __init__(self, path: str, bound: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # of the two, the one with word ends drops case and spaces
