@@ -51,16 +51,6 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n > 0, mid - half), F.when(n > 0, mid + half)
 
 
-def power_label_n(n: Column) -> Column:
-    """How much n cells can show."""
-    return F.when(n < 6, "insufficient").when(n < 10, "low").otherwise("adequate")
-
-
-def power_label_dof(dof: Column) -> Column:
-    """How much a regression with so many degrees of freedom can show."""
-    return F.when(dof < 3, "insufficient").when(dof < 10, "low").when(dof < 25, "moderate").otherwise("adequate")
-
-
 def arrhenius(t: Column, ea: float = 30e3) -> Column:
     """Rate factor at t degrees C against 24 degrees C."""
     return F.exp(ea / 8.314 * (1 / 297.15 - 1 / (t + 273.15)))
