@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.operators import curves, datasets, forecasts, indicators, learning, quality, study, trees
+from cellspan.operators import boosting, curves, datasets, forecasts, indicators, learning, quality, study, trees
 from cellspan.plans import cohort, economics
 from cellspan.queries import BOL_SQL, EOL_SQL, FC_SQL, MONO_SQL, QUERIES, SCORE_SQL, SPEAR_SQL, SQL, forecast_log, query, r, rounded
 from cellspan.sources import registry, samples
@@ -461,6 +461,14 @@ def extra_trees_cv(spark, d):
     return rounded(out.select("cell", "k", "fold", "soh", "pred"), 5)
 
 
+@query("boosted_fade")
+def boosted_fade(spark, d):
+    """Health at each origin's horizon from a boosted model (40 rounds) of the loss that other folds' cells have taught."""
+    out = boosting.boosted_cv(staged(datasets.fade_dataset(health_table(spark, d)), "fade"), list(datasets.FADE_FEATURES), "target", rate=0.15, leaves=8, rounds=40)
+    ahead = out.withColumn("soh_pred", F.col("soh_now") - F.col("pred") * F.col("horizon") / 100)
+    return rounded(ahead.select("cell", "k0", "fold", "target", F.col("pred").alias("rate_pred"), "soh_pred", "soh_future"), 5)
+
+
 @query("hi_selection")
 def hi_selection(spark, d):
     g = datasets.relative(health_table(spark, d).where(~F.col("outlier")), ["R0", "T_rise", "V_mean"])
