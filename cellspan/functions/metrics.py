@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,20 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n > 0, mid - half), F.when(n > 0, mid + half)
 
 
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0: a series with positive terms up to 2, a continued fraction beyond."""
+    twice = 2 * x * x
+    first = F.struct(x.alias("term"), x.alias("total"))
+
+    def more(held, k):
+        term = held["term"] * twice / (2 * k + 3)
+        return F.struct(term.alias("term"), (held["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(60)), first, more, lambda held: held["total"])
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1)), x, lambda held, k: x + k / 2 / held)
+    return F.when(x <= 2, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / fraction)
+
+
 def arrhenius(t: Column, ea: float = 30e3) -> Column:
     """Rate factor at t degrees C against 24 degrees C."""
     return F.exp(ea / 8.314 * (1 / 297.15 - 1 / (t + 273.15)))

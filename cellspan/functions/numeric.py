@@ -7,10 +7,6 @@ import math
 import numpy as np
 
 
-def erf_cdf(z: float) -> float:
-    return 0.5 * math.erfc(-z / math.sqrt(2))
-
-
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -39,29 +35,6 @@ def t_two_sided(t: float, dof: float) -> float:
     return incomplete_beta(dof / 2, 0.5, dof / (dof + t * t)) if dof > 0 and math.isfinite(t) else math.nan
 
 
-def wilcoxon_p(d: np.ndarray) -> float:
-    """Two-sided signed-rank test: exact without ties and zeros up to 50, else the normal limit with tie correction."""
-    d = np.asarray(d, float)
-    d = d[np.isfinite(d)]
-    zeros = bool((d == 0).any())
-    d = d[d != 0]
-    n = len(d)
-    if n == 0:
-        return math.nan
-    values, inverse, counts = np.unique(np.abs(d), return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
-    w = float(ranks[d > 0].sum())
-    if n <= 50 and not zeros and counts.max() == 1:
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[:-r]
-        least = int(min(w, n * (n + 1) / 2 - w))
-        return float(min(1.0, 2 * ways[: least + 1].sum() / 2.0**n))
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - float((counts**3 - counts).sum()) / 48
-    return float(2 * (1 - erf_cdf(abs(w - mean) / math.sqrt(var)))) if var > 0 else 1.0
-
-
 def savgol(y: np.ndarray, window: int = 9, order: int = 2) -> np.ndarray:
     """Local polynomial smoothing; ends use the polynomial of the first and last window."""
     n = len(y)

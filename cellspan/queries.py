@@ -401,7 +401,17 @@ def holm_correction(spark, d):
     return rounded(study.holm(tests))
 
 
-@query("pairwise_models")
+@query(
+    "pairwise_models",
+    f"""WITH RECURSIVE {FC_SQL}, o AS (SELECT cell, model, rmse FROM mt WHERE h = 10 AND status = 'ok'), df AS (SELECT a.model AS model_a, b.model AS model_b, a.rmse - b.rmse AS d FROM o a JOIN o b ON a.cell = b.cell AND a.model < b.model),
+lv AS (SELECT model_a, model_b, abs(round(d, 12)) AS v, count(*) AS c, count(*) FILTER (d > 0) AS up FROM df GROUP BY ALL), rk AS (SELECT *, sum(c) OVER (PARTITION BY model_a, model_b ORDER BY v) - (c - 1) / 2 AS rank FROM lv WHERE v > 0),
+st AS (SELECT model_a, model_b, sum(c)::DOUBLE AS m, sum(up * rank)::DOUBLE AS w, sum(c * c * c - c)::DOUBLE AS ties FROM rk GROUP BY ALL), ze AS (SELECT model_a, model_b, bool_or(v = 0) AS z FROM lv GROUP BY ALL),
+wy AS (SELECT 0 AS n, [1.0::DOUBLE] AS ways UNION ALL SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda s: coalesce(ways[s + 1], 0) + CASE WHEN s > n THEN coalesce(ways[s - n], 0) ELSE 0 END) FROM wy WHERE n < 50),
+sx AS (SELECT st.*, z, m * (m + 1) * (2 * m + 1) / 24 - ties / 48 AS var, least(w, m * (m + 1) / 2 - w) AS low FROM st JOIN ze USING (model_a, model_b)), sy AS (SELECT *, abs(w - m * (m + 1) / 4) / sqrt(2 * var) AS x FROM sx),
+sp AS (SELECT model_a, model_b, CASE WHEN m <= 50 AND ties = 0 AND NOT z THEN least(1.0, 2 * list_sum(ways[1:CAST(low AS INTEGER) + 1]) / power(2, m)) WHEN x = 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(x) - x * x - lgamma(k + 1.5)))) END AS p FROM sy LEFT JOIN wy ON wy.n = m),
+fa AS (SELECT model_a, model_b, count(*) AS n, quantile_cont(d, 0.5) AS median_diff, count(*) FILTER (d < 0) AS a_better FROM df GROUP BY ALL), al AS (SELECT fa.*, p, row_number() OVER (ORDER BY coalesce(p, 1), model_a, model_b) AS i, count(*) OVER () AS t FROM fa LEFT JOIN sp USING (model_a, model_b))
+SELECT model_a, model_b, n, {r('median_diff')}, a_better, {r('p')}, {r('max(least(1.0::DOUBLE, (t - i + 1) * coalesce(p, 1))) OVER (ORDER BY i)', 'p_holm')} FROM al""",
+)
 def pairwise_models(spark, d):
     return rounded(study.pairwise(metrics_table(spark, d), 10))
 
