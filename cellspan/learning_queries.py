@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.operators import boosting, curves, datasets, forecasts, indicators, learning, quality, study, trees
+from cellspan.operators import boosting, curves, datasets, forecasts, indicators, learning, quality, selection, study, trees
 from cellspan.plans import cohort, economics
 from cellspan.queries import BOL_SQL, EOL_SQL, FC_SQL, MONO_SQL, QUERIES, SCORE_SQL, SPEAR_SQL, SQL, forecast_log, query, r, rounded
 from cellspan.sources import registry, samples
@@ -471,16 +471,19 @@ def boosted_fade(spark, d):
 
 @query("hi_selection")
 def hi_selection(spark, d):
-    g = datasets.relative(health_table(spark, d).where(~F.col("outlier")), ["R0", "T_rise", "V_mean"])
-    path, verdict = learning.select_indicators(g, ["R0", "T_rise", "V_mean"])
+    """Indicators that are chosen one by one for their error on left-out cells, of all that the table has."""
+    g = datasets.relative(health_table(spark, d).where(~F.col("outlier")), HIS)
+    path, verdict = selection.select_indicators(staged(g.select("cell", "soh", *HIS), "indicators"), HIS)
     return spark.createDataFrame([(i + 1, c, float(e), verdict) for i, (c, e) in enumerate(path)], "step int, added string, loco_rmse double, verdict string")
 
 
 @query("measurement_ranking")
 def measurement_ranking(spark, d):
-    single, path = learning.rank_measurements(datasets.soh_dataset(health_table(spark, d)))
+    """Measurements by what they alone tell of health, and in which step each is worth adding."""
+    t = datasets.relative(datasets.soh_dataset(health_table(spark, d)), ["T_rise"])
+    single, path = selection.rank_measurements(staged(t, "soh"))
     added = {n: i + 1 for i, (n, _) in enumerate(path)}
-    return spark.createDataFrame([(n, e, g, added.get(n)) for n, e, g in single], "measurement string, rmse double, gain double, step int")
+    return spark.createDataFrame([(n, e, cells, g, added.get(n)) for n, e, cells, g in single], "measurement string, rmse double, n_cells long, gain double, step int")
 
 
 @query("permutation_importance")

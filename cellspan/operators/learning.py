@@ -39,15 +39,24 @@ def group_folds(df: DataFrame, n: int = 5, group: str = "cell") -> DataFrame:
     Groups of equal size are dealt in turns, so the driver sees one row for each size (fewer than the root of twice the
     rows) and makes a few segments of it; groups find their segment by their number among those of their size.
     """
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("size"))
-    counts = sizes.groupBy("size").agg(F.count("*").alias("m"), F.count("*").alias("__n")).orderBy(F.desc("size")).collect()
-    load = [0] * min(n, max(1, sum(r["m"] for r in counts)))
-    rows = [(r["size"], at, turn) for r in counts for at, turn in _dealt(load, r["size"], r["m"])]
-    segments = df.sparkSession.createDataFrame(rows, "size long, at long, turn array<int>")
-    segments = segments.withColumn("until", F.lead("at").over(Window.partitionBy("size").orderBy("at")))
-    numbered = sizes.withColumn("i", F.row_number().over(Window.partitionBy("size").orderBy(group)) - 1)
-    joined = numbered.join(segments, "size").where((F.col("i") >= F.col("at")) & (F.col("until").isNull() | (F.col("i") < F.col("until"))))
-    return joined.select(group, F.get("turn", ((F.col("i") - F.col("at")) % F.size("turn")).cast("int")).alias("fold"))
+    return dealt_folds(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("size")), n, group)
+
+
+def dealt_folds(sizes: DataFrame, n: int = 5, group: str = "cell", by: tuple[str, ...] = ()) -> DataFrame:
+    """The folds of groups whose sizes are known, dealt for each key of `by` on its own; the driver sees a row for each key and size."""
+    counts: dict[tuple, list] = {}
+    for r in sizes.groupBy(*by, "size").agg(F.count("*").alias("m")).orderBy(F.desc("size")).collect():
+        counts.setdefault(tuple(r[c] for c in by), []).append(r)
+    rows = []
+    for key, own in counts.items():
+        load = [0] * min(n, sum(r["m"] for r in own))
+        rows += [(*key, r["size"], at, turn) for r in own for at, turn in _dealt(load, r["size"], r["m"])]
+    schema = StructType([*(sizes.schema[c] for c in by), *StructType.fromDDL("size long, at long, turn array<int>").fields])
+    of_size = Window.partitionBy(*by, "size")
+    segments = sizes.sparkSession.createDataFrame(rows, schema).withColumn("until", F.lead("at").over(of_size.orderBy("at")))
+    numbered = sizes.withColumn("i", F.row_number().over(of_size.orderBy(group)) - 1)
+    joined = numbered.join(segments, [*by, "size"]).where((F.col("i") >= F.col("at")) & (F.col("until").isNull() | (F.col("i") < F.col("until"))))
+    return joined.select(*by, group, F.get("turn", ((F.col("i") - F.col("at")) % F.size("turn")).cast("int")).alias("fold"))
 
 
 def folded(df: DataFrame, n: int = 5, group: str = "cell") -> DataFrame:
@@ -133,9 +142,11 @@ def _solve(n: float, s, p, alpha: float | None, shape: float = 1e-6):
     s = np.array(s)
     d = len(s)
     m = s / n
-    cov = _square(p, d) / n - np.outer(m, m)
-    sd = np.sqrt(np.maximum(np.diag(cov), 1e-18))
-    sd[sd < 1e-9] = 1.0
+    square = _square(p, d) / n
+    cov = square - np.outer(m, m)
+    flat = np.diag(cov) <= np.maximum(1e-13 * np.diag(square), 1e-18)  # what is left of a constant is rounding
+    cov[flat], cov[:, flat] = 0.0, 0.0
+    sd = np.where(flat, 1.0, np.sqrt(np.abs(np.diag(cov))))
     c = cov / np.outer(sd, sd) * n
     if alpha is None:
         w, wc, noise = bayesian_ridge(c[:-1, :-1], c[:-1, -1], c[-1, -1], n, shape)
@@ -290,44 +301,6 @@ def backtest(fade: DataFrame, x: list[str], alpha: float | None = None, cell: st
     return out.select(cell, "k0", "soh_now", "soh_future", "target", "horizon", F.col("pred").alias("rate_pred"), (F.col("soh_now") - F.col("pred") * ahead).alias("soh_pred"), (F.col("std") * ahead).alias("soh_std"))
 
 
-def loco(df: DataFrame, x: list[str], y: str = "soh", cell: str = "cell", alpha: float = 1e-3) -> DataFrame:
-    """cell, rmse on each cell of a ridge that all other cells have taught, for sets of columns (rows with a gap are out)."""
-    d = df.dropna(subset=[*x, y])
-    models = fitted(total_less_own(sums(d, x, y, cell), cell), cell, alpha, intercept=True)
-    return predicted(d, models, x, cell).groupBy(cell).agg(M.rmse(F.col(y), F.col("pred")).alias("rmse"))
-
-
-def greedy(candidates: list[str], error, gain: float = 0.03) -> list[tuple[str, float]]:
-    """Candidates chosen one by one, with the error of the set, while it falls by more than `gain`; error: set -> number."""
-    chosen: list[tuple[str, float]] = []
-    left, best = list(candidates), float("inf")
-    while left:
-        scored = [(e, c) for c in left if (e := error([*(n for n, _ in chosen), c])) is not None and np.isfinite(e)]
-        if not scored or min(scored)[0] > best * (1 - gain):
-            break
-        best, c = min(scored)
-        chosen.append((c, best))
-        left.remove(c)
-    return chosen
-
-
-#: Indicators that measure capacity itself (fixed values); they are no candidates unless asked for.
-CAPACITY_LIKE = ("cap_norm", "energy_Wh")
-
-
-def select_indicators(df: DataFrame, columns: list[str], y: str = "soh", share: float = 0.5, exclude=CAPACITY_LIKE) -> tuple[list[tuple[str, float]], str]:
-    """Indicators chosen greedily by their error on left-out cells, and whether one or several are better; a round is one
-    job for each candidate. Candidates are known in more than `share` of the rows."""
-    counts = df.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in columns)).first()
-    good = [c for c in columns if c not in exclude and counts["n"] and counts[c] / counts["n"] > share]
-    path = greedy(good, lambda cols: loco(df, cols, y).agg(F.when(F.count("*") >= 3, F.avg("rmse"))).first()[0])
-    return path, "undetermined" if not path else "several" if len(path) > 1 else "one"
-
-
-#: Groups of measurements (fixed values).
-MEASUREMENTS = {"resistance": ["R0"], "impedance": ["Re_ohm", "Rct_ohm"], "temperature rise": ["T_rise"], "charge times": ["cc_time_s", "cv_time_s"], "discharge voltage": ["V_mean"], "cycle count": ["k"]}
-
-
 def _squared_error(model, n: float, s, p) -> float:
     """Of a model on rows with these sums, as a quadratic form in (1, x, y)."""
     w, m, sd, _, _ = model
@@ -337,39 +310,6 @@ def _squared_error(model, n: float, s, p) -> float:
     return float(v @ _square(p, len(m)) @ v - 2 * const * v @ np.array(s) + n * const * const)
 
 
-def _fold_sums(d: DataFrame, x: list[str], y: str) -> dict:
-    """One row a fold."""
-    return {r["fold"]: (float(r["n"]), np.array(r["s"]), np.array(r["p"])) for r in sums(d, x, y, "fold").collect()}
-
-
-def _error_from_sums(d: DataFrame, x: list[str], y: str, alpha: float | None = None) -> float | None:
-    """Root mean squared error of a ridge with each fold held out, from one aggregation: no row is predicted."""
-    rows = _fold_sums(d, x, y)
-    total = [sum(v[i] for v in rows.values()) for i in range(3)] if len(rows) > 1 else None
-    if total is None:
-        return None
-    sse = sum(_squared_error(_solve(total[0] - n, total[1] - s, total[2] - p, alpha), n, s, p) for n, s, p in rows.values())
-    return float(np.sqrt(max(sse, 0.0) / total[0]))
-
-
-def rank_measurements(df: DataFrame, groups: dict[str, list[str]] | None = None, y: str = "soh", share: float = 0.3, folds: int = 5) -> tuple[list[tuple[str, float, float]], list[tuple[str, float]]]:
-    """(measurement, error, gain over the mean), least error first, and those that are worth adding greedily.
-
-    Error: of a Bayesian ridge with whole cells held out, on rows that have the measurement.
-    """
-    groups = groups or MEASUREMENTS
-    every = sorted({c for v in groups.values() for c in v if c in df.columns})
-    row = df.agg(F.count("*").alias("n"), F.stddev_pop(y).alias("sd"), *(F.count(c).alias(c) for c in every)).first()
-    have = {name: [c for c in cols if c in every and row["n"] and row[c] / row["n"] > share] for name, cols in groups.items()}
-    have = {name: cols for name, cols in have.items() if cols}
-    d = folded(df.where(F.col(y).isNotNull()).select("cell", y, *every), folds).persist()
-    error = lambda names: _error_from_sums(d, [c for n in names for c in have[n]], y)
-    single = sorted(((name, error([name])) for name in have), key=lambda v: (v[1] is None, v[1]))
-    path = greedy(list(have), error)
-    d.unpersist()
-    return [(n, e, None if e is None else 1 - e / row["sd"]) for n, e in single], path
-
-
 def gaussian_process_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5, most: int = 700, seed: int = 7) -> DataFrame:
     """grouped_cv with a Gaussian process on at most `most` training rows a fold (a parameter of the model); a task per fold."""
     d = imputed(folded(df.where(F.col(y).isNotNull()), n, group), x)

@@ -134,20 +134,6 @@ def test_nested_tuning_takes_the_best_shape(df, rows):
     assert len(got) == len(rows) and all(r.pred == pytest.approx(want[r.cell, r.k], abs=1e-9) for r in got.itertuples())
 
 
-def test_error_from_sums_is_that_of_rows(df):
-    d = learning.folded(df.dropna())
-    got = learning._error_from_sums(d, ["a", "b"], "soh", 0.5)
-    rows = learning.predicted(d, learning.fitted(learning.total_less_own(learning.sums(d, ["a", "b"], "soh", "fold"), "fold"), "fold", 0.5), ["a", "b"], "fold")
-    assert got == pytest.approx(rows.agg(F.sqrt(F.avg(F.pow(F.col("soh") - F.col("pred"), 2)))).first()[0])
-
-
-def test_selection_and_informativeness(df):
-    path, verdict = learning.select_indicators(df, ["a", "b", "soh"], exclude=("soh",))
-    assert [c for c, _ in path] == ["a", "b"] and verdict == "several" and path[0][1] > path[1][1]
-    single, added = learning.rank_measurements(df, {"first": ["a"], "second": ["b"], "none": ["zz"]})
-    assert [s[0] for s in single] == ["first", "second"] and [n for n, _ in added] == ["first", "second"] and single[0][2] > 0.1
-
-
 def test_permutation_importance(df, rows):
     numbered = df.fillna({"b": 0.0}).withColumn("__id", F.monotonically_increasing_id()).persist()
     dealt = learning.dealt_anew(numbered, ["a", "b"], 3, bucket=50).toPandas()
