@@ -7,13 +7,14 @@ Rendering puts it into the format of each occurrence: separators, case, a valid
 Numbers (network addresses, identity, card, account and phone numbers) go through keyed permutations of the numbers of their
 kind, length and range (Feistel rounds, walked on where a result would leave the range), so surrogates are distinct by
 construction however many there are; one may equal another original. Mail addresses and names get hashed surrogates. All
-distinct ones of the corpus are checked: a surrogate must not be another entity's and not be an entity itself. Those that
-clash try again with the next attempt number, round by round; only they are joined back to documents, on (doc_id, hash of the
-text). Everything else is computed within a row, so hot entities and sources don't gather anywhere.
+distinct ones of the corpus are checked as they are written: a surrogate must not be another entity's and not be an entity
+itself. Those that clash try again with the next attempt number, round by round; only they, and names whose titles differ between
+documents, are joined back to documents, on (doc_id, hash of the text). Everything else is computed within a row, so hot entities and sources don't gather anywhere.
 
 Persons are found by a title before up to three capitalised words. Each of these words is replaced by a surrogate of its own
 wherever it stands capitalised in that document, titled or not, so full names, given and last names go on naming one person,
-whatever the title; the ending of a given name tells the gender of the titles. Not found: persons whom no title names in the
+whatever the title; the ending of a given name tells the gender that titles give it anywhere in the corpus (that of neither
+where they differ), so it is the same in all documents. Not found: persons whom no title names in the
 document, names in scripts without capitals, street addresses, other numbers.
 """
 
@@ -29,6 +30,7 @@ from cellspan.llm.common import stage, table
 #: Session setting with the secret key of the surrogates.
 KEY_SETTING = "spark.cellspan.pii.key"
 ATTEMPTS = 64
+SALTS = 16
 ROUNDS = 8
 
 _NEUTRAL, _WOMEN, _MEN = r"(?:Dr|Prof)\.", r"(?:Mrs|Ms|Sra|Mme)\.|Miss|Frau|Señora|Madame|Госпожа|Κυρία", r"(?:Mr|Sr)\.|Mister|Herr|Señor|Monsieur|Господин|Κύριος"
@@ -279,33 +281,41 @@ def persons(text: Column) -> Column:
         return F.transform(own, lambda w, i: F.struct(F.lower(w).alias("name"), F.when((F.size(own) > 1) & (i == 0), gender).otherwise("").alias("gender")))
 
     every = F.flatten(F.transform(mentions, words))
-    # titles that tell a gender win over those that don't, and either over no ending
-    rank = lambda g: F.when(g == "f", 3).when(g == "m", 2).when(g == "n", 1).otherwise(0)
     names = F.array_distinct(F.transform(every, lambda x: x["name"]))
-    best = lambda n: F.array_max(F.transform(F.filter(every, lambda x: x["name"] == n), lambda x: F.struct(rank(x["gender"]).alias("r"), x["gender"].alias("g"))))["g"]
-    return F.transform(names, lambda n: F.struct(n.alias("name"), best(n).alias("gender")))
+    told = lambda n, g: F.exists(every, lambda x: (x["name"] == n) & (x["gender"] == g))
+    return F.transform(names, lambda n: F.struct(n.alias("name"), _gender(lambda g: told(n, g)).alias("gender")))
+
+
+def _gender(told) -> Column:
+    """The gender of a name by told(g), whether any title tells g: titles that tell one win over those that don't, and either over
+    no ending; where some tell one and some the other it is n."""
+    return F.when(told("f") & told("m"), "n").when(told("f"), "f").when(told("m"), "m").when(told("n"), "n").otherwise("")
 
 
 def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
-    """canon, attempt of the mail addresses and name words whose first surrogate clashes; None if there are none."""
+    """canon, attempt, gender of the mail addresses and name words whose first surrogate clashes, and of name words that have
+    one gender in one document and another in the next; None if there are none."""
     text = F.col("text")
-    mails = docs.where(F.contains(text, F.lit("@"))).select(F.explode(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).alias("e")).select(F.concat(F.lit("email:"), F.lower("e")).alias("canon"))
-    names = docs.where(text.rlike(PERSON)).select(F.explode(persons(text)).alias("p")).select(F.concat(F.lit("name:"), F.col("p.name")).alias("canon"))
-    own = stage(mails.unionByName(names).distinct(), "entities")
-    todo, good, later = own, None, None
+    mails = docs.where(F.contains(text, F.lit("@"))).select(F.explode(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).alias("e")).select(F.concat(F.lit("email:"), F.lower("e")).alias("canon"), F.lit("").alias("gender"))
+    names = docs.where(text.rlike(PERSON)).select(F.explode(persons(text)).alias("p")).select(F.concat(F.lit("name:"), F.col("p.name")).alias("canon"), "p.gender")
+    seen = mails.unionByName(names).groupBy("canon").agg(*(F.max(F.col("gender") == g).alias(f"told_{g}") for g in ("f", "m", "n", "")))
+    mixed = sum((F.col(f"told_{g}").cast("int") for g in ("f", "m", "n", "")), F.lit(0)) > 1
+    own = stage(seen.select("canon", _gender(lambda g: F.col(f"told_{g}")).alias("gender"), mixed.alias("mixed")), "entities")
+    todo, good = own, None
+    later = None if own.where("mixed").isEmpty() else own.limit(0).select("canon", F.lit(0).alias("attempt"), "gender")
     form = F.regexp_replace("canon", "^[a-z]+:", "")
     for attempt in range(ATTEMPTS):
         n = F.lit(attempt)
-        surrogate = F.when(F.col("canon").startswith("email:"), F.concat(F.lit("email:"), _email(form, n, key))).otherwise(F.concat(F.lit("name:"), _stem(form, n, key)))
-        proposed = stage(todo.select("canon", surrogate.alias("s")), "proposed")
+        surrogate = F.when(F.col("canon").startswith("email:"), F.concat(F.lit("email:"), _email(form, n, key))).otherwise(F.concat(F.lit("name:"), _stem(form, n, key), _ending(form, F.col("gender"))))
+        proposed = stage(todo.select("*", surrogate.alias("s")), "proposed")
         free = proposed.join(own.select(F.col("canon").alias("s")), "s", "left_anti")
         if good is not None:
             free = free.join(good, "s", "left_anti")
-        first = free.groupBy("s").agg(F.min("canon").alias("canon"))
+        first = free.groupBy("s").agg(F.min(F.struct("canon", "gender", "mixed")).alias("e")).select("s", "e.*")
         todo = stage(todo.join(first.select("canon"), "canon", "left_anti"), "todo")
         good = first.select("s") if good is None else good.unionByName(first.select("s"))
-        if attempt:
-            won = first.select("canon").withColumn("attempt", F.lit(attempt))
+        if attempt or later is not None:
+            won = (first if attempt else first.where("mixed")).select("canon", n.alias("attempt"), "gender")
             later = won if later is None else later.unionByName(won)
         if not todo.take(1):
             return later
@@ -314,8 +324,8 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
 
 
 def replaced(text: Column, attempts: Column | None, key: str) -> Column:
-    """text with every entity replaced; attempts: map of canonical form to attempt, or None where all are 0."""
-    tried = lambda kind, form: F.lit(0) if attempts is None else F.coalesce(attempts[F.concat(F.lit(f"{kind}:"), form)], F.lit(0))
+    """text with every entity replaced; attempts: map of canonical form to (attempt, gender), or None where all are 0."""
+    tried = lambda kind, form: F.lit(0) if attempts is None else F.coalesce(attempts[F.concat(F.lit(f"{kind}:"), form)]["attempt"], F.lit(0))
 
     def formed(e, kind, form):
         other = F.when(kind == "email", _email(form, tried("email", form), key)).when(kind == "ipv4", _ip(form, key)).when(kind == "iban", _iban(form, key)).when(kind == "card", _card(form, key)).when(kind == "phone", _phone(form, key)).otherwise(_permuted(form, key, "ssn"))
@@ -331,12 +341,14 @@ def replaced(text: Column, attempts: Column | None, key: str) -> Column:
 
 
 def renamed(text: Column, parts: Column, attempts: Column | None, key: str) -> Column:
-    """text with the capitalised words that are name words (parts: map of word to gender) replaced."""
+    """text with the capitalised words that are name words (parts: map of word to gender, over which that in attempts goes)
+    replaced."""
 
     def other(w, name):
-        n = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat(F.lit("name:"), name)], F.lit(0))
+        how = F.lit(None).cast("struct<attempt:int,gender:string>") if attempts is None else attempts[F.concat(F.lit("name:"), name)]
+        n, gender = F.coalesce(how["attempt"], F.lit(0)), F.coalesce(how["gender"], parts[name])
         cased = lambda form: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(form)).otherwise(F.initcap(form))
-        return _let(F.concat(_stem(name, n, key), _ending(name, parts[name])), cased)
+        return _let(F.concat(_stem(name, n, key), _ending(name, gender)), cased)
 
     def new(w):
         return F.when(F.map_contains_key(parts, F.lower(w)), _let(F.lower(w), lambda name: other(w, name))).otherwise(w)
@@ -365,7 +377,9 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
         names = F.transform(persons(F.col("text")), lambda p: F.concat(F.lit("name:"), p["name"]))
         canon = F.array_distinct(F.concat(F.when(F.contains("text", F.lit("@")), mails).otherwise(F.array()), F.when(F.col("text").rlike(PERSON), names).otherwise(F.array())))
         has = ids.where(F.contains("text", F.lit("@")) | F.col("text").rlike(PERSON)).select("d", "t", F.explode(canon).alias("canon")).distinct()
-        maps = has.join(later, "canon").groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("attempts"))
+        salted = later.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a name may be in most documents
+        met = has.withColumn("salt", F.pmod(F.xxhash64("d", "t"), F.lit(SALTS)).cast("int")).join(salted, ["canon", "salt"])
+        maps = met.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("canon", F.struct("attempt", "gender").alias("how")))).alias("attempts"))
         rows = rows.join(maps, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("t")), "left")
         attempts = F.col("attempts")
     text = F.col("row.text").cast("string")

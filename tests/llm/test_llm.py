@@ -673,6 +673,19 @@ def test_accounts_keep_valid_check_digits(spark):
         assert new[:2] == iban[:2] and new != iban and len(new) == len(iban) and valid(new) == valid(iban) and [ch.isdigit() for ch in new] == [ch.isdigit() for ch in iban]
 
 
+def test_pii_names_are_the_same_in_all_documents(spark):
+    """Titles that differ between documents: one ending, that of neither gender where both are told."""
+    import regex
+
+    texts = ["Dr. Ana Kovac came.", "Mrs. Ana Kovac came.", "Mr. Kim Olsen came.", "Ms. Kim Olsen came.", "Mr. Bo Olsen came.", "Mr. Olsen and Mrs. Ana went.", None, ""]
+    got = [r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    names = [regex.findall(r"\p{Lu}\p{L}{5,}", t or "") for t in got]
+    assert names[0] == names[1] and names[0][0].endswith("na") and len(names[0][0]) == 14
+    assert names[2] == names[3] and names[2][0].endswith("nt") and names[4][0].endswith("nd")
+    assert names[2][1] == names[4][1] == names[5][0] and names[5][1] == "".join(names[0][:1])
+    assert got[6] is None and got[7] == "" and len({names[0][0], names[0][1], names[2][0], names[2][1], names[4][0]}) == 5
+
+
 def test_pii_collisions_are_resolved(spark, monkeypatch):
     plain = pii._hash
     # with one value of the hash for first attempts, these must clash
