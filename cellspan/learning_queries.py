@@ -158,23 +158,27 @@ def stress_line(spark, d):
     return rounded(spark.createDataFrame(rows, "factor string, n long, coef double, se double, t double, r2 double").withColumn("t", F.round("t", 4)), 6)
 
 
-STRESS_SQL = f"""{E_SQL}, ts AS (SELECT a.cell, quantile_cont((b.cap - a.cap) / (b.k - a.k), 0.5) AS m FROM ev a JOIN ev b ON a.cell = b.cell AND b.k > a.k GROUP BY a.cell),
-ra AS (SELECT ev.cell, CASE WHEN count(*) >= 10 THEN -100 * any_value(m) END AS y, avg(I_mean) AS a, avg(ambient) AS b FROM ev LEFT JOIN ts ON ts.cell = ev.cell GROUP BY ev.cell),
-q AS (SELECT count(*) AS n, corr(a, b) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb, var_pop(y) AS v FROM ra WHERE y IS NOT NULL),
-w AS (SELECT *, (ca - r * cb) / (1 - r * r) AS wa, (cb - r * ca) / (1 - r * r) AS wb FROM q), e AS (SELECT *, sqrt((v - ca * wa - cb * wb) / (n - 3) / (1 - r * r)) AS se FROM w)"""
+STRESS = ["I_mean", "ambient", "T_rise"]  # the driver's tables tell nothing of cut-off and pulses
+STRESS_SQL = f"""{HT}, ts AS (SELECT a.cell, quantile_cont((b.soh - a.soh) / (b.k - a.k), 0.5) AS m FROM g a JOIN g b ON a.cell = b.cell AND b.k > a.k GROUP BY a.cell),
+ra AS (SELECT g.cell, count(*) AS n, -100 * any_value(m) AS y, quantile_cont(round(I_mean, 4), 0.5) AS a, quantile_cont(round(ambient, 4), 0.5) AS b, quantile_cont(round(T_rise, 4), 0.5) AS c FROM g JOIN ts ON ts.cell = g.cell GROUP BY g.cell HAVING count(*) >= 10),
+q AS (SELECT count(*) AS n, corr(a, b) AS r, corr(a, c) AS s, corr(b, c) AS t, corr(a, y) AS ya, corr(b, y) AS yb, corr(c, y) AS yc, stddev_pop(y) AS sy FROM ra WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+iv AS (SELECT *, 1 + 2 * r * s * t - r * r - s * s - t * t AS d FROM q),
+w AS (SELECT *, (1 - t * t) / d AS ia, (1 - s * s) / d AS ib, (1 - r * r) / d AS ic, (s * t - r) / d AS iab, (r * t - s) / d AS iac, (r * s - t) / d AS ibc FROM iv),
+e AS (SELECT *, ia * ya + iab * yb + iac * yc AS wa, iab * ya + ib * yb + ibc * yc AS wb, iac * ya + ibc * yb + ic * yc AS wc FROM w),
+f AS (SELECT *, sqrt((1 - wa * ya - wb * yb - wc * yc) / (n - 4)) AS se FROM e)"""
 
 
-@query("stress_coefficients", f"WITH {STRESS_SQL} SELECT 'I_mean' AS factor, {r('wa', 'coef', 6)}, {r('se', digits=6)}, {r('1 / (1 - r * r)', 'vif', 6)} FROM e UNION ALL SELECT 'ambient', {r('wb', 'coef', 6)}, {r('se', digits=6)}, {r('1 / (1 - r * r)', 'vif', 6)} FROM e")
+@query("stress_coefficients", f"WITH {STRESS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS factor, {r(f'sy * w{i}', 'coef', 6)}, {r(f'sy * se * sqrt(i{i})', 'se', 6)}, {r(f'i{i}', 'vif', 5)} FROM f" for c, i in zip(STRESS, "abc", strict=True)))
 def stress_coefficients(spark, d):
     """stress_regression without the tail probabilities, which SQL has no function for."""
-    return rounded(stress_regression(spark, d).select("factor", "coef", "se", "vif"), 6)
+    return rounded(stress_regression(spark, d).select("factor", "coef", "se", F.round("vif", 5).alias("vif")), 6)
 
 
 @query("stress_regression")
 def stress_regression(spark, d):
-    e = event_cycles(spark, d)
-    factors = e.groupBy("cell").agg(F.avg("I_mean").alias("I_mean"), F.avg("ambient").alias("ambient"))
-    return spark.createDataFrame(learning.stress_regression(indicators.fade_rates(e).join(factors, "cell"), ["I_mean", "ambient"])[0])
+    """What the loss of health depends on, of the factors that the table has."""
+    rates = staged(indicators.stress_table(health_table(spark, d)), "stress")
+    return spark.createDataFrame(learning.stress_regression(rates, STRESS)[0])
 
 
 @query("pca_pair", f"WITH {HT}, z AS (SELECT cell, k, (T_mean - avg(T_mean) OVER ()) / stddev_pop(T_mean) OVER () AS a, (V_mean - avg(V_mean) OVER ()) / stddev_pop(V_mean) OVER () AS b FROM ht), c AS (SELECT corr(T_mean, V_mean) AS c FROM ht) SELECT cell, k, {r('abs(a + sign(c) * b) / sqrt(2)', 'PC1', 5)}, {r('abs(a - sign(c) * b) / sqrt(2)', 'PC2', 5)} FROM z, c")

@@ -179,3 +179,21 @@ def fade_rates(df: DataFrame, y: str = "cap", by: str = "cell", max_k: int | Non
     """Loss per 100 cycles by the robust slope."""
     d = df if max_k is None else df.where(F.col("k") <= max_k)
     return theil_sen(d, "k", y, by).select(by, (-100 * F.col("slope")).alias("fade_rate"))
+
+
+#: What a cell's loss may depend on (fixed values).
+STRESS_FACTORS = ("ambient", "I_mean", "cutoff_V", "pulsed", "T_rise")
+
+
+def stress_table(df: DataFrame, by: str = "cell", max_k: int | None = None, least: int = 10) -> DataFrame:
+    """by, n, fade_rate and the STRESS_FACTORS of cells with at least so many good rows: medians (of values rounded to four digits)
+    over these, for flags the share of rows that have them; factors that df has no column for are left out.
+
+    df: by, k, soh, outlier. Unknown values count in no median; a cell without any has a null.
+    """
+    good = df.where(~F.col("outlier") & F.col("soh").isNotNull())
+    good = good if max_k is None else good.where(F.col("k") <= max_k)
+    flag = lambda c: df.schema[c].dataType.typeName() == "boolean"
+    value = lambda c: F.avg(F.col(c).cast("double")) if flag(c) else F.percentile(F.round(F.col(c).cast("double"), 4), F.lit(0.5))
+    own = good.groupBy(by).agg(F.count("*").alias("n"), *(value(c).alias(c) for c in STRESS_FACTORS if c in df.columns))
+    return own.where(F.col("n") >= least).join(fade_rates(good, "soh", by), by)

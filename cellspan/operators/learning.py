@@ -404,6 +404,8 @@ def power_label(dof: int) -> str:
 def stress_regression(rates: DataFrame, factors: list[str], y: str = "fade_rate") -> tuple[pd.DataFrame, dict]:
     """Standardised coefficients of a regression over cells with errors, p, inflation and whether they are confounded; and
     n, r2, adj_r2, power and the pairs of factors that go together (|r| > 0.7). All from moments of the cells' rows."""
+    spread = rates.agg(*(F.stddev_pop(c).alias(c) for c in factors)).first()
+    factors = [c for c in factors if spread[c]]  # those that nothing is known of would leave no complete row
     n, m, cov = _moments(rates, [*factors, y])
     sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
     keep = [i for i in range(len(factors)) if sd[i] > 1e-12]

@@ -73,9 +73,11 @@ def strength(n: int) -> str:
     return "insufficient" if n < 6 else "low" if n < 10 else "adequate"
 
 
-def answers(metrics: DataFrame, frequency: DataFrame | None = None, ranking: DataFrame | None = None, measurements: list | None = None, ledger: DataFrame | None = None, h: int = 10) -> dict[str, str]:
+def answers(metrics: DataFrame, frequency: DataFrame | None = None, ranking: DataFrame | None = None, measurements: list | None = None, ledger: DataFrame | None = None, h: int = 10, selection: tuple | None = None, stress: tuple | None = None, comparisons: DataFrame | None = None, plants: DataFrame | None = None) -> dict[str, str]:
     """Plain answers from a few collected rows: the best model and how often to update it; the best indicator that is not
-    capacity or energy itself and the best measurement; the best policy."""
+    capacity or energy itself and the best measurement; the best policy; whether one or several indicators are better (selection: of
+    select_indicators), what the loss depends on (stress: of stress_regression), how many models differ from the best one
+    (comparisons: of pairwise), where the plants' parameters come from (plants: of calibrate)."""
     board = study.leaderboard(metrics, h).orderBy("mean_rank", "model").limit(2).collect()
     out = {"best model": "no model is valid on common cells"}
     if board:
@@ -90,11 +92,30 @@ def answers(metrics: DataFrame, frequency: DataFrame | None = None, ranking: Dat
         top = ranking.where(not_capacity("hi")).orderBy(F.desc("score"), "hi").limit(1).collect()
         out["best indicator"] = f"{top[0]['hi']}: score {top[0]['score']:.3f}" if top else "no indicator varies enough"
     if measurements:
-        name, error, gain = measurements[0]
+        name, error, _, gain = measurements[0]
         out["best measurement"] = f"{name}: error {error:.4g}, {gain:.0%} below the mean" if error is not None else "no measurement is known in enough rows"
     if ledger is not None:
         top = ledger.orderBy(F.desc("profit"), "policy").limit(1).collect()
         out["best policy"] = f"{top[0]['policy']}: profit {top[0]['profit']:.4g}" if top else "no policy was tried"
+    if selection is not None:
+        path, verdict = selection
+        falls = f": {', '.join(c for c, _ in path)}, error {path[0][1]:.3g} to {path[-1][1]:.3g} on left-out cells" if path else ""
+        out["one or several indicators"] = verdict + falls
+    if stress is not None:
+        coefficients, facts = stress
+        clear = [f"{r.factor} ({r.coef:+.2g})" for r in coefficients.itertuples() if r.p < 0.05]
+        confounded = f"; confounding: {', '.join(facts['confounding'])}" if facts["confounding"] else ""
+        found = f"p < 0.05 for {', '.join(clear)}" if clear else "no factor reaches p < 0.05" if len(coefficients) else "too few cells for the factors"
+        out["stress factors"] = f"{found} ({facts['power']}, {facts['n']} cells){confounded}"
+    if comparisons is not None and board:
+        mine = comparisons.where((F.col("model_a") == board[0]["model"]) | (F.col("model_b") == board[0]["model"]))
+        tests = mine.agg(F.count("*").alias("n"), F.count(F.when(F.col("p_holm") < 0.05, 1)).alias("differ"), F.max("n").alias("cells")).first()
+        out["significance"] = f"{tests['differ']} of {tests['n']} other models differ from it after correction" + (f" ({strength(tests['cells'])} evidence)" if tests["n"] else "")
+    if plants is not None:
+        kinds = [c for c in ("fade_source", "resistance_source", "alpha_source") if c in plants.columns]
+        pairs = plants.select(F.inline(F.array(*(F.struct(F.lit(c.removesuffix("_source")).alias("what"), F.col(c).alias("source")) for c in kinds))))
+        counted = pairs.groupBy("what", "source").count().orderBy("what", "source").collect()
+        out["calibration"] = "; ".join(f"{r['what']}: {r['source']} for {r['count']} cells" for r in counted) or "no plant is calibrated"
     return out
 
 

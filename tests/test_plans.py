@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellspan.operators import forecasts, quality, study
+from cellspan.operators import forecasts, indicators, learning, quality, study
 from cellspan.operators.asof import asof_fill
 from cellspan.plans import cohort, cycles
 from cellspan.sources import registry
@@ -91,7 +91,7 @@ def test_cohort(built, tmp_path):
     assert set(rates) == {1, 10} and rates[1] <= rates[10] * 1.2
     ranking = table.sparkSession.createDataFrame([("cap_norm", 0.9), ("energy_Wh", 0.95), ("R0", 0.5)], "hi string, score double")
     ledger = table.sparkSession.createDataFrame([("2 A", 1.0), ("4 A", 3.0)], "policy string, profit double")
-    said = cohort.answers(out["metrics"], freq, ranking, [("resistance", 0.01, 0.5)], ledger)
+    said = cohort.answers(out["metrics"], freq, ranking, [("resistance", 0.01, 9, 0.5)], ledger)
     assert said["best indicator"].startswith("R0") and said["best policy"].startswith("4 A") and "50% below" in said["best measurement"] and "update interval" in said
     board = study.leaderboard(out["metrics"], 10)
     cohort.export(str(tmp_path), "study", said, {"leaderboard": board}, (cohort.bars("error", {"a": 1.0, "b": 2.0}),))
@@ -101,6 +101,33 @@ def test_cohort(built, tmp_path):
     assert len(list((tmp_path / "csv" / "board").glob("*.csv"))) == 1
 
 
+def test_answers_on_evidence(spark):
+    """Selection, stress, significance and calibration, with nothing to say too."""
+    metrics = spark.createDataFrame([(f"c{i}", "g", m, 10, 9, e, "ok") for i in range(7) for m, e in (("a", 0.1), ("b", 0.2), ("c", 0.3))], "cell string, grp string, model string, h int, n long, rmse double, status string")
+    metrics = metrics.withColumns({c: F.lit(0.5) for c in ("mae", "r2", "coverage", "fade_skill")})
+    comparisons = spark.createDataFrame([("a", "b", 7, 0.01), ("a", "c", 7, 0.4), ("b", "c", 7, 0.01)], "model_a string, model_b string, n long, p_holm double")
+    rates = spark.createDataFrame([(f"c{i}", 1.0 + 0.5 * (i % 5) + 0.01 * (i % 3), float(i % 5), 0.5 * (i % 2), None) for i in range(30)], "cell string, fade_rate double, I_mean double, ambient double, cutoff_V double")
+    stress = learning.stress_regression(rates, ["I_mean", "ambient", "cutoff_V"])
+    assert list(stress[0].factor) == ["I_mean", "ambient"]  # nothing is known of the cut-off
+    plants = spark.createDataFrame([("c0", "own history", "default"), ("c1", "own history", "own history")], "cell string, fade_source string, resistance_source string")
+    said = cohort.answers(metrics, selection=([("R0", 0.02), ("k", 0.01)], "several"), stress=stress, comparisons=comparisons, plants=plants)
+    assert said["one or several indicators"] == "several: R0, k, error 0.02 to 0.01 on left-out cells"
+    assert said["stress factors"].startswith("p < 0.05 for I_mean (+") and "30 cells" in said["stress factors"]
+    assert said["significance"] == "1 of 2 other models differ from it after correction (low evidence)"
+    assert said["calibration"] == "fade: own history for 2 cells; resistance: default for 1 cells; resistance: own history for 1 cells"
+    bare = cohort.answers(metrics.limit(0), selection=([], "undetermined"), stress=learning.stress_regression(rates.limit(0), ["I_mean"]), comparisons=comparisons, plants=plants.limit(0))
+    assert bare["one or several indicators"] == "undetermined" and bare["calibration"] == "no plant is calibrated" and "too few cells" in bare["stress factors"]
+
+
+def test_stress_factors_of_good_rows(spark):
+    rows = [("a", k, 1 - 0.002 * k, k == 5, 24.0 if k % 2 else 25.0, 2.0, k % 4 == 0) for k in range(1, 22)] + [("b", k, 1.0, False, 24.0, 1.0, True) for k in range(9)] + [("a", 30, None, False, 0.0, 0.0, True)]
+    df = spark.createDataFrame(rows, "cell string, k int, soh double, outlier boolean, ambient double, I_mean double, pulsed boolean")
+    out = indicators.stress_table(df).collect()
+    assert len(out) == 1 and out[0]["cell"] == "a" and out[0]["n"] == 20 and out[0]["fade_rate"] == pytest.approx(0.2)
+    assert (out[0]["ambient"], out[0]["I_mean"], out[0]["pulsed"]) == (24.5, 2.0, 0.25) and "T_rise" not in out[0].asDict()
+    assert indicators.stress_table(df.limit(0)).count() == 0
+
+
 def test_results_are_cached_by_data_and_arguments(spark, tmp_path):
     made = []
 
