@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspan.operators.quality import rolling_median
+from cellspan.sources.staging import staged
 
 
 def average_rank(x: str, by: list[str]) -> Column:
@@ -116,6 +117,50 @@ def correlation_flags(df: DataFrame, columns: list[str], limit: float = 0.7) ->
 
 #: Widths of the three parts that a slope's 64 ordered bits are selected by.
 _PARTS = (22, 21, 21)
+#: Slopes that a task holds at once.
+_SLOPES = 1 << 20
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Slopes from each (x, y) to each (u, v) right of it; all NaN alike."""
+    dx = u[None, :] - x[:, None]
+    ok = dx > 0
+    out = (v[None, :] - y[:, None])[ok] / dx[ok] + 0.0
+    return np.where(np.isnan(out), np.nan, out)
+
+
+def _middle(slopes: np.ndarray) -> np.ndarray:
+    """Medians of the last axis, NaN last in order."""
+    n = slopes.shape[-1]
+    at = [(n - 1) // 2, n // 2]
+    two = np.partition(slopes, sorted(set(at)), axis=-1)[..., at]
+    return (two[..., 0] + two[..., 1]) / 2
+
+
+def _block_medians(blocks: DataFrame, by: str) -> DataFrame:
+    """by, n, m: median slope of cells that are one block; cells of equal length in one array, at most _SLOPES of their pairs."""
+
+    def run(frames):
+        for pdf in frames:
+            m = np.full(len(pdf), np.nan)
+            known = np.zeros(len(pdf), bool)
+            lengths = pdf["n"].to_numpy()
+            for n in np.unique(lengths[lengths > 1]).tolist():
+                i, j = np.triu_indices(n, 1)
+                rows = np.flatnonzero(lengths == n)
+                for part in np.array_split(rows, max(1, len(rows) * len(i) // _SLOPES)):
+                    x, y = (np.stack([pdf[c].iat[r] for r in part]) for c in ("xs", "ys"))
+                    plain = (x[:, 1:] > x[:, :-1]).all(axis=1)
+                    if plain.any():
+                        a, b = x[plain], y[plain]
+                        m[part[plain]] = _middle((b[:, j] - b[:, i]) / (a[:, j] - a[:, i]))
+                        known[part[plain]] = True
+                    for r, a, b in zip(part[~plain], x[~plain], y[~plain], strict=True):
+                        if len(s := _slopes(a, b, a, b)):
+                            m[r], known[r] = _middle(s), True
+            yield pd.DataFrame({by: pdf[by], "n": lengths, "m": pd.arrays.FloatingArray(m, ~known)})
+
+    return blocks.select(by, "n", "xs", "ys").mapInPandas(run, f"{by} {blocks.schema[by].dataType.simpleString()}, n long, m double")
 
 
 def _slope_bins(units: DataFrame, level: int, by: str) -> DataFrame:
@@ -125,19 +170,13 @@ def _slope_bins(units: DataFrame, level: int, by: str) -> DataFrame:
 
     def run(frames):
         for pdf in frames:
-            out = []
             for r in pdf.itertuples():
-                x, y = (np.array([p[c] for p in r.a]) for c in "xy")
-                u, v = (np.array([p[c] for p in r.b]) for c in "xy")
-                dx = u[None, :] - x[:, None]
-                ok = dx > 0
-                bits = ((v[None, :] - y[:, None])[ok] / dx[ok] + 0.0).view(np.uint64)
+                bits = _slopes(r.ax, r.ay, r.bx, r.by_).view(np.uint64)
                 bits = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63)) >> np.uint64(shift)
                 if level:
                     bits = bits[bits >> np.uint64(_PARTS[level]) == np.uint64(r.prefix)] & np.uint64((1 << _PARTS[level]) - 1)
-                for v_, n in zip(*np.unique(bits, return_counts=True), strict=True):
-                    out.append((getattr(r, by), r.which, int(v_), int(n)))
-            yield pd.DataFrame(out, columns=[by, "which", "bin", "n"])
+                bins, n = np.unique(bits, return_counts=True)
+                yield pd.DataFrame({by: np.full(len(bins), getattr(r, by), object), "which": r.which, "bin": bins.astype(np.int64), "n": n})
 
     schema = f"{by} {units.schema[by].dataType.simpleString()}, which int, bin long, n long"
     return units.mapInPandas(run, schema).groupBy(by, "which", "bin").agg(F.sum("n").alias("n"))
@@ -146,14 +185,24 @@ def _slope_bins(units: DataFrame, level: int, by: str) -> DataFrame:
 def theil_sen(df: DataFrame, x: str = "k", y: str = "cap", by: str = "cell", least: int = 10, block: int = 256) -> DataFrame:
     """Median of the slopes between all pairs of a cell's rows with different x; null below `least` rows.
 
-    Rows are gathered in blocks, a task takes pairs of blocks and only counts of slopes by bins leave it: the two middle
-    slopes are selected exactly, part by part of their bits, in three passes. A long history is many pairs of blocks.
+    Rows are gathered in blocks, staged once. A cell of one block has its median where it lies. Of a longer history a task takes
+    pairs of blocks and only counts of slopes by bins leave it: the two middle slopes are selected exactly, part by part of their
+    bits, in three passes. Both give the same numbers.
     """
     d = df.where(F.col(y).isNotNull()).select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     place = F.floor((F.row_number().over(Window.partitionBy(by).orderBy("x", "y")) - 1) / block)
-    blocks = d.withColumn("i", place).groupBy(by, "i").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("s"))
-    right = blocks.select(F.col(by).alias("__by"), F.col("i").alias("j"), F.col("s").alias("b"))
-    units = blocks.join(right, (F.col(by) == F.col("__by")) & (F.col("i") <= F.col("j"))).select(by, F.col("s").alias("a"), "b")
+    listed = d.withColumns({"i": place, "n": F.count("*").over(Window.partitionBy(by))}).groupBy(by, "n", "i").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("s"))
+    blocks = staged(listed.select(by, "n", "i", F.col("s.x").alias("xs"), F.col("s.y").alias("ys")), "slopes")
+    out = _block_medians(blocks.where(F.col("n") <= block), by)
+    if not (long := blocks.where(F.col("n") > block)).isEmpty():
+        out = out.unionByName(_long_medians(long, by))
+    return out.select(by, F.when(F.col("n") >= least, F.col("m")).alias("slope"))
+
+
+def _long_medians(blocks: DataFrame, by: str) -> DataFrame:
+    """by, n, m: median slope of cells of many blocks."""
+    right = blocks.select(F.col(by).alias("__by"), F.col("i").alias("j"), F.col("xs").alias("bx"), F.col("ys").alias("by_"))
+    units = blocks.join(right, (F.col(by) == F.col("__by")) & (F.col("i") <= F.col("j"))).select(by, F.col("xs").alias("ax"), F.col("ys").alias("ay"), "bx", "by_")
     w = Window.partitionBy(by, "which").orderBy("bin")
     upto = lambda bins: bins.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy(by, "which"))})
     first = upto(_slope_bins(units.withColumns({"which": F.lit(0), "prefix": F.lit(0).cast("long")}), 0, by))
@@ -170,9 +219,8 @@ def theil_sen(df: DataFrame, x: str = "k", y: str = "cap", by: str = "cell", lea
             back = np.where(bits >> np.uint64(63), bits & np.uint64((1 << 63) - 1), ~bits)
             yield pd.DataFrame({by: pdf[by], "m": back.view(np.float64)})
 
-    middle = found.select(by, "prefix").mapInPandas(values, f"{by} {df.schema[by].dataType.simpleString()}, m double").groupBy(by).agg(F.avg("m").alias("m"))
-    sizes = d.groupBy(by).agg(F.count("*").alias("n"))
-    return sizes.join(middle, by, "left").select(by, F.when(F.col("n") >= least, F.col("m")).alias("slope"))
+    middle = found.select(by, "prefix").mapInPandas(values, f"{by} {blocks.schema[by].dataType.simpleString()}, m double").groupBy(by).agg(F.avg("m").alias("m"))
+    return blocks.where("i = 0").select(by, "n").join(middle, by, "left").select(by, "n", "m")
 
 
 def fade_rates(df: DataFrame, y: str = "cap", by: str = "cell", max_k: int | None = None) -> DataFrame:
