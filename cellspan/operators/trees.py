@@ -34,13 +34,24 @@ class Forest:
     value: np.ndarray  # mean of the node's rows
 
     def nodes(self, tree: int, x: np.ndarray, levels: int) -> np.ndarray:
-        """The node that each row has come to after so many levels."""
-        at = np.zeros(len(x), np.int64)
-        rows = np.arange(len(x))
-        for _ in range(levels):
-            f = self.feature[tree, at]
-            right = x[rows, f] > self.threshold[tree, at]
-            at = np.where(f >= 0, 2 * at + 1 + right, at)
+        """The node that each row has come to after so many levels; x: (feature, row)."""
+        n = x.shape[1]
+        flat, start = x.ravel(), np.arange(n)
+        feature, threshold = self.feature[tree].astype(np.int64), self.threshold[tree]
+        # a leaf's test is of the first feature and against nothing: its rows stay
+        inner = feature >= 0
+        offset, step = np.where(inner, feature, 0) * n, np.where(inner, np.arange(len(feature)) + 1, 0)
+        at = np.zeros(n, np.int64)
+        for i in range(levels):
+            if i == 0:
+                if not inner[0]:
+                    break
+                at = 1 + (x[feature[0]] > threshold[0])
+                continue
+            right = flat.take(offset.take(at) + start) > threshold.take(at)
+            right &= inner.take(at)
+            at += step.take(at)
+            at += right
         return at
 
 
@@ -48,27 +59,57 @@ def filled(x: np.ndarray, fill) -> np.ndarray:
     return np.where(np.isnan(x), np.asarray(fill, float), x)
 
 
-def side_sums(frames: Iterator[pd.DataFrame], x: list[str], y: str, forest: Forest, fills: dict, drawn: np.ndarray, level: int) -> np.ndarray:
+#: Rows whose places in a tree are looked at together.
+ROWS = 1 << 15
+
+
+def gathered(frames: Iterator[pd.DataFrame], rows: int = ROWS) -> Iterator[pd.DataFrame]:
+    """Frames of about so many rows."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        held.append(pdf)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def side_sums(frames: Iterator[pd.DataFrame], x: list[str], y: str, forest: Forest, fills: dict, drawn: np.ndarray | None, level: int) -> np.ndarray:
     """(tree, node of the level, 2 + 2 features): rows, sum of y, and of each feature the rows and the sum at or below the node's
-    drawn threshold, over the training rows of each tree."""
-    width, d = 1 << level, len(x)
+    drawn threshold, over the training rows of each tree; without thresholds the first two.
+
+    A row has one bit for each feature, so rows and sums are counted by node and pattern of bits once, and a feature's side is
+    the patterns that have its bit.
+    """
+    width, d = 1 << level, 0 if drawn is None else len(x)
+    some = min(10, max(1, 13 - level))  # bits of a pattern; few enough that its counts stay in the cache
+    groups = [range(i, min(i + some, d)) for i in range(0, d, some)] or [range(0)]
     out = np.zeros((len(forest.fold), width, 2 + 2 * d))
-    for pdf in frames:
+    for pdf in gathered(frames):
         raw, target, fold = pdf[x].to_numpy(float), pdf[y].to_numpy(float), pdf["fold"].to_numpy()
         for f, fill in fills.items():
             rows = fold != f
-            part, own = filled(raw[rows], fill), target[rows]
+            part, own = np.ascontiguousarray(filled(raw[rows], fill).T), target[rows]
             for t in np.flatnonzero(forest.fold == f).tolist():
-                at = forest.nodes(t, part, level) - (width - 1)
-                live = at >= 0  # others rest in leaves above
-                node, v, p = at[live], own[live], part[live]
-                out[t, :, 0] += np.bincount(node, minlength=width)
-                out[t, :, 1] += np.bincount(node, v, width)
-                low = p <= drawn[t, node]
-                for j in range(d):
-                    side = low[:, j]
-                    out[t, :, 2 + j] += np.bincount(node[side], minlength=width)
-                    out[t, :, 2 + d + j] += np.bincount(node[side], v[side], width)
+                node, v, p = forest.nodes(t, part, level), own, part
+                node -= width - 1
+                if len(node) and node.min() < 0:  # others rest in leaves above
+                    live = node >= 0
+                    node, v, p = node[live], v[live], p[:, live]
+                for g, bits in enumerate(groups):
+                    size = 1 << len(bits)
+                    code = node * size
+                    for i, j in enumerate(bits):
+                        code += (p[j] <= np.ascontiguousarray(drawn[t, :, j]).take(node)) * np.int64(1 << i)
+                    n, total = (np.bincount(code, w, width * size).reshape(width, size) for w in (None, v))
+                    has = (np.arange(size)[:, None] >> np.arange(len(bits)) & 1).astype(float)
+                    if g == 0:
+                        out[t, :, 0] += n.sum(axis=1)
+                        out[t, :, 1] += total.sum(axis=1)
+                    if len(bits):
+                        out[t, :, 2 + bits[0] : 3 + bits[-1]] += n @ has
+                        out[t, :, 2 + d + bits[0] : 3 + d + bits[-1]] += total @ has
     return out
 
 
@@ -87,7 +128,7 @@ def extra_trees(data: DataFrame, x: list[str], y: str, fills: dict[int, list[flo
     rng = np.random.default_rng(seed)
     for level in range(depth + 1):
         width = 1 << level
-        drawn = boxes[..., 0] + rng.random((n, width, d)) * (boxes[..., 1] - boxes[..., 0])
+        drawn = boxes[..., 0] + rng.random((n, width, d)) * (boxes[..., 1] - boxes[..., 0]) if level < depth else None  # the last has no splits
 
         def partial(frames, level=level, drawn=drawn):
             sums = side_sums(frames, x, y, forest, fills, drawn, level)
@@ -103,7 +144,7 @@ def extra_trees(data: DataFrame, x: list[str], y: str, fills: dict[int, list[flo
                 yield pd.DataFrame({"tree": [t], "sums": [v]})
 
         schema = "tree int, sums array<double>"
-        found = np.zeros((n, width, 2 + 2 * d))
+        found = np.zeros((n, width, 2 if drawn is None else 2 + 2 * d))
         for r in data.select("fold", *x, y).mapInPandas(partial, schema).repartition("tree").mapInPandas(added, schema).toLocalIterator():  # at most n rows
             found[r["tree"]] = np.array(r["sums"]).reshape(width, -1)
         rows, total, rows_low, total_low = found[..., 0:1], found[..., 1:2], found[..., 2 : 2 + d], found[..., 2 + d :]
@@ -138,19 +179,20 @@ def tree_cv(df: DataFrame, x: list[str], y: str, group: str = "cell", n: int = 5
     """df rows (those with y) with fold and pred: the mean over the trees of the row's fold, which the other folds' cells have
     taught. Null and NaN are gaps and filled with the median over the training rows; with fewer than two folds there is no
     prediction."""
-    d = staged(folded(df.where(F.col(y).isNotNull()), n, group), "folds")
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism  # a row goes down all trees, so few bytes are much work
+    d = staged(folded(df.where(F.col(y).isNotNull()), n, group).repartition(tasks), "folds")
     medians = fold_medians(d.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in x}), x)
     fills = {r["fold"]: list(r["fill"]) for r in medians.collect()}  # a row for each fold
     data = d.withColumns({c: F.col(c).cast("double") for c in (*x, y)})
     forest = extra_trees(data, x, y, fills, **options) if fills else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in gathered(frames):
             raw, fold, pred = pdf[x].to_numpy(float), pdf["fold"].to_numpy(), np.full(len(pdf), np.nan)
             for f, fill in fills.items():
                 own = np.flatnonzero(fold == f)
                 if len(own):
-                    part = filled(raw[own], fill)
+                    part = np.ascontiguousarray(filled(raw[own], fill).T)
                     trees = np.flatnonzero(forest.fold == f).tolist()
                     pred[own] = np.mean([forest.value[t, forest.nodes(t, part, forest.feature.shape[1].bit_length() - 1)] for t in trees], axis=0)
             yield pdf.assign(pred=pred)

@@ -82,3 +82,29 @@ def test_few_rows(spark):
     assert len(trees.tree_cv(one, ["a"], "y", trees=3).collect()) == 2
     two = trees.tree_cv(spark.createDataFrame([("a", None, 1.0), ("b", float("nan"), 3.0)], empty.schema), ["a"], "y", trees=3).collect()
     assert {r["cell"]: r["pred"] for r in two} == {"a": 3.0, "b": 1.0}
+
+
+def test_sums_of_sides_by_patterns_equal_plain_sums():
+    """Also with more features than a pattern has bits, rows that rest in leaves above, and no thresholds at the last level."""
+    rng = np.random.default_rng(4)
+    x = [f"x{i}" for i in range(12)]
+    pdf = pd.DataFrame(rng.random((500, 12)), columns=x).assign(y=rng.normal(size=500), fold=rng.integers(0, 2, 500))
+    forest = trees.Forest(np.array([0, 1]), np.full((2, 31), -1, np.int16), np.zeros((2, 31)), np.zeros((2, 31)))
+    forest.feature[:, [0, 1, 2, 4, 5, 9]] = rng.integers(0, 12, (2, 6))
+    forest.threshold[:] = rng.random((2, 31))
+    fills = {0: [0.5] * 12, 1: [0.5] * 12}
+    drawn = rng.random((2, 8, 12))
+    got = trees.side_sums(iter([pdf[:200], pdf[200:]]), x, "y", forest, fills, drawn, 3)
+    last = trees.side_sums(iter([pdf]), x, "y", forest, fills, None, 3)
+    assert last.shape == (2, 8, 2) and np.allclose(last, got[:, :, :2])
+    want = np.zeros((2, 8, 26))
+    for t in (0, 1):
+        for row in pdf[pdf.fold != t].itertuples():
+            v, at = np.array(row[1:13]), 0
+            for _ in range(3):
+                if forest.feature[t, at] >= 0:
+                    at = 2 * at + 1 + int(v[forest.feature[t, at]] > forest.threshold[t, at])
+            if at >= 7:
+                low = v <= drawn[t, at - 7]
+                want[t, at - 7] += np.concatenate([[1, row.y], low, low * row.y])
+    assert np.allclose(got, want)
