@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 
@@ -35,6 +36,14 @@ def t_two_sided(t: float, dof: float) -> float:
     return incomplete_beta(dof / 2, 0.5, dof / (dof + t * t)) if dof > 0 and math.isfinite(t) else math.nan
 
 
+@cache
+def _window(window: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the places in a window, and what fits a polynomial to it; the same for every series."""
+    half = window // 2
+    basis = np.vander(np.arange(-half, half + 1), order + 1, increasing=True)
+    return basis, np.linalg.pinv(basis)
+
+
 def savgol(y: np.ndarray, window: int = 9, order: int = 2) -> np.ndarray:
     """Local polynomial smoothing; ends use the polynomial of the first and last window."""
     n = len(y)
@@ -42,9 +51,7 @@ def savgol(y: np.ndarray, window: int = 9, order: int = 2) -> np.ndarray:
     if window <= order:
         return y.copy()
     half = window // 2
-    t = np.arange(-half, half + 1)
-    basis = np.vander(t, order + 1, increasing=True)
-    fit = np.linalg.pinv(basis)
+    basis, fit = _window(window, order)
     out = np.convolve(y, fit[0][::-1], mode="same")
     out[:half] = basis[:half] @ (fit @ y[:window])
     out[-half:] = basis[half + 1 :] @ (fit @ y[-window:])

@@ -65,14 +65,20 @@ def differential(q: np.ndarray, v: np.ndarray, n: int = 120) -> tuple[np.ndarray
     return grid, savgol(np.gradient(np.interp(grid, q, v), grid), 9, 2)
 
 
+#: Cycles whose points leave a task together.
+CYCLES = 500
+
+
 def _long(df: DataFrame, f, names: str) -> DataFrame:
     x, y = names.split()
 
     def run(frames):
         for pdf in frames:
-            for r in pdf.itertuples():
-                a, b = f(np.asarray(r.q, float), np.asarray(r.v, float))
-                yield pd.DataFrame({"Cell_ID": r.Cell_ID, "Cycle_Index": r.Cycle_Index, x: a, y: b})
+            for at in range(0, len(pdf), CYCLES):  # one frame for so many cycles
+                part = pdf.iloc[at : at + CYCLES]
+                points = [f(np.asarray(q, float), np.asarray(v, float)) for q, v in zip(part["q"], part["v"], strict=True)]
+                of = np.repeat(np.arange(len(part)), [len(a) for a, _ in points])
+                yield pd.DataFrame({"Cell_ID": part["Cell_ID"].to_numpy(object)[of], "Cycle_Index": part["Cycle_Index"].to_numpy()[of], x: np.concatenate([a for a, _ in points]), y: np.concatenate([b for _, b in points])})
 
     return df.mapInPandas(run, f"Cell_ID string, Cycle_Index long, {x} double, {y} double")
 
