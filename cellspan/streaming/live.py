@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ STATE = ", ".join(
 EVENTS = (
     "cell string, model string, h int, what string, k0 bigint, k_target bigint, pred double, actual double, n bigint, err double, n_seen int, radius double, lo double, hi double, calibrated boolean"
 )
+NAMES = [c.split()[0] for c in EVENTS.split(", ")]
 
 
 class Track:
@@ -75,7 +77,7 @@ class Track:
 
     def take(self, k: int) -> None:
         """Cycle k with what is there of it; what aims at skipped cycles stays without an actual value."""
-        for target in sorted(t for t in self.tables["open"] if t < k):
+        while (target := next(iter(self.tables["open"]), k)) < k:  # they are in order of the cycles they aim at
             self.resolve(target, math.nan)
         value, _ = self.tables["ahead"].pop(k, (math.nan, 0))
         if k in self.tables["open"]:
@@ -90,8 +92,7 @@ class Track:
 
     def advance(self, watermark: int, first: int, wait: int) -> None:
         ahead, made = self.tables["ahead"], self.tables["made"]
-        while waiting := ahead.keys() | made.keys():
-            k = min(waiting)
+        for k in sorted(ahead.keys() | made.keys()):
             follows = k == (first if self.taken is None else self.taken + 1)
             if not (follows and k in ahead and k in made) and max(t[k][-1] for t in (ahead, made) if k in t) > watermark:
                 break
@@ -105,6 +106,21 @@ class Track:
         return min(times, default=None)
 
 
+def frame(cell: str, model: str, h: int, rows: list[tuple]) -> pd.DataFrame:
+    """EVENTS of a key's rows, column by column: each has its type at once."""
+    what, k0, target, pred, actual, n, err, seen, radius, lo, hi, calibrated = zip(*rows, strict=True)
+    size = len(rows)
+    same = lambda v: np.full(size, v, object)
+    missing = np.array([v is None for v in seen])
+    whole = lambda c, kind: np.where(missing, 0, np.array(c, object)).astype(kind)
+    numbers = {"pred": pred, "actual": actual, "err": err, "radius": radius, "lo": lo, "hi": hi}
+    columns = {
+        "cell": same(cell), "model": same(model), "h": np.full(size, h, np.int32), "what": np.array(what, object), "k0": np.array(k0, np.int64), "k_target": np.array(target, np.int64),
+        "n": np.array(n, np.int64), "n_seen": pd.arrays.IntegerArray(whole(seen, np.int32), missing), "calibrated": pd.arrays.BooleanArray(whole(calibrated, bool), missing),
+    } | {c: np.array(v, float) for c, v in numbers.items()}
+    return pd.DataFrame({c: columns[c] for c in NAMES}, copy=False)
+
+
 def live(
     forecasts: DataFrame, measurements: DataFrame, models: list[tuple[str, int]], delay: str = "1 day", wait: str = "60 days", first: int = 1,
     alpha: float = BAND_ALPHA, least: int = 8, rows: int = 200, decay: float = 0.85,
@@ -140,9 +156,7 @@ def live(
         if (due := track.due(interval)) is not None:
             state.setTimeoutTimestamp(max(due, watermark) + 1)
         if track.out:
-            names = [c.split()[0] for c in EVENTS.split(", ")]
-            out = pd.DataFrame([(cell, model, int(h), *row) for row in track.out], columns=names)
-            yield out.astype({"radius": float, "actual": float, "lo": float, "hi": float, "n_seen": "Int32", "calibrated": "boolean"})
+            yield frame(cell, model, int(h), track.out)
 
     out = made.unionByName(seen).groupBy("cell", "model", "h").applyInPandasWithState(step, EVENTS, STATE, "append", "EventTimeTimeout")
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("pred", "actual", "err", "radius", "lo", "hi")})
@@ -155,6 +169,7 @@ def replay(forecasts: DataFrame, measurements: DataFrame, models: list[tuple[str
     lies beyond every delay, so that what is still open ends.
     """
     spark = forecasts.sparkSession
+    files = max(files, spark.sparkContext.defaultParallelism)
     at = shared_folder(spark, "live")
     streams, folders = [], {"made": forecasts, "seen": measurements}
     for name, df in folders.items():
