@@ -1,6 +1,7 @@
 """Forecasts and measurements as two streams: resolved, scored and calibrated as they arrive.
 
-State is kept by cell, model and horizon, so a long series is spread over its models and horizons. A key goes from cycle to
+State is kept by cell, since a call of the engine by key costs more than the rows of a short series; within it each model and
+horizon has a track of its own. A track goes from cycle to
 cycle: at a cycle its measurement resolves the forecast that aims at it and the residual enters a ring of the last ones; then
 the forecast made at that cycle gets its band from the ring. A cycle is taken when its forecast and its measurement are
 there, in whatever order they came; when the watermark has passed what waits, the missing part never comes and is skipped.
@@ -11,6 +12,7 @@ the state is part of the query's checkpoint.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -23,11 +25,7 @@ from cellspan.config import BAND_ALPHA
 from cellspan.sources.staging import shared_folder
 
 _TABLES = {"ahead": ("k", "value", "at"), "made": ("k", "pred", "lo", "hi", "at"), "open": ("k", "pred", "at")}
-_WHOLE = ("k", "at")
-STATE = ", ".join(
-    ["taken bigint", "n bigint", "err double", "ring array<double>"]
-    + [f"{t}_{c} array<{'bigint' if c in _WHOLE else 'double'}>" for t, cs in _TABLES.items() for c in cs]
-)
+STATE = "tracks binary"  # pickled: what each (model, horizon) of a cell has saved
 EVENTS = (
     "cell string, model string, h int, what string, k0 bigint, k_target bigint, pred double, actual double, n bigint, err double, n_seen int, radius double, lo double, hi double, calibrated boolean"
 )
@@ -106,16 +104,16 @@ class Track:
         return min(times, default=None)
 
 
-def frame(cell: str, model: str, h: int, rows: list[tuple]) -> pd.DataFrame:
-    """EVENTS of a key's rows, column by column: each has its type at once."""
+def frame(cell: str, parts: list[tuple[str, int, list[tuple]]]) -> pd.DataFrame:
+    """EVENTS of a cell's rows by model and horizon, column by column: each has its type at once."""
+    rows = [r for _, _, own in parts for r in own]
+    sizes = [len(own) for _, _, own in parts]
     what, k0, target, pred, actual, n, err, seen, radius, lo, hi, calibrated = zip(*rows, strict=True)
-    size = len(rows)
-    same = lambda v: np.full(size, v, object)
     missing = np.array([v is None for v in seen])
     whole = lambda c, kind: np.where(missing, 0, np.array(c, object)).astype(kind)
     numbers = {"pred": pred, "actual": actual, "err": err, "radius": radius, "lo": lo, "hi": hi}
     columns = {
-        "cell": same(cell), "model": same(model), "h": np.full(size, h, np.int32), "what": np.array(what, object), "k0": np.array(k0, np.int64), "k_target": np.array(target, np.int64),
+        "cell": np.full(len(rows), cell, object), "model": np.repeat(np.array([m for m, _, _ in parts], object), sizes), "h": np.repeat(np.array([h for _, h, _ in parts], np.int32), sizes), "what": np.array(what, object), "k0": np.array(k0, np.int64), "k_target": np.array(target, np.int64),
         "n": np.array(n, np.int64), "n_seen": pd.arrays.IntegerArray(whole(seen, np.int32), missing), "calibrated": pd.arrays.BooleanArray(whole(calibrated, bool), missing),
     } | {c: np.array(v, float) for c, v in numbers.items()}
     return pd.DataFrame({c: columns[c] for c in NAMES}, copy=False)
@@ -142,23 +140,31 @@ def live(
     interval = forecasts.sparkSession.sql(f"SELECT CAST(unix_millis(TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {wait}) - unix_millis(TIMESTAMP '1970-01-01 00:00:00') AS bigint)").first()[0]
 
     def step(key, frames: Iterator[pd.DataFrame], state):
-        cell, model, h = key
-        if cell is None or model is None or pd.isna(h):
+        (cell,) = key
+        if cell is None:
             return
-        track = Track(int(h), state.get if state.exists else None, alpha, least, rows, decay)
+        saved = pickle.loads(state.get[0]) if state.exists else {}
+        tracks = {pair: Track(pair[1], kept, alpha, least, rows, decay) for pair, kept in saved.items()}
         for pdf in () if state.hasTimedOut else frames:
-            for kind, k, value, lo, hi, at in zip(pdf["kind"], pdf["k"], pdf["value"], pdf["lo"], pdf["hi"], pdf["at"], strict=True):
-                if not pd.isna(k) and (track.taken is None or k > track.taken):
-                    track.tables[kind].setdefault(int(k), (float(value), int(at)) if kind == "ahead" else (float(value), float(lo), float(hi), int(at)))
+            for model, h, kind, k, value, lo, hi, at in zip(*(pdf[c].tolist() for c in ("model", "h", "kind", "k", "value", "lo", "hi", "at")), strict=True):
+                if pd.isna(model) or h != h or h is None or k != k or k is None:
+                    continue
+                pair = (model, int(h))
+                if (track := tracks.get(pair)) is None:
+                    track = tracks[pair] = Track(pair[1], None, alpha, least, rows, decay)
+                if track.taken is None or k > track.taken:
+                    track.tables[kind].setdefault(int(k), (float("nan" if value is None else value), int(at)) if kind == "ahead" else (*(float("nan" if v is None else v) for v in (value, lo, hi)), int(at)))
         watermark = state.getCurrentWatermarkMs()
-        track.advance(watermark, first, interval)
-        state.update(track.saved())
-        if (due := track.due(interval)) is not None:
-            state.setTimeoutTimestamp(max(due, watermark) + 1)
-        if track.out:
-            yield frame(cell, model, int(h), track.out)
-
-    out = made.unionByName(seen).groupBy("cell", "model", "h").applyInPandasWithState(step, EVENTS, STATE, "append", "EventTimeTimeout")
+        for track in tracks.values():
+            track.advance(watermark, first, interval)
+        state.update((pickle.dumps({pair: track.saved() for pair, track in tracks.items()}),))
+        times = [due for track in tracks.values() if (due := track.due(interval)) is not None]
+        if times:
+            state.setTimeoutTimestamp(max(min(times), watermark) + 1)
+        if some := [(*pair, track.out) for pair, track in tracks.items() if track.out]:
+            yield frame(cell, some)
+
+    out = made.unionByName(seen).groupBy("cell").applyInPandasWithState(step, EVENTS, STATE, "append", "EventTimeTimeout")
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("pred", "actual", "err", "radius", "lo", "hi")})
 
 

@@ -19,6 +19,6 @@ def test_many_waiting_cycles_take_linear_time():
 
 def test_frame_of_a_key():
     rows = [("resolved", 1, 2, 0.5, math.nan, 0, math.nan, None, None, None, None, None), ("band", 2, 3, 0.5, math.nan, 9, 0.1, 9, None, 0.0, 1.0, False)]
-    got = live.frame("c", "m", 1, rows)
+    got = live.frame("c", [("m", 1, rows)])
     assert list(got.columns) == live.NAMES and got.n_seen.isna().tolist() == [True, False] and got.calibrated.isna().tolist() == [True, False]
     assert got.k_target.tolist() == [2, 3] and got.n_seen[1] == 9 and not got.calibrated[1] and got.radius.isna().all() and got.hi[1] == 1.0
