@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cellspan.config import BAND_ALPHA, HORIZONS
 from cellspan.functions import metrics as M
@@ -29,6 +32,16 @@ def resolve(forecasts: DataFrame, truth: DataFrame, x: str = "cap") -> DataFrame
     return forecasts.join(t, ["cell", "k_target"], "left")
 
 
+def resolved_log(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows: int = 10) -> DataFrame:
+    """resolve of the logs of persistence and trailing_mean against the series itself: a row's values ahead are frames of one
+    cycle, so neither the log nor the series is shuffled once rows lie by cell. A cycle is one row."""
+    w = Window.partitionBy("cell").orderBy("k")
+    d = df.withColumns({"__mean": F.avg(x).over(w.rowsBetween(-(rows - 1), 0)), **{f"__{h}": F.when(F.col("cell").isNotNull(), F.first(x).over(w.rangeBetween(h, h))) for h in horizons}})
+    models = [("persistence", F.col(x), 0.3), ("trailing mean", F.col("__mean"), 0.25)]
+    each = [F.struct(F.lit(m).alias("model"), p.alias("pred"), F.lit(h).alias("h"), (F.col("k") + h).alias("k_target"), (p - width).alias("lo"), (p + width).alias("hi"), F.col(f"__{h}").alias("actual")) for m, p, width in models for h in horizons]
+    return d.select("cell", "grp", F.col("k").alias("k0"), F.col(x).alias("now"), F.inline(F.array(*each)))
+
+
 def accuracy(resolved: DataFrame, keys=("cell", "grp", "model", "h")) -> DataFrame:
     """One aggregation: n, rmse, mae, r2, coverage, fade_skill."""
     y, p = F.col("actual"), F.col("pred")
@@ -43,24 +56,67 @@ def interpolated(sorted_values: Column, level: Column) -> Column:
     return a + (at - low) * (b - a)
 
 
-def conformal(resolved: DataFrame, alpha: float = BAND_ALPHA, least: int = 8, rows: int = 200, horizon: int = max(HORIZONS)) -> DataFrame:
+def _last_quantiles(errors: np.ndarray, end: np.ndarray, n: np.ndarray, alpha: float, least: int) -> np.ndarray:
+    """For each row the conformal quantile of the n errors before `end`; NaN below `least`."""
+    out = np.full(len(n), np.nan)
+    at = np.flatnonzero(n >= max(least, 1))
+    if len(at):
+        n, width = n[at], int(n[at].max())
+        place = end[at][:, None] + np.arange(-width, 0)
+        s = np.sort(np.where(place >= (end[at] - n)[:, None], errors[np.maximum(place, 0)], -1.0), axis=1)  # errors are not below 0
+        pos = np.minimum(np.ceil((n + 1) * (1 - alpha)) / n, 1.0) * (n - 1)
+        low = np.floor(pos).astype(np.int64)
+        row = np.arange(len(n))
+        a, b = s[row, width - n + low], s[row, width - n + np.minimum(low + 1, n - 1)]
+        out[at] = a + (pos - low) * (b - a)
+    return out
+
+
+def conformal(resolved: DataFrame, alpha: float = BAND_ALPHA, least: int = 8, rows: int = 200) -> DataFrame:
     """radius: quantile of the last |actual - pred| of the same cell, model and horizon that were known at the origin.
 
     The level is min(ceil((n + 1)(1 - alpha)) / n, 1); below `least` residuals there is none and `calibrated` is false. A
-    residual is known `horizon` origins later at most, so the last `rows` of them lie within rows + horizon origins.
+    residual of origin k is known at k + h. Rows are streamed in order of their origins; of a series that a batch ends in, only
+    the last `rows` known residuals and those not yet known are kept.
     """
-    w = Window.partitionBy("cell", "model", "h").orderBy("k0")
-    # at origin k0 the targets up to k0 are known: origins at least h before
-    known = resolved.withColumn("err", F.abs(F.col("actual") - F.col("pred")))
-    known = known.withColumn("prior", F.collect_list(F.when(F.col("err").isNotNull(), F.struct("k_target", "err"))).over(w.rowsBetween(-(rows + horizon), -1)))
-    seen = F.transform(F.filter("prior", lambda p: p["k_target"] <= F.col("k0")), lambda p: p["err"])
-    last = F.slice(F.concat(F.array_repeat(F.lit(-1.0), rows), seen), -rows, rows)
-    s = F.array_sort(F.filter(last, lambda v: v >= 0))
-    out = known.withColumn("s", s).withColumn("n_seen", F.size("s"))
-    n = F.col("n_seen")
-    level = F.least(F.ceil((n + 1) * (1 - alpha)) / n, F.lit(1.0))
-    radius = F.when(n >= least, interpolated(F.col("s"), level))
-    return out.withColumn("radius", radius).withColumn("calibrated", radius.isNotNull()).drop("prior", "s", "err")
+    order = ["cell", "model", "h", "k0"]
+    new = F.row_number().over(Window.partitionBy(*order[:3]).orderBy("k0")) == 1
+    numbers = [new.alias("__new"), F.col("k0").cast("long").alias("__k0"), F.col("k_target").cast("long").alias("__due"), F.abs(F.col("actual") - F.col("pred")).cast("double").alias("__err")]
+    d = resolved.select("*", *numbers).sortWithinPartitions(*order)
+    kept = [f for f in d.schema.fields if not f.name.startswith("__")]
+
+    def run(batches):
+        due, err = np.zeros(0, np.int64), np.zeros(0)  # of the series that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            series = np.cumsum(column("__new").to_numpy(zero_copy_only=False))
+            known = column("__err").is_valid().to_numpy(zero_copy_only=False) & column("__due").is_valid().to_numpy(zero_copy_only=False)
+            k0 = column("__k0").fill_null(np.iinfo(np.int64).min // 4).to_numpy(zero_copy_only=False)
+            of = np.concatenate([np.zeros(len(due), np.int64), series[known]])
+            due = np.concatenate([due, column("__due").fill_null(0).to_numpy(zero_copy_only=False)[known]])
+            err = np.concatenate([err, column("__err").fill_null(0.0).to_numpy(zero_copy_only=False)[known]])
+            begin = np.searchsorted(of, series)
+            # residuals of earlier series, and those of the own one that are due by the origin
+            low, high = min(due.min(initial=0), 0) - 1, max(due.max(initial=0), 0) + 1
+            end = np.searchsorted(of * (high - low + 1) + (due - low), series * (high - low + 1) + np.clip(k0 - low, 0, high - low), side="right")
+            n = np.minimum(end - begin, rows)
+            radius = _last_quantiles(err, end, n, alpha, least)
+            columns = [column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(radius, pa.float64(), mask=n < least), pa.array(n >= least)], [*(f.name for f in kept), "n_seen", "radius", "calibrated"])
+            keep = max(begin[-1], end[-1] - rows)
+            due, err = due[keep:], err[keep:]
+
+    return d.mapInArrow(run, StructType([*kept, *StructType.fromDDL("n_seen int, radius double, calibrated boolean").fields]))
+
+
+def path_crossing(h: Column, y: Column, threshold: float) -> Column:
+    """crossings of one path that is a row's array y over the grid h, in its order."""
+    first = F.array_position(F.transform(y, lambda v: v < threshold), True)
+    at = lambda c, i: F.get(c, (first - i).cast("int"))
+    between = at(h, 2) + (at(y, 2) - threshold) / (at(y, 2) - at(y, 1) + 1e-12) * (at(h, 1) - at(h, 2))
+    return F.when(first == 1, at(h, 1).cast("double")).when(first > 1, between)
 
 
 def crossings(paths: DataFrame, threshold: float, by: list[str], h: str = "h", y: str = "y") -> DataFrame:

@@ -9,7 +9,10 @@ from cellspan.config import BOL_CYCLES, EOL_AH, EOL_CONSECUTIVE, HAMPEL_FLOOR, H
 
 
 def rolling_median(x: Column, w, half: int) -> Column:
-    return F.percentile(x, F.lit(0.5)).over(w.rowsBetween(-half, half))
+    """Of the known values in a frame of 2 * half + 1 rows, which are one short sorted array."""
+    frame = F.array(F.sort_array(F.collect_list(x).over(w.rowsBetween(-half, half))))
+    at = lambda s, i: F.get(s, F.floor(i / 2).cast("int"))
+    return F.get(F.transform(frame, lambda s: 0.5 * at(s, F.size(s) - 1) + 0.5 * at(s, F.size(s))), F.lit(0))
 
 
 def hampel(df: DataFrame, x: str = "cap", by: str = "cell", order: str = "k", half: int = HAMPEL_WINDOW, k: float = HAMPEL_K, floor: float = HAMPEL_FLOOR) -> DataFrame:
@@ -26,32 +29,51 @@ def plausible(x: Column, limits=PLAUSIBLE_AH) -> Column:
     return F.coalesce(x.between(*limits), F.lit(False))
 
 
+def _early_life(df: DataFrame, x: str, by: str, order: str, outlier: str, limits) -> tuple[DataFrame, dict[str, Column]]:
+    """df with marks of a cell's first rows, and the aggregates over a cell that its begin of life follows from."""
+    w = Window.partitionBy(by).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    first = df.withColumns({"__early": F.row_number().over(w) <= 20, "__fin": F.count(x).over(upto)})
+    first = first.withColumn("__ok", F.col("__early") & plausible(F.col(x), limits) & ~F.col(outlier))
+    ranked = first.withColumn("__j", F.sum(F.col("__ok").cast("int")).over(upto))
+    some = lambda cond: F.percentile(F.when(cond, F.col(x)), F.lit(0.5))
+    j, good = F.col("__j"), F.col("__ok")
+    n = BOL_CYCLES
+    return ranked, {
+        "n_ok": F.sum(good.cast("int")),
+        "first": some(good & (j <= n)),
+        "later": some(good & (j > n) & (j <= n + 10)),
+        "late": some(good & (j > n) & (j <= n + 15)),
+        "any": some((F.col("__fin") <= 5) & F.col(x).isNotNull()),
+        "bad": F.avg(F.when(F.col("__early"), (~plausible(F.col(x), limits)).cast("int"))),
+    }
+
+
+def _begin(prefix: str = "") -> tuple[Column, Column]:
+    """bol and crash from the aggregates of _early_life."""
+    c = lambda name: F.col(prefix + name)
+    mismatch = F.coalesce((c("n_ok") >= BOL_CYCLES + 5) & (F.abs(c("first") / c("later") - 1) > 0.08), F.lit(False))
+    bol = F.when(c("n_ok") == 0, c("any")).when(mismatch, c("late")).otherwise(c("first"))
+    return bol, (c("n_ok") == 0) | mismatch | (c("bad") > 0.2)
+
+
 def robust_bol(df: DataFrame, x: str = "cap", by: str = "cell", order: str = "k", outlier: str = "outlier", limits=PLAUSIBLE_AH) -> DataFrame:
     """bol and crash by cell, from its first 20 rows.
 
     Plausible good rows give the median of the first five; if the next ten differ by more than 8 %, the logging had crashed
     and the median of the fifteen after those five counts. Without a plausible row: the median of the first five values.
     """
-    first = df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    first = first.withColumn("fin", F.row_number().over(Window.partitionBy(by, F.col(x).isNull()).orderBy(order)))
-    early = F.col("rn") <= 20
-    ok = early & plausible(F.col(x), limits) & ~F.col(outlier)
-    flagged = first.withColumn("early", early).withColumn("ok", ok)
-    ranked = flagged.withColumn("j", F.sum(F.col("ok").cast("int")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    some = lambda cond: F.percentile(F.when(cond, F.col(x)), F.lit(0.5))
-    j, good = F.col("j"), F.col("ok")
-    n = BOL_CYCLES
-    agg = ranked.groupBy(by).agg(
-        F.sum(good.cast("int")).alias("n_ok"),
-        some(good & (j <= n)).alias("first"),
-        some(good & (j > n) & (j <= n + 10)).alias("later"),
-        some(good & (j > n) & (j <= n + 15)).alias("late"),
-        some((F.col("fin") <= 5) & F.col(x).isNotNull()).alias("any"),
-        F.avg(F.when(F.col("early"), (~plausible(F.col(x), limits)).cast("int"))).alias("bad"),
-    )
-    mismatch = F.coalesce((F.col("n_ok") >= n + 5) & (F.abs(F.col("first") / F.col("later") - 1) > 0.08), F.lit(False))
-    bol = F.when(F.col("n_ok") == 0, F.col("any")).when(mismatch, F.col("late")).otherwise(F.col("first"))
-    return agg.select(by, bol.alias("bol"), ((F.col("n_ok") == 0) | mismatch | (F.col("bad") > 0.2)).alias("crash"))
+    ranked, parts = _early_life(df, x, by, order, outlier, limits)
+    bol, crash = _begin()
+    return ranked.groupBy(by).agg(*(v.alias(c) for c, v in parts.items())).select(by, bol.alias("bol"), crash.alias("crash"))
+
+
+def with_bol(df: DataFrame, x: str = "cap", by: str = "cell", order: str = "k", outlier: str = "outlier", limits=PLAUSIBLE_AH) -> DataFrame:
+    """df with the bol and crash of its cell: robust_bol next to the rows, which are read and sorted once."""
+    ranked, parts = _early_life(df, x, by, order, outlier, limits)
+    bol, crash = _begin("__")
+    out = ranked.withColumns({f"__{c}": v.over(Window.partitionBy(by)) for c, v in parts.items()}).withColumns({"bol": bol, "crash": crash})
+    return out.drop("__early", "__fin", "__ok", "__j", *(f"__{c}" for c in parts))
 
 
 def detect_eol(df: DataFrame, x: str = "cap", by: str = "cell", order: str = "k", outlier: str = "outlier", threshold: float = EOL_AH, n: int = EOL_CONSECUTIVE) -> DataFrame:

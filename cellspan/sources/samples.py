@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task of a keyed stage gets, about.
+PART_ROWS = 200_000
+
+
+def parted(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys into as many parts as its rows need (a count from the files' footers), so that what a task sorts does
+    not grow with the table; windows and aggregations by these keys, and finer ones, follow without another shuffle."""
+    parts = -(-df.count() // PART_ROWS)
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def number(c: Column | str) -> Column:
     """To double; what is no number, and NaN, become null."""
     c = F.col(c) if isinstance(c, str) else c
@@ -97,28 +108,26 @@ CURRENT = {"signup": 1.0, "click": 2.0, "view": 2.0, "error": 4.0, "purchase": 4
 
 
 def health_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_cycles with indicators made from the events (some unknown in some kinds of event), soh and outlier flags."""
+    """event_cycles with indicators made from the events (some unknown in some kinds of event), soh and outlier flags. One
+    shuffle by cell serves all of it; rows without a cell are left out."""
     from cellspan.operators import quality
 
-    u = F.pmod(F.col("event_id") * 7919, F.lit(1009)) / 1009.0
-    e = table(spark, sf_dir, "events").select(cell_id("user_id").alias("cell"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k"), u.alias("u"))
-    d = quality.hampel(event_cycles(spark, sf_dir))
-    d = d.join(e, ["cell", "k"]).join(quality.robust_bol(d), "cell")
-    c, i, kind = F.col("cap"), F.col("I_mean"), F.col("event_type")
+    d = quality.with_bol(quality.hampel(_numbered_events(spark, sf_dir).where(F.col("cell").isNotNull())))
+    c, i, kind, u = F.col("cap"), F.col("I_mean"), F.col("event_type"), F.pmod(F.col("event_id") * 7919, F.lit(1009)) / 1009.0
     return d.select(
         "cell", "grp", "k", "cap", "I_mean", "ambient", "outlier", "bol", (c / F.col("bol")).alias("soh"), "event_type",
-        F.when(kind != "signup", 0.09 - 0.01 * c + 0.002 * F.col("u")).alias("R0"), F.when(kind.isin("click", "view"), 0.06 - 0.005 * c + 0.004 * F.col("u")).alias("Re_ohm"), F.when(kind.isin("click", "view"), 0.08 + 0.01 * F.col("u")).alias("Rct_ohm"),
-        (2.0 + 0.5 * i - 0.3 * c + F.col("u")).alias("T_rise"), (F.col("ambient") + i).alias("T_mean"), (3.3 + 0.1 * c - 0.02 * i + 0.05 * F.col("u")).alias("V_mean"),
+        F.when(kind != "signup", 0.09 - 0.01 * c + 0.002 * u).alias("R0"), F.when(kind.isin("click", "view"), 0.06 - 0.005 * c + 0.004 * u).alias("Re_ohm"), F.when(kind.isin("click", "view"), 0.08 + 0.01 * u).alias("Rct_ohm"),
+        (2.0 + 0.5 * i - 0.3 * c + u).alias("T_rise"), (F.col("ambient") + i).alias("T_mean"), (3.3 + 0.1 * c - 0.02 * i + 0.05 * u).alias("V_mean"),
     )
 
 
-def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a cycle series: one row per user and event, in order of event_id."""
-    e = table(spark, sf_dir, "events")
+def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = parted(table(spark, sf_dir, "events").withColumn("cell", cell_id("user_id")), "cell")
     current = F.coalesce(*(F.when(F.col("event_type") == t, v) for t, v in CURRENT.items()))
     return e.select(
-        cell_id("user_id").alias("cell"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k"),
+        "cell",
+        "event_id",
+        F.row_number().over(Window.partitionBy("cell").orderBy("event_id")).alias("k"),  # by cell, as all that follows
         (0.6 + 2.0 * (F.col("value") / (F.col("value") + 50.0))).alias("cap"),
         current.alias("I_mean"),
         F.when(F.hour("ts") < 12, 24.0).otherwise(4.0).alias("ambient"),
@@ -127,15 +136,21 @@ def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a cycle series: one row per user and event, in order of event_id."""
+    return _numbered_events(spark, sf_dir).drop("event_id")
+
+
 def lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as samples: a supplier is a cell, a quarter a cycle."""
-    li = table(spark, sf_dir, "lineitem")
     cycle = 4 * F.year("l_shipdate") + F.quarter("l_shipdate")
-    w = Window.partitionBy("l_suppkey", "ci").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return li.withColumn("ci", cycle).select(
-        cell_id("l_suppkey").alias("Cell_ID"),
-        F.col("ci").cast("bigint").alias("Cycle_Index"),
-        F.when(F.col("ci") % 3 == 0, "charge").otherwise("discharge").alias("Cycle_Type"),
+    li = table(spark, sf_dir, "lineitem").withColumns({"Cell_ID": cell_id("l_suppkey"), "Cycle_Index": cycle.cast("bigint")})
+    li = parted(li, "Cell_ID", "Cycle_Index")
+    w = Window.partitionBy("Cell_ID", "Cycle_Index").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return li.select(
+        "Cell_ID",
+        "Cycle_Index",
+        F.when(F.col("Cycle_Index") % 3 == 0, "charge").otherwise("discharge").alias("Cycle_Type"),
         (10.0 * F.row_number().over(w)).alias("Time_s"),
         (2.0 + 2.2 * F.col("l_quantity") / 50.0).alias("Voltage_V"),
         (-40.0 * F.col("l_discount")).alias("Current_A"),
