@@ -31,6 +31,11 @@ def soh_dataset(spark, d):
     return rounded(datasets.soh_dataset(health_table(spark, d)), 6)
 
 
+def kept_health(spark, d) -> DataFrame:
+    """The health table, made once for queries that read it several times, lying by cell."""
+    return samples.parted(staged(health_table(spark, d), "health"), "cell")
+
+
 def quadratic_sql(i: int) -> str:
     m = [["n", "s1", "s2"], ["s1", "s2", "s3"], ["s2", "s3", "s4"]]
     det = lambda x: f"({x[0][0]}*({x[1][1]}*{x[2][2]}-{x[1][2]}*{x[2][1]})-{x[0][1]}*({x[1][0]}*{x[2][2]}-{x[1][2]}*{x[2][0]})+{x[0][2]}*({x[1][0]}*{x[2][1]}-{x[1][1]}*{x[2][0]}))"
@@ -53,7 +58,7 @@ fd AS (SELECT p.cell, grp, p.k0, soh_now, CASE WHEN na > 3 THEN 100 * m END AS s
 
 @query("fade_dataset", f"WITH {FADE_SQL} SELECT cell, grp, CAST(k0 AS INTEGER) AS k0, {r('soh_now', digits=6)}, {r('slope20', digits=5)}, {r('curv40', digits=3)}, {r('I_mean', digits=6)}, {r('ambient', digits=6)}, cutoff_V, dq_logvar, dq_min, dq_mean, {r('R0_rel', digits=6)}, {r('Rct_rel', digits=6)}, {r('target', digits=5)}, {r('soh_future', digits=6)}, horizon FROM fd")
 def fade_dataset(spark, d):
-    out = datasets.fade_dataset(health_table(spark, d))
+    out = datasets.fade_dataset(kept_health(spark, d))
     return rounded(out.withColumns({"slope20": F.round("slope20", 5), "curv40": F.round("curv40", 3), "target": F.round("target", 5)}), 6)
 
 
@@ -72,7 +77,7 @@ def group_folds(spark, d):
 
 @query("imputed", f"WITH RECURSIVE {SOH_SQL}, {folds_sql('sd')}, f AS (SELECT sd.*, fold FROM sd JOIN gf USING (cell)), im AS (SELECT t.fold, quantile_cont(round(f.R0, 4), 0.5) AS a, quantile_cont(round(f.Rct_ohm, 4), 0.5) AS b FROM f JOIN (SELECT DISTINCT fold FROM f) t ON f.fold <> t.fold GROUP BY t.fold) SELECT cell, k::DOUBLE AS k, f.fold, {r('coalesce(R0, a, 0)', 'R0', 6)}, {r('coalesce(Rct_ohm, b, 0)', 'Rct_ohm', 6)} FROM f LEFT JOIN im ON im.fold = f.fold")
 def imputed(spark, d):
-    x = datasets.soh_dataset(health_table(spark, d)).select("cell", "k", "R0", "Rct_ohm")
+    x = staged(datasets.soh_dataset(health_table(spark, d)).select("cell", "k", "R0", "Rct_ohm"), "soh")
     return rounded(learning.imputed(learning.folded(x), ["R0", "Rct_ohm"]), 6)
 
 
@@ -112,7 +117,7 @@ bp AS (SELECT fx.cell, k0, soh_now, soh_future, target, horizon, my + ((x - mx)
 SELECT cell, CAST(k0 AS INTEGER) AS k0, {r('soh_now', digits=5)}, {r('soh_future', digits=5)}, {r('target', digits=4)}, horizon, {r('rate_pred', digits=4)}, {r('soh_now - rate_pred * horizon / 100', 'soh_pred', 5)} FROM bp""",
 )
 def fade_backtest(spark, d):
-    out = learning.backtest(datasets.fade_dataset(health_table(spark, d)), ["slope20", "R0_rel"], alpha=1e-3).drop("soh_std")
+    out = learning.backtest(datasets.fade_dataset(kept_health(spark, d)), ["slope20", "R0_rel"], alpha=1e-3).drop("soh_std")
     return rounded(out.withColumns({"target": F.round("target", 4), "rate_pred": F.round("rate_pred", 4)}), 5)
 
 
@@ -132,7 +137,7 @@ lc AS (SELECT hi, avg(e) AS loco_rmse FROM (SELECT ry.cell, ry.hi, sqrt(avg((y -
 @query("hi_ranking", f"WITH {HI_SQL} SELECT hi, n_cells, {r('mono', digits=6)}, {r('trend', digits=6)}, {r('prog', digits=6)}, {r('score', digits=6)}, {r('loco_rmse', digits=5)} FROM sc LEFT JOIN lc USING (hi)")
 def hi_ranking(spark, d):
     """Indicators with their scores and their error on left-out cells."""
-    g = health_table(spark, d).where(~F.col("outlier") & F.col("soh").isNotNull())
+    g = kept_health(spark, d).where(~F.col("outlier") & F.col("soh").isNotNull())
     ratio = datasets.relative(g, HIS)
     out = None
     for c in HIS:
@@ -468,7 +473,7 @@ def extra_trees_cv(spark, d):
 @query("boosted_fade")
 def boosted_fade(spark, d):
     """Health at each origin's horizon from a boosted model (40 rounds) of the loss that other folds' cells have taught."""
-    out = boosting.boosted_cv(staged(datasets.fade_dataset(health_table(spark, d)), "fade"), list(datasets.FADE_FEATURES), "target", rate=0.15, leaves=8, rounds=40)
+    out = boosting.boosted_cv(staged(datasets.fade_dataset(kept_health(spark, d)), "fade"), list(datasets.FADE_FEATURES), "target", rate=0.15, leaves=8, rounds=40)
     ahead = out.withColumn("soh_pred", F.col("soh_now") - F.col("pred") * F.col("horizon") / 100)
     return rounded(ahead.select("cell", "k0", "fold", "target", F.col("pred").alias("rate_pred"), "soh_pred", "soh_future"), 5)
 

@@ -345,15 +345,18 @@ def gaussian_process_cv(df: DataFrame, x: list[str], y: str, group: str = "cell"
 
 def dealt_anew(rows: DataFrame, columns: list[str], repeats: int, seed: int = 7, bucket: int = 1000) -> DataFrame:
     """rows for each column and repeat, with `feature`, `repeat`, `old` and `new`: the column's values dealt out anew at random.
-    Rows and values meet within random buckets of about so many rows, at their places in two random orders; all columns and
-    repeats are one plan. rows: with a key `__id`."""
-    each = F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"), F.col(c).cast("double").alias("old")) for c in columns for r in range(repeats))))
+    Rows are gathered once in random buckets of about so many; within a bucket each column and repeat has its values in a random
+    order of its own, so only the rows themselves are shuffled. rows: with a key `__id`."""
     counted = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))  # one row
-    placed = counted.select("*", each).withColumn("__b", F.pmod(F.xxhash64("__id", "feature", "repeat", F.lit(seed)), F.greatest(F.ceil(F.col("__all") / bucket), F.lit(1)))).drop("__all")
-    group = ["feature", "repeat", "__b"]
-    place = lambda salt: F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("__id", "feature", "repeat", F.lit(seed), F.lit(salt)), "__id"))
-    values = placed.select(*group, F.col("old").alias("new"), place(2).alias("__r"))
-    return placed.withColumn("__r", place(1)).join(values, [*group, "__r"]).drop("__b", "__r")
+    own = F.struct("__id", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.struct(*rows.columns).alias("row"))
+    held = counted.select(F.pmod(F.xxhash64("__id", F.lit(seed)), F.greatest(F.ceil(F.col("__all") / bucket), F.lit(1))).alias("__b"), own.alias("own"))
+    held = held.groupBy("__b").agg(F.sort_array(F.collect_list("own")).alias("own"))  # about `bucket` rows
+    names = F.array(*map(F.lit, columns))
+    each = held.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1)))).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = lambda r: F.struct(F.xxhash64(r["__id"], F.col("i"), F.col("repeat"), F.lit(seed)).alias("at"), r["__id"].alias("id"), F.get(r["x"], F.col("i")).alias("v"))
+    turned = each.withColumn("news", F.sort_array(F.transform("own", order)))
+    flat = turned.select("i", "repeat", "news", F.posexplode("own").alias("at", "o"))
+    return flat.select("o.row.*", F.get(names, F.col("i")).alias("feature"), "repeat", F.get("o.x", F.col("i")).alias("old"), F.get("news", F.col("at"))["v"].alias("new"))
 
 
 def permutation_importance(df: DataFrame, x: list[str], y: str, group: str = "cell", repeats: int = 5, n: int = 4) -> DataFrame:

@@ -84,3 +84,9 @@ def test_parts_follow_the_rows(spark, monkeypatch):
     assert samples.parted(spark.range(1001), "id").rdd.getNumPartitions() == 11
     assert samples.parted(spark.range(10), "id").rdd.getNumPartitions() == 4
     assert plan_of(QUERIES["soh_dataset"](spark, DIR)).count("Exchange hashpartitioning") == 1
+
+
+def test_ids_of_whole_numbers(spark):
+    df = spark.createDataFrame([(v,) for v in (0, 7, 999, 9999, 10000, -1, -999, -1000, 10**15 - 1, 10**15, -(10**15), 2**63 - 1, -(2**63), None)], "id long")
+    assert df.select(samples.cell_of(df, "id").alias("got"), samples.cell_id("id").alias("want")).where("got IS DISTINCT FROM want").count() == 0
+    assert "regexp" not in plan_of(df.select(samples.cell_of(df, "id")))
