@@ -502,6 +502,6 @@ def permutation_importance(spark, d):
 
 @query("cohort_metrics")
 def cohort_metrics(spark, d):
-    h = health_table(spark, d)
+    h = kept_health(spark, d)
     t = h.withColumns({"soh_clean": F.when(~F.col("outlier"), F.col("soh")), "eol_soh": 1.4 / F.col("bol")})
     return rounded(cohort.run(t)["metrics"], 5)

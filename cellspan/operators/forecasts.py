@@ -12,10 +12,27 @@ from cellspan.config import BAND_ALPHA, HORIZONS
 from cellspan.functions import metrics as M
 
 
+def with_ahead(df: DataFrame, x: str, horizons=(1, *HORIZONS)) -> DataFrame:
+    """df with `ahead`: the value of x so many cycles ahead, by horizon. Logs of such a table carry it, so that resolve_ahead needs
+    no join. A cycle is one row."""
+    w = Window.partitionBy("cell").orderBy("k")
+    values = [F.when(F.col("cell").isNotNull(), F.first(x).over(w.rangeBetween(h, h))) for h in horizons]
+    return df.withColumn("ahead", F.map_from_arrays(F.array(*map(F.lit, horizons)), F.array(*values)))
+
+
+def resolve_ahead(log: DataFrame) -> DataFrame:
+    """resolve of a log that carries `ahead`."""
+    return log.withColumn("actual", F.try_element_at("ahead", F.col("h"))).drop("ahead")
+
+
+def _carried(df: DataFrame) -> list[str]:
+    return ["ahead"] if "ahead" in df.columns else []
+
+
 def persistence(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), width: float = 0.3) -> DataFrame:
     """Forecast log of the last value; one row per origin and horizon."""
     h = F.explode(F.array(*map(F.lit, horizons)))
-    return df.select("cell", "grp", F.lit("persistence").alias("model"), F.col("k").alias("k0"), F.col(x).alias("pred"), F.col(x).alias("now"), h.alias("h")).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
+    return df.select("cell", "grp", F.lit("persistence").alias("model"), F.col("k").alias("k0"), F.col(x).alias("pred"), F.col(x).alias("now"), h.alias("h"), *_carried(df)).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
 
 
 def trailing_mean(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows: int = 10, width: float = 0.25) -> DataFrame:
@@ -23,7 +40,7 @@ def trailing_mean(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows:
     w = Window.partitionBy("cell").orderBy("k").rowsBetween(-(rows - 1), 0)
     d = df.withColumn("m", F.avg(x).over(w))
     h = F.explode(F.array(*map(F.lit, horizons)))
-    return d.select("cell", "grp", F.lit("trailing mean").alias("model"), F.col("k").alias("k0"), F.col("m").alias("pred"), F.col(x).alias("now"), h.alias("h")).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
+    return d.select("cell", "grp", F.lit("trailing mean").alias("model"), F.col("k").alias("k0"), F.col("m").alias("pred"), F.col(x).alias("now"), h.alias("h"), *_carried(df)).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
 
 
 def resolve(forecasts: DataFrame, truth: DataFrame, x: str = "cap") -> DataFrame:
@@ -154,7 +171,7 @@ def linear_trend(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows: i
     lines = df.withColumns({"__n": F.count(x).over(w), "__b": F.regr_slope(x, k).over(w), "__a": F.regr_intercept(x, k).over(w)})
     d = lines.withColumn("h", F.explode(F.array(*map(F.lit, horizons))))
     pred = F.when(F.col("__n") >= 3, F.col("__a") + F.col("__b") * (F.col("k") + F.col("h"))).otherwise(F.col(x))
-    return d.select("cell", "grp", F.lit("linear trend").alias("model"), F.col("k").alias("k0"), pred.alias("pred"), F.col(x).alias("now"), "h").withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
+    return d.select("cell", "grp", F.lit("linear trend").alias("model"), F.col("k").alias("k0"), pred.alias("pred"), F.col(x).alias("now"), "h", *_carried(df)).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
 
 
 def live_accuracy(resolved: DataFrame) -> DataFrame:
@@ -165,9 +182,21 @@ def live_accuracy(resolved: DataFrame) -> DataFrame:
 
 def combined(forecasts: DataFrame, weights: DataFrame) -> DataFrame:
     """Forecasts of the ensemble: weighted means over the models of an origin (equal weights where none is known yet)."""
-    w = forecasts.join(weights.select("cell", "k0", "model", "weight"), ["cell", "k0", "model"], "left").withColumn("weight", F.coalesce("weight", F.lit(1e-9)))
+    return _weighted(forecasts.join(weights.select("cell", "k0", "model", "weight"), ["cell", "k0", "model"], "left"))
+
+
+def combined_resolved(resolved: DataFrame, weights: DataFrame) -> DataFrame:
+    """combined of resolved forecasts, resolved as these are. Weights reach the rows of their origin within the cell, so that rows
+    that lie by cell stay where they are."""
+    both = resolved.withColumns({"weight": F.lit(None).cast("double"), "__weight": F.lit(False)}).unionByName(weights.select("cell", "k0", "model", "weight", F.lit(True).alias("__weight")), allowMissingColumns=True)
+    known = both.withColumn("weight", F.max("weight").over(Window.partitionBy("cell", "k0", "model")))
+    return _weighted(known.where("NOT __weight").drop("__weight"), F.first("actual").alias("actual"))
+
+
+def _weighted(forecasts: DataFrame, *more: Column) -> DataFrame:
+    w = forecasts.withColumn("weight", F.coalesce("weight", F.lit(1e-9)))
     mean = lambda c: (F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c)
-    out = w.where("weight > 0").groupBy("cell", "grp", "k0", "h", "k_target").agg(mean("pred"), F.first("now").alias("now"), mean("lo"), mean("hi"))
+    out = w.where("weight > 0").groupBy("cell", "grp", "k0", "h", "k_target").agg(mean("pred"), F.first("now").alias("now"), mean("lo"), mean("hi"), *more)
     return out.withColumn("model", F.lit("ensemble"))
 
 

@@ -20,6 +20,7 @@ import cellspan
 from cellspan.config import RUL_GRID
 from cellspan.operators import forecasts, study
 from cellspan.operators.datasets import measured_every
+from cellspan.sources.staging import staged
 
 MODELS = {"persistence": forecasts.persistence, "trailing mean": forecasts.trailing_mean, "linear trend": forecasts.linear_trend}
 
@@ -35,17 +36,18 @@ def run(table: DataFrame, models=tuple(MODELS), every: int = 1, width: float = 0
     """metrics, forecasts, estimates, weights, rul, estimation; a cell and model without forecasts is a row with a status."""
     obs = observations(table, every)
     known = obs.where("held IS NOT NULL")
+    reached = forecasts.with_ahead(obs, "soh").where("held IS NOT NULL")
     logs = None
     for m in models:
-        part = MODELS[m](known, "held", width=width)
+        part = MODELS[m](reached, "held", width=width)
         logs = part if logs is None else logs.unionByName(part)
-    single = forecasts.resolve(logs, obs, "soh")
+    single = forecasts.resolve_ahead(logs)
     weights = forecasts.ensemble_weights(forecasts.ewma_error(single))
-    both = single.unionByName(forecasts.resolve(forecasts.combined(logs, weights), obs, "soh"))
+    both = single.unionByName(forecasts.combined_resolved(single, weights))
     radii = forecasts.conformal(both)
     lo, hi, calibrated = forecasts.band(F.col("radius"), F.col("pred"), F.col("lo"), F.col("hi"))
     resolved = radii.withColumns({"lo": lo, "hi": hi, "calibrated": calibrated}).drop("radius", "n_seen")
-    metrics = forecasts.accuracy(resolved).withColumn("status", F.lit("ok"))
+    metrics = staged(forecasts.accuracy(resolved).withColumn("status", F.lit("ok")), "metrics")
     names = F.explode(F.array(*map(F.lit, (*models, "ensemble")))).alias("model")
     missing = obs.select("cell", "grp").distinct().select("cell", "grp", names).join(metrics.select("cell", "model").distinct(), ["cell", "model"], "left_anti").withColumn("status", F.lit("no forecasts"))
     k = F.col("k").cast("double")

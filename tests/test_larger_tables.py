@@ -90,3 +90,22 @@ def test_ids_of_whole_numbers(spark):
     df = spark.createDataFrame([(v,) for v in (0, 7, 999, 9999, 10000, -1, -999, -1000, 10**15 - 1, 10**15, -(10**15), 2**63 - 1, -(2**63), None)], "id long")
     assert df.select(samples.cell_of(df, "id").alias("got"), samples.cell_id("id").alias("want")).where("got IS DISTINCT FROM want").count() == 0
     assert "regexp" not in plan_of(df.select(samples.cell_of(df, "id")))
+
+
+def test_study_is_resolved_where_rows_lie(spark, series):
+    from cellspan.plans import cohort
+
+    table = series.repartition(3, "cell").withColumns({"soh_clean": F.col("cap"), "eol_soh": F.lit(0.7)})
+    logs = forecasts.persistence(series.where("cap IS NOT NULL"), width=0.05)
+    out = cohort.run(table, ("persistence", "trailing mean"))
+    assert plan_of(out["forecasts"]).count("Exchange hashpartitioning") == plan_of(out["forecasts"]).count("REPARTITION_BY_NUM") > 0
+    columns = ["cell", "k0", "h", "pred", "actual"]
+    held = series.where("cap IS NOT NULL")
+    both = held.select("cell", "k").intersect(logs.select("cell", F.col("k0").alias("k")))
+    want = forecasts.resolve(logs, series).join(both.withColumnRenamed("k", "k0"), ["cell", "k0"]).select(*columns)
+    got = out["forecasts"].where("model = 'persistence'").join(both.withColumnRenamed("k", "k0"), ["cell", "k0"]).select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    single = out["forecasts"].where("model <> 'ensemble'")
+    ens = forecasts.resolve(forecasts.combined(single.drop("actual"), out["weights"]), series).select(*columns)
+    near = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    assert near(out["forecasts"].where("model = 'ensemble'").select(*columns)) == near(ens)
