@@ -2,10 +2,10 @@
 
 The log of capacity is a line with hinges at inner quantiles of the cycle number plus a step for each level of current or
 ambient that differs from the cell's reference and has enough rows. Reweighted least squares need three things in a round:
-weighted sums, the median residual and the median distance from it. Sums are taken by pairs of levels: from six trend terms
-and the residuals' weights they give all normal equations of a cell, however many levels it has.
+weighted sums, the median residual and the median distance from it. Sums of long cells are taken by pairs of levels: from six
+trend terms and the residuals' weights they give all normal equations of a cell, however many levels it has.
 
-A cell of at most BLOCK rows is one bounded array and does its rounds in its task. Longer cells are never gathered: their rows lie
+A cell of at most BLOCK rows is one bounded array and does its rounds in its task, next to others of like lengths. Longer cells are never gathered: their rows lie
 in salted blocks and each round is a plan of aggregations, in which medians are selected by bins, level by level.
 """
 
@@ -26,6 +26,7 @@ ROUNDS = 20  # reweighted fits after the first
 HUBER = 1.345
 TO_SIGMA = 1.4826
 LEAST_LEVEL, LEAST_ROWS = 5, 10
+ENTRIES = 1 << 19  # of the designs that a task fits together
 REF_CURRENT, REF_AMBIENT = 2.0, 24.0
 CURRENT_STEP = 0.5
 SALTS = 32
@@ -89,26 +90,71 @@ def solved(sums: list[tuple], effects: list[tuple[str, float]]) -> np.ndarray:
     return np.linalg.pinv(g / np.outer(scale, scale), rcond=1e-13, hermitian=True) @ (b / scale) / scale
 
 
-def _gathered(k: np.ndarray, y: np.ndarray, i: np.ndarray, t: np.ndarray, effects: list[tuple[str, float]], rounds: int) -> np.ndarray:
-    """All rounds on the good rows of a short cell."""
-    z = (k - k.min()) / max(k.max() - k.min(), 1.0)
-    terms = np.stack([np.ones_like(z), z, *(np.clip(z - q, 0, None) for q in np.quantile(z, [(j + 1) / (KNOTS + 1) for j in range(KNOTS)]))])
-    pairs, own = np.unique(np.stack([np.nan_to_num(i, nan=np.inf), np.nan_to_num(t, nan=np.inf)]), axis=1, return_inverse=True)
-    own = own.ravel()
-    steps = [(j, i == v if kind == "I" else t == v) for j, (kind, v) in enumerate(effects)]
-    weight = np.ones_like(z)
+def _ordered(values: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Rows in order, what is not there last."""
+    return np.sort(np.where(there, values, np.inf), axis=1)
+
+
+def _quantile(ordered: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """Linear quantiles of the first n of each row."""
+    at = share * (n - 1)
+    low = np.floor(at).astype(np.int64)
+    a, b = (np.take_along_axis(ordered, np.minimum(j, n - 1)[:, None], 1)[:, 0] for j in (low, low + 1))
+    return a + (at - low) * (b - a)
+
+
+def _fitted(cells: list[tuple], rounds: int) -> np.ndarray:
+    """All rounds on the good rows (k, y, i, t) of short cells with equally many effects: their offsets, a row a cell. A round is
+    one stack of normal equations; what a shorter cell lacks has no weight."""
+    n = np.array([len(c[0]) for c in cells])
+    there = np.arange(n.max()) < n[:, None]
+
+    def padded(j: int) -> np.ndarray:
+        out = np.zeros(there.shape)
+        out[there] = np.concatenate([c[j] for c in cells])
+        return out
+
+    k, y, level = padded(0), padded(1), {"I": padded(2), "T": padded(3)}
+    ordered = _ordered(k, there)
+    first = ordered[:, :1]
+    z = np.where(there, (k - first) / np.maximum(np.take_along_axis(ordered, n[:, None] - 1, 1) - first, 1.0), 0.0)
+    sorted_z = _ordered(z, there)
+    x = np.zeros((*there.shape, TREND + len(cells[0][4])))
+    x[..., 0], x[..., 1] = there, z
+    for j in range(KNOTS):
+        x[..., 2 + j] = np.clip(z - _quantile(sorted_z, n, (j + 1) / (KNOTS + 1))[:, None], 0, None) * there
+    for j in range(len(cells[0][4])):
+        kinds = np.array([c[4][j][0] for c in cells])
+        value = np.array([c[4][j][1] for c in cells])[:, None]
+        x[..., TREND + j] = (np.where((kinds == "I")[:, None], level["I"], level["T"]) == value) & there
+    weight = there.astype(float)
     for turn in range(rounds + 1):
-        add = lambda v: np.bincount(own, v * weight, pairs.shape[1])  # noqa: B023, E731
-        columns = [add(np.ones_like(z)), np.stack([add(x) for x in terms], 1), np.stack([add(terms[p] * terms[q]) for p, q in _UPPER], 1), np.stack([add(x * y) for x in terms], 1), add(y)]
-        beta = solved(list(zip(pairs[0].tolist(), pairs[1].tolist(), *columns, strict=True)), effects)
+        own = (x * weight[..., None]).transpose(0, 2, 1)
+        g, b = own @ x, (own @ y[..., None])[..., 0]
+        scale = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 1e-300))
+        inverse = np.linalg.pinv(g / (scale[:, :, None] * scale[:, None, :]), rcond=1e-13, hermitian=True)
+        beta = (inverse @ (b / scale)[..., None])[..., 0] / scale
         if turn < rounds:
-            rest = y - beta[:TREND] @ terms
-            for j, there in steps:
-                rest = rest - beta[TREND + j] * there
-            limit = HUBER * (TO_SIGMA * np.median(np.abs(rest - np.median(rest))) + 1e-9)
-            size = np.abs(rest)
-            weight = limit / np.maximum(size, limit)
-    return beta[TREND:]
+            rest = y - (x @ beta[..., None])[..., 0]
+            middle = _quantile(_ordered(rest, there), n, 0.5)[:, None]
+            limit = HUBER * (TO_SIGMA * _quantile(_ordered(np.abs(rest - middle), there), n, 0.5) + 1e-9)[:, None]
+            weight = there * (limit / np.maximum(np.abs(rest), limit))
+    return beta[:, TREND:]
+
+
+def _gathered(cells: list[tuple], rounds: int) -> list[list[float]]:
+    """Offsets of short cells (k, y, i, t, effects), fitted together where they have as many effects and like lengths."""
+    out: list[list[float]] = [[]] * len(cells)
+    order = sorted(range(len(cells)), key=lambda c: (len(cells[c][4]), len(cells[c][0])))
+    at = 0
+    while at < len(order):
+        effects, end = len(cells[order[at]][4]), at + 1
+        while end < len(order) and len(cells[order[end]][4]) == effects and (end + 1 - at) * len(cells[order[end]][0]) * (TREND + effects) <= ENTRIES:
+            end += 1
+        for c, own in zip(order[at:end], _fitted([cells[c] for c in order[at:end]], rounds).tolist(), strict=True):
+            out[c] = own
+        at = end
+    return out
 
 
 # --- long cells: rounds of aggregations ---------------------------------------------------------------------------------
@@ -213,8 +259,8 @@ def normalise_rate(df: DataFrame, cap: str = "cap", current: str = "I_mean", amb
 
     def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = [(cell, _gathered(*(np.asarray(v, float) for v in values), [(e["kind"], e["level"]) for e in effects], rounds).tolist()) for cell, *values, effects in pdf.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=["cell", "offsets"])
+            cells = [(*(np.asarray(v, float) for v in values), [(e["kind"], e["level"]) for e in effects]) for _, *values, effects in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"cell": pdf["cell"], "offsets": _gathered(cells, rounds)})
 
     found = listed.mapInPandas(gathered, "cell string, offsets array<double>")
     long = fit.where(F.col("n") > block)

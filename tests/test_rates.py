@@ -94,3 +94,18 @@ def test_empty(spark):
     assert rates.normalise_rate(df).count() == 0
     one = spark.createDataFrame([(None, 1, None, None, None, None), ("a", 1, float("nan"), 2.0, 24.0, False)], df.schema)
     assert sorted(r["normalised"] is True for r in rates.normalise_rate(one).collect()) == [False, False]
+
+
+def test_short_cells_are_fitted_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    cells = []
+    for c in range(300):
+        n = int(rng.integers(12, 90))
+        level = rng.choice([1.0, 2.0, 4.0][: 2 + c % 2], n)
+        cells.append((np.sort(rng.choice(np.arange(500.0), n, replace=False)), rng.normal(size=n), level, np.where(rng.random(n) < 0.1, np.nan, 24.0), [("I", 1.0), ("I", 4.0)][: 1 + c % 2]))
+    calls, inverse = [], np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda *a, **b: calls.append(1) or inverse(*a, **b))
+    together = rates._gathered(cells, 5)
+    assert len(calls) < 30  # not a call for each cell and round
+    for got, c in zip(together, cells, strict=True):
+        np.testing.assert_allclose(got, rates._gathered([c], 5)[0], rtol=1e-8, atol=1e-10)
