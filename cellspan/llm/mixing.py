@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -626,20 +627,26 @@ def _completed(rows: DataFrame, n: int, v: int) -> DataFrame:
     def run(batches):
         key, facts, known, base = None, None, np.zeros(0), np.zeros(0)
         for part in batches:
-            for batch, docs, c, raw in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                if batch != key:
+            keys = part.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                if first == last:
+                    continue
+                if (batch := int(keys[first])) != key:
                     if key is not None:
                         yield finish(facts, known, base)
                     key, facts, known, base = batch, None, np.zeros(0), np.zeros(0)
-                if raw is not None:
-                    facts = raw
-                    continue
-                at = np.frombuffer(docs, "<u4")
-                if len(at) and at.max() >= len(known):
-                    more = np.zeros(2 * int(at.max()) + 1024 - len(known))
-                    known, base = np.concatenate([known, more]), np.concatenate([base, more])
-                np.add.at(known, at, c > 0)
-                np.add.at(base, at, math.log10((c + 1) / (n + v + 1)))
+                docs, c, raw = (part.column(i).slice(first, last - first) for i in (1, 2, 3))
+                if raw.null_count < len(raw):
+                    facts = raw.drop_null()[0].as_py()
+                # all words' documents of the batch at once, each with its word's count
+                at = np.frombuffer(b"".join(docs.drop_null().to_pylist()), "<u4")
+                c = np.repeat(c.to_numpy(), pc.fill_null(pc.binary_length(docs), 0).to_numpy(zero_copy_only=False) // 4)
+                if len(at):
+                    many = max(len(known), int(at.max()) + 1)
+                    known, base = (np.concatenate([x, np.zeros(many - len(x))]) for x in (known, base))
+                    known += np.bincount(at, weights=c > 0, minlength=many)
+                    base += np.bincount(at, weights=np.log10((c + 1) / (n + v + 1)), minlength=many)
         if key is not None:
             yield finish(facts, known, base)
 
