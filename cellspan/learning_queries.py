@@ -31,9 +31,9 @@ def soh_dataset(spark, d):
     return rounded(datasets.soh_dataset(health_table(spark, d)), 6)
 
 
-def kept_health(spark, d) -> DataFrame:
-    """The health table, made once for queries that read it several times, lying by cell."""
-    return samples.parted(staged(health_table(spark, d), "health"), "cell")
+def kept_health(spark, d, *columns: str) -> DataFrame:
+    """The health table (or these columns of it), made once for queries that read it several times, lying by cell."""
+    return samples.parted(staged(health_table(spark, d).select(*(columns or "*")), "health"), "cell")
 
 
 def quadratic_sql(i: int) -> str:
@@ -182,7 +182,8 @@ def stress_coefficients(spark, d):
 @query("stress_regression")
 def stress_regression(spark, d):
     """What the loss of health depends on, of the factors that the table has."""
-    rates = staged(indicators.stress_table(health_table(spark, d)), "stress")
+    h = kept_health(spark, d, "cell", "k", "soh", "outlier", *STRESS)
+    rates = staged(indicators.stress_table(h), "stress")
     return spark.createDataFrame(learning.stress_regression(rates, STRESS)[0])
 
 
@@ -339,7 +340,7 @@ u AS (SELECT ln(i) AS x, ln(-m) AS y FROM ow JOIN lv ON lv.cell = ow.cell JOIN t
 SELECT {r('CASE WHEN n_cells >= 3 AND span >= 0.3 THEN least(greatest(a, 0), 3) ELSE 1 END', 'alpha', 5)}, n_cells, CASE WHEN n_cells >= 3 AND span >= 0.3 THEN 'fleet' ELSE 'default' END AS source FROM f""",
 )
 def fleet_exponent(spark, d):
-    h = health_table(spark, d)
+    h = kept_health(spark, d, "cell", "k", "soh", "outlier", "I_mean", "ambient")
     early = h.where(~F.col("outlier") & (F.col("k") <= 80))
     return rounded(economics.fleet_exponent(h, indicators.theil_sen(early, "k", "soh"), (0.0, 50.0), 5), 5)
 
