@@ -62,6 +62,10 @@ KEY_BYTES = 32
 _KIND = np.array([2 if b in b".!?" else 3 if b in b",;:" else 1 if chr(b).isalnum() or b >= 0x80 else 4 for b in range(256)], np.int64)
 
 
+#: White space between words.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
 def key_of(word: bytes) -> bytes:
     """The word, or a digest where it is long."""
     return word if len(word) <= KEY_BYTES else b"\0" + hashlib.sha256(word).digest()
@@ -101,11 +105,28 @@ class Tokens:
     """Distinct words, the number of the word of each token, and the number of tokens of each document."""
 
     def __init__(self, docs: list[bytes]):
-        split = [t.lower().split() + [END] for t in docs]
-        self.lens = np.fromiter(map(len, split), np.int64, len(split))
-        coded = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
+        # all texts in one array of bytes, an end after each; other white space only separates
+        data = np.frombuffer(END.join([*docs, b""]).lower(), np.uint8)
+        ends = np.zeros(len(data), bool)
+        ends[np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)) + 1) - 1] = True
+        kept = ends | ~_SPACE[data]
+        begins = kept.copy()
+        begins[1:] &= ends[1:] | ends[:-1] | ~kept[:-1]
+        first = np.flatnonzero(begins[kept])
+        self.lens = np.diff(np.flatnonzero(ends[begins]), prepend=-1)
+        offsets = np.append(first, np.count_nonzero(kept)).astype("<i4")
+        coded = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[kept])]).dictionary_encode()
         self.words: list[bytes] = coded.dictionary.to_pylist()
         self.each = coded.indices.to_numpy().astype(np.int64)
+        last = np.frombuffer(b"".join(w[-1:] for w in self.words), np.uint8)
+        self.kinds = _KIND[last]
+        self._symbols: tuple = (None, None)
+
+    def symbols(self, code: Code) -> np.ndarray:
+        """The code's symbols of the distinct words, looked up once."""
+        if self._symbols[0] is not code:
+            self._symbols = (code, code.symbols(self.words))
+        return self._symbols[1]
 
     @property
     def doc(self) -> np.ndarray:
@@ -150,8 +171,14 @@ class Tree:
         """For all bits of all symbols: which symbol (by place), depth, node and bit."""
         lens = self.length[symbols]
         own, depth = np.repeat(np.arange(len(symbols)), lens), spans_to_rows(lens)
-        code, left = self.code[symbols][own], lens[own] - depth
-        return own, depth, self.first[depth] + (code >> left), (code >> (left - 1)) & 1
+        code, left = np.repeat(self.code[symbols], lens), np.repeat(lens, lens)
+        left -= depth
+        node = self.first.take(depth)
+        node += code >> left
+        left -= 1
+        code >>= left
+        code &= 1
+        return own, depth, node, code
 
 
 class Code:
@@ -188,6 +215,10 @@ def _hashed(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
+def _spread(node: np.ndarray) -> np.ndarray:
+    return node.astype(np.uint32) * np.uint32(0x85EBCA77)
+
+
 @dataclass
 class Stream:
     """Bits in the order they are predicted in: by block, document, token."""
@@ -216,9 +247,15 @@ class Coder:
     def slots(self, kind: str) -> list[int]:
         return [1 << b for b in self.bits[kind]]
 
-    def _slot(self, kind: str, i: int, node: np.ndarray, context: np.ndarray) -> np.ndarray:
-        h = (node.astype(np.uint32) * np.uint32(0x85EBCA77) ^ context) * np.uint32(0xC2B2AE3D)
-        return ((h ^ (h >> np.uint32(16))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - self.bits[kind][i])).astype(np.int64)
+    def _slot(self, kind: str, i: int, spread: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """spread: the nodes as _spread has them; context is overwritten."""
+        h = context
+        h ^= spread
+        h *= np.uint32(0xC2B2AE3D)
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(0x27D4EB2F)
+        h >>= np.uint32(32 - self.bits[kind][i])
+        return h.astype(np.int64)
 
     def _topics(self, tokens: Tokens, rank: np.ndarray, common: np.ndarray) -> np.ndarray:
         """For each token the common word that was most frequent in the document's earlier blocks, or else the last one."""
@@ -238,14 +275,14 @@ class Coder:
         `new`: words that occur once in the training documents are spelled, as if they had not been seen; `only`: numbers
         of the tokens whose bits are wanted.
         """
-        symbol_of = self.code.symbols(tokens.words)
+        symbol_of = tokens.symbols(self.code)
         sym = symbol_of[tokens.each]
         if new:
             symbol_of = np.where(self.code.once[symbol_of], 0, symbol_of)
         coded = symbol_of[tokens.each]
         n = len(sym)
         here, start = np.arange(n), np.repeat(np.cumsum(tokens.lens) - tokens.lens, tokens.lens)
-        kind = _KIND[np.fromiter((w[-1] for w in tokens.words), np.uint8, len(tokens.words))][tokens.each]
+        kind = tokens.kinds[tokens.each]
         rank = sym - 2
         seen = np.maximum.accumulate(np.where((rank >= 0) & (rank < COMMON), here, -1))
         before = np.concatenate([[-1], seen[:-1]])
@@ -261,12 +298,16 @@ class Coder:
         last = int(block.max(initial=0)) + 1
         # words
         own, depth, node, bit = self.code.tree.path(coded[order])
-        token = order[own]
+        lens = self.code.tree.length[coded[order]]
+        of_bits = lambda values: np.repeat(values[order], lens)
         contexts = [_hashed(topic), _hashed(common), _hashed(p1), _hashed(p1, p2)]
-        slots = [node, *(self._slot("word", i + 1, node, c[token]) for i, c in enumerate(contexts))]
+        spread = _spread(node)
+        slots = [node, *(self._slot("word", i + 1, spread, of_bits(c)) for i, c in enumerate(contexts))]
+        deep = np.flatnonzero(depth >= DEEP)
         for s in slots[2:]:
-            s[depth >= DEEP] = 0
-        word = Stream(bit, np.minimum(depth, PLACES["word"] - 1), lane[token], np.searchsorted(block[token], np.arange(last + 1)), slots)
+            s[deep] = 0
+        bits_before = np.append(0, np.cumsum(lens))
+        word = Stream(bit, np.minimum(depth, PLACES["word"] - 1), of_bits(lane), bits_before[np.searchsorted(block[order], np.arange(last + 1))], slots)
         # spelled words: contexts by letter of the distinct words, then laid out for the tokens
         odd = np.flatnonzero(symbol_of == 0)
         spelled = [tokens.words[i] + b" " for i in odd.tolist()]
@@ -291,9 +332,10 @@ class Coder:
         token = np.repeat(who, many)
         own, _, node, bit = self.code.letters.path(data[letter].astype(np.int64))
         of, at = letter[own], token[own]
+        spread = _spread(node)
         about = topic[token]
         by_letter = [_hashed(about, backs[0][letter]), _hashed(about, _hashed(*backs[:2])[letter]), _hashed(about, _hashed(*backs[:3])[letter]), _hashed(*backs)[letter], _hashed(prefix[letter], np.where(place[letter] < 4, about, 0))]
-        slots = [self._slot("letter", i, node, c[own]) for i, c in enumerate(by_letter)]
+        slots = [self._slot("letter", i, spread, c[own]) for i, c in enumerate(by_letter)]
         letters = Stream(bit, np.minimum(place[of], PLACES["letter"] - 1), lane[at], np.searchsorted(block[at], np.arange(last + 1)), slots)
         return {"word": word, "letter": letters}
 
@@ -367,7 +409,7 @@ def bit_logits(docs: DataFrame, coder) -> dict[str, list[np.ndarray]]:
             for a, b in _chunked(train):
                 tokens = Tokens(train[a:b])
                 none = np.zeros(len(tokens.each), np.int64)
-                once = np.flatnonzero(c.code.once[c.code.symbols(tokens.words)][tokens.each])
+                once = np.flatnonzero(c.code.once[tokens.symbols(c.code)][tokens.each])
                 streams = [c.streams(tokens, none, none), *([c.streams(tokens, none, none, True, once)] if len(once) else ())]
                 for k, s in ((k, s) for x in streams for k, s in x.items()):
                     for i, slot in enumerate(s.slots):
@@ -407,7 +449,7 @@ def mix(stream: Stream, logits: list[np.ndarray], weights: np.ndarray, strength,
     """
     gates = len(weights)
     x = [t.take(s) for t, s in zip(logits, stream.slots, strict=True)]
-    seen = np.zeros(len(stream.bit), np.int64)
+    seen = np.zeros(len(stream.bit), np.uint8)
     for v in x:
         seen += v != 0
     gate = stream.place * (INPUTS + 1) + seen
@@ -424,7 +466,7 @@ def mix(stream: Stream, logits: list[np.ndarray], weights: np.ndarray, strength,
         total = parts[0] * own[0].take(c)
         for p, w in zip(parts[1:], own[1:], strict=True):
             total += p * w.take(c)
-        np.clip(total, -14, 14, out=total)
+        np.minimum(np.maximum(total, np.float32(-14), out=total), np.float32(14), out=total)
         z[a:b] = total
         chance = 1 / (1 + np.exp(-total))
         error = stream.bit[a:b] - chance
@@ -468,7 +510,8 @@ def log_probabilities(model: Model, docs: list[bytes]) -> tuple[Tokens, np.ndarr
         p = 1 / (1 + np.exp(-z))
         p += model.refine[k].ravel().take(gate * STEPS + _step(z)).astype(np.float32)
         p *= np.float32(0.5)
-        np.subtract(np.float32(1), p, out=p, where=s.bit == 0)
+        p -= s.bit == 0  # the chance of what came
+        np.abs(p, out=p)
         out += np.bincount(s.lane, weights=np.log(np.maximum(p, np.float32(LEAST_P))), minlength=len(docs))
     return tokens, out / math.log(10)
 
@@ -585,7 +628,7 @@ def scored(docs: DataFrame, model: Shared, n: int, v: int) -> DataFrame:
             batch, facts, odd_words, odd_docs = part + number, [], [], []
             for a, b in _chunked(own):
                 tokens, score = log_probabilities(m, own[a:b])
-                doc, sym = tokens.doc, m.coder.code.symbols(tokens.words)[tokens.each]
+                doc, sym = tokens.doc, tokens.symbols(m.coder.code)[tokens.each]
                 c = m.coder.code.counts[sym]
                 coded = sym > 0
                 base = np.log10((c + 1) / (n + v + 1))
