@@ -49,13 +49,27 @@ def resolve(forecasts: DataFrame, truth: DataFrame, x: str = "cap") -> DataFrame
     return forecasts.join(t, ["cell", "k_target"], "left")
 
 
+def with_mean(df: DataFrame, x: str = "cap", rows: int = 10) -> DataFrame:
+    """df with the mean of the last rows, which wide_log and resolved_log read."""
+    return df.withColumn("__mean", F.avg(x).over(Window.partitionBy("cell").orderBy("k").rowsBetween(-(rows - 1), 0)))
+
+
+def _two_models(x: str) -> list[tuple[str, Column, float]]:
+    return [("persistence", F.col(x), 0.3), ("trailing mean", F.col("__mean"), 0.25)]
+
+
+def wide_log(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS)) -> DataFrame:
+    """The logs of persistence and trailing_mean of a table with_mean and times, a row for all horizons: row by row, so of streams too."""
+    each = [F.struct(F.lit(m).alias("model"), p.alias("pred"), (p - width).alias("lo"), (p + width).alias("hi")) for m, p, width in _two_models(x)]
+    return df.select("cell", F.array(*map(F.lit, horizons)).alias("h"), F.col("k").alias("k0"), "ts", F.inline(F.array(*each)))
+
+
 def resolved_log(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows: int = 10) -> DataFrame:
     """resolve of the logs of persistence and trailing_mean against the series itself: a row's values ahead are frames of one
     cycle, so neither the log nor the series is shuffled once rows lie by cell. A cycle is one row."""
     w = Window.partitionBy("cell").orderBy("k")
-    d = df.withColumns({"__mean": F.avg(x).over(w.rowsBetween(-(rows - 1), 0)), **{f"__{h}": F.when(F.col("cell").isNotNull(), F.first(x).over(w.rangeBetween(h, h))) for h in horizons}})
-    models = [("persistence", F.col(x), 0.3), ("trailing mean", F.col("__mean"), 0.25)]
-    each = [F.struct(F.lit(m).alias("model"), p.alias("pred"), F.lit(h).alias("h"), (F.col("k") + h).alias("k_target"), (p - width).alias("lo"), (p + width).alias("hi"), F.col(f"__{h}").alias("actual")) for m, p, width in models for h in horizons]
+    d = with_mean(df, x, rows).withColumns({f"__{h}": F.when(F.col("cell").isNotNull(), F.first(x).over(w.rangeBetween(h, h))) for h in horizons})
+    each = [F.struct(F.lit(m).alias("model"), p.alias("pred"), F.lit(h).alias("h"), (F.col("k") + h).alias("k_target"), (p - width).alias("lo"), (p + width).alias("hi"), F.col(f"__{h}").alias("actual")) for m, p, width in _two_models(x) for h in horizons]
     return d.select("cell", "grp", F.col("k").alias("k0"), F.col(x).alias("now"), F.inline(F.array(*each)))
 
 

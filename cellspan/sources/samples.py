@@ -145,11 +145,17 @@ def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.hour("ts") < 12, 24.0).otherwise(4.0).alias("ambient"),
         F.concat(F.lit("G"), (F.col("user_id") % 7).cast("string")).alias("grp"),
         "event_type",
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
 def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a cycle series: one row per user and event, in order of event_id."""
+    return _numbered_events(spark, sf_dir).drop("event_id", "ts")
+
+
+def timed_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_cycles with their times, as watermarks need them."""
     return _numbered_events(spark, sf_dir).drop("event_id")
 
 

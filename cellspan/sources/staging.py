@@ -25,3 +25,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     at = shared_folder(df.sparkSession, label)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of our own in spark.checkpoint.dir that nothing reads any more."""
+    for at in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellspan.sources.samples import cell_id
-
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with a zoned timestamp, as watermarks need."""
@@ -19,11 +17,6 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell, k, ts of the events as cycles."""
-    return events(spark, sf_dir).select(cell_id("user_id").alias("cell"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k"), "ts")
-
-
 def _aggregated(df: DataFrame, window, *keys: str) -> DataFrame:
     out = df.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("until"), *keys, "n", "mean")
