@@ -31,9 +31,9 @@ def soh_dataset(spark, d):
     return rounded(datasets.soh_dataset(health_table(spark, d)), 6)
 
 
-def kept_health(spark, d, *columns: str) -> DataFrame:
+def kept_health(spark, d, *columns: str, rows: int | None = None) -> DataFrame:
     """The health table (or these columns of it), made once for queries that read it several times, lying by cell."""
-    return samples.parted(staged(health_table(spark, d).select(*(columns or "*")), "health"), "cell")
+    return samples.parted(staged(health_table(spark, d).select(*(columns or "*")), "health"), "cell", rows=rows)
 
 
 def quadratic_sql(i: int) -> str:
@@ -501,8 +501,12 @@ def permutation_importance(spark, d):
     return rounded(learning.permutation_importance(staged(datasets.soh_dataset(health_table(spark, d)), "soh"), FEATURES, "soh"), 5)
 
 
+#: Rows of the health table that a task of the study gets, about: each becomes 16, one for each model and horizon.
+STUDY_ROWS = 25_000
+
+
 @query("cohort_metrics")
 def cohort_metrics(spark, d):
-    h = kept_health(spark, d)
+    h = kept_health(spark, d, "cell", "grp", "k", "soh", "outlier", "bol", rows=STUDY_ROWS)
     t = h.withColumns({"soh_clean": F.when(~F.col("outlier"), F.col("soh")), "eol_soh": 1.4 / F.col("bol")})
     return rounded(cohort.run(t)["metrics"], 5)

@@ -12,27 +12,10 @@ from cellspan.config import BAND_ALPHA, HORIZONS
 from cellspan.functions import metrics as M
 
 
-def with_ahead(df: DataFrame, x: str, horizons=(1, *HORIZONS)) -> DataFrame:
-    """df with `ahead`: the value of x so many cycles ahead, by horizon. Logs of such a table carry it, so that resolve_ahead needs
-    no join. A cycle is one row."""
-    w = Window.partitionBy("cell").orderBy("k")
-    values = [F.when(F.col("cell").isNotNull(), F.first(x).over(w.rangeBetween(h, h))) for h in horizons]
-    return df.withColumn("ahead", F.map_from_arrays(F.array(*map(F.lit, horizons)), F.array(*values)))
-
-
-def resolve_ahead(log: DataFrame) -> DataFrame:
-    """resolve of a log that carries `ahead`."""
-    return log.withColumn("actual", F.try_element_at("ahead", F.col("h"))).drop("ahead")
-
-
-def _carried(df: DataFrame) -> list[str]:
-    return ["ahead"] if "ahead" in df.columns else []
-
-
 def persistence(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), width: float = 0.3) -> DataFrame:
     """Forecast log of the last value; one row per origin and horizon."""
     h = F.explode(F.array(*map(F.lit, horizons)))
-    return df.select("cell", "grp", F.lit("persistence").alias("model"), F.col("k").alias("k0"), F.col(x).alias("pred"), F.col(x).alias("now"), h.alias("h"), *_carried(df)).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
+    return df.select("cell", "grp", F.lit("persistence").alias("model"), F.col("k").alias("k0"), F.col(x).alias("pred"), F.col(x).alias("now"), h.alias("h")).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
 
 
 def trailing_mean(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows: int = 10, width: float = 0.25) -> DataFrame:
@@ -40,7 +23,7 @@ def trailing_mean(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows:
     w = Window.partitionBy("cell").orderBy("k").rowsBetween(-(rows - 1), 0)
     d = df.withColumn("m", F.avg(x).over(w))
     h = F.explode(F.array(*map(F.lit, horizons)))
-    return d.select("cell", "grp", F.lit("trailing mean").alias("model"), F.col("k").alias("k0"), F.col("m").alias("pred"), F.col(x).alias("now"), h.alias("h"), *_carried(df)).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
+    return d.select("cell", "grp", F.lit("trailing mean").alias("model"), F.col("k").alias("k0"), F.col("m").alias("pred"), F.col(x).alias("now"), h.alias("h")).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
 
 
 def resolve(forecasts: DataFrame, truth: DataFrame, x: str = "cap") -> DataFrame:
@@ -185,7 +168,7 @@ def linear_trend(df: DataFrame, x: str = "cap", horizons=(1, *HORIZONS), rows: i
     lines = df.withColumns({"__n": F.count(x).over(w), "__b": F.regr_slope(x, k).over(w), "__a": F.regr_intercept(x, k).over(w)})
     d = lines.withColumn("h", F.explode(F.array(*map(F.lit, horizons))))
     pred = F.when(F.col("__n") >= 3, F.col("__a") + F.col("__b") * (F.col("k") + F.col("h"))).otherwise(F.col(x))
-    return d.select("cell", "grp", F.lit("linear trend").alias("model"), F.col("k").alias("k0"), pred.alias("pred"), F.col(x).alias("now"), "h", *_carried(df)).withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
+    return d.select("cell", "grp", F.lit("linear trend").alias("model"), F.col("k").alias("k0"), pred.alias("pred"), F.col(x).alias("now"), "h").withColumn("k_target", F.col("k0") + F.col("h")).withColumn("lo", F.col("pred") - width).withColumn("hi", F.col("pred") + width)
 
 
 def live_accuracy(resolved: DataFrame) -> DataFrame:
@@ -194,23 +177,15 @@ def live_accuracy(resolved: DataFrame) -> DataFrame:
     return resolved.where(y.isNotNull() & p.isNotNull()).groupBy("model", "h").agg(F.count("*").alias("n"), M.rmse(y, p).alias("rmse"), M.mae(y, p).alias("mae"), M.coverage(y, F.col("lo"), F.col("hi")).alias("coverage"))
 
 
-def combined(forecasts: DataFrame, weights: DataFrame) -> DataFrame:
-    """Forecasts of the ensemble: weighted means over the models of an origin (equal weights where none is known yet)."""
-    return _weighted(forecasts.join(weights.select("cell", "k0", "model", "weight"), ["cell", "k0", "model"], "left"))
-
-
-def combined_resolved(resolved: DataFrame, weights: DataFrame) -> DataFrame:
-    """combined of resolved forecasts, resolved as these are. Weights reach the rows of their origin within the cell, so that rows
-    that lie by cell stay where they are."""
-    both = resolved.withColumns({"weight": F.lit(None).cast("double"), "__weight": F.lit(False)}).unionByName(weights.select("cell", "k0", "model", "weight", F.lit(True).alias("__weight")), allowMissingColumns=True)
-    known = both.withColumn("weight", F.max("weight").over(Window.partitionBy("cell", "k0", "model")))
-    return _weighted(known.where("NOT __weight").drop("__weight"), F.first("actual").alias("actual"))
+#: Of a model whose errors are not known yet.
+UNKNOWN_WEIGHT = 1e-9
 
 
-def _weighted(forecasts: DataFrame, *more: Column) -> DataFrame:
-    w = forecasts.withColumn("weight", F.coalesce("weight", F.lit(1e-9)))
+def combined(forecasts: DataFrame, weights: DataFrame) -> DataFrame:
+    """Forecasts of the ensemble: weighted means over the models of an origin (equal weights where none is known yet)."""
+    w = forecasts.join(weights.select("cell", "k0", "model", "weight"), ["cell", "k0", "model"], "left").withColumn("weight", F.coalesce("weight", F.lit(UNKNOWN_WEIGHT)))
     mean = lambda c: (F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c)
-    out = w.where("weight > 0").groupBy("cell", "grp", "k0", "h", "k_target").agg(mean("pred"), F.first("now").alias("now"), mean("lo"), mean("hi"), *more)
+    out = w.where("weight > 0").groupBy("cell", "grp", "k0", "h", "k_target").agg(mean("pred"), F.first("now").alias("now"), mean("lo"), mean("hi"))
     return out.withColumn("model", F.lit("ensemble"))
 
 
@@ -234,3 +209,80 @@ def ensemble_weights(errors: DataFrame, warm_up: int = 5, limit: float = 9.0) ->
     d = errors.withColumn("median", F.percentile(F.when(ready, F.col("err")), F.lit(0.5)).over(w))
     raw = F.when(F.col("median").isNull(), 1.0).when(~ready, 1 / (F.col("median") + 1e-6)).when(F.col("err") > limit * F.col("median"), 0.0).otherwise(1 / (F.col("err") + 1e-6))
     return d.withColumn("raw", raw).withColumn("weight", F.try_divide(F.col("raw"), F.sum("raw").over(w))).drop("raw", "median")
+
+
+def _last_rows(rows: int):
+    return Window.partitionBy("cell").orderBy("k").rowsBetween(-(rows - 1), 0)
+
+
+def _line(x: str, rows: int = 20) -> dict[str, Column]:
+    k, w = F.col("k").cast("double"), _last_rows(rows)
+    return {"__n": F.count(x).over(w), "__b": F.regr_slope(x, k).over(w), "__a": F.regr_intercept(x, k).over(w)}
+
+
+#: What persistence, trailing_mean and linear_trend read of the rows before, and the forecast h cycles ahead from that.
+WITHIN = {
+    "persistence": (lambda x: {}, lambda x, h: F.col(x)),
+    "trailing mean": (lambda x: {"__m": F.avg(x).over(_last_rows(10))}, lambda x, h: F.col("__m")),
+    "linear trend": (_line, lambda x, h: F.when(F.col("__n") >= 3, F.col("__a") + F.col("__b") * (F.col("k") + h)).otherwise(F.col(x))),
+}
+
+
+def weighed(df: DataFrame, models: tuple[str, ...], x: str = "held", y: str = "soh", horizons=(1, *HORIZONS), decay: float = 0.85, warm_up: int = 5, limit: float = 9.0) -> DataFrame:
+    """df, where x is known, with __actual (y so many cycles ahead, by horizon), __pred (the forecasts from x, by model and
+    horizon), __known and __weight (ensemble_weights of ewma_error, by model): what a study needs of an origin is in its row, so
+    that rows are sorted before and not after there is one for each model and horizon. A cycle is one row."""
+    w = Window.partitionBy("cell").orderBy("k")
+    ahead = F.array(*(F.when(F.col("cell").isNotNull(), F.first(y).over(w.rangeBetween(h, h))) for h in horizons))
+    d = df.withColumn("__actual", ahead).where(F.col(x).isNotNull())
+    for m in models:
+        d = d.withColumns(WITHIN[m][0](x))
+    pred = F.array(*(F.array(*(WITHIN[m][1](x, F.lit(h)).cast("double") for h in horizons)) for m in models))
+    d = d.withColumn("__pred", pred).drop("__m", "__n", "__b", "__a")
+    one = list(horizons).index(1)
+    actual = F.get("__actual", F.lit(one))
+    d = d.withColumn("__known", actual.isNotNull())
+    w = Window.partitionBy("cell", "__known").orderBy("k")
+    recent = [F.collect_list(F.pow(actual - F.get(F.get("__pred", F.lit(i)), F.lit(one)), 2)).over(w.rowsBetween(-(EWMA_ROWS - 1), 0)) for i in range(len(models))]
+    d = d.withColumns({"__n": F.row_number().over(w), **{f"__e{i}": c for i, c in enumerate(recent)}})
+    fold = lambda c: F.aggregate(F.slice(c, 2, EWMA_ROWS), F.get(c, F.lit(0)), lambda a, v: a * decay + v * (1 - decay))
+    d = d.withColumn("__err", F.array(*(F.when(F.col("__known"), fold(f"__e{i}")) for i in range(len(models))))).drop(*(f"__e{i}" for i in range(len(models))))
+    some = F.sort_array(F.filter("__err", lambda e: e.isNotNull()))
+    at = lambda i: F.get("__some", F.floor(i / 2).cast("int"))
+    d = d.withColumn("__some", some).withColumn("__median", F.when(F.col("__n") >= warm_up, 0.5 * at(F.size("__some") - 1) + 0.5 * at(F.size("__some"))))
+    raw = F.transform("__err", lambda e: F.when(F.col("__median").isNull(), 1.0).when(e > limit * F.col("__median"), 0.0).otherwise(1 / (e + 1e-6)))
+    d = d.withColumn("__raw", raw).withColumn("__sum", F.aggregate("__raw", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))))
+    weight = F.when(F.col("__known"), F.transform("__raw", lambda v: F.try_divide(v, F.col("__sum"))))
+    return d.withColumn("__weight", weight).drop("__n", "__err", "__some", "__median", "__raw", "__sum")
+
+
+def weights_of(d: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """cell, k0, model, weight of a table that is weighed."""
+    each = F.array(*(F.struct(F.lit(m).alias("model"), F.get("__weight", F.lit(i)).alias("weight")) for i, m in enumerate(models)))
+    return d.where("__known").select("cell", F.col("k").alias("k0"), F.inline(each))
+
+
+def logs_of(d: DataFrame, models: tuple[str, ...], width: float, x: str = "held", horizons=(1, *HORIZONS)) -> DataFrame:
+    """The resolved log of the models and their ensemble (as combined has it), of a table that is weighed."""
+    weight = {m: F.coalesce(F.get("__weight", F.lit(i)), F.lit(UNKNOWN_WEIGHT)) for i, m in enumerate(models)}
+    d = d.withColumn("__used", F.array(*(F.when(weight[m] > 0, weight[m]) for m in sorted(models))))
+    d = d.withColumn("__all", F.aggregate("__used", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))))
+    place = {m: i for i, m in enumerate(models)}
+
+    def row(m: str, j: int, h: int, pred: Column, lo: Column, hi: Column) -> Column:
+        return F.struct(F.lit(m).alias("model"), F.col("k").alias("k0"), pred.alias("pred"), F.col(x).alias("now"), F.lit(h).alias("h"), (F.col("k") + h).alias("k_target"), lo.alias("lo"), hi.alias("hi"), F.get("__actual", F.lit(j)).alias("actual"))
+
+    def mean(j: int, shift: float) -> Column:
+        parts = [F.get("__used", F.lit(i)) * (F.get(F.get("__pred", F.lit(place[m])), F.lit(j)) + shift) for i, m in enumerate(sorted(models))]
+        total = F.lit(0.0)
+        for p in parts:
+            total = total + F.coalesce(p, F.lit(0.0))
+        return F.when(F.coalesce(*parts).isNotNull(), total / F.col("__all"))
+
+    rows = []
+    for j, h in enumerate(horizons):
+        for m in models:
+            pred = F.get(F.get("__pred", F.lit(place[m])), F.lit(j))
+            rows.append(row(m, j, h, pred, pred - width, pred + width))
+        rows.append(F.when(F.col("__all") > 0, row("ensemble", j, h, mean(j, 0.0), mean(j, -width), mean(j, width))))
+    return d.select("cell", "grp", F.inline(F.array_compact(F.array(*rows))))

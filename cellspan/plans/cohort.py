@@ -22,7 +22,7 @@ from cellspan.operators import forecasts, study
 from cellspan.operators.datasets import measured_every
 from cellspan.sources.staging import staged
 
-MODELS = {"persistence": forecasts.persistence, "trailing mean": forecasts.trailing_mean, "linear trend": forecasts.linear_trend}
+MODELS = tuple(forecasts.WITHIN)
 
 
 def observations(table: DataFrame, every: int = 1) -> DataFrame:
@@ -32,18 +32,13 @@ def observations(table: DataFrame, every: int = 1) -> DataFrame:
     return d.select("cell", "grp", "k", F.col("soh_clean").alias("soh"), F.last("known", ignorenulls=True).over(w).alias("held"), F.col("eol_soh").alias("eol"))
 
 
-def run(table: DataFrame, models=tuple(MODELS), every: int = 1, width: float = 0.05) -> dict[str, DataFrame]:
+def run(table: DataFrame, models=MODELS, every: int = 1, width: float = 0.05) -> dict[str, DataFrame]:
     """metrics, forecasts, estimates, weights, rul, estimation; a cell and model without forecasts is a row with a status."""
     obs = observations(table, every)
     known = obs.where("held IS NOT NULL")
-    reached = forecasts.with_ahead(obs, "soh").where("held IS NOT NULL")
-    logs = None
-    for m in models:
-        part = MODELS[m](reached, "held", width=width)
-        logs = part if logs is None else logs.unionByName(part)
-    single = forecasts.resolve_ahead(logs)
-    weights = forecasts.ensemble_weights(forecasts.ewma_error(single))
-    both = single.unionByName(forecasts.combined_resolved(single, weights))
+    origins = forecasts.weighed(obs, tuple(models))
+    weights = forecasts.weights_of(origins, tuple(models))
+    both = forecasts.logs_of(origins, tuple(models), width)
     radii = forecasts.conformal(both)
     lo, hi, calibrated = forecasts.band(F.col("radius"), F.col("pred"), F.col("lo"), F.col("hi"))
     resolved = radii.withColumns({"lo": lo, "hi": hi, "calibrated": calibrated}).drop("radius", "n_seen")
@@ -57,7 +52,7 @@ def run(table: DataFrame, models=tuple(MODELS), every: int = 1, width: float = 0
     ahead = F.when(fit <= F.col("eol"), 0.0).when(F.col("b") < 0, (F.col("eol") - fit) / F.col("b"))
     est = line.select("cell", "k", F.lit("linear trend").alias("model"), fit.alias("soh"), F.col("soh").alias("measured"))
     rul = line.select("cell", F.lit("linear trend").alias("model"), F.col("k").alias("k0"), F.when(ahead <= max(RUL_GRID), F.col("k") + ahead).alias("eol_pred"))
-    return {"metrics": metrics.unionByName(missing, allowMissingColumns=True), "forecasts": resolved, "estimates": est, "weights": weights.select("cell", "k0", "model", "weight"), "rul": rul, "estimation": study.estimation_accuracy(est)}
+    return {"metrics": metrics.unionByName(missing, allowMissingColumns=True), "forecasts": resolved, "estimates": est, "weights": weights, "rul": rul, "estimation": study.estimation_accuracy(est)}
 
 
 def update_frequency(table: DataFrame, intervals=(1, 2, 5, 10, 20), h: int = 25, models=("linear trend",)) -> DataFrame:

@@ -22,10 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PART_ROWS = 200_000
 
 
-def parted(df: DataFrame, *keys: str) -> DataFrame:
+def parted(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """df dealt out by keys into as many parts as its rows need (a count from the files' footers), so that what a task sorts does
-    not grow with the table; windows and aggregations by these keys, and finer ones, follow without another shuffle."""
-    parts = -(-df.count() // PART_ROWS)
+    not grow with the table; windows and aggregations by these keys, and finer ones, follow without another shuffle. `rows`: of a
+    part, fewer where each becomes many."""
+    parts = -(-df.count() // (rows or PART_ROWS))
     return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
